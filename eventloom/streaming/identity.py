@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+
+from eventloom.config import EngineConfig
+from eventloom.functions.text import has_text
+from eventloom.streaming.settings import event_time
+
+_DAY_MS = 86_400_000
+
+
+class _Links(StatefulProcessor):
+    """Per visitor, the latest link; it runs out after the configured days."""
+
+    def __init__(self, ttl_ms: int, columns: list[str]) -> None:
+        self.ttl_ms = ttl_ms
+        self.columns = columns
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.link = handle.getValueState("link", "user string, ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(rows).sort_values(["_ms", "seq"], kind="stable")
+        state = self.link.get()
+        user, at = state if state is not None else (None, None)
+        users = pdf["user_id"].to_numpy(dtype=object).copy()
+        resolved = pdf["identity_resolved"].to_numpy(dtype=bool).copy()
+        linked = pdf["identity_linked"].to_numpy(dtype=bool)
+        open_ = pdf["_open"].to_numpy(dtype=bool)
+        for place, ms in enumerate(pdf["_ms"].to_numpy()):
+            if linked[place]:
+                user, at = users[place], int(ms)
+            elif open_[place] and user is not None and ms < at + self.ttl_ms:
+                users[place] = user
+                resolved[place] = True
+        if user is not None and (state is None or (user, at) != tuple(state)):
+            self.link.update((user, at))
+            self.handle.registerTimer(at + self.ttl_ms)
+        yield pdf.assign(user_id=users, identity_resolved=resolved)[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.link.get()
+        if state is not None and state[1] + self.ttl_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.link.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def identity_stream(events: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Streaming form of ``resolve_identity``. Rows of one trigger are put in time
+    order; a link that comes in a later trigger does not change rows already out."""
+    visitor = has_text("anonymous_id")
+    known = has_text("user_id")
+    timed = event_time(events, cfg).withColumns(
+        {"identity_linked": visitor & known, "identity_resolved": F.lit(False)}
+    )
+    lane = F.when(visitor, F.concat(F.lit("v"), F.col("anonymous_id"))).otherwise(
+        F.concat(F.lit("n"), F.col("seq").cast("string"))
+    )
+    keyed = timed.withColumns({"_lane": lane, "_ms": F.unix_millis("timestamp"), "_open": visitor & ~known})
+    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in timed.schema])
+    return keyed.groupBy("_lane").transformWithStateInPandas(
+        statefulProcessor=_Links(cfg.identity_ttl_days * _DAY_MS, timed.columns),
+        outputStructType=out,
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="timestamp",
+    )

@@ -1,0 +1,61 @@
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
+
+from eventloom.config import EngineConfig
+from eventloom.streaming.settings import event_time
+
+
+class _Bucket(StatefulProcessor):
+    """Token bucket per client: n tokens, refilled continuously at n per second.
+
+    Tokens are counted in thousandths, so the arithmetic is exact.
+    """
+
+    def __init__(self, per_second: int, columns: list[str]) -> None:
+        self.per_second = per_second
+        self.columns = columns
+
+    def init(self, handle) -> None:
+        self.bucket = handle.getValueState("bucket", "millitokens long, ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(rows).sort_values(["_ms", "event_id"], kind="stable")
+        full = self.per_second * 1000
+        state = self.bucket.get()
+        tokens, at = state if state is not None else (full, None)
+        over = []
+        for ms in pdf["_ms"].to_numpy():
+            if at is not None and ms > at:
+                tokens = min(full, tokens + (int(ms) - at) * self.per_second)
+            at = int(ms) if at is None else max(at, int(ms))
+            taken = tokens >= 1000
+            tokens -= 1000 if taken else 0
+            over.append(not taken)
+        self.bucket.update((tokens, at))
+        yield pdf.assign(over_limit=over)[self.columns]
+
+    def close(self) -> None:
+        pass
+
+
+def rate_cap_stream(requests: DataFrame, cfg: EngineConfig, client: str = "app_code") -> DataFrame:
+    """Flag requests that find their client's bucket empty. One client is one state,
+    as each request depends on the one before."""
+    timed = event_time(requests, cfg).withColumn("over_limit", F.lit(False))
+    name = F.coalesce(F.when(F.col(client) != "", F.col(client)), F.lit(cfg.default_client))
+    keyed = timed.withColumns({"_client": name, "_ms": F.unix_millis("timestamp")})
+    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in timed.schema])
+    return keyed.groupBy("_client").transformWithStateInPandas(
+        statefulProcessor=_Bucket(cfg.max_requests_per_second, timed.columns),
+        outputStructType=out,
+        outputMode="Append",
+        timeMode="EventTime",
+        eventTimeColumnName="timestamp",
+    )
