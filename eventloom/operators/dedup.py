@@ -4,9 +4,10 @@ An accepted event blocks further copies of its id for the window, counted from t
 accepted copy and not renewed by blocked ones. So the copies of an id are walked in
 time order: keep one, skip to the first copy at least a window later, and so on.
 
-Only (id, time, seq) is shuffled to find the kept copies; the wide rows meet the
-result once, on all three columns, which spreads any number of copies of one id.
-``seq`` numbers the rows: it breaks ties and must be unique among copies of an id.
+Only (id, time, seq) is shuffled, to find the ids that occur more than once. They
+are usually few; the events are then checked against them by a broadcast join and
+not shuffled at all. ``seq`` numbers the rows: it breaks ties and must be unique
+among the copies of an id.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
 from eventloom.functions.text import is_set
-from eventloom.operators.skew import spread_join
+from eventloom.operators.skew import lookup_join, spread_join
+from eventloom.workspace import cut_lineage
 
-# Copies of one id that are folded as one array; ids with more go block by block.
+# Ids with at most this many copies are folded as one array; others go block by block.
 FOLD_LIMIT = 1_000
 # A block of an id holds at most this many windows, so at most as many distinct
 # instants as it has milliseconds.
@@ -44,14 +46,25 @@ def mark_duplicates(
     nor block others.
     """
     takes = is_set("event_id") & (slot if slot is not None else F.lit(True))
-    marked = events.withColumn("_ms", F.unix_millis(F.col(ts))).withColumn("_takes", takes)
-    copies = marked.where("_takes").select("event_id", "_ms", F.col(seq).alias("_seq"))
-    kept = kept_copies(copies, cfg.dedup_window_s * 1000, fold_limit).withColumn("_kept", F.lit(True))
-    return (
-        marked.withColumn("_seq", F.col(seq))
-        .join(kept, ["event_id", "_ms", "_seq"], "left")
-        .withColumn("is_duplicate", F.col("_takes") & F.col("_kept").isNull())
-        .drop("_ms", "_seq", "_takes", "_kept")
+    marked = events.withColumns({"_ms": F.unix_millis(F.col(ts)), "_takes": takes})
+    copies = marked.where("_takes").select("event_id", "_ms", F.col(seq).cast("long").alias("_seq"))
+    repeated, kept = repeated_ids(copies, cfg, fold_limit)
+    if repeated is None:
+        return marked.withColumn("is_duplicate", F.lit(False)).drop("_ms", "_takes")
+    window_ms = cfg.dedup_window_s * 1000
+    firsts = repeated.select("event_id", "_first", (F.col("_last") - F.col("_first._ms") < window_ms).alias("_short"))
+    checked = lookup_join(
+        marked.withColumn("_seq", F.col(seq).cast("long")), firsts, ["event_id"], [seq], cfg.rows_per_slice
+    )
+    is_first = (F.col("_ms") == F.col("_first._ms")) & (F.col("_seq") == F.col("_first._seq"))
+    survives = F.col("_short").isNull() | (F.col("_short") & is_first)
+    if kept is not None:
+        checked = lookup_join(
+            checked, kept.withColumn("_kept", F.lit(True)), ["event_id", "_ms", "_seq"], [seq], cfg.rows_per_slice
+        )
+        survives = survives | F.col("_kept").isNotNull()
+    return checked.withColumn("is_duplicate", F.col("_takes") & ~survives).drop(
+        "_ms", "_seq", "_takes", "_first", "_short", "_kept"
     )
 
 
@@ -59,32 +72,45 @@ def drop_duplicates(events: DataFrame, cfg: EngineConfig, **options) -> DataFram
     return mark_duplicates(events, cfg, **options).where(~F.col("is_duplicate")).drop("is_duplicate")
 
 
-def kept_copies(copies: DataFrame, window_ms: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """(event_id, _ms, _seq) of the copies to keep."""
-    block_ms = window_ms * WINDOWS_PER_BLOCK
-    # Every step aggregates what is equal before it moves rows: first the copies of one
-    # millisecond, then a block, then the id. No step brings all rows of an id together.
-    instants = copies.groupBy("event_id", "_ms").agg(F.min("_seq").alias("_seq"))
-    instants = instants.withColumn("_block", F.floor(F.col("_ms") / F.lit(block_ms)))
-    blocks = instants.groupBy("event_id", "_block").agg(
-        F.count("*").alias("_n"), F.min(F.struct("_ms", "_seq")).alias("_first"), F.max("_ms").alias("_last")
-    )
-    ids = blocks.groupBy("event_id").agg(
-        F.sum("_n").alias("_n"), F.min("_first").alias("_first"), F.max("_last").alias("_last")
+def repeated_ids(
+    copies: DataFrame, cfg: EngineConfig, fold_limit: int = FOLD_LIMIT
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """Ids with several copies, and the copies to keep of the long-lived among them.
+
+    The first result holds (event_id, _n, _first<_ms, _seq>, _last). When all copies of
+    an id lie within one window, only ``_first`` is kept. The second result holds
+    (event_id, _ms, _seq) of the other ids. Either is None when it would be empty.
+    """
+    window_ms = cfg.dedup_window_s * 1000
+    # a plain aggregate: a heavy id is reduced to one row per task before the shuffle
+    repeated = cut_lineage(
+        copies.groupBy("event_id")
+        .agg(
+            F.count("*").alias("_n"),
+            F.min(F.struct("_ms", "_seq")).alias("_first"),
+            F.max("_ms").alias("_last"),
+        )
+        .where(F.col("_n") > 1)
     )
-    long_lived = F.col("_last") - F.col("_first._ms") >= window_ms
-    # Nearly all ids: every copy lies within one window of the first.
-    once = ids.where(~long_lived).select("event_id", "_first.*")
-
-    # A long-lived id finds its instants again by (id, block), which is spread evenly.
-    many = F.col("_n") > fold_limit
-    wanted = blocks.select("event_id", "_block").join(
-        ids.where(long_lived).select("event_id", many.alias("_many")), "event_id"
+    if repeated.isEmpty():
+        return None, None
+    long_lived = repeated.where(F.col("_last") - F.col("_first._ms") >= window_ms).select(
+        "event_id", (F.col("_n") > fold_limit).alias("_many")
     )
-    again = instants.join(wanted, ["event_id", "_block"])
-    folded = _fold(again.where(~F.col("_many")), window_ms)
-    walked = _walk(again.where("_many").drop("_many"), window_ms, block_ms)
-    return once.unionByName(folded).unionByName(walked)
+    sizes = {row["_many"] for row in long_lived.groupBy("_many").count().collect()}
+    if not sizes:
+        return repeated, None
+    again = lookup_join(copies, long_lived, ["event_id"], ["_ms", "_seq"], cfg.rows_per_slice, how="inner")
+    instants = again.groupBy("event_id", "_many", "_ms").agg(F.min("_seq").alias("_seq"))
+    parts = []
+    if False in sizes:
+        parts.append(_fold(instants.where(~F.col("_many")), window_ms))
+    if True in sizes:
+        block = F.floor(F.col("_ms") / F.lit(window_ms * WINDOWS_PER_BLOCK)).cast("long")
+        heavy = cut_lineage(instants.where("_many").select("event_id", block.alias("_block"), "_ms", "_seq"))
+        parts.append(_walk(heavy, window_ms, window_ms * WINDOWS_PER_BLOCK))
+    kept = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return repeated, cut_lineage(kept)
 
 
 def _fold(instants: DataFrame, window_ms: int) -> DataFrame:
@@ -99,11 +125,7 @@ def _fold(instants: DataFrame, window_ms: int) -> DataFrame:
     )
     return (
         instants.groupBy("event_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("_ms", F.col("_seq").cast("long").alias("_seq")))
-            ).alias("_all")
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("_ms", "_seq"))).alias("_all"))
         .select("event_id", F.explode(walk).alias("_kept"))
         .select("event_id", "_kept._ms", "_kept._seq")
     )
@@ -117,12 +139,9 @@ def _walk(instants: DataFrame, window_ms: int, block_ms: int) -> DataFrame:
     2. A short pass per id threads the real walk through these answers.
     3. Each block walks again from its now known start.
     """
-    rows = instants.select(
-        "event_id", F.col("_block").cast("long").alias("_block"), "_ms", F.col("_seq").cast("long").alias("_seq")
-    )
-    own = rows.withColumn("_own", F.lit(True))
+    own = instants.withColumn("_own", F.lit(True))
     into_next = F.pmod(F.col("_ms"), F.lit(block_ms)) >= block_ms - window_ms
-    entering = rows.where(into_next).withColumn("_block", F.col("_block") + 1).withColumn("_own", F.lit(False))
+    entering = instants.where(into_next).withColumn("_block", F.col("_block") + 1).withColumn("_own", F.lit(False))
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_ms")
@@ -181,7 +200,7 @@ def _walk(instants: DataFrame, window_ms: int, block_ms: int) -> DataFrame:
         return pdf.iloc[kept][["event_id", "_ms", "_seq"]]
 
     return (
-        rows.groupBy("event_id", "_block")
+        instants.groupBy("event_id", "_block")
         .cogroup(stands.groupBy("event_id", "_block"))
         .applyInPandas(walk, "event_id string, _ms long, _seq long")
     )
@@ -226,6 +245,3 @@ def anti_processed(entries: DataFrame, events: DataFrame) -> DataFrame:
 def first_seen(events: DataFrame, ts: str = "timestamp") -> DataFrame:
     """(event_id, anchor_ts): the accepted ids, as input of ``anti_seen`` for later batches."""
     return events.where(is_set("event_id")).groupBy("event_id").agg(F.max(ts).alias("anchor_ts"))
-
-
-__all__ = ["mark_duplicates", "drop_duplicates", "kept_copies", "anti_seen", "anti_processed", "first_seen"]

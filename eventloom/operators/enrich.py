@@ -73,10 +73,14 @@ def stamp_app(events: DataFrame, client: Column) -> DataFrame:
 def default_times(events: DataFrame, now: Column) -> DataFrame:
     """client_time falls back to timestamp, timestamp and received_at to ``now``."""
     ts = F.coalesce(F.col("timestamp"), now)
+
+    def given(name: str) -> Column:
+        return F.col(name) if name in events.columns else F.lit(None).cast("timestamp")
+
     return events.withColumns(
         {
-            "client_time": F.coalesce(F.col("client_time"), ts),
-            "received_at": F.coalesce(F.col("received_at"), now),
+            "client_time": F.coalesce(given("client_time"), ts),
+            "received_at": F.coalesce(given("received_at"), now),
             "timestamp": ts,
         }
     )

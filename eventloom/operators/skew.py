@@ -80,6 +80,13 @@ def spread_join(
     return spread_left.join(repeated_right, [*on, "_part"], how).drop("_part")
 
 
+def fits_broadcast(table: DataFrame, limit: int) -> bool:
+    """The table's rows take at most ``limit`` bytes as JSON text; in memory that is a
+    small multiple."""
+    size = table.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
+    return (size or 0) <= limit
+
+
 def lookup_join(
     left: DataFrame,
     table: DataFrame,
@@ -90,8 +97,7 @@ def lookup_join(
     broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Join to a configuration table: broadcast if its measured size allows, else spread."""
-    size = table.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
-    if size <= broadcast_bytes:
+    if fits_broadcast(table, broadcast_bytes):
         return left.join(F.broadcast(table), list(on), how)
     return spread_join(left, table, on, how, spread_by, floor_rows)
 

@@ -22,8 +22,8 @@ def _lane() -> F.Column:
 def dedup_stream(events: DataFrame, cfg: EngineConfig) -> DataFrame:
     """First event of each id while the watermark remembers it. The built-in operator:
     the memory is the watermark delay, set it to the duplicate window or more."""
-    timed = event_time(events, cfg).withColumn("_lane", _lane())
-    return timed.dropDuplicatesWithinWatermark(["_lane"]).drop("_lane")
+    timed = event_time(events, cfg).withColumn("lane_key", _lane())
+    return timed.dropDuplicatesWithinWatermark(["lane_key"]).drop("lane_key")
 
 
 class _Anchored(StatefulProcessor):
@@ -38,13 +38,16 @@ class _Anchored(StatefulProcessor):
         self.anchor = handle.getValueState("anchor", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Rows of one trigger arrive in any order. The state is one number; only a
-        # heavy id has many rows here, and they are narrowed to the kept ones at once.
-        pdf = pd.concat(rows).sort_values(["_ms", "seq"], kind="stable")
+        # Rows of one trigger arrive in any order, and a heavy id may have very many.
+        # Chunk by chunk they are reduced to one row per millisecond.
+        pdf = None
+        for chunk in rows:
+            pdf = chunk if pdf is None else pd.concat([pdf, chunk])
+            pdf = pdf.sort_values(["event_ms", "seq"], kind="stable").drop_duplicates("event_ms")
         before = self.anchor.get()
         anchor = before[0] if before is not None else None
         kept = []
-        for place, ms in enumerate(pdf["_ms"].to_numpy()):
+        for place, ms in enumerate(pdf["event_ms"].to_numpy()):
             if anchor is None or ms - anchor >= self.window_ms:
                 kept.append(place)
                 anchor = int(ms)
@@ -69,8 +72,8 @@ def dedup_stream_anchored(events: DataFrame, cfg: EngineConfig) -> DataFrame:
     with the state as it is then."""
     timed = event_time(events, cfg)
     columns = timed.columns
-    keyed = timed.withColumns({"_lane": _lane(), "_ms": F.unix_millis("timestamp")})
-    return keyed.groupBy("_lane").transformWithStateInPandas(
+    keyed = timed.withColumns({"lane_key": _lane(), "event_ms": F.unix_millis("timestamp")})
+    return keyed.groupBy("lane_key").transformWithStateInPandas(
         statefulProcessor=_Anchored(cfg.dedup_window_s * 1000, columns),
         outputStructType=timed.schema,
         outputMode="Append",

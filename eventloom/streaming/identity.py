@@ -27,14 +27,14 @@ class _Links(StatefulProcessor):
         self.link = handle.getValueState("link", "user string, ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(rows).sort_values(["_ms", "seq"], kind="stable")
+        pdf = pd.concat(rows).sort_values(["event_ms", "seq"], kind="stable")
         state = self.link.get()
         user, at = state if state is not None else (None, None)
         users = pdf["user_id"].to_numpy(dtype=object).copy()
         resolved = pdf["identity_resolved"].to_numpy(dtype=bool).copy()
         linked = pdf["identity_linked"].to_numpy(dtype=bool)
-        open_ = pdf["_open"].to_numpy(dtype=bool)
-        for place, ms in enumerate(pdf["_ms"].to_numpy()):
+        open_ = pdf["may_fill"].to_numpy(dtype=bool)
+        for place, ms in enumerate(pdf["event_ms"].to_numpy()):
             if linked[place]:
                 user, at = users[place], int(ms)
             elif open_[place] and user is not None and ms < at + self.ttl_ms:
@@ -66,9 +66,9 @@ def identity_stream(events: DataFrame, cfg: EngineConfig) -> DataFrame:
     lane = F.when(visitor, F.concat(F.lit("v"), F.col("anonymous_id"))).otherwise(
         F.concat(F.lit("n"), F.col("seq").cast("string"))
     )
-    keyed = timed.withColumns({"_lane": lane, "_ms": F.unix_millis("timestamp"), "_open": visitor & ~known})
+    keyed = timed.withColumns({"lane_key": lane, "event_ms": F.unix_millis("timestamp"), "may_fill": visitor & ~known})
     out = T.StructType([T.StructField(f.name, f.dataType, True) for f in timed.schema])
-    return keyed.groupBy("_lane").transformWithStateInPandas(
+    return keyed.groupBy("lane_key").transformWithStateInPandas(
         statefulProcessor=_Links(cfg.identity_ttl_days * _DAY_MS, timed.columns),
         outputStructType=out,
         outputMode="Append",

@@ -26,12 +26,12 @@ class _Bucket(StatefulProcessor):
         self.bucket = handle.getValueState("bucket", "millitokens long, ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(rows).sort_values(["_ms", "event_id"], kind="stable")
+        pdf = pd.concat(rows).sort_values(["event_ms", "event_id"], kind="stable")
         full = self.per_second * 1000
         state = self.bucket.get()
         tokens, at = state if state is not None else (full, None)
         over = []
-        for ms in pdf["_ms"].to_numpy():
+        for ms in pdf["event_ms"].to_numpy():
             if at is not None and ms > at:
                 tokens = min(full, tokens + (int(ms) - at) * self.per_second)
             at = int(ms) if at is None else max(at, int(ms))
@@ -50,9 +50,9 @@ def rate_cap_stream(requests: DataFrame, cfg: EngineConfig, client: str = "app_c
     as each request depends on the one before."""
     timed = event_time(requests, cfg).withColumn("over_limit", F.lit(False))
     name = F.coalesce(F.when(F.col(client) != "", F.col(client)), F.lit(cfg.default_client))
-    keyed = timed.withColumns({"_client": name, "_ms": F.unix_millis("timestamp")})
+    keyed = timed.withColumns({"client_key": name, "event_ms": F.unix_millis("timestamp")})
     out = T.StructType([T.StructField(f.name, f.dataType, True) for f in timed.schema])
-    return keyed.groupBy("_client").transformWithStateInPandas(
+    return keyed.groupBy("client_key").transformWithStateInPandas(
         statefulProcessor=_Bucket(cfg.max_requests_per_second, timed.columns),
         outputStructType=out,
         outputMode="Append",
