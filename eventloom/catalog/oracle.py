@@ -171,11 +171,11 @@ SESSION_LIST = """session_id, user_id, anonymous_id, platform, start_time, end_t
   utm_campaign, device_type, os, last_active_at, app_code"""
 
 DAILY = """
-SELECT CAST(start_time AS DATE) AS date, user_id, anonymous_id, platform, utm_source, utm_medium, utm_campaign,
+SELECT strftime(start_time, '%Y-%m-%d') AS date, user_id, anonymous_id, platform, utm_source, utm_medium, utm_campaign,
   count(*) AS session_count, CAST(sum(page_views) AS BIGINT) AS total_page_views,
   CAST(sum(clicks) AS BIGINT) AS total_clicks, CAST(sum(exposures) AS BIGINT) AS total_exposures,
   CAST(sum(duration) AS BIGINT) AS total_duration, round(avg(duration), 6) AS avg_duration,
-  CAST(sum(is_bounce) AS BIGINT) AS bounce_count, max(scroll_depth_max) AS max_scroll_depth
+  CAST(sum(is_bounce) AS BIGINT) AS bounce_count, CAST(max(scroll_depth_max) AS DOUBLE) AS max_scroll_depth
 FROM s_rows GROUP BY ALL"""
 
 HOURLY = """
@@ -184,7 +184,7 @@ SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, user_id, anonymous_id,
   count(*) FILTER (event_type = 'click') AS click_count,
   count(*) FILTER (event_type = 'exposure') AS exposure_count,
   count(*) FILTER (event_type = 'page_view') AS page_view_count,
-  round(avg(stay_duration), 6) AS avg_stay_duration, max(scroll_depth) AS max_scroll_depth
+  round(avg(stay_duration), 6) AS avg_stay_duration, CAST(max(scroll_depth) AS DOUBLE) AS max_scroll_depth
 FROM behaviour{where} GROUP BY ALL"""
 
 IDENTITY = """,
@@ -336,10 +336,10 @@ FROM named GROUP BY client""",
   CASE WHEN has_device AND k % 2 = 0 THEN 1920 ELSE 0 END AS screen_width,
   CASE WHEN has_device AND k % 2 = 0 THEN 1080 ELSE 0 END AS screen_height,
   CASE WHEN has_device THEN 'en' ELSE '' END AS language,
-  CASE WHEN src_click THEN k END AS click_x, CAST(NULL AS INTEGER) AS click_y,
-  scroll_depth, stay_duration, coalesce(utm_source, '') AS utm_source, coalesce(utm_medium, '') AS utm_medium,
+  CAST(CASE WHEN src_click THEN k END AS DOUBLE) AS click_x, CAST(NULL AS DOUBLE) AS click_y,
+  CAST(scroll_depth AS DOUBLE) AS scroll_depth, CAST(stay_duration AS DOUBLE) AS stay_duration, coalesce(utm_source, '') AS utm_source, coalesce(utm_medium, '') AS utm_medium,
   '' AS utm_campaign, '' AS spmb, 0 AS n_exp, CASE WHEN present THEN custom ELSE '{{}}' END AS properties,
-  app_code, CAST(ts1 AS DATE) AS event_date
+  app_code, strftime(ts1, '%Y-%m-%d') AS event_date
 FROM (SELECT f.*, e.event_type = 'click' AS src_click FROM flat f JOIN ev e ON e.seq = f.seq)""",
     ),
     "device_parse": _with(
@@ -422,7 +422,7 @@ FROM s_rows""",
     ),
     "replace_latest": _with(
         EV,
-        """SELECT anonymous_id, event_type, event_id, user_id, ts, seq, scroll_depth FROM ev
+        """SELECT anonymous_id, event_type, event_id, user_id, ts, seq, CAST(scroll_depth AS DOUBLE) AS scroll_depth FROM ev
 QUALIFY row_number() OVER (PARTITION BY anonymous_id, event_type ORDER BY ts DESC, seq DESC) = 1""",
     ),
     "events_hourly": _with(EV, HOURLY.format(where="")),
@@ -491,7 +491,8 @@ WHERE NOT (a.retry_count >= 10 AND (a.next_retry_at IS NULL OR a.next_retry_at <
     "layout_roundtrip": _with(
         EV,
         f"""SELECT event_id, event_type, coalesce(user_id, '') AS user_id, ts, ts AS client_time, {NOW} AS received_at,
-  page_url, 0 AS screen_width, scroll_depth, stay_duration, custom AS properties, app_code FROM ev""",
+  page_url, 0 AS screen_width, CAST(scroll_depth AS DOUBLE) AS scroll_depth,
+  CAST(stay_duration AS DOUBLE) AS stay_duration, custom AS properties, app_code FROM ev""",
     ),
     "layout_day_range": _with(
         EV,

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from eventloom.catalog import tables as I
 from eventloom.config import EngineConfig
 from eventloom.functions.contracts import contract_outcome
-from eventloom.functions.device import browser, device_type, operating_system
+from eventloom.functions.device import device_columns
 from eventloom.functions.keys import partition_key, partition_of, route_topic
 from eventloom.operators import dead_letters as DL
 from eventloom.operators.collapse import replace_latest
@@ -51,7 +51,7 @@ from eventloom.streaming.rollups import hourly_stream
 from eventloom.streaming.sessions import sessionize_stream
 from eventloom.streaming.settings import streaming_session
 from eventloom.streaming.sinks import to_parquet
-from eventloom.workspace import cut_lineage, scratch_path
+from eventloom.workspace import scratch_path, write_through
 
 CFG = EngineConfig()
 LONG_GAP = EngineConfig(session_timeout_s=6 * 3600)
@@ -67,14 +67,25 @@ def at(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-def plain_times(df: DataFrame) -> DataFrame:
-    """Timestamps without zone, as the SQL side has them."""
-    return df.select(
-        *[
-            F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+# Whole numbers that can be missing; as doubles both engines show them alike.
+OPTIONAL_NUMBERS = ("click_x", "click_y", "scroll_depth", "stay_duration", "max_scroll_depth")
+
+
+def plain_columns(df: DataFrame) -> DataFrame:
+    """Column types that mean the same on the SQL side: timestamps without zone, days
+    as text, optional whole numbers as doubles."""
+
+    def plain(field: T.StructField) -> Column:
+        column = F.col(field.name)
+        if isinstance(field.dataType, T.TimestampType):
+            column = column.cast("timestamp_ntz")
+        elif isinstance(field.dataType, T.DateType):
+            column = F.date_format(column, "yyyy-MM-dd")
+        elif field.name in OPTIONAL_NUMBERS:
+            column = column.cast("double")
+        return column.alias(field.name)
+
+    return df.select(*[plain(field) for field in df.schema])
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -203,13 +214,8 @@ def enrich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    agent = F.col("user_agent")
-    return I.all_events(spark, sf_dir).select(
-        "seq",
-        device_type(agent).alias("device_type"),
-        operating_system(agent).alias("os"),
-        browser(agent).alias("browser"),
-    )
+    events = I.all_events(spark, sf_dir).withColumn("agent", F.lower("user_agent"))
+    return events.select("seq", *[c.alias(name) for name, c in device_columns(F.col("agent")).items()])
 
 
 def topic_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,7 +470,7 @@ def dlq_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _replay(spark: SparkSession, sf_dir: str):
     events = I.all_events(spark, sf_dir).where(F.col("k") < 50)
     table = event_table_rows(events, at(NOW)).drop("event_date")
-    entries = cut_lineage(_entries(spark, sf_dir))
+    entries = write_through(_entries(spark, sf_dir), "entries")
     cfg = I.ENFORCE.with_(dlq_jitter=0.0)
     return replay_dead_letters(entries, table, I.contracts(spark), cfg, at(DLQ_NOW))
 
@@ -654,6 +660,6 @@ QUERIES: dict[str, Query] = {
 
 def catalog() -> dict[str, Query]:
     def prepared(query: Query) -> Query:
-        return lambda spark, sf_dir: plain_times(query(spark, sf_dir))
+        return lambda spark, sf_dir: plain_columns(query(spark, sf_dir))
 
     return {name: prepared(query) for name, query in QUERIES.items()}

@@ -52,7 +52,8 @@ CONTRACTS = (
 
 
 def contracts(spark: SparkSession) -> DataFrame:
-    return parse_contracts(spark.createDataFrame(list(CONTRACTS), "app_code string, contract_json string"))
+    rows = [F.struct(F.lit(app).alias("app_code"), F.lit(text).alias("contract_json")) for app, text in CONTRACTS]
+    return parse_contracts(spark.range(1).select(F.inline(F.array(*rows))))
 
 
 def _user_agent(src: Column) -> Column:

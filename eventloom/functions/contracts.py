@@ -18,7 +18,7 @@ def type_matches(declared: Column, value: Column) -> Column:
     return (
         F.when(wanted.isNull(), F.lit(True))
         .when(wanted.isin("string", "boolean", "number", "object", "array"), kind == wanted)
-        .when(wanted == "integer", (kind == "number") & F.coalesce(number == F.floor(number), F.lit(False)))
+        .when(wanted == "integer", (kind == "number") & F.coalesce(number % 1 == 0, F.lit(False)))
         .otherwise(F.lit(True))
     )
 

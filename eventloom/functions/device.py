@@ -36,9 +36,8 @@ def _any_of(agent: Column, fragments: tuple[str, ...]) -> Column:
     return hit
 
 
-def _first_label(agent: Column, rules, fallback: str) -> Column:
-    lowered = F.lower(agent)
-    label = F.when(agent.isNull(), "unknown")
+def _first_label(lowered: Column, rules, fallback: str) -> Column:
+    label = F.when(lowered.isNull(), "unknown")
     for name, present, *absent in rules:
         hit = _any_of(lowered, present)
         if absent and absent[0]:
@@ -47,13 +46,25 @@ def _first_label(agent: Column, rules, fallback: str) -> Column:
     return label.otherwise(fallback)
 
 
+def device_columns(lowered: Column) -> dict[str, Column]:
+    """device_type, os and browser of a lower-case user agent.
+
+    Pass a column, not an expression: it is read by every rule.
+    """
+    return {
+        "device_type": _first_label(lowered, DEVICE_TYPES, "desktop"),
+        "os": _first_label(lowered, OPERATING_SYSTEMS, "unknown"),
+        "browser": _first_label(lowered, BROWSERS, "unknown"),
+    }
+
+
 def device_type(agent: Column) -> Column:
-    return _first_label(agent, DEVICE_TYPES, "desktop")
+    return device_columns(F.lower(agent))["device_type"]
 
 
 def operating_system(agent: Column) -> Column:
-    return _first_label(agent, OPERATING_SYSTEMS, "unknown")
+    return device_columns(F.lower(agent))["os"]
 
 
 def browser(agent: Column) -> Column:
-    return _first_label(agent, BROWSERS, "unknown")
+    return device_columns(F.lower(agent))["browser"]

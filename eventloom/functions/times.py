@@ -4,8 +4,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the last millisecond of year 9999.
+_LAST_MS = 253_402_300_799_999
+
+
 def epoch_ms_to_ts(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
+    """Null where the number is no time that can be stored, so one bad event does not
+    fail the job."""
+    return F.when(ms.between(-_LAST_MS, _LAST_MS), F.timestamp_millis(ms))
 
 
 def epoch_ms(ts: Column) -> Column:

@@ -31,15 +31,28 @@ def is_json_null(value: Column) -> Column:
 
 
 def json_members(text: Column) -> Column:
-    """array<struct<key,value>> of a JSON object in its order. Strings come without
-    quotes, everything else as the text that was sent (2.0 stays 2.0), null as null."""
-    return F.map_entries(F.from_json(text, "map<string,string>"))
+    """array<struct<key,value,is_string>> of a JSON object in its order.
+
+    Strings come without quotes, everything else as the text that was sent (2.0 stays
+    2.0), null as null.
+    """
+    sent = F.map_entries(F.from_json(text, "map<string,string>"))
+    strings = F.transform(F.map_values(custom_map(text)), lambda v: F.schema_of_variant(v) == "STRING")
+    return F.zip_with(
+        sent,
+        strings,
+        lambda m, s: F.struct(
+            m["key"].alias("key"), m["value"].alias("value"), F.coalesce(s, F.lit(False)).alias("is_string")
+        ),
+    )
 
 
 def json_string(value: Column) -> Column:
     """A quoted and escaped JSON string."""
     listed = F.to_json(F.array(value))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    escaped = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    # most strings need no escapes, and quoting those is much cheaper
+    return F.when(value.rlike(r'[\x00-\x1f"\\]'), escaped).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
 
 
 def json_object(members: Column, value: Callable[[Column], Column]) -> Column:

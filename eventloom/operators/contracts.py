@@ -25,10 +25,12 @@ def check_contracts(
         return events.withColumn("violations", F.array().cast("array<string>")).withColumn(
             "contract_outcome", contract_outcome("off", F.col("violations"))
         )
+    has_fields = F.size(F.col("contract")[F.col("event_type")]["fields"]) > 0
     return (
         join_contract(events, contracts, cfg)
-        # a column of its own: inside the check it would be parsed again for every field
-        .withColumn("_properties", custom_map(F.col(custom)))
+        # A column of its own: inside the check it would be parsed again for every field.
+        # Events whose contract names no field are not parsed.
+        .withColumn("_properties", F.when(has_fields, custom_map(F.col(custom))))
         .withColumn(
             "violations", contract_violations(F.col("event_type"), F.col("_properties"), F.col("contract"))
         )

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
 from eventloom.functions.text import is_set
-from eventloom.operators.skew import lookup_join, spread_join
-from eventloom.workspace import cut_lineage
+from eventloom.operators.skew import BROADCAST_BYTES, lookup_join, spread_join
+from eventloom.workspace import write_through
 
 # Ids with at most this many copies are folded as one array; others go block by block.
 FOLD_LIMIT = 1_000
@@ -39,22 +39,31 @@ def mark_duplicates(
     ts: str = "timestamp",
     seq: str = "seq",
     fold_limit: int = FOLD_LIMIT,
+    write_copies: bool = False,
 ) -> DataFrame:
     """Add ``is_duplicate``.
 
     Rows without an id, and rows for which ``slot`` is false, neither are duplicates
-    nor block others.
+    nor block others. The ids are read more than once; ``write_copies`` writes them
+    first, for input that is expensive to compute.
     """
     takes = is_set("event_id") & (slot if slot is not None else F.lit(True))
     marked = events.withColumns({"_ms": F.unix_millis(F.col(ts)), "_takes": takes})
     copies = marked.where("_takes").select("event_id", "_ms", F.col(seq).cast("long").alias("_seq"))
-    repeated, kept = repeated_ids(copies, cfg, fold_limit)
+    if write_copies:
+        copies = write_through(copies, "copies")
+    repeated, kept, small = repeated_ids(copies, cfg, fold_limit)
     if repeated is None:
         return marked.withColumn("is_duplicate", F.lit(False)).drop("_ms", "_takes")
     window_ms = cfg.dedup_window_s * 1000
     firsts = repeated.select("event_id", "_first", (F.col("_last") - F.col("_first._ms") < window_ms).alias("_short"))
     checked = lookup_join(
-        marked.withColumn("_seq", F.col(seq).cast("long")), firsts, ["event_id"], [seq], cfg.rows_per_slice
+        marked.withColumn("_seq", F.col(seq).cast("long")),
+        firsts,
+        ["event_id"],
+        [seq],
+        cfg.rows_per_slice,
+        fits=small,
     )
     is_first = (F.col("_ms") == F.col("_first._ms")) & (F.col("_seq") == F.col("_first._seq"))
     survives = F.col("_short").isNull() | (F.col("_short") & is_first)
@@ -74,43 +83,55 @@ def drop_duplicates(events: DataFrame, cfg: EngineConfig, **options) -> DataFram
 
 def repeated_ids(
     copies: DataFrame, cfg: EngineConfig, fold_limit: int = FOLD_LIMIT
-) -> tuple[DataFrame | None, DataFrame | None]:
+) -> tuple[DataFrame | None, DataFrame | None, bool]:
     """Ids with several copies, and the copies to keep of the long-lived among them.
 
     The first result holds (event_id, _n, _first<_ms, _seq>, _last). When all copies of
     an id lie within one window, only ``_first`` is kept. The second result holds
-    (event_id, _ms, _seq) of the other ids. Either is None when it would be empty.
+    (event_id, _ms, _seq) of the other ids. Either is None when it would be empty. The
+    third tells whether the first is small enough to broadcast.
     """
     window_ms = cfg.dedup_window_s * 1000
     # a plain aggregate: a heavy id is reduced to one row per task before the shuffle
-    repeated = cut_lineage(
+    repeated = write_through(
         copies.groupBy("event_id")
         .agg(
             F.count("*").alias("_n"),
             F.min(F.struct("_ms", "_seq")).alias("_first"),
             F.max("_ms").alias("_last"),
         )
-        .where(F.col("_n") > 1)
+        .where(F.col("_n") > 1),
+        "repeated",
     )
-    if repeated.isEmpty():
-        return None, None
-    long_lived = repeated.where(F.col("_last") - F.col("_first._ms") >= window_ms).select(
-        "event_id", (F.col("_n") > fold_limit).alias("_many")
+    lives_long = F.col("_last") - F.col("_first._ms") >= window_ms
+    many = F.col("_n") > fold_limit
+    found = repeated.agg(
+        F.count("*").alias("ids"),
+        F.count_if(lives_long & ~many).alias("short"),
+        F.count_if(lives_long & many).alias("heavy"),
+        # ids and five numbers per row
+        F.sum(F.length("event_id") + 40).alias("bytes"),
+    ).first()
+    if not found["ids"]:
+        return None, None, True
+    small = found["bytes"] <= BROADCAST_BYTES
+    if not (found["short"] or found["heavy"]):
+        return repeated, None, small
+    long_lived = repeated.where(lives_long).select("event_id", many.alias("_many"))
+    again = lookup_join(
+        copies, long_lived, ["event_id"], ["_ms", "_seq"], cfg.rows_per_slice, how="inner", fits=small or None
     )
-    sizes = {row["_many"] for row in long_lived.groupBy("_many").count().collect()}
-    if not sizes:
-        return repeated, None
-    again = lookup_join(copies, long_lived, ["event_id"], ["_ms", "_seq"], cfg.rows_per_slice, how="inner")
     instants = again.groupBy("event_id", "_many", "_ms").agg(F.min("_seq").alias("_seq"))
     parts = []
-    if False in sizes:
+    if found["short"]:
         parts.append(_fold(instants.where(~F.col("_many")), window_ms))
-    if True in sizes:
-        block = F.floor(F.col("_ms") / F.lit(window_ms * WINDOWS_PER_BLOCK)).cast("long")
-        heavy = cut_lineage(instants.where("_many").select("event_id", block.alias("_block"), "_ms", "_seq"))
-        parts.append(_walk(heavy, window_ms, window_ms * WINDOWS_PER_BLOCK))
+    if found["heavy"]:
+        block_ms = window_ms * WINDOWS_PER_BLOCK
+        block = F.floor(F.col("_ms") / F.lit(block_ms)).cast("long")
+        heavy = instants.where("_many").select("event_id", block.alias("_block"), "_ms", "_seq")
+        parts.append(_walk(write_through(heavy, "instants"), window_ms, block_ms))
     kept = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return repeated, cut_lineage(kept)
+    return repeated, write_through(kept, "kept"), small
 
 
 def _fold(instants: DataFrame, window_ms: int) -> DataFrame:

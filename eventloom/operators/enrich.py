@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.device import browser, device_type, operating_system
+from eventloom.functions.device import device_columns
 from eventloom.functions.text import properties_json
 from eventloom.functions.times import epoch_ms_to_ts
 from eventloom.schemas import EVENT_COLUMNS, EVENTS
@@ -52,16 +52,14 @@ def flatten_enrich(raw: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> D
     input columns to carry along. Every expression yields null on bad input, so an
     event is never lost here.
     """
-    agent = F.col("device.userAgent")
     has_device = F.col("device").isNotNull()
-    return raw.select(
+    parsed = device_columns(F.col("_agent"))
+    return raw.withColumn("_agent", F.lower("device.userAgent")).select(
         *[F.col(source).alias(name) for name, source in COPIED.items()],
         F.coalesce(epoch_ms_to_ts(F.col("timestamp")), now).alias("timestamp"),
         epoch_ms_to_ts(F.col("clientTime")).alias("client_time"),
         now.alias("received_at"),
-        F.when(has_device, device_type(agent)).alias("device_type"),
-        F.when(has_device, operating_system(agent)).alias("os"),
-        F.when(has_device, browser(agent)).alias("browser"),
+        *[F.when(has_device, column).alias(name) for name, column in parsed.items()],
         *[F.col(name) for name in keep],
     )
 

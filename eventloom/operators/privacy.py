@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
 from eventloom.functions.privacy import looks_masked, mask_value, pii_hash
 from eventloom.functions.text import has_text
-from eventloom.functions.variants import custom_map, json_kind, json_members, json_object, json_string
+from eventloom.functions.variants import json_members, json_object, json_string
 
 
 def consent_denied(consent: Column, cfg: EngineConfig) -> Column:
@@ -27,36 +29,49 @@ def _hashes(member: Column, cfg: EngineConfig) -> Column:
     return _listed(member["key"], cfg) & member["value"].isNotNull()
 
 
-def _masks(member: Column, kinds: Column, cfg: EngineConfig) -> Column:
+def _masks(member: Column, cfg: EngineConfig) -> Column:
     """Of the others, a top-level string that is an e-mail address or phone number is masked."""
     if not cfg.mask_heuristics:
         return F.lit(False)
-    return (json_kind(kinds[member["key"]]) == "string") & looks_masked(member["value"])
+    return member["is_string"] & looks_masked(member["value"])
+
+
+def _as_sent(member: Column) -> Column:
+    return F.when(member["is_string"], json_string(member["value"])).otherwise(
+        F.coalesce(member["value"], F.lit("null"))
+    )
 
 
-def protected_text(members: Column, kinds: Column, cfg: EngineConfig) -> Column:
+def protected_text(members: Column, cfg: EngineConfig) -> Column:
     """JSON text with hashed and masked values; all others as they were sent."""
 
-    def value(member: Column) -> Column:
-        return (
-            F.when(_hashes(member, cfg), json_string(pii_hash(member["value"])))
-            .when(_masks(member, kinds, cfg), json_string(mask_value(member["value"])))
-            .when(json_kind(kinds[member["key"]]) == "string", json_string(member["value"]))
-            .otherwise(F.coalesce(member["value"], F.lit("null")))
+    def protect(member: Column) -> Column:
+        value, hashes = member["value"], _hashes(member, cfg)
+        masked = mask_value(value) if cfg.mask_heuristics else value
+        return F.struct(
+            member["key"].alias("key"),
+            F.when(hashes, pii_hash(value)).when(member["is_string"], masked).otherwise(value).alias("value"),
+            (member["is_string"] | hashes).alias("is_string"),
         )
 
-    return json_object(members, value)
+    # two steps, because the quoting reads each new value several times
+    return json_object(F.transform(members, protect), _as_sent)
 
 
-def stripped_text(members: Column, kinds: Column, cfg: EngineConfig) -> Column:
+def stripped_text(members: Column, cfg: EngineConfig) -> Column:
     """JSON text without the listed properties."""
+    return json_object(F.filter(members, lambda m: ~_listed(m["key"], cfg)), _as_sent)
 
-    def value(member: Column) -> Column:
-        return F.when(json_kind(kinds[member["key"]]) == "string", json_string(member["value"])).otherwise(
-            F.coalesce(member["value"], F.lit("null"))
-        )
 
-    return json_object(F.filter(members, lambda m: ~_listed(m["key"], cfg)), value)
+def _may_change(text: Column, cfg: EngineConfig) -> Column:
+    """A cheap look at the text: can a rule apply at all? Only then is it parsed.
+
+    An escape could hide any character, so text with a backslash is always parsed.
+    """
+    signs = [r"\\"] + [re.escape(f'"{field}"') for field in cfg.pii_fields]
+    if cfg.mask_heuristics:
+        signs += ["@", r'"\+?\d[\d\s-]{6,}"']
+    return text.rlike("|".join(signs))
 
 
 def apply_privacy(events: DataFrame, cfg: EngineConfig, custom: str = "custom") -> DataFrame:
@@ -73,21 +88,22 @@ def apply_privacy(events: DataFrame, cfg: EngineConfig, custom: str = "custom")
     if not (cfg.pii_fields or cfg.mask_heuristics):
         return flagged.withColumns({"pii_masked": hash_user, "user_id": new_user})
 
-    parsed = flagged.withColumns({"_kinds": custom_map(F.col(custom)), "_members": json_members(F.col(custom))})
-    kinds, members = F.col("_kinds"), F.col("_members")
-    touched = F.exists(members, lambda m: _hashes(m, cfg) | _masks(m, kinds, cfg))
+    text = F.col(custom)
+    parsed = flagged.withColumn("_members", F.when(_may_change(text, cfg), json_members(text)))
+    members = F.col("_members")
+    touched = F.exists(members, lambda m: _hashes(m, cfg) | _masks(m, cfg))
     holds_listed = F.exists(members, lambda m: _listed(m["key"], cfg))
     decided = parsed.withColumns(
         {
-            "_changes": ~F.col("consent_denied") & kinds.isNotNull() & F.coalesce(touched, F.lit(False)),
-            "_strips": F.col("consent_denied") & kinds.isNotNull() & F.coalesce(holds_listed, F.lit(False)),
+            "_changes": ~F.col("consent_denied") & F.coalesce(touched, F.lit(False)),
+            "_strips": F.col("consent_denied") & F.coalesce(holds_listed, F.lit(False)),
         }
     )
-    text = (
-        F.when(F.col("_changes"), protected_text(members, kinds, cfg))
-        .when(F.col("_strips"), stripped_text(members, kinds, cfg))
-        .otherwise(F.col(custom))
+    new_text = (
+        F.when(F.col("_changes"), protected_text(members, cfg))
+        .when(F.col("_strips"), stripped_text(members, cfg))
+        .otherwise(text)
     )
     return decided.withColumns(
-        {"pii_masked": hash_user | F.col("_changes"), custom: text, "user_id": new_user}
-    ).drop("_kinds", "_members", "_changes", "_strips")
+        {"pii_masked": hash_user | F.col("_changes"), custom: new_text, "user_id": new_user}
+    ).drop("_members", "_changes", "_strips")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT = 1_000
+BROADCAST_BYTES = 64 << 20
 _TRACKED = 4_096
 _LANES = 512
 HOUR_MS = 3_600_000
@@ -80,7 +81,7 @@ def spread_join(
     return spread_left.join(repeated_right, [*on, "_part"], how).drop("_part")
 
 
-def fits_broadcast(table: DataFrame, limit: int) -> bool:
+def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """The table's rows take at most ``limit`` bytes as JSON text; in memory that is a
     small multiple."""
     size = table.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
@@ -94,10 +95,11 @@ def lookup_join(
     spread_by: Sequence[str],
     floor_rows: int,
     how: str = "left",
-    broadcast_bytes: int = 64 << 20,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """Join to a configuration table: broadcast if its measured size allows, else spread."""
-    if fits_broadcast(table, broadcast_bytes):
+    """Join to a table that is usually small and unique on ``on``: broadcast if its
+    measured size allows, else spread. ``fits`` is the answer where it is known."""
+    if fits_broadcast(table) if fits is None else fits:
         return left.join(F.broadcast(table), list(on), how)
     return spread_join(left, table, on, how, spread_by, floor_rows)
 

@@ -19,7 +19,7 @@ from eventloom.operators.privacy import apply_privacy
 from eventloom.operators.quality import ingest_summary, pipeline_metrics
 from eventloom.operators.sessions import attach_sessions
 from eventloom.schemas import EVENT_COLUMNS
-from eventloom.workspace import cut_lineage
+from eventloom.workspace import write_through
 
 @dataclass(frozen=True)
 class Ingested:
@@ -58,14 +58,16 @@ def classify(
     flat = flatten_enrich(raw.withColumn("valid", valid), now, keep=("app_code", "seq", "consent", "valid"))
     checked = check_contracts(flat, contracts, cfg)
     slot = V.takes_dedup_slot()
+    # with enforced contracts the slots depend on the parsed properties
+    costly = cfg.contract_mode == "enforce"
     if seen is None:
-        marked = mark_duplicates(checked, cfg, slot=slot)
+        marked = mark_duplicates(checked, cfg, slot=slot, write_copies=costly)
     else:
         # An id that is blocked by an earlier batch does not open a window of its own.
         fresh = anti_seen(checked.where(slot).select("event_id", "timestamp", "seq"), seen, cfg)
         fresh = fresh.select("event_id", "seq", F.lit(True).alias("_fresh"))
         known = checked.join(fresh, ["event_id", "seq"], "left").withColumn("_slot", slot)
-        marked = mark_duplicates(known, cfg, slot=F.col("_fresh").isNotNull())
+        marked = mark_duplicates(known, cfg, slot=F.col("_fresh").isNotNull(), write_copies=True)
         marked = marked.withColumn(
             "is_duplicate", F.col("is_duplicate") | (F.col("_slot") & F.col("_fresh").isNull())
         ).drop("_fresh", "_slot")
@@ -93,7 +95,7 @@ def ingest(
     now: Column,
     seen: DataFrame | None = None,
     stored_links: DataFrame | None = None,
-    materialize=cut_lineage,
+    materialize=write_through,
 ) -> Ingested:
     """One batch. ``raw`` holds nested events with ``app_code`` and ``seq``.
 

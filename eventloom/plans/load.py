@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.config import EngineConfig
 from eventloom.operators.dedup import first_seen
 from eventloom.operators.identity import live_links, upsert_links
+from eventloom.operators.validate import ACCEPTED
 from eventloom.plans.ingest import ingest
 from eventloom.schemas import IDENTITY_LINKS
 from eventloom.sources.envelopes import explode_envelopes
@@ -70,7 +71,7 @@ def ingest_batches(
         deliver(done.events, batch_id)
         dead(done.dead, batch_id)
         upsert_links(links, done.links).write.mode("overwrite").parquet(f"{state}/links/batch={batch_id}")
-        accepted = first_seen(done.events)
+        accepted = first_seen(done.classified.where(F.col("outcome") == ACCEPTED))
         newest = accepted.agg(F.max("anchor_ts").alias("_newest"))
         both = seen.unionByName(accepted).groupBy("event_id").agg(F.max("anchor_ts").alias("anchor_ts"))
         horizon = newest.first()[0]

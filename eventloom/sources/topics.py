@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
 from eventloom.functions.keys import partition_key, partition_of, route_topic
+from eventloom.operators.skew import SLICE, time_slices
 from eventloom.schemas import EVENTS
 
 
@@ -71,9 +72,7 @@ def to_records(events: DataFrame, cfg: EngineConfig) -> DataFrame:
     return events.select(
         route_topic(F.col("event_type"), cfg).alias("topic"),
         key.alias("key"),
-        partition_of(
-            key, cfg.events_partitions
-        ).alias("partition"),
+        partition_of(key, cfg.events_partitions).alias("partition"),
         F.to_json(F.struct(*events.columns)).alias("value"),
     )
 
@@ -92,16 +91,17 @@ def write_dead_letter_topic(annotated: DataFrame, topics: KafkaTopics | FolderTo
     topics.write(records)
 
 
-def ordered_by_user(events: DataFrame, partitions: int, ts: str = "timestamp") -> DataFrame:
+def ordered_by_user(events: DataFrame, partitions: int, cfg: EngineConfig, ts: str = "timestamp") -> DataFrame:
     """The layout of a topic for batch work: one user's events in one partition, in order.
 
-    Events without any id have no order to keep, so they are spread by event id.
+    A user with very many events is cut by time into several partitions, each in
+    order. Events without any id have no order to keep and are spread by event id.
     """
     known = F.coalesce("user_id", "anonymous_id")
     key = F.coalesce(F.concat(F.lit("k"), known), F.concat(F.lit("e"), F.col("event_id")))
+    sliced, _ = time_slices(events.withColumn("_key", key), "_key", ts, cfg.rows_per_slice)
     return (
-        events.withColumn("_key", key)
-        .repartition(partitions, "_key")
-        .sortWithinPartitions("_key", ts, "event_id")
-        .drop("_key")
+        sliced.repartition(partitions, "_key", SLICE)
+        .sortWithinPartitions("_key", SLICE, ts, "event_id")
+        .drop("_key", SLICE)
     )

@@ -36,12 +36,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/eventloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/eventloom/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_through(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write to the shared folder and go on from there.
+
+    Cuts the lineage, so a lost executor does not repeat the steps before, and lets
+    several later steps each read just the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages and retries start from the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has put into the shared folder. Call it when the
+    results have been written to their own place."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)

@@ -13,7 +13,7 @@ from eventloom.functions.device import browser, device_type, operating_system
 from eventloom.functions.keys import next_retry_at, partition_key, partition_of, route_topic
 from eventloom.functions.privacy import mask_email, mask_phone, pii_hash
 from eventloom.functions.text import has_text, properties_json
-from eventloom.functions.times import idle_expired, sweep_due
+from eventloom.functions.times import epoch_ms_to_ts, idle_expired, sweep_due
 from eventloom.operators.contracts import check_contracts
 from eventloom.operators.enrich import default_times, flatten_enrich, sink_defaults
 from eventloom.operators.privacy import apply_privacy
@@ -183,6 +183,12 @@ def test_user_agents(spark, agent, expected):
     assert got == expected
 
 
+def test_times_out_of_range_do_not_fail(spark):
+    prepare_session(spark)
+    got = [one(spark, ms, epoch_ms_to_ts, "long") for ms in (None, 2**63 - 1, -(2**63), 0)]
+    assert got[:3] == [None, None, None] and got[3] is not None
+
+
 RAW_JSON = [
     '{"eventId":"evt_001","eventType":"page_view","userId":"user_123","anonymousId":"anon_456","timestamp":1699000000000,'
     '"page":{"url":"/p","title":"T"},"device":{"screenWidth":1920},"context":{"utmSource":"google","utmMedium":"cpc"},'

@@ -235,7 +235,7 @@ def test_heavy_groups_and_joins(spark):
     spread = spread_join(left, right, ["k"], "left", ["n"], 100)
     assert sorted(map(str, spread.select("k", "n", "v").collect())) == plain
     assert sorted(map(str, lookup_join(left, right, ["k"], ["n"], 100).select("k", "n", "v").collect())) == plain
-    beyond = lookup_join(left, right, ["k"], ["n"], 100, broadcast_bytes=1)
+    beyond = lookup_join(left, right, ["k"], ["n"], 100, fits=False)
     assert sorted(map(str, beyond.select("k", "n", "v").collect())) == plain
     assert spread_join(left, right, ["k"], "inner", ["n"], 100).count() == 903
 
@@ -307,9 +307,12 @@ def test_topics(spark, tmp_path):
     assert got.count() == 49
     records = to_records(events, CFG)
     assert records.groupBy("key").agg(F.countDistinct("partition").alias("p")).where("p > 1").count() == 0
-    placed = ordered_by_user(events, 4).withColumn("p", F.spark_partition_id())
     key = F.coalesce("user_id", "anonymous_id")
+    placed = ordered_by_user(events, 4, CFG).withColumn("p", F.spark_partition_id())
     assert placed.groupBy(key).agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0
+    cut = ordered_by_user(events, 4, CFG.with_(rows_per_slice=3)).withColumn("p", F.spark_partition_id())
+    assert cut.count() == 50
+    assert cut.groupBy(key).agg(F.countDistinct("p").alias("n")).where("n > 1").count() > 0
 
 
 # ------------------------------------------------------------------ delivery
