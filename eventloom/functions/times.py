@@ -35,16 +35,20 @@ def plus_seconds(ts: Column, seconds: Column | int) -> Column:
     return F.timestamp_millis(F.unix_millis(ts) + amount.cast("long") * 1000)
 
 
+# The shift is on the side of `now`, a constant, so that the conditions can be pushed
+# down to the files.
+
+
 def age_expired(ts: Column, ttl_s: int, now: Column) -> Column:
     """The row is older than its time to live."""
-    return plus_seconds(ts, ttl_s) < now
+    return ts < plus_seconds(now, -ttl_s)
 
 
 def idle_expired(last_active: Column, timeout_s: int, now: Column) -> Column:
     """Idle strictly longer than the timeout: the next event opens a new session."""
-    return plus_seconds(last_active, timeout_s) < now
+    return last_active < plus_seconds(now, -timeout_s)
 
 
 def sweep_due(last_active: Column, timeout_s: int, now: Column) -> Column:
     """Idle for the timeout or longer: the sweep may finalize the session."""
-    return plus_seconds(last_active, timeout_s) <= now
+    return last_active <= plus_seconds(now, -timeout_s)

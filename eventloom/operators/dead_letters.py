@@ -80,7 +80,7 @@ def alive(entries: DataFrame, cfg: EngineConfig, now: Column) -> DataFrame:
     """Entries whose time to live, renewed by each retry, has not run out and whose
     payload can be read."""
     return entries.where(
-        (plus_seconds(F.col("updated_at"), cfg.dlq_ttl_s) > now)
+        (F.col("updated_at") > plus_seconds(now, -cfg.dlq_ttl_s))
         & has_text("event_json")
         & F.try_parse_json("event_json").isNotNull()
     )
@@ -95,7 +95,7 @@ def fetch_due(entries: DataFrame, cfg: EngineConfig, now: Column, count: int | N
     exhausted ones do not use up the batch."""
     return (
         entries.where(_due(now) & (F.col("retry_count") < cfg.dlq_max_retry))
-        .orderBy("failed_at", "reason", "event_id")
+        .orderBy("failed_at", "reason", "event_id", "event_json")
         .limit(cfg.dlq_batch_size if count is None else count)
     )
 
@@ -136,11 +136,20 @@ def payloads(entries: DataFrame) -> DataFrame:
 
 
 def already_written(batch: DataFrame, events: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """(event_id) of a fetched batch that the events table holds.
+    """(event_id) of a fetched batch, with parsed payloads, that the events table holds.
 
     ``batch`` comes from ``fetch_due`` and is cut to one batch again here, so at most
-    that many ids are broadcast; the events table is scanned by id and day, not
-    shuffled.
+    that many ids are broadcast. The events table is not shuffled, and only read for
+    the times that occur in the batch.
     """
-    ids = batch.where(is_set("event_id")).select("event_id").limit(cfg.dlq_batch_size)
+    rows = batch.where(is_set("event_id")).limit(cfg.dlq_batch_size)
+    if "timestamp" in events.columns:
+        micros = F.unix_micros("event.timestamp")
+        first, last = rows.agg(F.min(micros), F.max(micros)).first()
+        if first is not None:
+            first, last = F.timestamp_micros(F.lit(first)), F.timestamp_micros(F.lit(last))
+            events = events.where(F.col("timestamp").between(first, last))
+            if "event_date" in events.columns:
+                events = events.where(F.col("event_date").between(F.to_date(first), F.to_date(last)))
+    ids = rows.select("event_id")
     return events.join(F.broadcast(ids), "event_id", "left_semi").select("event_id").distinct()

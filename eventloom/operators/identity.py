@@ -38,7 +38,7 @@ def upsert_links(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 def live_links(links: DataFrame, cfg: EngineConfig, now: Column) -> DataFrame:
     """Links that have not run out at ``now``."""
-    return links.where(plus_seconds(F.col("linked_at"), cfg.identity_ttl_days * 86_400) > now)
+    return links.where(F.col("linked_at") > plus_seconds(now, -cfg.identity_ttl_days * 86_400))
 
 
 def resolve_identity(

@@ -72,12 +72,10 @@ def ingest_batches(
         dead(done.dead, batch_id)
         upsert_links(links, done.links).write.mode("overwrite").parquet(f"{state}/links/batch={batch_id}")
         accepted = first_seen(done.classified.where(F.col("outcome") == ACCEPTED))
-        newest = accepted.agg(F.max("anchor_ts").alias("_newest"))
         both = seen.unionByName(accepted).groupBy("event_id").agg(F.max("anchor_ts").alias("anchor_ts"))
-        horizon = newest.first()[0]
-        if horizon is not None:
-            keep_ms = cfg.dedup_window_s * 2000
-            both = both.where(F.unix_millis("anchor_ts") >= F.unix_millis(F.lit(horizon)) - keep_ms)
+        newest = accepted.agg(F.max(F.unix_millis("anchor_ts"))).first()[0]
+        if newest is not None:
+            both = both.where(F.unix_millis("anchor_ts") >= newest - cfg.dedup_window_s * 2000)
         both.write.mode("overwrite").parquet(f"{state}/seen/batch={batch_id}")
 
     return run

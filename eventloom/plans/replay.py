@@ -21,6 +21,7 @@ from eventloom.operators.dead_letters import (
 )
 from eventloom.operators.enrich import sink_defaults
 from eventloom.operators.validate import has_required_fields
+from eventloom.workspace import write_through
 
 REPLAYED = "replayed"
 ALREADY_PROCESSED = "already_processed"
@@ -53,7 +54,7 @@ def replay_dead_letters(
     """
     readable = alive(entries, cfg, now)
     exhausted, staying = split_exhausted(readable, cfg, now)
-    batch = payloads(fetch_due(staying, cfg, now))
+    batch = write_through(payloads(fetch_due(staying, cfg, now)), "batch")
     flat = batch.select(
         "reason",
         "failed_at",

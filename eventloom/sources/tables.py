@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.functions.times import partition_day
+from eventloom.functions.times import age_expired, partition_day
 from eventloom.operators.enrich import default_times, sink_defaults
 from eventloom.operators.sessions import session_sink_defaults
 from eventloom.schemas import EVENT_COLUMNS, SESSION_COLUMNS
@@ -102,7 +102,7 @@ def read_sessions(
 
 def retain(rows: DataFrame, ts: str, ttl_s: int, now: Column) -> DataFrame:
     """Rows that have not outlived their time to live."""
-    return rows.where(F.unix_millis(F.col(ts)) + F.lit(ttl_s * 1000) >= F.unix_millis(now))
+    return rows.where(~age_expired(F.col(ts), ttl_s, now))
 
 
 def expire_days(spark: SparkSession, path: str, day: str, oldest_kept: str) -> list[str]:
