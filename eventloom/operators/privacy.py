@@ -11,6 +11,7 @@ from eventloom.config import EngineConfig
 from eventloom.functions.privacy import looks_masked, mask_value, pii_hash
 from eventloom.functions.text import has_text
 from eventloom.functions.variants import json_members, json_object, json_string
+from eventloom.workspace import allow_repeated_keys
 
 
 def consent_denied(consent: Column, cfg: EngineConfig) -> Column:
@@ -88,6 +89,7 @@ def apply_privacy(events: DataFrame, cfg: EngineConfig, custom: str = "custom")
     if not (cfg.pii_fields or cfg.mask_heuristics):
         return flagged.withColumns({"pii_masked": hash_user, "user_id": new_user})
 
+    allow_repeated_keys(events.sparkSession)
     text = F.col(custom)
     parsed = flagged.withColumn("_members", F.when(_may_change(text, cfg), json_members(text)))
     members = F.col("_members")

@@ -16,7 +16,7 @@ _ACCEPTED = (V.IDENTIFIED, V.ACCEPTED)
 
 # Lanes for ranking inside a busy second: with a cap of n, at most n rows of each
 # lane take part in the final ranking.
-_RANK_LANES = 64
+_RANK_LANES = 1_024
 
 
 def _outcome_in(*values: str) -> Column:

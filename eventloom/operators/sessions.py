@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
 from eventloom.functions.keys import new_session_id
-from eventloom.functions.text import has_text
+from eventloom.functions.text import has_text, is_set
 from eventloom.functions.times import sweep_due, trunc_second
 from eventloom.operators.skew import spread_join
 from eventloom.schemas import SESSION_COLUMNS, SESSIONS
 
-_ENTITY = ("app_code", "_key")
+# The hashes come first among the keys: sorts compare one number instead of strings
+# that mostly start alike. The keys themselves keep the grouping exact.
+_ENTITY = ("_entity", "app_code", "_key")
+_SPAN = ("_spot", *_ENTITY, "_span")
 # Taken from the event that opens the session.
 OPENING = (
     "user_id",
@@ -33,6 +36,16 @@ OPENING = (
 )
 
 
+def _with_seq(events: DataFrame) -> DataFrame:
+    """Stored events have no arrival number; a hash of the id breaks ties then."""
+    return events if "seq" in events.columns else events.withColumn("seq", F.xxhash64("event_id"))
+
+
+def page_seen() -> Column:
+    """A page view that names its page."""
+    return (F.col("event_type") == "page_view") & is_set("page_url")
+
+
 def session_key(cfg: EngineConfig, columns: list[str]) -> Column:
     """First usable id of an event; without any, the event is a session by itself."""
     ids = [
@@ -62,21 +75,22 @@ def counters() -> dict[str, Column]:
 def _with_key(events: DataFrame, cfg: EngineConfig, ts: str) -> DataFrame:
     missing = {name: F.lit(None).cast("string") for name in OPENING if name not in events.columns}
     span = F.floor(F.unix_millis(F.col(ts)) / F.lit(cfg.session_timeout_s * 1000))
-    return events.withColumns({**missing, "_key": session_key(cfg, events.columns), "_span": span})
+    return _with_seq(events).withColumns({**missing, "_key": session_key(cfg, events.columns), "_span": span}).withColumns(
+        {"_entity": F.xxhash64("app_code", "_key"), "_spot": F.xxhash64("app_code", "_key", "_span")}
+    )
 
 
 def session_spans(events: DataFrame, cfg: EngineConfig, ts: str = "timestamp") -> DataFrame:
     """One row per key and span, with partial session measures."""
-    viewed = (F.col("event_type") == "page_view") & F.col("page_url").isNotNull()
     return (
         _with_key(events, cfg, ts)
-        .groupBy(*_ENTITY, "_span")
+        .groupBy(*_SPAN)
         .agg(
             F.min(ts).alias("_start"),
             F.max(ts).alias("_end"),
             *[column.alias(name) for name, column in counters().items()],
             F.min(F.struct(F.col(ts).alias("_at"), "seq", *OPENING)).alias("_opening"),
-            F.max(F.when(viewed, F.struct(F.col(ts).alias("_at"), "seq", "page_url"))).alias("_viewed"),
+            F.max(F.when(page_seen(), F.struct(F.col(ts).alias("_at"), "seq", "page_url"))).alias("_viewed"),
         )
     )
 
@@ -137,20 +151,16 @@ def attach_sessions(
     """
     spans = number_sessions(
         _with_key(events if members is None else events.where(members), cfg, ts)
-        .groupBy(*_ENTITY, "_span")
+        .groupBy(*_SPAN)
         .agg(F.min(ts).alias("_start"), F.max(ts).alias("_end")),
         cfg,
-    ).select(*_ENTITY, "_span", "_session")
-    keyed = events.withColumns(
-        {
-            "_key": session_key(cfg, events.columns),
-            "_span": F.floor(F.unix_millis(F.col(ts)) / F.lit(cfg.session_timeout_s * 1000)),
-        }
-    )
+    ).select(*_SPAN, "_session")
+    helpers = [name for name in _SPAN if name not in events.columns]
+    keyed = _with_key(events, cfg, ts).select(*events.columns, *helpers)
     return (
-        spread_join(keyed, spans, [*_ENTITY, "_span"], "left", ["event_id", "seq"], cfg.rows_per_slice)
+        spread_join(keyed, spans, _SPAN, "left", ["event_id", ts], cfg.rows_per_slice)
         .withColumn("session_id", F.col("_session"))
-        .drop("_key", "_span", "_session")
+        .drop(*helpers, "_session")
     )
 
 

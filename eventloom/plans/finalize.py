@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
 from eventloom.operators.collapse import replace_latest
 from eventloom.operators.rollups import events_hourly, sessions_daily
 from eventloom.operators.sessions import session_rows, split_live
+from eventloom.sources.tables import read_events, read_sessions
 
 # The collapse key of the sessions table. ("user_id", "start_time") can be asked for
 # instead, but merges visitors without a user that start in the same second.
@@ -33,3 +37,28 @@ def finalize_sessions(
 def rollups(events: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events_hourly, sessions_daily)."""
     return events_hourly(events), sessions_daily(sessions)
+
+
+def _replace_days(rows: DataFrame, path: str, day: str) -> None:
+    """Write a rollup by day; only the days that occur in ``rows`` are replaced."""
+    laid_out = rows.hint("rebalance", day)
+    laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def _next_day(day: str) -> str:
+    return (date.fromisoformat(day) + timedelta(days=1)).isoformat()
+
+
+def refresh_hourly(spark: SparkSession, events: str, target: str, first_day: str, last_day: str) -> None:
+    """Compute the hourly rollup of these days anew from the events table."""
+    touched = read_events(spark, events, since=first_day, until=_next_day(last_day))
+    _replace_days(events_hourly(touched).withColumn("day", F.to_date("hour")), target, "day")
+
+
+def refresh_daily(spark: SparkSession, sessions: str, target: str, first_day: str, last_day: str) -> None:
+    """Compute the daily rollup of sessions that began on these days anew; a session
+    stored more than once counts once."""
+    touched = read_sessions(spark, sessions, since=first_day, until=_next_day(last_day))
+    rest = [name for name in touched.columns if name not in SESSION_VERSION_KEY and name != "last_active_at"]
+    latest = replace_latest(touched, SESSION_VERSION_KEY, ("last_active_at", *rest))
+    _replace_days(sessions_daily(latest), target, "date")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
@@ -21,6 +21,9 @@ from eventloom.operators.dead_letters import (
 )
 from eventloom.operators.enrich import sink_defaults
 from eventloom.operators.validate import has_required_fields
+from eventloom.schemas import DEAD_LETTERS
+from eventloom.sources.snapshots import read_snapshot, write_snapshot
+from eventloom.sources.tables import read_events, write_events
 from eventloom.workspace import write_through
 
 REPLAYED = "replayed"
@@ -89,3 +92,28 @@ def replay_dead_letters(
         update_retries(staying, outcomes, cfg, now),
         exhausted,
     )
+
+
+def run_replay(
+    spark: SparkSession,
+    dlq: str,
+    dead: str,
+    table: str,
+    contracts: DataFrame,
+    cfg: EngineConfig,
+    now: Column,
+) -> DataFrame:
+    """One replay over the stored tables; returns the outcomes of the batch.
+
+    The events are appended first and the dead-letter table is replaced last. If the
+    job dies in between, the next run finds the events in the table and skips them.
+    """
+    entries = read_snapshot(spark, dlq, DEAD_LETTERS)
+    run = replay_dead_letters(entries, read_events(spark, table), contracts, cfg, now)
+    outcomes = write_through(run.outcomes, "outcomes")
+    write_events(write_through(run.events, "replayed"), table, now)
+    run.exhausted.write.mode("append").parquet(dead)
+    # from the written outcomes: the events table already holds what was appended
+    waiting = update_retries(split_exhausted(alive(entries, cfg, now), cfg, now)[1], outcomes, cfg, now)
+    write_snapshot(waiting, dlq)
+    return outcomes

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
-    """Settings that results depend on: day and hour boundaries are UTC, and of a
-    repeated JSON key the last value counts."""
+    """Settings that results depend on: day and hour boundaries are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return allow_repeated_keys(spark)
+
+
+def allow_repeated_keys(spark: SparkSession) -> SparkSession:
+    """Properties with a repeated JSON key are parsed; otherwise they would escape the
+    masking rules."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 

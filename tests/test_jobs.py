@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,14 +14,16 @@ from eventloom.operators.quality import observe_metrics, rate_cap
 from eventloom.operators.skew import hot_groups, lookup_join, spread_join
 from eventloom.plans.ingest import event_table, ingest
 from eventloom.plans.load import ingest_batches
-from eventloom.plans.replay import replay_dead_letters
+from eventloom.plans.finalize import finalize_sessions, refresh_daily, refresh_hourly
+from eventloom.plans.replay import replay_dead_letters, run_replay
 from eventloom.schemas import DEAD_LETTERS, EVENTS, RAW_EVENT
 from eventloom.sources.contracts import parse_contracts
 from eventloom.sources.envelopes import explode_envelopes, read_envelopes, reject_envelopes, stream_envelopes
-from eventloom.sources.tables import compact_events, expire_days, read_events, write_events
+from eventloom.sources.snapshots import read_snapshot, write_snapshot
+from eventloom.sources.tables import compact_events, expire_days, read_events, write_events, write_sessions
 from eventloom.sources.topics import FolderTopics, ordered_by_user, read_event_stream, to_records, write_event_stream
 from eventloom.streaming import sinks as S
-from eventloom.workspace import prepare_session
+from eventloom.workspace import clear_scratch, prepare_session, write_through
 
 CFG = EngineConfig()
 
@@ -375,3 +378,57 @@ def test_streaming_ingest_keeps_state_between_batches(spark, tmp_path):
     rows = sorted((r.event_id, r.user_id) for r in read_events(spark, table).collect())
     assert rows == [("e0", ""), ("e1", "u1"), ("e1", "u1"), ("e2", "u1")]
     assert spark.read.parquet(f"{tmp_path}/dlq").count() == 1
+
+
+# ------------------------------------------------------------------ jobs over stored tables
+
+
+def test_replay_job_over_stored_tables(spark, tmp_path):
+    prepare_session(spark)
+    dlq, dead, table = (str(tmp_path / n) for n in ("dlq", "dead", "events"))
+    write_events(flat(spark, 1), table, now())
+    d = "2024-05-31 00:00:00"
+    first = entries(
+        spark,
+        ("fresh", "collection_failed", d, 0, d, d, body("fresh")),
+        ("bad", "schema_violation", d, 0, d, d, body("bad", "ghost")),
+        ("spent", "collection_failed", d, 10, d, d, body("spent")),
+    )
+    assert read_snapshot(spark, dlq, DEAD_LETTERS).count() == 0
+    write_snapshot(first, dlq)
+    cfg = CFG.with_(contract_mode="enforce", dlq_jitter=0.0)
+    got = run_replay(spark, dlq, dead, table, contracts(spark), cfg, now())
+    assert {r.event_id: r.replay_outcome for r in got.collect()} == {"fresh": "replayed", "bad": "failed"}
+    assert sorted(r.event_id for r in read_events(spark, table).collect()) == ["e0", "fresh"]
+    assert [r.event_id for r in spark.read.parquet(dead).collect()] == ["spent"]
+    (left,) = read_snapshot(spark, dlq, DEAD_LETTERS).collect()
+    assert (left.event_id, left.retry_count) == ("bad", 1)
+    # the same entry again: found in the table, not written twice
+    write_snapshot(first, dlq)
+    again = run_replay(spark, dlq, dead, table, contracts(spark), cfg, now())
+    assert {r.event_id: r.replay_outcome for r in again.collect()} == {"fresh": "already_processed", "bad": "failed"}
+    assert read_events(spark, table).count() == 2
+
+
+def test_rollup_jobs_replace_only_their_days(spark, tmp_path):
+    prepare_session(spark)
+    events, sessions, hourly, daily = (str(tmp_path / n) for n in ("e", "s", "h", "d"))
+    write_events(flat(spark, 40), events, now())
+    found = finalize_sessions(read_events(spark, events), CFG, now())
+    write_sessions(found, sessions)
+    write_sessions(found, sessions)
+    days = ("2023-11-14", "2023-11-18")
+    for _ in range(2):
+        refresh_hourly(spark, events, hourly, *days)
+        refresh_hourly(spark, events, hourly, "2023-11-15", "2023-11-15")
+        refresh_daily(spark, sessions, daily, *days)
+    assert spark.read.parquet(hourly).agg(F.sum("event_count")).first()[0] == 40
+    assert spark.read.parquet(daily).agg(F.sum("session_count")).first()[0] == found.count()
+
+
+def test_scratch_is_removed(spark):
+    kept = write_through(flat(spark, 3), "probe")
+    path = kept.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path) or os.path.exists(path.removeprefix("//"))
+    clear_scratch(spark)
+    assert not os.path.exists(path) and not os.path.exists(path.removeprefix("//"))
