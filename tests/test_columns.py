@@ -15,7 +15,7 @@ from eventloom.functions.privacy import mask_email, mask_phone, pii_hash
 from eventloom.functions.text import has_text, properties_json
 from eventloom.functions.times import epoch_ms_to_ts, idle_expired, sweep_due
 from eventloom.operators.contracts import check_contracts
-from eventloom.operators.enrich import default_times, flatten_enrich, sink_defaults
+from eventloom.operators.enrich import default_times, flatten_enrich, sink_defaults, stamp_app
 from eventloom.operators.privacy import apply_privacy
 from eventloom.operators.validate import reject_record, split_identify, split_required
 from eventloom.schemas import EVENT_COLUMNS, RAW_EVENT
@@ -225,6 +225,7 @@ def test_required_fields_and_rejects(spark):
     assert good.count() == 2 and bad.count() == 3
     rejected = reject_record(bad, now()).collect()
     assert sum(r.timestamp == r.received_at for r in rejected) == 1
+    assert stamp_app(bad, F.lit("app7")).first().app_code == "app7"
     events = spark.createDataFrame([("$identify",), ("click",), (None,)], "event_type string")
     ordinary, control = split_identify(events)
     assert (ordinary.count(), control.count()) == (2, 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from eventloom.operators.rollups import events_hourly, merge_hourly
 from eventloom.operators.sessions import session_rows
 from eventloom.streaming.dedup import dedup_stream, dedup_stream_anchored
 from eventloom.streaming.identity import identity_stream
+from eventloom.streaming.metrics import IngestCounters, observe_stream
 from eventloom.streaming.rate import rate_cap_stream
 from eventloom.streaming.rollups import hourly_stream
 from eventloom.streaming.sessions import sessionize_stream
@@ -129,3 +131,24 @@ def test_token_bucket(run, batch):
         have.setdefault((r.app_code, r.ms, r.event_id), []).append(got[r.seq])
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
     assert any(got.values()) and not all(got.values())
+
+
+def test_counters_add_up_over_triggers(spark, run, batch):
+    counters = IngestCounters()
+    spark.streams.addListener(counters)
+    flags = ("pii_masked", "consent_denied", "identity_linked", "identity_resolved")
+
+    def judged(stream):
+        outcome = F.when(F.col("event_type") == "click", "duplicate").otherwise("accepted")
+        no = {name: F.lit(False) for name in flags}
+        none = F.array().cast("array<string>")
+        return observe_stream(stream.withColumns({"outcome": outcome, "violations": none, **no})).select("seq")
+
+    run(judged)
+    clicks = batch.where("event_type = 'click'").count()
+    for _ in range(50):
+        if counters.totals["accepted"] + counters.totals["duplicate"] == 241:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(counters)
+    assert (counters.totals["duplicate"], counters.totals["accepted"]) == (clicks, 241 - clicks)
