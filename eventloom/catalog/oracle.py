@@ -285,7 +285,7 @@ FROM classified GROUP BY app_code""",
   count(*) FILTER (outcome IN ('validation_failed', 'schema_violation')) AS dlq_stored,
   count(*) FILTER (outcome = 'schema_violation') AS schema_violation,
   count(*) FILTER (outcome = 'accepted' AND consent AND (open_user IS NOT NULL OR present)) AS pii_masked,
-  count(*) FILTER (goes AND NOT consent) AS consent_denied,
+  count(*) FILTER (outcome = 'accepted' AND NOT consent) AS consent_denied,
   (SELECT count(*) FROM linked WHERE open_user IS NOT NULL) AS identity_linked,
   (SELECT count(*) FROM linked WHERE open_user IS NULL AND consent AND ts < link.at + to_days(90)) AS identity_resolved
 FROM flags""",

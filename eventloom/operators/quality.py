@@ -45,7 +45,8 @@ def metric_columns() -> list[Column]:
         _outcome_in(*_STORED).alias("dlq_stored"),
         F.count_if(violated & reached).alias("schema_violation"),
         F.count_if(F.col("pii_masked")).alias("pii_masked"),
-        F.count_if(F.col("consent_denied")).alias("consent_denied"),
+        # identify events pass the consent gate too, but only collected events count
+        F.count_if(F.col("consent_denied") & (F.col("outcome") == V.ACCEPTED)).alias("consent_denied"),
         F.count_if(F.col("identity_linked")).alias("identity_linked"),
         F.count_if(F.col("identity_resolved")).alias("identity_resolved"),
     ]

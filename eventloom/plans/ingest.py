@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
-from eventloom.functions.text import has_text
 from eventloom.operators import validate as V
 from eventloom.operators.contracts import check_contracts
 from eventloom.operators.dead_letters import dead_letters
 from eventloom.operators.dedup import anti_seen, mark_duplicates
 from eventloom.operators.enrich import flatten_enrich, sink_defaults
-from eventloom.operators.identity import resolve_identity
+from eventloom.operators.identity import link_rows, resolve_identity
 from eventloom.operators.privacy import apply_privacy
 from eventloom.operators.quality import ingest_summary, pipeline_metrics
 from eventloom.operators.sessions import attach_sessions
@@ -23,25 +23,53 @@ from eventloom.workspace import write_through
 
 @dataclass(frozen=True)
 class Ingested:
+    """What one batch gives. The results are put together when they are asked for, so
+    a job pays only for those it writes."""
+
     classified: DataFrame
     """Every input event, flat, with its outcome and flags."""
-    events: DataFrame
-    """Accepted events, flat."""
-    links: DataFrame
-    """(anonymous_id, user_id, linked_at, seq) of all events that link."""
-    dead: DataFrame
-    """New dead-letter entries."""
-    resolved: DataFrame
-    """Accepted and identify events with identity flags."""
+    cfg: EngineConfig
+    now: Column
+    stored_links: DataFrame | None = None
+
+    @cached_property
+    def _going(self) -> DataFrame:
+        return self.classified.where(F.col("outcome").isin(V.ACCEPTED, V.IDENTIFIED))
+
+    def _identified(self, events: DataFrame) -> DataFrame:
+        return resolve_identity(
+            events, self.cfg, allowed=~F.col("consent_denied"), stored=self.stored_links
+        )
+
+    @cached_property
+    def events(self) -> DataFrame:
+        """Accepted events, flat, with session id and user."""
+        accepted = F.col("outcome") == V.ACCEPTED
+        in_sessions = attach_sessions(self._going, self.cfg, members=accepted)
+        return self._identified(in_sessions).where(accepted).withColumn("properties", F.col("custom"))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """(anonymous_id, user_id, linked_at, seq) of all events that link."""
+        return link_rows(self._going, allowed=~F.col("consent_denied"))
+
+    @cached_property
+    def dead(self) -> DataFrame:
+        """New dead-letter entries."""
+        stored = self.classified.where(F.col("outcome").isin(V.VALIDATION_FAILED, V.SCHEMA_VIOLATION))
+        kept = stored.withColumn("properties", F.col("custom"))
+        payload = [name for name in EVENT_COLUMNS if name in kept.columns]
+        return dead_letters(kept, F.col("outcome"), self.now, payload)
 
     def summary(self) -> DataFrame:
         return ingest_summary(self.classified)
 
     def metrics(self) -> DataFrame:
-        others = self.classified.where(~F.col("outcome").isin(V.ACCEPTED, V.IDENTIFIED))
         flags = ["outcome", "violations", "pii_masked", "consent_denied", "identity_linked", "identity_resolved"]
         missing = {"identity_linked": F.lit(False), "identity_resolved": F.lit(False)}
-        return pipeline_metrics(self.resolved.select(flags).unionByName(others.withColumns(missing).select(flags)))
+        others = self.classified.where(~F.col("outcome").isin(V.ACCEPTED, V.IDENTIFIED)).withColumns(missing)
+        going = self._identified(self._going)
+        return pipeline_metrics(going.select(flags).unionByName(others.select(flags)))
 
 
 def classify(
@@ -102,23 +130,7 @@ def ingest(
     The classified events feed several results, so they are written once to the
     shared folder; everything after starts from there.
     """
-    classified = materialize(classify(raw, contracts, cfg, now, seen))
-    going = classified.where(F.col("outcome").isin(V.ACCEPTED, V.IDENTIFIED))
-    accepted = F.col("outcome") == V.ACCEPTED
-    in_sessions = attach_sessions(going, cfg, members=accepted)
-    may_link = ~F.col("consent_denied")
-    resolved = resolve_identity(in_sessions, cfg, allowed=may_link, stored=stored_links)
-    events = resolved.where(accepted).withColumn("properties", F.col("custom"))
-
-    both = has_text("anonymous_id") & has_text("user_id") & may_link
-    links = going.where(both).select(
-        "anonymous_id", "user_id", F.col("timestamp").alias("linked_at"), "seq"
-    )
-    stored = classified.where(F.col("outcome").isin(V.VALIDATION_FAILED, V.SCHEMA_VIOLATION))
-    kept = stored.withColumn("properties", F.col("custom"))
-    payload = [name for name in EVENT_COLUMNS if name in kept.columns]
-    dead = dead_letters(kept, F.col("outcome"), now, payload)
-    return Ingested(classified, events, links, dead, resolved)
+    return Ingested(materialize(classify(raw, contracts, cfg, now, seen)), cfg, now, stored_links)
 
 
 def event_table(ingested: Ingested) -> DataFrame:
