@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def prepare_session(spark: SparkSession) -> SparkSession:
     """Settings that results depend on: day and hour boundaries are UTC."""
@@ -21,6 +27,27 @@ def allow_repeated_keys(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, so that functions of it run
+    on them wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    # the driver's own folder: workers fetch the file from the driver, as they do any added file
+    own = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    archive = os.path.join(own, f"{name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as package:
+        for folder, _, files in sorted(os.walk(root)):
+            for file in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, file)
+                package.write(path, os.path.join(name, os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in spark.checkpoint.dir.
 
