@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.workspace import write_through
+from eventloom.workspace import ship_package, write_through
 
 #: Rows of one Arrow batch that a Python step hands back.
 BATCH_ROWS = 512
@@ -71,5 +71,6 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterator[tuple]], schema: str) ->
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship_package(df.sparkSession)
     struct = StructType.fromDDL(schema)
     return df.mapInArrow(rows_in_arrow(fn, to_arrow_schema(struct)), struct)
