@@ -6,27 +6,64 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from eventloom.llm.common import stored, table
+from eventloom.llm.lines import dedup_lines
+from eventloom.llm.packing import pack_documents
+from eventloom.llm.quality import keep_good
 from eventloom.llm.secrets import scan_secrets
+from eventloom.llm.simhash import one_of_each_group
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents; n_chars follows the text."""
+    kept = [F.col(c) for c in COLUMNS[:-1]]
+    return df.select(*kept, F.length("text").cast("long").alias("n_chars"))
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality ranking rejects."""
+    return keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines of runs that an earlier document has; a document may become empty."""
+    return _documents(dedup_lines(docs))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return one_of_each_group(docs.select(*COLUMNS))
+
+
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay; every secret found in them is blanked out."""
-    return scan_secrets(docs, replacement="[secret]").select(*COLUMNS)
+    return _documents(scan_secrets(docs, replacement="[secret]"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of all documents, packed: one row per piece, with its ids."""
+    return pack_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("secrets", without_secrets),
+    ("quality classifier", good_documents),
+    ("line dedup", without_repeats),
+    ("simhash near-dedup", without_copies),
+    ("secret scans", without_secrets),
+    ("packing", sequences),
 ]
 
-#: Packing follows a trained classifier and a tokenizer, which SQL can't express.
+#: A fitted classifier, an inferred automaton and a tokenizer: SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip_report
 from .common import table
 from .hosts import HOST_SQL, filter_urls
 from .language import language_report
@@ -16,6 +17,8 @@ from .secrets import secret_report
 from .simhash import component_report
 from .sketches import edited_report
 
+from .vamana import nearest_report
+
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
@@ -25,6 +28,14 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_report(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_report(table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_report(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 

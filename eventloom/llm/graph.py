@@ -16,7 +16,7 @@ def _state(links: DataFrame) -> tuple[int, int]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """For links (u, v) of long nodes: (node, root) for every node that has a link to
+    """For links (u, v) of nodes of any one type: (node, root) for every node that has a link to
     another, root being the smallest node of its component (and not a row itself).
 
     Alternates two steps until nothing changes: every node tells its larger neighbours,

@@ -1,17 +1,25 @@
 """SimHash near-duplicates, compared over bit planes.
 
-Equal fingerprints are one node. Two fingerprints within `radius` bits agree, of
-radius + 3 blocks of bits, in three at least; so each is dealt once for every three
-blocks, by their value, and all that share a value are compared. A comparison stores
-the fingerprints of a tile vertically, one word of 64 fingerprints per bit, adds up the
+Two forms share the comparison. The exact one (`near_duplicates`) has 64-bit fingerprints
+of three-word shingles and links all pairs within RADIUS bits: such a pair agrees, of
+radius + 3 blocks of bits, in three at least, so each fingerprint is dealt once for every
+three blocks, by their value. The wide one (`similar_documents`) has 256-bit fingerprints
+of five-word shingles, on which distance estimates resemblance, and deals each by its
+smallest shingle hashes under LANES orders; texts that share four fifths of their
+shingles share one of these all but surely.
+
+All fingerprints dealt to one cell are compared. A cell over CELL fingerprints is cut
+into blocks, and every two blocks meet in a cell of their own. A comparison stores the
+fingerprints of a tile vertically, one word of 64 fingerprints per bit, adds up the
 differing bits of 64 pairs at once with carry-save counters, and leaves the tile as soon
-as every pair in it is past the radius. A tile gives a spanning set of its links, not
-all of them.
+as every pair in it is past the radius. A cell gives a spanning set of its links, not all
+of them; equal fingerprints are one node.
 
 A null or empty text has no shingle and fingerprint zero, which links like any other.
 Rows with a null doc_id take part; a component's id is the smallest doc_id in it, null if
-it has none. Repeated rows are kept. An empty table gives an empty result. Extra columns
-are ignored.
+it has none. Repeated rows are kept, but for `one_of_each_group`, where rows equal in
+doc_id and text are one. An empty table gives an empty result. Extra columns are ignored
+or, where documents are returned, kept.
 """
 
 from __future__ import annotations
@@ -29,12 +37,21 @@ from eventloom.workspace import ship_package
 
 from .common import map_rows, stored, whole_text
 from .graph import components
+from .sketches import shingle_hashes as wide_shingles
+from .sketches import word_hashes
 
-WORDS, RADIUS, BITS = 3, 2, 64
+WORDS, RADIUS = 3, 2
 SEED = 42
 
-#: Hashes counted at a time, rows of small groups compared together, size of a tile.
-SLICE, GATHER, TILE = 1 << 15, 512, 256
+#: The wide form: 64-bit words of a fingerprint, words of a shingle, orders of shingles.
+WIDE, WIDE_WORDS, LANES = 4, 5, 12
+#: Bits that differ at a resemblance of 0.8 are 39 of 256 on average, with a standard
+#: deviation of 6 (one of 0.7: 49, of 0.5: 69, of 0: 128).
+WIDE_RADIUS = 45
+
+#: Hashes counted at a time, rows of small cells compared together, size of a tile,
+#: fingerprints of a block of a large cell.
+SLICE, GATHER, TILE, CELL = 1 << 13, 512, 256, 1 << 14
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -48,15 +65,37 @@ def shingle_hashes(text: str, size: int = WORDS) -> np.ndarray:
     return np.array([digest(s, SEED) for s in shingles], dtype=np.uint64)
 
 
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """(rows, 64 * words) bits of (rows, words) numbers, lowest first."""
+    raw = np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(len(values), -1)
+    return np.unpackbits(raw, axis=1, bitorder="little")
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is one if it is set in over half of the hashes."""
-    counts = np.zeros(BITS, dtype=np.int64)
+    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), SLICE):
-        raw = hashes[at : at + SLICE].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bits_of(hashes[at : at + SLICE, None]).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The same with WIDE independent words made of each hash."""
+    counts = np.zeros((WIDE, 64), dtype=np.int64)
+    for at in range(0, len(hashes), SLICE):
+        part = hashes[at : at + SLICE]
+        for k in range(WIDE):
+            counts[k] += bits_of(reordered(part, k)[:, None]).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def reordered(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes, one for one, for every k."""
+    h = (hashes + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
 def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 
@@ -72,54 +111,57 @@ def fingerprints(docs: DataFrame, size: int = WORDS) -> DataFrame:
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """(64, words): word w of plane b holds bit b of values 64 w to 64 w + 63."""
-    padded = np.zeros(-(-len(values) // 64) * 64, dtype="<u8")
+    """(bits, words): word w of plane b holds bit b of values 64 w to 64 w + 63."""
+    padded = np.zeros((-(-len(values) // 64) * 64, values.shape[1]), dtype=np.uint64)
     padded[: len(values)] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
+    return np.packbits(np.ascontiguousarray(bits_of(padded).T), axis=1, bitorder="little").view("<u8")
 
 
 def near_pairs(queries: np.ndarray, target: np.ndarray, radius: int) -> np.ndarray:
-    """Bit matrix (query, word) of targets within the radius; target: bit planes."""
-    counters = [np.zeros((len(queries), target.shape[1]), dtype=np.uint64) for _ in range((radius + 1).bit_length())]
+    """Bit matrix (query, word) of targets within the radius; queries: all bits as 0 or
+    1 per row, target: bit planes."""
+    # checked after every four planes, so a counter has to hold the radius and four more
+    counters = [np.zeros((len(queries), target.shape[1]), dtype=np.uint64) for _ in range((radius + 4).bit_length())]
     past = np.zeros_like(counters[0])
-    for b in range(BITS):
-        flip = np.where((queries >> np.uint64(b)) & np.uint64(1), ALL, np.uint64(0))
+    flips = np.where(queries.T.astype(bool), ALL, np.uint64(0))
+    for b, flip in enumerate(flips):
         carry = target[b][None, :] ^ flip[:, None]
         for k, counter in enumerate(counters):
             counters[k], carry = counter ^ carry, counter & carry
-        past |= carry
-        if b >= radius:
-            past |= _reached(counters, radius + 1)
-            if b % 4 == 3 and (past == ALL).all():
+            if k > 1 and not carry.any():
+                break
+        if b >= radius and b % 4 == 3:
+            past |= _over(counters, radius)
+            if (past == ALL).all():
                 break
     return ~past
 
 
-def _reached(counters: list[np.ndarray], value: int) -> np.ndarray:
-    """Where a counter stands at the value, after which it is past for good."""
-    out = np.full_like(counters[0], ALL)
-    for k, counter in enumerate(counters):
-        out &= counter if value >> k & 1 else ~counter
-    return out
+def _over(counters: list[np.ndarray], value: int) -> np.ndarray:
+    """Where a counter stands over the value, by comparing from the highest bit down."""
+    over, equal = np.zeros_like(counters[0]), np.full_like(counters[0], ALL)
+    for k in range(len(counters) - 1, -1, -1):
+        if value >> k & 1:
+            equal &= counters[k]
+        else:
+            over |= equal & counters[k]
+            equal &= ~counters[k]
+    return over
 
 
 def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(position, position of its root) for links that join all of `values` that are
-    connected by distances within the radius."""
+    """(position, position of its root) for links that join all rows of `values` that
+    are connected by distances within the radius."""
     n = len(values)
     root = np.arange(n)
-    vertical = planes(values)
+    vertical, flat = planes(values), bits_of(values)
     for i in range(0, n, TILE):
-        queries = values[i : i + TILE]
-        first = i // 64
-        for w in range(first, vertical.shape[1], TILE // 4):
-            near = near_pairs(queries, vertical[:, w : w + TILE // 4], radius)
-            if not near.any():
-                continue
+        for w in range(i // 64, vertical.shape[1], TILE // 4):
+            near = near_pairs(flat[i : i + TILE], vertical[:, w : w + TILE // 4], radius)
             rows, words = np.nonzero(near)
-            bits = np.unpackbits(near[rows, words].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            hit, bit = np.nonzero(bits)
+            if not len(rows):
+                continue
+            hit, bit = np.nonzero(bits_of(near[rows, words][:, None]))
             a, b = rows[hit] + i, (words[hit] + w) * 64 + bit
             a, b = a[b < n], b[b < n]
             ra, rb = root[a], root[b]
@@ -131,95 +173,152 @@ def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
                     y = int(root[y])
                 if x != y:
                     root[max(x, y)] = min(x, y)
-            if len(joins):
-                while True:
-                    up = root[root]
-                    if (up == root).all():
-                        break
-                    root = up
+            while len(joins):
+                up = root[root]
+                if (up == root).all():
+                    break
+                root = up
     return [(k, int(r)) for k, r in enumerate(root.tolist()) if r != k]
 
 
-def block_masks(radius: int) -> list[int]:
-    """For every three of radius + 3 blocks, the mask of their bits."""
-    n = radius + 3
-    edges = [BITS * k // n for k in range(n + 1)]
-    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(c) for c in combinations(blocks, 3)]
+def cells(dealt: DataFrame, limit: int) -> DataFrame:
+    """(cell, fp): dealt (lane, part, fp) with large groups cut into pairs of blocks."""
+    sizes = dealt.groupBy("lane", "part").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    large = stored(sizes.select("lane", "part", F.ceil(F.col("n") / limit).cast("int").alias("blocks")), "large")
+    blocks = F.coalesce("blocks", F.lit(1))
+    marked = dealt.join(large, ["lane", "part"], "left").select(
+        "lane", "part", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int").alias("own")
+    )
+    met = marked.select("lane", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # two cells of one hash would only be compared with each other as well
+    cell = F.xxhash64("lane", "part", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select(cell.alias("cell"), "fp")
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) that connect all fingerprints `fp` (distinct rows) within the radius."""
-    masks = block_masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    lanes = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("lane"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("part")) for k, m in enumerate(signed)]))
-    dealt = fps.select("fp", lanes.alias("l")).select("l.lane", "l.part", "fp")
-    dealt = dealt.repartition("lane", "part").sortWithinPartitions("lane", "part")
+def links_in_cells(dealt: DataFrame, radius: int, limit: int = CELL) -> DataFrame:
+    """Links (u, v) of fingerprints that connect, within the cells, all that lie within
+    the radius."""
+    ship_package(dealt.sparkSession)
+    kind = dealt.schema["fp"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for values in _groups(batches):
-            found = spanning_links(values, radius)
+        for column in _groups(batches):
+            found = spanning_links(_numbers(column), radius)
             if found:
-                signed_values = values.view(np.int64)
-                u, v = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(signed_values[u]), pa.array(signed_values[v])], names=["u", "v"])
+                u, v = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([column.take(u), column.take(v)], names=["u", "v"])
+
+    met = cells(dealt, limit).repartition("cell").sortWithinPartitions("cell")
+    return met.mapInArrow(compare, f"u {kind}, v {kind}")
 
-    ship_package(fps.sparkSession)
-    return dealt.mapInArrow(compare, "u long, v long")
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(len(column), -1)
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Fingerprints of whole groups of two or more, small groups put together (a link
-    found between groups is a link as well)."""
-    ready: list[np.ndarray] = []
-    size = 0
-    open_key, open_parts = None, []
 
-    def close() -> np.ndarray | None:
-        whole = np.concatenate(open_parts) if open_parts else np.empty(0, np.uint64)
-        return whole if len(whole) > 1 else None
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """Fingerprints of whole cells of two or more, small cells put together (a link found
+    between cells is a link as well)."""
+    ready: list[pa.Array] = []
+    key, parts = None, []
+
+    def closed() -> list[pa.Array]:
+        return parts if sum(map(len, parts)) > 1 else []
 
     for batch in batches:
-        lane, part, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        fp = fp.view(np.uint64)
-        if not len(fp):
+        cell, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        if not len(cell):
             continue
-        starts = np.concatenate(([0], np.flatnonzero((lane[1:] != lane[:-1]) | (part[1:] != part[:-1])) + 1, [len(fp)]))
+        starts = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]))
         lengths = np.diff(starts)
-        # the first run may go on from the batch before; the last may go on in the next
-        for k in np.flatnonzero((lengths > 1) | (np.arange(len(lengths)) == 0) | (np.arange(len(lengths)) == len(lengths) - 1)):
-            a, b = starts[k], starts[k + 1]
-            key = (int(lane[a]), int(part[a]))
-            if key == open_key:
-                open_parts.append(fp[a:b].copy())
+        # the first run may go on from the batch before, the last in the next one
+        lengths[[0, -1]] = 2
+        for k in np.flatnonzero(lengths > 1).tolist():
+            a, b = int(starts[k]), int(starts[k + 1])
+            if cell[a] == key:
+                parts.append(fp.slice(a, b - a))
                 continue
-            whole = close()
-            if whole is not None:
-                ready.append(whole)
-                size += len(whole)
-            open_key, open_parts = key, [fp[a:b].copy()]
-            if size >= GATHER:
-                yield np.concatenate(ready)
-                ready, size = [], 0
-    whole = close()
-    if whole is not None:
-        ready.append(whole)
+            ready += closed()
+            key, parts = cell[a], [fp.slice(a, b - a)]
+            if sum(map(len, ready)) >= GATHER:
+                yield pa.concat_arrays(ready)
+                ready = []
+    ready += closed()
     if ready:
-        yield np.concatenate(ready)
+        yield pa.concat_arrays(ready)
+
+
+def block_masks(radius: int) -> list[int]:
+    """For every three of radius + 3 blocks, the mask of their bits."""
+    n = radius + 3
+    edges = [64 * k // n for k in range(n + 1)]
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, 3)]
+
+
+def near_links(fps: DataFrame, radius: int = RADIUS, limit: int = CELL) -> DataFrame:
+    """Links (u, v) that connect all fingerprints `fp` (distinct longs) within the radius."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(radius)]
+    lanes = [
+        F.struct(F.lit(k).alias("lane"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("part"))
+        for k, m in enumerate(masks)
+    ]
+    dealt = fps.select("fp", F.explode(F.array(*lanes)).alias("l")).select("l.lane", "l.part", "fp")
+    return links_in_cells(dealt, radius, limit)
+
+
+def labelled(prints: DataFrame, links: DataFrame, least) -> DataFrame:
+    """(fp, best): what `least` aggregates over all rows of a fingerprint's component."""
+    own = stored(prints.groupBy("fp").agg(least), "distinct")
+    rooted = own.join(components(links), own.fp == F.col("node"), "left")
+    rooted = stored(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "best"), "rooted")
+    named = stored(rooted.groupBy("root").agg(F.min("best").alias("best")), "named")
+    return stored(rooted.drop("best").join(named, "root").select("fp", "best"), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     own = stored(fingerprints(docs, size), "fingerprints")
-    least = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    linked = components(near_links(least.select("fp"), radius))
-    rooted = least.join(linked, least.fp == linked.node, "left")
-    rooted = stored(rooted.select("fp", F.coalesce("root", "fp").alias("root"), "first_id"), "rooted")
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = stored(rooted.join(stored(named, "named"), "root").select("fp", "component_id"), "labels")
-    return own.join(labels, "fp").select("doc_id", "fp", "component_id")
+    links = near_links(own.select("fp").distinct(), radius)
+    labels = labelled(own, links, F.min("doc_id").alias("best"))
+    return own.join(labels, "fp").select("doc_id", "fp", F.col("best").alias("component_id"))
 
 
 def component_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint in hexadecimal, component_id."""
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, size: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(ord, th, best) for every document by its id and the hash of its text: the first
+    (ord, th) of its group of similar texts."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for ord_, th, text in rows:
+            hashes = wide_shingles(word_hashes(text.lower()), size)
+            keys = [int(reordered(hashes, -2 - k).min().view(np.int64)) for k in range(LANES)] if len(hashes) else []
+            yield ord_, th, wide_fingerprint(hashes), keys
+
+    rows = docs.select(*document_key(), whole_text().alias("text"))
+    own = stored(map_rows(rows, run, "ord long, th long, fp binary, keys array<long>"), "fingerprints")
+    dealt = own.select("fp", F.posexplode("keys").alias("lane", "part")).distinct()
+    links = links_in_cells(dealt, radius)
+    labels = labelled(own, links, F.min(F.struct("ord", "th")).alias("best"))
+    return own.join(labels, "fp").select("ord", "th", "best")
+
+
+def document_key() -> list:
+    """The id, null last, and the hash of the text."""
+    last = F.lit(9223372036854775807)
+    return [F.coalesce(F.col("doc_id").cast("long"), last).alias("ord"), F.xxhash64(whole_text()).alias("th")]
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The first document of every group of similar ones, by doc_id (null last)."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = similar_documents(docs).where("best = struct(ord, th)").select("ord", "th").distinct()
+    keyed = docs.select(*document_key(), F.struct(*columns).alias("row"))
+    first = keyed.join(stored(kept, "kept"), ["ord", "th"], "left_semi").dropDuplicates(["ord", "th"])
+    return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
