@@ -6,14 +6,17 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry
+from eventloom.catalog.oracle import ORACLE
+from eventloom.catalog.queries import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = catalog()
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
