@@ -56,6 +56,12 @@ def _windows(min_chars: int, max_lines: int) -> str:
                 'k', xxhash64(slice(t.h, w.s + 1, w.m)))))[0]"""
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """One side of a sort-merge join, whatever its size: it grows with the documents, and
+    Spark splits the other side's heavy keys."""
+    return df.hint("merge")
+
+
 def repeated_windows(docs: DataFrame, min_chars: int = MIN_CHARS, max_lines: int = MAX_LINES) -> DataFrame:
     """(ord, th, spans): for each document with repeats the windows (s, m) that have an
     earlier occurrence. docs: ord, th, text."""
@@ -65,10 +71,10 @@ def repeated_windows(docs: DataFrame, min_chars: int = MIN_CHARS, max_lines: int
 
     # positions of fingerprints: the windows of one line share it, so only places count
     twice = windows.groupBy("f").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b")
-    near = stored(windows.join(stored(twice.select("f"), "fingerprints"), "f", "left_semi"), "positions")
+    near = stored(windows.join(_merged(stored(twice.select("f"), "fingerprints")), "f", "left_semi"), "positions")
 
     first = near.groupBy("f", "k").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    later = near.join(stored(first.drop("last"), "firsts"), ["f", "k"]).where(place > F.col("first"))
+    later = near.join(_merged(stored(first.drop("last"), "firsts")), ["f", "k"]).where(place > F.col("first"))
     return later.groupBy("ord", "th").agg(F.collect_set(F.struct("s", "m")).alias("spans"))
 
 
@@ -84,7 +90,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, max_lines: int = MA
     )
     texts = keyed.where("row.text <> ''").select("ord", "th", F.col("row.text").alias("text"))
     spans = stored(repeated_windows(texts, min_chars, max_lines), "spans")
-    out = keyed.join(spans, ["ord", "th"], "left")
+    out = keyed.join(_merged(spans), ["ord", "th"], "left")
     gone = F.expr("array_distinct(flatten(transform(spans, w -> sequence(w.s, w.s + w.m - 1))))")
     cut = F.expr(
         """transform(array(split(row.text, '\\n')), l -> array_join(

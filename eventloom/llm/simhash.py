@@ -320,5 +320,5 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = similar_documents(docs).where("best = struct(ord, th)").select("ord", "th").distinct()
     keyed = docs.select(*document_key(), F.struct(*columns).alias("row"))
-    first = keyed.join(stored(kept, "kept"), ["ord", "th"], "left_semi").dropDuplicates(["ord", "th"])
+    first = keyed.join(stored(kept, "kept").hint("merge"), ["ord", "th"], "left_semi").dropDuplicates(["ord", "th"])
     return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
