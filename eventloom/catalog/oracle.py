@@ -5,6 +5,7 @@ from __future__ import annotations
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 MID_MONTH = "TIMESTAMP '2024-01-15 12:00:00'"
 DLQ_NOW = "TIMESTAMP '2024-01-20 00:00:00'"
+DLQ_LATER = "TIMESTAMP '2024-01-20 01:00:00'"
 
 # The rules of tables.derive.
 EV = r"""
@@ -49,6 +50,7 @@ ev AS (
   FROM copies),
 behaviour AS (SELECT * FROM ev WHERE event_type <> '$identify')"""
 
+# Device rules and the texts of violations.
 DEVICE = """
 CASE WHEN ua IS NULL THEN 'unknown'
      WHEN contains(lower(ua), 'mobile') OR contains(lower(ua), 'android') OR contains(lower(ua), 'iphone') THEN 'mobile'
@@ -170,6 +172,13 @@ SESSION_LIST = """session_id, user_id, anonymous_id, platform, start_time, end_t
   exposures, scroll_depth_max, is_bounce, bounce_page, first_page_url, last_page_url, utm_source, utm_medium,
   utm_campaign, device_type, os, last_active_at, app_code"""
 
+STORED_SESSIONS = """SELECT session_id, coalesce(user_id, '') AS user_id, anonymous_id, platform,
+  CAST(date_trunc('second', start_time) AS TIMESTAMP) AS start_time, CAST(date_trunc('second', end_time) AS TIMESTAMP) AS end_time,
+  duration, page_views, clicks, exposures, scroll_depth_max, is_bounce, coalesce(bounce_page, '') AS bounce_page,
+  first_page_url, last_page_url, coalesce(utm_source, '') AS utm_source, coalesce(utm_medium, '') AS utm_medium,
+  '' AS utm_campaign, '' AS device_type, '' AS os,
+  CAST(date_trunc('second', last_active_at) AS TIMESTAMP) AS last_active_at, app_code FROM s_rows"""
+
 DAILY = """
 SELECT strftime(start_time, '%Y-%m-%d') AS date, user_id, anonymous_id, platform, utm_source, utm_medium, utm_campaign,
   count(*) AS session_count, CAST(sum(page_views) AS BIGINT) AS total_page_views,
@@ -229,6 +238,39 @@ replayed AS (
   FROM decided)"""
 
 
+LIFECYCLE = REPLAY + f""",
+after AS (
+  SELECT a.* REPLACE (
+      CAST(CASE WHEN r.replay_outcome = 'failed' THEN a.retry_count + 1 ELSE a.retry_count END AS INTEGER) AS retry_count,
+      CASE WHEN r.replay_outcome = 'failed' THEN {DLQ_NOW} + to_seconds(CAST(pow(2, least(a.retry_count + 1, 10)) AS BIGINT))
+           ELSE a.next_retry_at END AS next_retry_at,
+      CASE WHEN r.replay_outcome = 'failed' THEN {DLQ_NOW} ELSE a.updated_at END AS updated_at)
+  FROM alive a LEFT JOIN replayed r ON r.reason = a.reason AND r.event_id = a.event_id
+  WHERE NOT (a.retry_count >= 10 AND (a.next_retry_at IS NULL OR a.next_retry_at <= {DLQ_NOW}))
+    AND (r.replay_outcome IS NULL OR r.replay_outcome = 'failed')),
+alive2 AS (SELECT * FROM after WHERE updated_at + to_days(7) > {DLQ_LATER}),
+due2 AS (SELECT * FROM alive2 WHERE next_retry_at IS NULL OR next_retry_at <= {DLQ_LATER}),
+batch2 AS (SELECT *, TRUE AS present FROM due2 WHERE retry_count < 10 ORDER BY failed_at, reason, event_id LIMIT 100),
+replayed2 AS (
+  SELECT *, CASE WHEN k < 50 OR event_id IN (SELECT event_id FROM replayed WHERE replay_outcome = 'replayed') THEN 'already_processed'
+    WHEN {VIOLATIONS} <> '' THEN 'failed' ELSE 'replayed' END AS replay_outcome
+  FROM batch2),
+waiting AS (
+  SELECT a.event_id, a.reason, a.failed_at,
+    CAST(CASE WHEN r.replay_outcome = 'failed' THEN a.retry_count + 1 ELSE a.retry_count END AS INTEGER) AS retry_count,
+    CASE WHEN r.replay_outcome = 'failed' THEN {DLQ_LATER} + to_seconds(CAST(pow(2, least(a.retry_count + 1, 10)) AS BIGINT))
+         ELSE a.next_retry_at END AS next_retry_at
+  FROM alive2 a LEFT JOIN replayed2 r ON r.reason = a.reason AND r.event_id = a.event_id
+  WHERE NOT (a.retry_count >= 10 AND (a.next_retry_at IS NULL OR a.next_retry_at <= {DLQ_LATER}))
+    AND (r.replay_outcome IS NULL OR r.replay_outcome = 'failed')),
+gone AS (
+  SELECT {ENTRY} FROM due WHERE retry_count >= 10
+  UNION ALL SELECT {ENTRY} FROM due2 WHERE retry_count >= 10),
+written AS (
+  SELECT event_id, event_type, failed_at FROM replayed WHERE replay_outcome = 'replayed'
+  UNION SELECT event_id, event_type, failed_at FROM replayed2 WHERE replay_outcome = 'replayed')"""
+
+
 def _with(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{select}"
 
@@ -256,6 +298,20 @@ going AS (
   SELECT * FROM classified WHERE outcome IN ('accepted', 'identified')),
 members AS (SELECT * FROM going WHERE outcome = 'accepted')"""
 
+INGEST_EVENTS = _with(
+    sessions_sql("members", 1800, parent=INGESTED)
+    + """,
+identity AS (
+  SELECT *, last_value(nullif(trim(user_id), '') IGNORE NULLS) OVER (
+    PARTITION BY anonymous_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS who
+  FROM going)""",
+    """SELECT n.seq, n.event_id, n.event_type, i.who AS user_id, n.anonymous_id, r.session_id, n.ts, n.app_code,
+  CASE WHEN n.present THEN n.custom END AS properties
+FROM s_num n JOIN s_rows r ON r.app_code = n.app_code AND r.anonymous_id = n.anonymous_id AND r.no = n.no
+JOIN identity i ON i.seq = n.seq""",
+    True,
+)
+
 METRICS_FLAGS = OUTCOME + """,
 flags AS (
   SELECT *, outcome IN ('accepted', 'identified') AS goes,
@@ -291,19 +347,34 @@ FROM classified GROUP BY app_code""",
 FROM flags""",
         True,
     ),
-    "ingest_events": _with(
-        sessions_sql("members", 1800, parent=INGESTED)
-        + """,
-identity AS (
-  SELECT *, last_value(nullif(trim(user_id), '') IGNORE NULLS) OVER (
-    PARTITION BY anonymous_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS who
-  FROM going)""",
-        """SELECT n.seq, n.event_id, n.event_type, i.who AS user_id, n.anonymous_id, r.session_id, n.ts, n.app_code,
-  CASE WHEN n.present THEN n.custom END AS properties
-FROM s_num n JOIN s_rows r ON r.app_code = n.app_code AND r.anonymous_id = n.anonymous_id AND r.no = n.no
-JOIN identity i ON i.seq = n.seq""",
+    "ingest_events": INGEST_EVENTS,
+    # with all state remembered, two batches give what one gives
+    "ingest_two_batches": INGEST_EVENTS,
+    "identity_store": _with(
+        INGESTED,
+        """SELECT anonymous_id, user_id, ts AS linked_at FROM going WHERE trim(user_id) <> ''
+QUALIFY row_number() OVER (PARTITION BY anonymous_id ORDER BY ts DESC, seq DESC) = 1""",
+        True,
+    ),
+    "event_session_join": _with(
+        sessions_sql("members", 1800, parent=INGESTED),
+        """SELECT n.event_id, n.ts, r.session_id, r.page_views, TRUE AS found
+FROM s_num n JOIN s_rows r ON r.app_code = n.app_code AND r.anonymous_id = n.anonymous_id AND r.no = n.no""",
         True,
     ),
+    "reject_records": _with(
+        RAW,
+        f"""SELECT event_id, event_type, user_id, anonymous_id, CASE WHEN has_ts THEN ts ELSE {NOW} END AS ts, {NOW} AS received_at
+FROM raw WHERE event_id IS NULL OR event_type = '' OR NOT has_ts""",
+    ),
+    "enrich_fallback": _with(
+        RAW_DERIVED,
+        f"""SELECT seq, CASE WHEN seq % 4 < 2 THEN {NOW} ELSE ts1 END AS ts,
+  CASE WHEN src % 2 = 0 AND seq % 4 <> 2 THEN ts - INTERVAL 250 MILLISECOND END AS client_time,
+  CASE WHEN has_device THEN CASE WHEN seq % 4 = 3 THEN 'desktop' ELSE {DEVICE} END END AS device_type,
+  CASE WHEN has_device THEN CASE WHEN seq % 4 = 3 THEN 'unknown' ELSE {OS} END END AS os,
+  CASE WHEN has_device THEN CASE WHEN seq % 4 = 3 THEN 'unknown' ELSE {BROWSER} END END AS browser FROM flat""",
+    ),
     "ingest_dead_letters": _with(
         OUTCOME,
         f"""SELECT event_id, event_type, user_id, outcome AS reason, 0 AS retry_count, {NOW} AS failed_at,
@@ -352,9 +423,13 @@ FROM (SELECT f.*, e.event_type = 'click' AS src_click FROM flat f JOIN ev e ON e
   coalesce(user_id, anonymous_id, 'unknown') AS key, count(*) AS n FROM behaviour GROUP BY ALL""",
     ),
     "partition_key": _with(
-        EV,
-        """SELECT coalesce(user_id, anonymous_id, event_id) AS key, count(*) AS n, CAST(1 AS BIGINT) AS partitions,
-  TRUE AS in_range FROM behaviour GROUP BY ALL""",
+        EV
+        + """,
+keyed AS (SELECT coalesce(user_id, anonymous_id, event_id) AS key FROM behaviour)""",
+        """SELECT key, CAST(list_reduce(
+    list_prepend(0::BIGINT, list_transform(string_split(key, ''), lambda c: CAST(unicode(c) AS BIGINT))),
+    lambda h, c: (h * 31 + c) % 4294967296) % 2147483648 % 12 AS INTEGER) AS p, count(*) AS n
+FROM keyed GROUP BY ALL""",
     ),
     "validate_contract": _with(
         EV,
@@ -394,7 +469,7 @@ FROM (SELECT *, {VIOLATIONS} AS v FROM (SELECT *, TRUE AS present FROM behaviour
     "anti_seen": _with(
         EV,
         """SELECT l.seq, l.event_id, l.ts FROM behaviour l WHERE copy = 1 AND NOT EXISTS (
-  SELECT 1 FROM behaviour s WHERE s.copy = 0 AND s.event_id = l.event_id AND l.ts < s.ts + to_seconds(300))""",
+  SELECT 1 FROM behaviour s WHERE s.copy = 0 AND s.event_id = l.event_id AND abs(epoch_ms(l.ts) - epoch_ms(s.ts)) < 300000)""",
     ),
     "identity_latest": _with(
         EV,
@@ -418,7 +493,7 @@ FROM s_rows""",
     ),
     "finalized_sessions": _with(
         sessions_sql("behaviour", 21600),
-        f"SELECT {SESSION_LIST} FROM s_rows WHERE last_active_at + to_seconds(21600) <= {NOW}",
+        f"{STORED_SESSIONS} WHERE last_active_at + to_seconds(21600) <= {NOW}",
     ),
     "replace_latest": _with(
         EV,
@@ -486,6 +561,32 @@ FROM judged WHERE NOT (fetched AND retry_count % 2 = 0)""",
 FROM alive a LEFT JOIN replayed r ON r.reason = a.reason AND r.event_id = a.event_id
 WHERE NOT (a.retry_count >= 10 AND (a.next_retry_at IS NULL OR a.next_retry_at <= {DLQ_NOW}))
   AND (r.replay_outcome IS NULL OR r.replay_outcome = 'failed')""",
+    ),
+    "dlq_replay_private": _with(
+        OUTCOME
+        + """,
+fetched AS (
+  SELECT * FROM classified WHERE outcome = 'schema_violation' ORDER BY event_id LIMIT 100),
+opened AS (
+  SELECT *, CASE WHEN consent THEN nullif(trim(coalesce(user_id, '')), '') END AS open_user FROM fetched),
+linked AS (
+  SELECT *, last_value(CASE WHEN open_user IS NOT NULL THEN {'u': open_user} END IGNORE NULLS) OVER (
+    PARTITION BY anonymous_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS link
+  FROM opened)""",
+        f"""SELECT event_id, event_type,
+  CASE WHEN consent AND link.u IS NOT NULL THEN {_hash('link.u')} ELSE '' END AS user_id,
+  CASE WHEN consent AND present THEN {_hash("'u' || uid || '@example.com'")} END AS email,
+  CASE WHEN present THEN CASE WHEN consent THEN '***' || lpad(CAST(uid % 10000 AS VARCHAR), 4, '0')
+    ELSE '1380000' || lpad(CAST(uid % 10000 AS VARCHAR), 4, '0') END END AS phone,
+  ts, TRUE AS has_session FROM linked""",
+        True,
+    ),
+    "dlq_lifecycle": _with(
+        LIFECYCLE,
+        f"""SELECT 'waiting' AS state, {ENTRY} FROM waiting
+UNION ALL SELECT 'dead', {ENTRY} FROM gone WHERE failed_at + to_days(15) >= {DLQ_LATER}
+UNION ALL SELECT 'event', event_id, event_type, failed_at, 0, NULL FROM written
+UNION ALL SELECT 'event', event_id, event_type, ts, 0, NULL FROM ev WHERE k < 50""",
     ),
     "retention": _with(EV, f"SELECT seq, event_id, ts FROM ev WHERE ts + to_days(10) >= {NOW}"),
     "layout_roundtrip": _with(
@@ -499,19 +600,36 @@ WHERE NOT (a.retry_count >= 10 AND (a.next_retry_at IS NULL OR a.next_retry_at <
         """SELECT event_id, ts FROM ev
 WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'""",
     ),
-    "sessions_roundtrip": _with(
-        sessions_sql("behaviour", 21600),
-        """SELECT session_id, coalesce(user_id, '') AS user_id, anonymous_id, platform,
-  CAST(date_trunc('second', start_time) AS TIMESTAMP) AS start_time, CAST(date_trunc('second', end_time) AS TIMESTAMP) AS end_time,
-  duration, page_views, clicks, exposures, scroll_depth_max, is_bounce, coalesce(bounce_page, '') AS bounce_page,
-  first_page_url, last_page_url, coalesce(utm_source, '') AS utm_source, coalesce(utm_medium, '') AS utm_medium,
-  '' AS utm_campaign, '' AS device_type, '' AS os,
-  CAST(date_trunc('second', last_active_at) AS TIMESTAMP) AS last_active_at, app_code FROM s_rows""",
-    ),
+    "sessions_roundtrip": _with(sessions_sql("behaviour", 21600), STORED_SESSIONS),
     "evolve_schema": _with(
         EV,
         f"SELECT event_id, ts, CASE WHEN ts < {MID_MONTH} THEN '' ELSE app_code END AS app_code FROM ev",
     ),
+    "skip_indexes": """SELECT name AS "column", TRUE AS skips, name = 'event_id' AS id_filter
+FROM (VALUES ('event_id'), ('user_id'), ('session_id'), ('page_url'), ('spmb'), ('spmd'), ('app_code')) AS names(name)""",
+    "cluster_order": _with(
+        EV, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(0 AS BIGINT) AS out_of_order FROM ev GROUP BY ALL"
+    ),
+    "user_order": _with(
+        EV,
+        """SELECT coalesce(user_id, anonymous_id) AS key, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n,
+  CAST(1 AS BIGINT) AS partitions, CAST(0 AS BIGINT) AS out_of_order FROM behaviour GROUP BY ALL""",
+    ),
+    "collect_fallback": _with(
+        EV,
+        """SELECT CASE src % 3 WHEN 0 THEN 'topic' WHEN 1 THEN 'table' ELSE 'dead' END AS place, event_id, CASE WHEN src % 3 = 2 THEN 1 ELSE count(*) END AS n
+FROM behaviour GROUP BY event_id, src""",
+    ),
+    "consume_failure": _with(
+        EV,
+        """SELECT CASE src % 2 WHEN 0 THEN 'table' ELSE 'dead_topic' END AS place, event_id, count(*) AS n
+FROM behaviour GROUP BY event_id, src""",
+    ),
+    "repeated_delivery": _with(
+        EV,
+        """SELECT place, event_id, CASE WHEN place = 'dead' THEN 1 ELSE count(*) END AS n
+FROM behaviour, (VALUES ('topic'), ('dead_topic'), ('table'), ('dead')) AS p(place) GROUP BY place, event_id""",
+    ),
     # A stream has sent what its final watermark, ten minutes before the last event, has passed.
     "stream_dedup": _with(EV, "SELECT DISTINCT event_id, event_type FROM behaviour"),
     "stream_dedup_anchored": _with(
@@ -534,5 +652,34 @@ WHERE end_time + to_seconds(1800) <= (SELECT max(ts) - to_minutes(10) FROM behav
         """SELECT seq, row_number() OVER (PARTITION BY app_code, date_trunc('hour', ts) ORDER BY seq) > 3 AS over_limit
 FROM behaviour""",
     ),
-    "stream_load": _with(EV, "SELECT DISTINCT event_id, event_type FROM behaviour"),
+    "stream_load": _with(
+        EV + ",\n" + dedup_walk("behaviour"),
+        "SELECT b.event_id, b.event_type, b.ts FROM behaviour b JOIN walk_kept w ON w.seq = b.seq",
+        True,
+    ),
+    "stream_late": _with(
+        EV
+        + f""",
+later AS (SELECT * FROM behaviour WHERE ts >= {MID_MONTH}),
+sooner AS (SELECT * FROM behaviour WHERE ts < {MID_MONTH} AND NOT EXISTS (
+  SELECT 1 FROM later l WHERE l.event_id = behaviour.event_id AND l.ts < behaviour.ts + to_seconds(300))),
+"""
+        + dedup_walk("later", "late_walk")
+        + ",\n"
+        + dedup_walk("sooner", "soon_walk"),
+        """SELECT b.event_id, b.event_type, b.ts FROM behaviour b
+WHERE b.seq IN (SELECT seq FROM late_walk_kept UNION ALL SELECT seq FROM soon_walk_kept)
+UNION ALL SELECT '', event_type, ts FROM behaviour WHERE k = 7
+UNION ALL SELECT 'far', 'page_view', TIMESTAMP '2034-01-01 00:00:00'
+UNION ALL SELECT '{broken ' || seq, 'unreadable_record', NULL FROM behaviour WHERE k = 8""",
+        True,
+    ),
+    "stream_then_replay_layout": _with(
+        EV + ",\n" + dedup_walk("behaviour"),
+        """SELECT event_id, ts FROM (
+  SELECT event_id, ts FROM walk_kept
+  UNION ALL (SELECT 'lost_' || event_id, ts FROM behaviour WHERE event_type = 'purchase' ORDER BY ts, 'lost_' || event_id LIMIT 100))
+WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'""",
+        True,
+    ),
 }

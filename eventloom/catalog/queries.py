@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,7 @@ from eventloom.operators.enrich import flatten_enrich
 from eventloom.operators.identity import latest_link, link_rows, resolve_identity
 from eventloom.operators.privacy import apply_privacy
 from eventloom.operators.quality import backlog_gauges, rate_cap
+from eventloom.operators.quality import ingest_summary as summary
 from eventloom.operators.rollups import (
     daily_partials,
     events_hourly,
@@ -29,28 +31,38 @@ from eventloom.operators.rollups import (
     merge_hourly,
     sessions_daily,
 )
-from eventloom.operators.sessions import attach_sessions, session_rows, split_live
-from eventloom.plans.finalize import finalize_sessions
-from eventloom.plans.ingest import classify, ingest
+from eventloom.operators.sessions import attach_sessions, open_sessions, session_rows, split_live, visits
+from eventloom.operators.validate import reject_record, split_required
+from eventloom.plans.finalize import finalize_sessions, sweep_sessions
+from eventloom.plans.ingest import Ingested, classify, ingest
 from eventloom.plans.load import load_from_stream
-from eventloom.plans.replay import replay_dead_letters
+from eventloom.plans.replay import replay_dead_letters, run_replay
+from eventloom.plans.state import LATEST, IngestState
+from eventloom.schemas import DEAD_LETTERS, EVENTS
+from eventloom.sources.dead_letters import read_entries
 from eventloom.sources.envelopes import explode_envelopes, read_envelopes, reject_envelopes
+from eventloom.sources.snapshots import read_snapshot
+from eventloom.sources import tables as stored_tables
 from eventloom.sources.tables import (
+    EVENT_BLOOM,
+    EVENT_DAY,
+    EVENT_ORDER,
+    compact_events,
     event_table_rows,
+    expire_days,
     read_events,
     read_sessions,
     retain,
     write_events,
     write_sessions,
 )
-from eventloom.sources.topics import FolderTopics, write_event_stream
-from eventloom.streaming.dedup import dedup_stream, dedup_stream_anchored
-from eventloom.streaming.identity import identity_stream
-from eventloom.streaming.rate import rate_cap_stream
+from eventloom.sources.topics import FolderTopics, ordered_by_user, write_event_stream
+from eventloom.streaming import sinks as S
+from eventloom.streaming.batches import dedup_batches, identity_batches, rate_batches
+from eventloom.streaming.dedup import dedup_stream
 from eventloom.streaming.rollups import hourly_stream
 from eventloom.streaming.sessions import sessionize_stream
 from eventloom.streaming.settings import streaming_session
-from eventloom.streaming.sinks import to_parquet
 from eventloom.workspace import scratch_path, write_through
 
 CFG = EngineConfig()
@@ -61,6 +73,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NOW = "2024-01-31 00:00:00"
 MID_MONTH = "2024-01-15 12:00:00"
 DLQ_NOW = "2024-01-20 00:00:00"
+DLQ_LATER = "2024-01-20 01:00:00"
 
 
 def at(text: str) -> Column:
@@ -108,8 +121,6 @@ def _ingested(spark: SparkSession, sf_dir: str, cfg: EngineConfig = I.ENFORCE):
 
 
 def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from eventloom.operators.quality import ingest_summary as summary
-
     return summary(_classified(spark, sf_dir))
 
 
@@ -120,10 +131,70 @@ def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ingested(spark, sf_dir, STRICT).metrics()
 
 
+_INGESTED = ("seq", "event_id", "event_type", "user_id", "anonymous_id", "session_id", "timestamp", "app_code", "properties")
+
+
 def ingest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingested(spark, sf_dir).events.select(
-        "seq", "event_id", "event_type", "user_id", "anonymous_id", "session_id", "timestamp", "app_code", "properties"
-    ).withColumnRenamed("timestamp", "ts")
+    return _ingested(spark, sf_dir).events.select(*_INGESTED).withColumnRenamed("timestamp", "ts")
+
+
+def _two_batches(spark: SparkSession, sf_dir: str) -> tuple[list[Ingested], IngestState]:
+    """The events before and after an instant in the middle of many visits."""
+    raw = I.raw_events(spark, sf_dir)
+    state = IngestState(scratch_path(spark, "state"), I.ENFORCE, at(NOW))
+    second = F.coalesce(F.col("timestamp") >= F.unix_millis(at(MID_MONTH)), F.lit(False))
+    done = []
+    for number, part in enumerate((raw.where(~second), raw.where(second))):
+        earlier = state.before(spark, number)
+        batch = ingest(part, I.contracts(spark), I.ENFORCE, at(NOW), earlier)
+        state.add(batch, number)
+        done.append(batch)
+    return done, state
+
+
+def ingest_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As in one batch: ids, links and open visits are remembered."""
+    (first, second), _ = _two_batches(spark, sf_dir)
+    rows = first.events.select(*_INGESTED).unionByName(second.events.select(*_INGESTED))
+    return rows.withColumnRenamed("timestamp", "ts")
+
+
+def identity_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links that two batches of ingest left behind."""
+    _, state = _two_batches(spark, sf_dir)
+    return state.before(spark, LATEST).links.select("anonymous_id", "user_id", "linked_at")
+
+
+def event_session_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored event with its row of the sessions table."""
+    path = scratch_path(spark, "joined")
+    write_events(_ingested(spark, sf_dir).events, f"{path}/events", at(NOW))
+    sweep_sessions(spark, f"{path}/events", f"{path}/sessions", f"{path}/state", CFG, at("2024-03-01 00:00:00"))
+    stored = read_sessions(spark, f"{path}/sessions").select("session_id", "page_views", F.lit(True).alias("found"))
+    events = read_events(spark, f"{path}/events").select("event_id", F.col("timestamp").alias("ts"), "session_id")
+    joined = events.join(stored, "session_id", "left")
+    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def reject_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, incomplete = split_required(I.raw_events(spark, sf_dir))
+    kept = reject_record(incomplete, at(NOW))
+    return kept.select("event_id", "event_type", "user_id", "anonymous_id", F.col("timestamp").alias("ts"), "received_at")
+
+
+def enrich_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times and agents that can't be used do not lose the event."""
+    raw = I.raw_events(spark, sf_dir)
+    odd = F.col("seq") % 4
+    broken = raw.withColumns(
+        {
+            "timestamp": F.when(odd == 0, F.lit(10**18)).when(odd == 1, None).otherwise(F.col("timestamp")),
+            "clientTime": F.when(odd == 2, F.lit(-(10**18))).otherwise(F.col("clientTime")),
+            "device": F.when(odd == 3, F.col("device").withField("userAgent", F.lit("\u0000???"))).otherwise(F.col("device")),
+        }
+    )
+    flat = flatten_enrich(broken, at(NOW), keep=("seq",))
+    return flat.select("seq", F.col("timestamp").alias("ts"), "client_time", "device_type", "os", "browser")
 
 
 def ingest_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,8 +304,8 @@ def partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         I.behaviour(spark, sf_dir)
         .select(key.alias("key"), partition_of(key, CFG.events_partitions).alias("p"))
-        .groupBy("key")
-        .agg(F.count("*").alias("n"), F.countDistinct("p").alias("partitions"), F.max(F.col("p") < 12).alias("in_range"))
+        .groupBy("key", "p")
+        .agg(F.count("*").alias("n"))
     )
 
 
@@ -391,10 +462,18 @@ def rollup_merge_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finalized_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sweeps: sessions stored at mid-month and again at the end collapse by id."""
+    """Two sweeps over a stored table that grows in between. The second reads only what
+    is new, so it needs the measures that the first kept of open sessions."""
     events = I.behaviour(spark, sf_dir)
-    early = finalize_sessions(events.where(F.col("timestamp") <= at(MID_MONTH)), LONG_GAP, at(MID_MONTH))
-    return finalize_sessions(events, LONG_GAP, at(NOW), stored=early)
+    path = scratch_path(spark, "sweeps")
+    tables = f"{path}/events", f"{path}/sessions", f"{path}/state"
+    stored = None
+    for part, until in ((events.where(F.col("timestamp") <= at(MID_MONTH)), MID_MONTH), (events.where(F.col("timestamp") > at(MID_MONTH)), NOW)):
+        spans = write_through(visits(part, LONG_GAP, stored=stored), "visits")
+        write_events(attach_sessions(part, LONG_GAP, spans=spans), tables[0], at(NOW))
+        stored = write_through(open_sessions(spans, at(until)), "open")
+        sweep_sessions(spark, *tables, LONG_GAP, at(until))
+    return read_sessions(spark, tables[1])
 
 
 # ---------------------------------------------------------------- quality
@@ -405,7 +484,7 @@ def rate_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = DL.store(I.dead_letter_entries(spark, sf_dir).limit(0), I.dead_letter_entries(spark, sf_dir))
+    entries = DL.store(spark.createDataFrame([], DEAD_LETTERS), I.dead_letter_entries(spark, sf_dir))
     live = session_rows(I.behaviour(spark, sf_dir).where(F.col("timestamp") <= at(MID_MONTH)), LONG_GAP)
     gauges = backlog_gauges(entries, live, _classified(spark, sf_dir), LONG_GAP, at(MID_MONTH))
     return rounded(gauges, "value")
@@ -443,15 +522,22 @@ def dlq_dead(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dlq_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every due entry replayed; those with an even retry count succeed."""
     entries = _entries(spark, sf_dir)
-    due = DL.fetch_due(entries, CFG, at(DLQ_NOW), count=2**31 - 1)
+    due = DL.due(entries, CFG, at(DLQ_NOW))
     outcomes = due.select(
         "reason", DL.entry_key().alias("entry_key"), (F.col("retry_count") % 2 == 0).alias("success")
     )
     return DL.update_retries(entries, outcomes, CFG.with_(dlq_jitter=0.0), at(DLQ_NOW)).select(*_ENTRY, "updated_at")
 
 
+def _accepted_table(spark: SparkSession, sf_dir: str) -> str:
+    """An events table that holds a part of the events."""
+    path = scratch_path(spark, "accepted")
+    write_events(I.all_events(spark, sf_dir).where(F.col("k") < 50), path, at(NOW))
+    return path
+
+
 def dlq_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = I.all_events(spark, sf_dir).where(F.col("k") < 50)
+    events = read_events(spark, _accepted_table(spark, sf_dir))
     return anti_processed(_entries(spark, sf_dir), events).select("reason", "event_id", "processed")
 
 
@@ -468,8 +554,7 @@ def dlq_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replay(spark: SparkSession, sf_dir: str):
-    events = I.all_events(spark, sf_dir).where(F.col("k") < 50)
-    table = event_table_rows(events, at(NOW)).drop("event_date")
+    table = read_events(spark, _accepted_table(spark, sf_dir))
     entries = write_through(_entries(spark, sf_dir), "entries")
     cfg = I.ENFORCE.with_(dlq_jitter=0.0)
     return replay_dead_letters(entries, table, I.contracts(spark), cfg, at(DLQ_NOW))
@@ -483,6 +568,48 @@ def dlq_after_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replay(spark, sf_dir).waiting.select(*_ENTRY, "updated_at")
 
 
+def dlq_replay_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused events replayed when contracts are only monitored: they pass consent and
+    masking, get a user and a session, and nothing that lacked a time gets one."""
+    dead = write_through(_ingested(spark, sf_dir, STRICT).dead, "dead")
+    entries = DL.store(spark.createDataFrame([], DEAD_LETTERS), dead)
+    cfg = STRICT.with_(contract_mode="monitor")
+    nothing = spark.createDataFrame([], EVENTS)
+    parts = []
+    for reason in ("schema_violation", "validation_failed"):
+        run = replay_dead_letters(entries.where(F.col("reason") == reason), nothing, I.contracts(spark), cfg, at(NOW))
+        parts.append(run.events)
+    return parts[0].unionByName(parts[1]).select(
+        "event_id",
+        "event_type",
+        "user_id",
+        F.get_json_object("properties", "$.email").alias("email"),
+        F.get_json_object("properties", "$.phone").alias("phone"),
+        F.col("timestamp").alias("ts"),
+        F.col("session_id").startswith("sess_").alias("has_session"),
+    )
+
+
+def dlq_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries added by two batches, two replays an hour apart, dead ones that run out."""
+    path = scratch_path(spark, "lifecycle")
+    cfg = I.ENFORCE.with_(dlq_jitter=0.0, dlq_dead_ttl_s=15 * 86_400)
+    new = I.dead_letter_entries(spark, sf_dir)
+    sink = S.entries_sink(f"{path}/dlq")
+    sink(new.where("retry_count > 0"), 0)
+    sink(new.where("retry_count = 0"), 1)
+    table = _accepted_table(spark, sf_dir)
+    for moment in (DLQ_NOW, DLQ_LATER):
+        run_replay(spark, f"{path}/dlq", f"{path}/dead", table, I.contracts(spark), cfg, at(moment))
+    columns = ("event_id", "reason", "failed_at", "retry_count", "next_retry_at")
+    waiting = read_entries(spark, f"{path}/dlq")[0].select(F.lit("waiting").alias("state"), *columns)
+    gone = read_snapshot(spark, f"{path}/dead", DEAD_LETTERS).select(F.lit("dead").alias("state"), *columns)
+    written = read_events(spark, table).select(
+        F.lit("event").alias("state"), "event_id", "event_type", "timestamp", F.lit(0), F.lit(None).cast("timestamp")
+    )
+    return waiting.unionByName(gone).union(written)
+
+
 # ---------------------------------------------------------------- tables
 
 
@@ -528,12 +655,120 @@ def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the days were written before app_code existed."""
     rows = event_table_rows(I.all_events(spark, sf_dir), at(NOW))
     path = scratch_path(spark, "evolving")
-    old = rows.where(F.col("timestamp") < at(MID_MONTH)).drop("app_code")
-    old.write.parquet(f"{path}/batch=0")
-    rows.where(F.col("timestamp") >= at(MID_MONTH)).write.parquet(f"{path}/batch=1")
+    early = F.col("timestamp") < at(MID_MONTH)
+    old = rows.where(early).drop("app_code").withColumn("batch", F.lit("old"))
+    old.write.partitionBy(EVENT_DAY, "batch").parquet(path)
+    write_events(rows.where(~early), path, at(NOW))
     return read_events(spark, path).select("event_id", F.col("timestamp").alias("ts"), "app_code")
 
 
+def skip_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per column that is looked up by value, whether all files can be skipped by it."""
+    path = scratch_path(spark, "indexed")
+    write_events(I.all_events(spark, sf_dir), path, at(NOW))
+    found = stored_tables.skip_indexes(spark, path).where(F.col("column").isin(*EVENT_BLOOM))
+    return found.select(
+        "column", (F.col("bloom") | F.col("dictionary")).alias("skips"), (F.col("bloom") & (F.col("column") == "event_id")).alias("id_filter")
+    )
+
+
+def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compacted table: rows per day, and rows of a file that are out of order."""
+    path = scratch_path(spark, "compacted")
+    events = I.all_events(spark, sf_dir)
+    for number in range(2):
+        write_events(events.where(F.col("copy") == number), path, at(NOW), f"part-{number}")
+    compact_events(spark, path, "2024-01-01", "2024-12-31", 4)
+    stored = spark.read.schema(EVENTS).parquet(path).select(
+        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), *EVENT_ORDER
+    )
+    before = W.partitionBy("file").orderBy("place")
+    order = F.struct(*EVENT_ORDER)
+    checked = stored.withColumn("off", F.coalesce(order < F.lag(order).over(before), F.lit(False)))
+    day = F.date_format("timestamp", "yyyy-MM-dd").alias("day")
+    return checked.groupBy(day).agg(F.count("*").alias("n"), F.count_if("off").alias("out_of_order"))
+
+
+def user_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user and day: events, partitions they are in, and events out of order."""
+    laid_out = ordered_by_user(I.behaviour(spark, sf_dir), 6).select(
+        F.coalesce("user_id", "anonymous_id").alias("key"),
+        "timestamp",
+        F.spark_partition_id().alias("p"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    day = F.date_format("timestamp", "yyyy-MM-dd")
+    rows = write_through(laid_out, "ordered").withColumn("day", day)
+    before = W.partitionBy("key", "day").orderBy("place")
+    off = F.coalesce(F.col("timestamp") < F.lag("timestamp").over(before), F.lit(False))
+    return rows.withColumn("off", off).groupBy("key", "day").agg(
+        F.count("*").alias("n"), F.countDistinct("p").alias("partitions"), F.count_if("off").alias("out_of_order")
+    )
+
+
+# ---------------------------------------------------------------- delivery
+
+
+def _failing(batch: DataFrame, batch_id: int) -> None:
+    raise OSError("down")
+
+
+def _delivered(spark: SparkSession, path: str, table: str = "table") -> DataFrame:
+    """(place, event_id) of what came to a topic, a table and the dead letters."""
+    names = {"topic": f"{path}/topics", "table": f"{path}/{table}", "dead": f"{path}/dlq"}
+    parts = []
+    topic = spark.read.schema("key string, value string, topic string, batch string").json(names["topic"])
+    topic_place = F.when(F.col("topic") == CFG.dead_letter_topic, "dead_topic").otherwise("topic")
+    parts.append(topic.select(topic_place.alias("place"), F.get_json_object("value", "$.event_id").alias("event_id")))
+    parts.append(read_events(spark, names["table"]).select(F.lit("table").alias("place"), "event_id"))
+    parts.append(read_entries(spark, names["dead"])[0].select(F.lit("dead").alias("place"), "event_id"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("place", "event_id").agg(F.count("*").alias("n"))
+
+
+def collect_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches: all is well; the topic fails; topic and table fail."""
+    path = scratch_path(spark, "fallback")
+    topics = FolderTopics(f"{path}/topics")
+    rows = event_table_rows(I.behaviour(spark, sf_dir), at(NOW)).drop(EVENT_DAY)
+    batch_of = F.substr(F.col("event_id"), F.lit(5)).cast("long") % 3
+    topic, table = S.topic_sink(topics, CFG), S.events_table_sink(f"{path}/table", at(NOW))
+    dead = S.dead_letter_sink(f"{path}/dlq", "collection_failed", at(NOW))
+    for number, sinks in enumerate(((topic, table), (_failing, table), (_failing, _failing))):
+        S.collect_with_fallback(CFG, *sinks, dead)(rows.where(batch_of == number), number)
+    return _delivered(spark, path)
+
+
+def consume_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, of which one can't be written; the first is delivered twice."""
+    path = scratch_path(spark, "consume")
+    topics = FolderTopics(f"{path}/topics")
+    rows = event_table_rows(I.behaviour(spark, sf_dir), at(NOW)).drop(EVENT_DAY)
+    batch_of = F.substr(F.col("event_id"), F.lit(5)).cast("long") % 2
+    dead = S.dead_letter_topic_sink(topics, "table_write_failed", CFG)
+    well = S.failure_to_dead_letters(S.events_table_sink(f"{path}/table", at(NOW)), dead)
+    for number, deliver in ((0, well), (0, well), (1, S.failure_to_dead_letters(_failing, dead))):
+        deliver(rows.where(batch_of == number), number)
+    return _delivered(spark, path)
+
+
+def repeated_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sink gets two batches, the second one twice."""
+    path = scratch_path(spark, "repeated")
+    topics = FolderTopics(f"{path}/topics")
+    rows = event_table_rows(I.behaviour(spark, sf_dir), at(NOW)).drop(EVENT_DAY)
+    batch_of = F.substr(F.col("event_id"), F.lit(5)).cast("long") % 2
+    sinks = (
+        S.topic_sink(topics, CFG),
+        S.dead_letter_topic_sink(topics, "why", CFG),
+        S.events_table_sink(f"{path}/table", at(NOW)),
+        S.dead_letter_sink(f"{path}/dlq", "why", at(NOW)),
+    )
+    for number in (0, 1, 1):
+        for sink in sinks:
+            sink(rows.where(batch_of == number), number)
+    return _delivered(spark, path)
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -552,9 +787,18 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, dedup_stream(_stream(spark, sf_dir), CFG), "dedup").select("event_id", "event_type")
 
 
+def _run_batches(spark: SparkSession, rows: DataFrame, make, name: str, schema: str) -> DataFrame:
+    """A stream through a micro-batch operator: ``make(state, deliver)``."""
+    path = scratch_path(spark, name)
+    S.run_available(rows, make(f"{path}/state", S.batches_to_parquet(f"{path}/rows")), f"{path}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{path}/rows").drop("batch")
+
+
 def stream_dedup_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_stream_anchored(_stream(spark, sf_dir).select("event_id", "timestamp", "seq"), CFG)
-    return _run(spark, kept, "anchored").select("seq", "event_id", F.col("timestamp").alias("ts"))
+    events = _stream(spark, sf_dir).select("event_id", "timestamp", "seq")
+    schema = "event_id string, timestamp timestamp, seq long"
+    kept = _run_batches(spark, events, lambda state, out: dedup_batches(state, out, CFG, at(NOW)), "anchored", schema)
+    return kept.select("seq", "event_id", F.col("timestamp").alias("ts"))
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -577,8 +821,8 @@ def stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = I.shared_device(I.derive(I.stream_source(spark, sf_dir))).select(
         "seq", "event_id", "user_id", "anonymous_id", "timestamp"
     )
-    resolved = _run(spark, identity_stream(events, CFG), "identity")
-    return resolved.select("seq", "event_id", "user_id", "identity_linked", "identity_resolved")
+    schema = "seq long, event_id string, user_id string, identity_linked boolean, identity_resolved boolean"
+    return _run_batches(spark, events, lambda state, out: identity_batches(state, out, CFG, at(NOW)), "identity", schema)
 
 
 def stream_rate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -588,17 +832,79 @@ def stream_rate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("seq").cast("string"), 12, "0").alias("event_id"),
         "seq",
     )
-    return _run(spark, rate_cap_stream(events, CFG.with_(max_requests_per_second=3)), "rate").select("seq", "over_limit")
+    cfg = CFG.with_(max_requests_per_second=3)
+    return _run_batches(spark, events, lambda state, out: rate_batches(state, out, cfg), "rate", "seq long, over_limit boolean")
 
 
 def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events published to a topic, loaded from it into the events table."""
     path = scratch_path(spark, "load")
     topics = FolderTopics(f"{path}/topics")
-    rows = event_table_rows(I.behaviour(spark, sf_dir), at(NOW)).drop("event_date")
+    rows = event_table_rows(I.behaviour(spark, sf_dir), at(NOW)).drop(EVENT_DAY)
     write_event_stream(rows, topics, CFG)
-    load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG)
-    return read_events(spark, f"{path}/table").select("event_id", "event_type")
+    load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, now=at(NOW))
+    return read_events(spark, f"{path}/table").select("event_id", "event_type", F.col("timestamp").alias("ts"))
+
+
+FAR = "2034-01-01 00:00:00"
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of the load: the second half of the events; then the first half, all of
+    it late, and an event dated ten years ahead; then the first half again, events
+    without an id, and broken records. Loaded events and unreadable records."""
+    path = scratch_path(spark, "late")
+    topics = FolderTopics(f"{path}/topics")
+    events = I.behaviour(spark, sf_dir)
+    rows = event_table_rows(events, at(NOW)).drop(EVENT_DAY)
+    late = F.col("timestamp") < at(MID_MONTH)
+    ahead = spark.range(1).select(
+        F.lit("far").alias("event_id"), F.lit("page_view").alias("event_type"), F.lit("a").alias("anonymous_id"), at(FAR).alias("timestamp")
+    )
+    nameless = event_table_rows(events.where("k = 7"), at(NOW)).drop(EVENT_DAY).withColumn("event_id", F.lit(""))
+
+    def load() -> None:
+        load_from_stream(
+            spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, dead=f"{path}/dlq", now=at(NOW)
+        )
+
+    write_event_stream(rows.where(~late), topics, CFG)
+    load()
+    write_event_stream(rows.where(late), topics, CFG)
+    write_event_stream(event_table_rows(ahead, at(NOW)).drop(EVENT_DAY), topics, CFG)
+    load()
+    write_event_stream(rows.where(late), topics, CFG)
+    write_event_stream(nameless, topics, CFG)
+    broken = events.where("k = 8").select(
+        F.lit(CFG.events_topic).alias("topic"), F.col("event_id").alias("key"), F.concat(F.lit("{broken "), F.col("seq")).alias("value")
+    )
+    topics.write(broken, "broken")
+    load()
+    loaded = read_events(spark, f"{path}/table").select("event_id", "event_type", F.col("timestamp").alias("ts"))
+    refused = read_entries(spark, f"{path}/dlq")[0].select(
+        F.get_json_object("event_json", "$.value").alias("event_id"), F.col("reason").alias("event_type"), F.lit(None).cast("timestamp").alias("ts")
+    )
+    return loaded.unionByName(refused)
+
+
+OLDEST_DAY = "2024-01-10"
+
+
+def stream_then_replay_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table written by a stream, by a replay, and by neither: old days expire."""
+    path = scratch_path(spark, "layout")
+    topics = FolderTopics(f"{path}/topics")
+    events = I.behaviour(spark, sf_dir)
+    write_event_stream(event_table_rows(events, at(NOW)).drop(EVENT_DAY), topics, CFG)
+    load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, now=at(NOW))
+    lost = events.where("event_type = 'purchase'").withColumn("event_id", F.concat(F.lit("lost_"), "event_id"))
+    payload = ("event_id", "event_type", "user_id", "anonymous_id", "app_code", "timestamp")
+    entries = DL.dead_letters(lost, F.lit("collection_failed"), F.col("timestamp"), payload)
+    S.entries_sink(f"{path}/dlq")(entries, 0)
+    cfg = CFG.with_(contract_mode="off", dlq_ttl_s=90 * 86_400)
+    run_replay(spark, f"{path}/dlq", f"{path}/dead", f"{path}/table", I.contracts(spark), cfg, at(NOW))
+    expire_days(spark, f"{path}/table", EVENT_DAY, OLDEST_DAY)
+    return read_events(spark, f"{path}/table").select("event_id", F.col("timestamp").alias("ts"))
 
 
 QUERIES: dict[str, Query] = {
@@ -606,7 +912,12 @@ QUERIES: dict[str, Query] = {
     "ingest_summary": ingest_summary,
     "ingest_metrics": ingest_metrics,
     "ingest_events": ingest_events,
+    "ingest_two_batches": ingest_two_batches,
+    "identity_store": identity_store,
+    "event_session_join": event_session_join,
     "ingest_dead_letters": ingest_dead_letters,
+    "reject_records": reject_records,
+    "enrich_fallback": enrich_fallback,
     "envelope_events": envelope_events,
     "enrich_events": enrich_events,
     "device_parse": device_parse,
@@ -643,11 +954,19 @@ QUERIES: dict[str, Query] = {
     "dlq_annotate": dlq_annotate,
     "dlq_replay": dlq_replay,
     "dlq_after_replay": dlq_after_replay,
+    "dlq_replay_private": dlq_replay_private,
+    "dlq_lifecycle": dlq_lifecycle,
     "retention": retention,
     "layout_roundtrip": layout_roundtrip,
     "layout_day_range": layout_day_range,
     "sessions_roundtrip": sessions_roundtrip,
     "evolve_schema": evolve_schema,
+    "skip_indexes": skip_indexes,
+    "cluster_order": cluster_order,
+    "user_order": user_order,
+    "collect_fallback": collect_fallback,
+    "consume_failure": consume_failure,
+    "repeated_delivery": repeated_delivery,
     "stream_dedup": stream_dedup,
     "stream_dedup_anchored": stream_dedup_anchored,
     "stream_sessions": stream_sessions,
@@ -655,6 +974,8 @@ QUERIES: dict[str, Query] = {
     "stream_identity": stream_identity,
     "stream_rate_cap": stream_rate_cap,
     "stream_load": stream_load,
+    "stream_late": stream_late,
+    "stream_then_replay_layout": stream_then_replay_layout,
 }
 
 

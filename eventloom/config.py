@@ -18,8 +18,13 @@ class EngineConfig:
     bounce_max_page_views: int = 1
     bounce_below_ms: int = 10_000
 
-    # duplicates
+    # a session that is idle or finished is remembered for so long after its last event
+    # arrived, so that late events still find it
+    session_keep_s: int = DAY
+
+    # duplicates; an accepted id is remembered for so long after it arrived
     dedup_window_s: int = 5 * MINUTE
+    seen_ttl_s: int = 60 * MINUTE
 
     # identity
     identity_enabled: bool = True
@@ -61,10 +66,6 @@ class EngineConfig:
     # streaming
     watermark: str = "10 minutes"
 
-    # scale: a key with more rows than this is cut into time slices before a
-    # window runs over it; below it one task can sort the key comfortably
-    rows_per_slice: int = 5_000_000
-
     def __post_init__(self) -> None:
         if self.contract_mode not in ("off", "monitor", "enforce"):
             raise ValueError(f"contract_mode must be off, monitor or enforce, not {self.contract_mode!r}")

@@ -19,10 +19,26 @@ def partition_key(user_id: Column, anonymous_id: Column, session_id: Column | No
     return F.coalesce(*parts, F.lit("unknown"))
 
 
+def text_hash(text: Column) -> Column:
+    """The 32-bit hash of a text that JVM programs use: 31 times the hash so far plus the
+    next UTF-16 unit, as a number of 0 to 2^32 - 1."""
+    wrap = F.lit(2**32)
+    points = F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.ascii(F.substr(text, k, F.lit(1))).cast("long"))
+    points = F.when(F.length(text) > 0, points).otherwise(F.array().cast("array<bigint>"))
+
+    def step(so_far: Column, point: Column) -> Column:
+        over = point - 65_536
+        pair = (so_far * 31 + 55_296 + F.floor(over / 1_024)) % wrap * 31 + 56_320 + over % 1_024
+        return F.when(point > 65_535, pair).otherwise(so_far * 31 + point) % wrap
+
+    return F.aggregate(points, F.lit(0).cast("long"), step)
+
+
 def partition_of(key: Column, partitions: int) -> Column:
-    """Partition number; empty and null keys go to partition 0."""
+    """Partition number: the text's hash without its sign bit; empty and null keys go to
+    partition 0."""
     return F.when(F.coalesce(key, F.lit("")) == "", F.lit(0)).otherwise(
-        F.pmod(F.hash(key), F.lit(partitions))
+        (text_hash(key) % F.lit(2**31) % F.lit(partitions)).cast("int")
     )
 
 

@@ -11,10 +11,10 @@ from eventloom.functions.variants import custom_map
 from eventloom.operators.skew import lookup_join
 
 
-def join_contract(events: DataFrame, contracts: DataFrame, cfg: EngineConfig) -> DataFrame:
+def join_contract(events: DataFrame, contracts: DataFrame) -> DataFrame:
     """Add ``contract``: map<event type, fields> of the event's app, null without one."""
     published = contracts.select("app_code", F.col("events").alias("contract"))
-    return lookup_join(events, published, ["app_code"], ["event_id"], cfg.rows_per_slice)
+    return lookup_join(events, published, ["app_code"])
 
 
 def check_contracts(
@@ -27,7 +27,7 @@ def check_contracts(
         )
     has_fields = F.size(F.col("contract")[F.col("event_type")]["fields"]) > 0
     return (
-        join_contract(events, contracts, cfg)
+        join_contract(events, contracts)
         # A column of its own: inside the check it would be parsed again for every field.
         # Events whose contract names no field are not parsed.
         .withColumn("_properties", F.when(has_fields, custom_map(F.col(custom))))

@@ -10,12 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.config import EngineConfig
 from eventloom.functions.keys import next_retry_at
 from eventloom.functions.text import has_text, is_set
 from eventloom.functions.times import plus_seconds
 from eventloom.operators.collapse import replace_latest
+from eventloom.operators.skew import lookup_join
 from eventloom.schemas import DEAD_LETTER_COLUMNS, EVENTS
 
 
@@ -90,14 +92,14 @@ def _due(now: Column) -> Column:
     return F.col("next_retry_at").isNull() | (F.col("next_retry_at") <= now)
 
 
-def fetch_due(entries: DataFrame, cfg: EngineConfig, now: Column, count: int | None = None) -> DataFrame:
-    """The oldest entries that are due, at most one batch. Entries in back-off and
-    exhausted ones do not use up the batch."""
-    return (
-        entries.where(_due(now) & (F.col("retry_count") < cfg.dlq_max_retry))
-        .orderBy("failed_at", "reason", "event_id", "event_json")
-        .limit(cfg.dlq_batch_size if count is None else count)
-    )
+def due(entries: DataFrame, cfg: EngineConfig, now: Column) -> DataFrame:
+    """All entries that may be replayed now: neither in back-off nor exhausted."""
+    return entries.where(_due(now) & (F.col("retry_count") < cfg.dlq_max_retry))
+
+
+def fetch_due(entries: DataFrame, cfg: EngineConfig, now: Column) -> DataFrame:
+    """The oldest entries that are due, at most one batch."""
+    return due(entries, cfg, now).orderBy("failed_at", "reason", "event_id", "event_json").limit(cfg.dlq_batch_size)
 
 
 def split_exhausted(entries: DataFrame, cfg: EngineConfig, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -130,19 +132,22 @@ def update_retries(entries: DataFrame, outcomes: DataFrame, cfg: EngineConfig, n
     )
 
 
+#: The event as a payload holds it; consent is no column of the events table.
+PAYLOAD = T.StructType([*EVENTS.fields, T.StructField("consent", T.BooleanType())])
+
+
 def payloads(entries: DataFrame) -> DataFrame:
     """Entries with their event parsed into ``event``; unreadable payloads give null."""
-    return entries.withColumn("event", F.from_json("event_json", EVENTS))
+    return entries.withColumn("event", F.from_json("event_json", PAYLOAD))
 
 
-def already_written(batch: DataFrame, events: DataFrame, cfg: EngineConfig) -> DataFrame:
+def already_written(batch: DataFrame, events: DataFrame) -> DataFrame:
     """(event_id) of a fetched batch, with parsed payloads, that the events table holds.
 
-    ``batch`` comes from ``fetch_due`` and is cut to one batch again here, so at most
-    that many ids are broadcast. The events table is not shuffled, and only read for
-    the times that occur in the batch.
+    The events table is only read for the times that occur in the batch, and not
+    shuffled if the ids of the batch fit a broadcast.
     """
-    rows = batch.where(is_set("event_id")).limit(cfg.dlq_batch_size)
+    rows = batch.where(is_set("event_id"))
     if "timestamp" in events.columns:
         micros = F.unix_micros("event.timestamp")
         first, last = rows.agg(F.min(micros), F.max(micros)).first()
@@ -151,5 +156,5 @@ def already_written(batch: DataFrame, events: DataFrame, cfg: EngineConfig) -> D
             events = events.where(F.col("timestamp").between(first, last))
             if "event_date" in events.columns:
                 events = events.where(F.col("event_date").between(F.to_date(first), F.to_date(last)))
-    ids = rows.select("event_id")
-    return events.join(F.broadcast(ids), "event_id", "left_semi").select("event_id").distinct()
+    ids = rows.select("event_id").distinct()
+    return lookup_join(events.select("event_id"), ids, ["event_id"], "left_semi").distinct()

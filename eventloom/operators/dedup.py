@@ -4,10 +4,10 @@ An accepted event blocks further copies of its id for the window, counted from t
 accepted copy and not renewed by blocked ones. So the copies of an id are walked in
 time order: keep one, skip to the first copy at least a window later, and so on.
 
-Only (id, time, seq) is shuffled, to find the ids that occur more than once. They
-are usually few; the events are then checked against them by a broadcast join and
-not shuffled at all. ``seq`` numbers the rows: it breaks ties and must be unique
-among the copies of an id.
+Only (id, time, seq) is shuffled, to find the copies that fall. They are usually few;
+the events are then checked against them by one join on (id, time, seq), which is
+unique, so that no id is heavy in it. ``seq`` numbers the rows: it breaks ties and must
+be unique among the copies of an id.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
 from eventloom.functions.text import is_set
-from eventloom.operators.skew import BROADCAST_BYTES, lookup_join, spread_join
-from eventloom.workspace import write_through
+from eventloom.operators.skew import lookup_join
+from eventloom.workspace import ship_package, write_through
 
-# Ids with at most this many copies are folded as one array; others go block by block.
+# Ids with at most this many copies are folded as one array in one expression; more
+# would be an array without bound, so others go block by block.
 FOLD_LIMIT = 1_000
 # A block of an id holds at most this many windows, so at most as many distinct
 # instants as it has milliseconds.
@@ -39,58 +40,41 @@ def mark_duplicates(
     ts: str = "timestamp",
     seq: str = "seq",
     fold_limit: int = FOLD_LIMIT,
-    write_copies: bool = False,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``is_duplicate``.
 
     Rows without an id, and rows for which ``slot`` is false, neither are duplicates
-    nor block others. The ids are read more than once; ``write_copies`` writes them
-    first, for input that is expensive to compute.
+    nor block others. ``seen`` (event_id, anchor_ts) are copies accepted earlier: what
+    they block falls first and opens no window. The events are read twice; give written
+    ones.
     """
-    takes = is_set("event_id") & (slot if slot is not None else F.lit(True))
-    marked = events.withColumns({"_ms": F.unix_millis(F.col(ts)), "_takes": takes})
-    copies = marked.where("_takes").select("event_id", "_ms", F.col(seq).cast("long").alias("_seq"))
-    if write_copies:
-        copies = write_through(copies, "copies")
-    repeated, kept, small = repeated_ids(copies, cfg, fold_limit)
-    if repeated is None:
-        return marked.withColumn("is_duplicate", F.lit(False)).drop("_ms", "_takes")
-    window_ms = cfg.dedup_window_s * 1000
-    firsts = repeated.select("event_id", "_first", (F.col("_last") - F.col("_first._ms") < window_ms).alias("_short"))
-    checked = lookup_join(
-        marked.withColumn("_seq", F.col(seq).cast("long")),
-        firsts,
-        ["event_id"],
-        [seq],
-        cfg.rows_per_slice,
-        fits=small,
-    )
-    is_first = (F.col("_ms") == F.col("_first._ms")) & (F.col("_seq") == F.col("_first._seq"))
-    survives = F.col("_short").isNull() | (F.col("_short") & is_first)
-    if kept is not None:
-        checked = lookup_join(
-            checked, kept.withColumn("_kept", F.lit(True)), ["event_id", "_ms", "_seq"], [seq], cfg.rows_per_slice
-        )
-        survives = survives | F.col("_kept").isNotNull()
-    return checked.withColumn("is_duplicate", F.col("_takes") & ~survives).drop(
-        "_ms", "_seq", "_takes", "_first", "_short", "_kept"
-    )
+    takes = is_set("event_id") & F.coalesce(slot if slot is not None else F.lit(True), F.lit(False))
+    marked = events.withColumns({"_ms": F.unix_millis(F.col(ts)), "_seq": F.col(seq).cast("long")})
+    copies = marked.where(takes).select("event_id", "_ms", "_seq")
+    fallen = []
+    if seen is not None:
+        copies = write_through(_blocked(copies, seen, cfg), "copies")
+        fallen.append(copies.where("_blocked").drop("_blocked"))
+        copies = copies.where("not _blocked").drop("_blocked")
+    repeats = fallen_copies(copies, cfg, fold_limit)
+    if repeats is not None:
+        fallen.append(repeats)
+    if not fallen:
+        return marked.withColumn("is_duplicate", F.lit(False)).drop("_ms", "_seq")
+    both = fallen[0] if len(fallen) == 1 else fallen[0].unionByName(fallen[1])
+    verdicts = both.withColumn("_fell", F.lit(True))
+    checked = lookup_join(marked.withColumn("_takes", takes), verdicts, ["event_id", "_ms", "_seq"])
+    fell = F.col("_takes") & F.col("_fell").isNotNull()
+    return checked.withColumn("is_duplicate", fell).drop("_ms", "_seq", "_takes", "_fell")
 
 
 def drop_duplicates(events: DataFrame, cfg: EngineConfig, **options) -> DataFrame:
     return mark_duplicates(events, cfg, **options).where(~F.col("is_duplicate")).drop("is_duplicate")
 
 
-def repeated_ids(
-    copies: DataFrame, cfg: EngineConfig, fold_limit: int = FOLD_LIMIT
-) -> tuple[DataFrame | None, DataFrame | None, bool]:
-    """Ids with several copies, and the copies to keep of the long-lived among them.
-
-    The first result holds (event_id, _n, _first<_ms, _seq>, _last). When all copies of
-    an id lie within one window, only ``_first`` is kept. The second result holds
-    (event_id, _ms, _seq) of the other ids. Either is None when it would be empty. The
-    third tells whether the first is small enough to broadcast.
-    """
+def fallen_copies(copies: DataFrame, cfg: EngineConfig, fold_limit: int = FOLD_LIMIT) -> DataFrame | None:
+    """(event_id, _ms, _seq) of the copies that the rule drops; None if no id repeats."""
     window_ms = cfg.dedup_window_s * 1000
     # a plain aggregate: a heavy id is reduced to one row per task before the shuffle
     repeated = write_through(
@@ -109,29 +93,29 @@ def repeated_ids(
         F.count("*").alias("ids"),
         F.count_if(lives_long & ~many).alias("short"),
         F.count_if(lives_long & many).alias("heavy"),
-        # ids and five numbers per row
-        F.sum(F.length("event_id") + 40).alias("bytes"),
     ).first()
     if not found["ids"]:
-        return None, None, True
-    small = found["bytes"] <= BROADCAST_BYTES
+        return None
+    again = lookup_join(copies, repeated, ["event_id"], "inner", written=True)
+    # all copies within one window: the first stays
+    quick = again.where(~lives_long & (F.struct("_ms", "_seq") != F.col("_first")))
+    parts = [quick.select("event_id", "_ms", "_seq")]
     if not (found["short"] or found["heavy"]):
-        return repeated, None, small
-    long_lived = repeated.where(lives_long).select("event_id", many.alias("_many"))
-    again = lookup_join(
-        copies, long_lived, ["event_id"], ["_ms", "_seq"], cfg.rows_per_slice, how="inner", fits=small or None
-    )
-    instants = again.groupBy("event_id", "_many", "_ms").agg(F.min("_seq").alias("_seq"))
-    parts = []
+        return parts[0]
+    slow = write_through(again.where(lives_long).select("event_id", many.alias("_many"), "_ms", "_seq"), "copies")
+    instants = slow.groupBy("event_id", "_many", "_ms").agg(F.min("_seq").alias("_seq"))
+    kept = []
     if found["short"]:
-        parts.append(_fold(instants.where(~F.col("_many")), window_ms))
+        kept.append(_fold(instants.where(~F.col("_many")), window_ms))
     if found["heavy"]:
         block_ms = window_ms * WINDOWS_PER_BLOCK
         block = F.floor(F.col("_ms") / F.lit(block_ms)).cast("long")
         heavy = instants.where("_many").select("event_id", block.alias("_block"), "_ms", "_seq")
-        parts.append(_walk(write_through(heavy, "instants"), window_ms, block_ms))
-    kept = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return repeated, write_through(kept, "kept"), small
+        kept.append(_walk(write_through(heavy, "instants"), window_ms, block_ms))
+    stays = kept[0] if len(kept) == 1 else kept[0].unionByName(kept[1])
+    key = ["event_id", "_ms", "_seq"]
+    parts.append(slow.select(*key).join(write_through(stays, "kept"), key, "left_anti"))
+    return parts[0].unionByName(parts[1])
 
 
 def _fold(instants: DataFrame, window_ms: int) -> DataFrame:
@@ -160,6 +144,7 @@ def _walk(instants: DataFrame, window_ms: int, block_ms: int) -> DataFrame:
     2. A short pass per id threads the real walk through these answers.
     3. Each block walks again from its now known start.
     """
+    ship_package(instants.sparkSession)
     own = instants.withColumn("_own", F.lit(True))
     into_next = F.pmod(F.col("_ms"), F.lit(block_ms)) >= block_ms - window_ms
     entering = instants.where(into_next).withColumn("_block", F.col("_block") + 1).withColumn("_own", F.lit(False))
@@ -239,30 +224,54 @@ def _last_kept(ms: np.ndarray, window_ms: int) -> np.ndarray:
         step = further
 
 
+def _blocked(copies: DataFrame, seen: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Copies (event_id, _ms, _seq) with ``_blocked``: less than a window away from a
+    copy accepted earlier, before or after it. Late copies count like others."""
+    window_ms = cfg.dedup_window_s * 1000
+    anchors = seen.where(is_set("event_id")).select("event_id", F.unix_millis("anchor_ts").alias("_anchor"))
+    span = F.floor(F.col("_anchor") / F.lit(window_ms))
+    # an anchor blocks in its own span of a window's length and in the two beside it;
+    # of a span's anchors the first and last are enough for the neighbours
+    spans = anchors.groupBy("event_id", span.alias("_span")).agg(F.min("_anchor").alias("_from"), F.max("_anchor").alias("_to"))
+    around = spans.select("event_id", "_from", "_to", F.explode(F.array(*[F.col("_span") + k for k in (-1, 0, 1)])).alias("_span"))
+    near = around.groupBy("event_id", "_span").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.array("_from", "_to")))).alias("_anchors")
+    )
+    own = F.floor(F.col("_ms") / F.lit(window_ms))
+    joined = copies.withColumn("_span", own).join(write_through(near, "anchors"), ["event_id", "_span"], "left")
+    hit = F.exists("_anchors", lambda at: F.abs(F.col("_ms") - at) < window_ms)
+    return joined.select("event_id", "_ms", "_seq", F.coalesce(hit, F.lit(False)).alias("_blocked"))
+
+
 def anti_seen(
     events: DataFrame, seen: DataFrame, cfg: EngineConfig, ts: str = "timestamp", seq: str = "seq"
 ) -> DataFrame:
-    """Drop events whose id was accepted before, less than a window ago.
+    """Drop events whose id was accepted before, less than a window away.
 
-    ``seen`` holds (event_id, anchor_ts).
+    ``seen`` holds (event_id, anchor_ts). Events without an id take no part in the join.
     """
-    latest = seen.where(is_set("event_id")).groupBy("event_id").agg(F.max("anchor_ts").alias("_anchor"))
-    joined = spread_join(events, latest, ["event_id"], "left", [seq], cfg.rows_per_slice)
-    blocked = F.unix_millis(F.col(ts)) < F.unix_millis("_anchor") + cfg.dedup_window_s * 1000
-    return joined.where(F.col("_anchor").isNull() | ~blocked).drop("_anchor")
+    marked = events.withColumns({"_ms": F.unix_millis(F.col(ts)), "_seq": F.col(seq).cast("long")})
+    named = marked.where(is_set("event_id"))
+    blocked = _blocked(named.select("event_id", "_ms", "_seq"), seen, cfg).where("_blocked").drop("_blocked")
+    fresh = named.join(write_through(blocked.distinct(), "blocked"), ["event_id", "_ms", "_seq"], "left_anti")
+    return fresh.unionByName(marked.where(~is_set("event_id"))).drop("_ms", "_seq")
 
 
 def anti_processed(entries: DataFrame, events: DataFrame) -> DataFrame:
     """Add ``processed``: the event of a dead-letter entry is in the events table.
 
-    Entries are unique per reason and id, so neither side has a heavy id left.
+    The events are reduced to the ids of the entries before anything is made distinct.
     """
-    known = events.where(is_set("event_id")).select("event_id").distinct().withColumn("_known", F.lit(True))
+    ids = write_through(entries.where(is_set("event_id")).select("event_id").distinct(), "ids")
+    found = lookup_join(events.where(is_set("event_id")).select("event_id"), ids, ["event_id"], "left_semi", written=True)
+    known = found.distinct().withColumn("_known", F.lit(True))
     return (
-        entries.join(known, "event_id", "left").withColumn("processed", F.col("_known").isNotNull()).drop("_known")
+        entries.join(write_through(known, "known"), "event_id", "left")
+        .withColumn("processed", F.col("_known").isNotNull())
+        .drop("_known")
     )
 
 
-def first_seen(events: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """(event_id, anchor_ts): the accepted ids, as input of ``anti_seen`` for later batches."""
-    return events.where(is_set("event_id")).groupBy("event_id").agg(F.max(ts).alias("anchor_ts"))
+def accepted_ids(events: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """(event_id, anchor_ts): the accepted copies, as ``seen`` for later batches."""
+    return events.where(is_set("event_id")).select("event_id", F.col(ts).alias("anchor_ts"))

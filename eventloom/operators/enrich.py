@@ -10,7 +10,7 @@ from eventloom.functions.text import properties_json
 from eventloom.functions.times import epoch_ms_to_ts
 from eventloom.schemas import EVENT_COLUMNS, EVENTS
 
-# Flat column <- nested field.
+# Flat column <- nested field.
 COPIED = {
     "event_id": "eventId",
     "event_type": "eventType",
@@ -48,8 +48,8 @@ def flatten_enrich(raw: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> D
     """Flat events with parsed device columns.
 
     A missing parent gives null children; without a device the three device columns
-    are null, with a device but no agent they are 'unknown'. ``keep`` names further
-    input columns to carry along. Every expression yields null on bad input, so an
+    are null, with a device but no agent they are 'unknown'. ``sent_at`` is the time as
+    sent, without a default. ``keep`` names further input columns to carry along. Every expression yields null on bad input, so an
     event is never lost here.
     """
     has_device = F.col("device").isNotNull()
@@ -57,6 +57,7 @@ def flatten_enrich(raw: DataFrame, now: Column, keep: tuple[str, ...] = ()) -> D
     return raw.withColumn("_agent", F.lower("device.userAgent")).select(
         *[F.col(source).alias(name) for name, source in COPIED.items()],
         F.coalesce(epoch_ms_to_ts(F.col("timestamp")), now).alias("timestamp"),
+        epoch_ms_to_ts(F.col("timestamp")).alias("sent_at"),
         epoch_ms_to_ts(F.col("clientTime")).alias("client_time"),
         now.alias("received_at"),
         *[F.when(has_device, column).alias(name) for name, column in parsed.items()],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from eventloom.config import EngineConfig
 from eventloom.functions.text import has_text
 from eventloom.functions.times import plus_seconds
-from eventloom.operators.skew import SLICE, time_slices
+from eventloom.operators.skew import hour_of
 
 
 def link_rows(events: DataFrame, allowed: Column | None = None, ts: str = "timestamp") -> DataFrame:
@@ -79,36 +79,21 @@ def resolve_identity(
             F.lit(True).alias("_stored"),
         )
         prepared = prepared.withColumn("_stored", F.lit(False)).unionByName(before, allowMissingColumns=True)
-    sliced, cut = time_slices(prepared, "_lane", ts, cfg.rows_per_slice)
+    # A window never spans more than an hour of a visitor. What an hour inherits is the
+    # last link of an earlier one: one narrow row per visitor and hour.
+    sliced = prepared.withColumn("_hour", hour_of(F.unix_millis(F.col(ts))))
     link = F.when(F.col("identity_linked"), F.struct(F.col(ts).alias("at"), F.col("user_id").alias("user")))
-    running = W.partitionBy("_lane", SLICE).orderBy(ts, "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = W.partitionBy("_lane", "_hour").orderBy(ts, "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     filled = sliced.withColumn("_link", F.last(link, ignorenulls=True).over(running))
-    if cut:
-        # What a slice inherits is the last link of an earlier one: one row per slice.
-        ends = (
-            sliced.where(F.col(SLICE) != 0)
-            .groupBy("_lane", SLICE)
-            .agg(
-                F.max(
-                    F.when(
-                        F.col("identity_linked"),
-                        F.struct(F.col(ts).alias("at"), F.col("seq"), F.col("user_id").alias("user")),
-                    )
-                ).alias("_end")
-            )
-        )
-        earlier = W.partitionBy("_lane").orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-        inherited = ends.select("_lane", SLICE, F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-        filled = filled.join(inherited, ["_lane", SLICE], "left").withColumn(
-            "_link",
-            F.coalesce(
-                F.col("_link"),
-                F.when(
-                    F.col("_carry").isNotNull(),
-                    F.struct(F.col("_carry.at").alias("at"), F.col("_carry.user").alias("user")),
-                ),
-            ),
-        ).drop("_carry")
+    last = F.when(F.col("identity_linked"), F.struct(F.col(ts).alias("at"), F.col("seq"), F.col("user_id").alias("user")))
+    ends = sliced.where(visitor).groupBy("_lane", "_hour").agg(F.max(last).alias("_end"))
+    earlier = W.partitionBy("_lane").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
+    inherited = ends.select("_lane", "_hour", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    inherited = inherited.where("_carry is not null").select(
+        "_lane", "_hour", F.struct(F.col("_carry.at").alias("at"), F.col("_carry.user").alias("user")).alias("_carry")
+    )
+    filled = filled.join(inherited, ["_lane", "_hour"], "left").withColumn("_link", F.coalesce("_link", "_carry"))
+    filled = filled.drop("_carry")
     if stored is not None:
         filled = filled.where(~F.col("_stored")).drop("_stored")
     alive = F.col(ts) < plus_seconds(F.col("_link.at"), cfg.identity_ttl_days * 86_400)
@@ -116,5 +101,5 @@ def resolve_identity(
     return (
         filled.withColumn("identity_resolved", resolves)
         .withColumn("user_id", F.when(resolves, F.col("_link.user")).otherwise(F.col("user_id")))
-        .drop("_lane", "_link", "_may", SLICE)
+        .drop("_lane", "_link", "_may", "_hour")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
-from eventloom.functions.privacy import looks_masked, mask_value, pii_hash
+from eventloom.functions.privacy import mask_email, mask_phone, masked_kind, pii_hash
 from eventloom.functions.text import has_text
 from eventloom.functions.variants import json_members, json_object, json_string
 from eventloom.workspace import allow_repeated_keys
@@ -25,38 +25,38 @@ def _listed(name: Column, cfg: EngineConfig) -> Column:
     return name.isin(*cfg.pii_fields) if cfg.pii_fields else F.lit(False)
 
 
-def _hashes(member: Column, cfg: EngineConfig) -> Column:
-    """A listed property that is not null is hashed."""
-    return _listed(member["key"], cfg) & member["value"].isNotNull()
-
-
-def _masks(member: Column, cfg: EngineConfig) -> Column:
-    """Of the others, a top-level string that is an e-mail address or phone number is masked."""
-    if not cfg.mask_heuristics:
-        return F.lit(False)
-    return member["is_string"] & looks_masked(member["value"])
-
-
 def _as_sent(member: Column) -> Column:
     return F.when(member["is_string"], json_string(member["value"])).otherwise(
         F.coalesce(member["value"], F.lit("null"))
     )
 
 
-def protected_text(members: Column, cfg: EngineConfig) -> Column:
-    """JSON text with hashed and masked values; all others as they were sent."""
+def protected(members: Column, cfg: EngineConfig) -> Column:
+    """The members with ``action`` and their new values: a listed property that is not
+    null is hashed (1); of the others, a string that is an e-mail address (2) or a phone
+    number (3) is masked; 0 leaves the value. Each value is looked at once."""
 
-    def protect(member: Column) -> Column:
-        value, hashes = member["value"], _hashes(member, cfg)
-        masked = mask_value(value) if cfg.mask_heuristics else value
+    def judged(member: Column) -> Column:
+        action = F.when(_listed(member["key"], cfg), F.when(member["value"].isNotNull(), 1).otherwise(0))
+        if cfg.mask_heuristics:
+            action = action.when(member["is_string"], masked_kind(member["value"]))
+        return F.struct(member["key"], member["value"], member["is_string"], action.otherwise(0).alias("action"))
+
+    def changed(member: Column) -> Column:
+        value, action = member["value"], member["action"]
+        new = F.when(action == 1, pii_hash(value)).when(action == 2, mask_email(value)).when(action == 3, mask_phone(value))
         return F.struct(
             member["key"].alias("key"),
-            F.when(hashes, pii_hash(value)).when(member["is_string"], masked).otherwise(value).alias("value"),
-            (member["is_string"] | hashes).alias("is_string"),
+            new.otherwise(value).alias("value"),
+            (member["is_string"] | (action == 1)).alias("is_string"),
+            action.alias("action"),
         )
 
-    # two steps, because the quoting reads each new value several times
-    return json_object(F.transform(members, protect), _as_sent)
+    return F.transform(F.transform(members, judged), changed)
+
+
+def members_text(members: Column) -> Column:
+    return json_object(members, _as_sent)
 
 
 def stripped_text(members: Column, cfg: EngineConfig) -> Column:
@@ -79,7 +79,8 @@ def apply_privacy(events: DataFrame, cfg: EngineConfig, custom: str = "custom")
     """Consent gate, then hashing, then masking.
 
     Adds the flags ``consent_denied`` and ``pii_masked``. The JSON text in ``custom``
-    is rewritten only for events whose properties change.
+    is rewritten only for events whose properties change. Where rules apply, properties
+    that are no JSON object become null: the rules could not be applied to them.
     """
     denied = consent_denied(F.col("consent"), cfg) if "consent" in events.columns else F.lit(False)
     flagged = events.withColumn("consent_denied", denied)
@@ -91,21 +92,27 @@ def apply_privacy(events: DataFrame, cfg: EngineConfig, custom: str = "custom")
 
     allow_repeated_keys(events.sparkSession)
     text = F.col(custom)
-    parsed = flagged.withColumn("_members", F.when(_may_change(text, cfg), json_members(text)))
+    looks = _may_change(text, cfg)
+    parsed = flagged.withColumn("_members", F.when(looks, json_members(text)))
     members = F.col("_members")
-    touched = F.exists(members, lambda m: _hashes(m, cfg) | _masks(m, cfg))
+    no_object = ~text.rlike(r"^\s*\{") | (looks & members.isNull())
+    judged = parsed.withColumns(
+        {"_new": F.when(~F.col("consent_denied"), protected(members, cfg)), "_no_object": no_object}
+    )
+    touched = F.exists("_new", lambda m: m["action"] > 0)
     holds_listed = F.exists(members, lambda m: _listed(m["key"], cfg))
-    decided = parsed.withColumns(
+    decided = judged.withColumns(
         {
-            "_changes": ~F.col("consent_denied") & F.coalesce(touched, F.lit(False)),
+            "_changes": ~F.col("_no_object") & F.coalesce(touched, F.lit(False)),
             "_strips": F.col("consent_denied") & F.coalesce(holds_listed, F.lit(False)),
         }
     )
     new_text = (
-        F.when(F.col("_changes"), protected_text(members, cfg))
+        F.when(F.col("_no_object"), None)
+        .when(F.col("_changes"), members_text(F.col("_new")))
         .when(F.col("_strips"), stripped_text(members, cfg))
         .otherwise(text)
     )
     return decided.withColumns(
-        {"pii_masked": hash_user | F.col("_changes"), custom: new_text, "user_id": new_user}
-    ).drop("_members", "_changes", "_strips")
+        {"pii_masked": hash_user | F.coalesce("_changes", F.lit(False)), custom: new_text, "user_id": new_user}
+    ).drop("_members", "_new", "_changes", "_strips", "_no_object")

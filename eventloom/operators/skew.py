@@ -1,10 +1,8 @@
-"""Ways to keep one heavy key from ending up in one task.
+"""Joins to tables that are usually small.
 
-Heavy keys are found with a mergeable heavy-hitter sketch: one column-pruned pass
-and no shuffle of the keys. The sketch reports every key that holds more than about
-0.1 % of the rows, so whatever it leaves out is small against the cluster, and the
-list it returns has at most ``MAX_HOT`` entries however large the data is. The
-sketch only decides how rows are spread; results do not depend on it.
+Larger joins are left to adaptive execution, which splits the heavy partitions of an
+equi join by itself. That needs both sides to come straight from a shuffle, so a side
+that is an aggregate is written down before it is joined.
 """
 
 from __future__ import annotations
@@ -14,71 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 1_000
+from eventloom.workspace import write_through
+
 BROADCAST_BYTES = 64 << 20
-_TRACKED = 4_096
-_LANES = 512
 HOUR_MS = 3_600_000
-SLICE = "_slice"
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], floor_rows: int) -> DataFrame | None:
-    """(_group, _rows) of the groups with more than ``floor_rows`` rows, None if there are none.
-
-    ``_group`` is xxhash64 of the key columns: two keys with one hash only means
-    that a small group is spread as well.
-    """
-    spark = df.sparkSession
-    # Sketches are merged in two steps, so no reducer receives one per input split.
-    lane = F.pmod(F.spark_partition_id(), F.lit(_LANES))
-    sketch = (
-        df.select(F.xxhash64(*keys).alias("_group"), lane.alias("_lane"))
-        .groupBy("_lane")
-        .agg(F.expr(f"approx_top_k_accumulate(_group, {_TRACKED})").alias("_sketch"))
-        .agg(F.expr(f"approx_top_k_combine(_sketch, {_TRACKED})").alias("_sketch"))
-        .select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {MAX_HOT})")).alias("_hot"))
-        .select(F.col("_hot.item").alias("_group"), F.col("_hot.count").alias("_rows"))
-        .where(F.col("_rows") > floor_rows)
-    )
-    found = sketch.collect()
-    return spark.createDataFrame(found, "_group long, _rows long") if found else None
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str,
-    spread_by: Sequence[str],
-    floor_rows: int,
-) -> DataFrame:
-    """Join a large ``left`` to a ``right`` that is unique on ``on``.
-
-    Heavy groups of the left side are cut into parts of about ``floor_rows`` rows by
-    a hash of ``spread_by``, and the one matching right row is repeated per part.
-    """
-    hot = None if left.isStreaming else hot_groups(left, on, floor_rows)
-    if hot is None:
-        return left.join(right, list(on), how)
-    # at most MAX_HOT rows, see hot_groups
-    parts = F.broadcast(
-        hot.select("_group", F.ceil(F.col("_rows") / F.lit(floor_rows)).cast("int").alias("_parts"))
-    )
-    group = F.xxhash64(*on)
-    many = F.coalesce(F.col("_parts"), F.lit(1))
-    spread_left = (
-        left.withColumn("_group", group)
-        .join(parts, "_group", "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*spread_by), many).cast("int"))
-        .drop("_group", "_parts")
-    )
-    repeated_right = (
-        right.withColumn("_group", group)
-        .join(parts, "_group", "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1)))
-        .drop("_group", "_parts")
-    )
-    return spread_left.join(repeated_right, [*on, "_part"], how).drop("_part")
 
 
 def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -89,51 +26,15 @@ def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 
 def lookup_join(
-    left: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    floor_rows: int,
-    how: str = "left",
-    fits: bool | None = None,
+    left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", written: bool = False
 ) -> DataFrame:
     """Join to a table that is usually small and unique on ``on``: broadcast if its
-    measured size allows, else spread. ``fits`` is the answer where it is known."""
-    if fits_broadcast(table) if fits is None else fits:
-        return left.join(F.broadcast(table), list(on), how)
-    return spread_join(left, table, on, how, spread_by, floor_rows)
-
+    measured size allows. Beyond that both sides are shuffled; the result is the same.
+    ``written`` says that the table is read from files already."""
+    table = table if written else write_through(table, "lookup")
+    return left.join(F.broadcast(table) if fits_broadcast(table) else table, list(on), how)
 
-def time_slices(
-    df: DataFrame, key: str, ts: str, floor_rows: int
-) -> tuple[DataFrame, bool]:
-    """Add ``_slice``, so that no (key, slice) is much larger than ``floor_rows``.
 
-    Ordinary keys are one slice. A heavy key is cut by the hour, and a heavy hour of
-    it into equal shorter spans. A slice is named by its first millisecond, so slices
-    of a key sort in time order. The flag tells whether anything was cut.
-    """
-    hot = hot_groups(df, [key], floor_rows)
-    if hot is None:
-        return df.withColumn(SLICE, F.lit(0).cast("long")), False
-    ms = F.unix_millis(F.col(ts))
-    hour = ms - F.pmod(ms, F.lit(HOUR_MS))
-    marked = (
-        df.withColumn("_group", F.xxhash64(key))
-        .join(F.broadcast(hot.select("_group", F.lit(True).alias("_hot"))), "_group", "left")
-        .drop("_group")
-    )
-    hours = hot_groups(marked.where("_hot").withColumn("_hour", hour), [key, "_hour"], floor_rows)
-    start = hour
-    if hours is not None:
-        spans = hours.select("_group", F.ceil(F.col("_rows") / F.lit(floor_rows)).cast("long").alias("_cuts"))
-        marked = (
-            marked.withColumn("_hour", hour)
-            .withColumn("_group", F.xxhash64(key, "_hour"))
-            .join(F.broadcast(spans), "_group", "left")
-        )
-        width = F.greatest(F.lit(1), F.ceil(F.lit(HOUR_MS) / F.coalesce(F.col("_cuts"), F.lit(1)))).cast("long")
-        into = F.pmod(ms, F.lit(HOUR_MS))
-        start = hour + (into - F.pmod(into, width))
-    sliced = marked.withColumn(SLICE, F.when(F.col("_hot"), start).otherwise(F.lit(0)).cast("long"))
-    return sliced.drop("_hot", "_hour", "_group", "_cuts"), True
+def hour_of(ms) -> F.Column:
+    """First millisecond of the hour."""
+    return ms - F.pmod(ms, F.lit(HOUR_MS))

@@ -6,32 +6,95 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.config import EngineConfig
-from eventloom.operators.collapse import replace_latest
+from eventloom.functions.times import plus_seconds, sweep_due
 from eventloom.operators.rollups import events_hourly, sessions_daily
-from eventloom.operators.sessions import session_rows, split_live
-from eventloom.sources.tables import read_events, read_sessions
+from eventloom.operators.sessions import (
+    merge_parts,
+    rows_of_parts,
+    session_parts,
+    session_rows,
+    split_live,
+)
+from eventloom.schemas import EVENTS
+from eventloom.sources.state import delete, finished
+from eventloom.sources.tables import COMPACTED, batches_of, numbered_batch, read_events, read_sessions, write_sessions
+from eventloom.workspace import write_through
 
-# The collapse key of the sessions table. ("user_id", "start_time") can be asked for
-# instead, but merges visitors without a user that start in the same second.
-SESSION_VERSION_KEY = ("session_id",)
 
+def finalize_sessions(events: DataFrame, cfg: EngineConfig, now: Column) -> DataFrame:
+    """Sessions of events without a final session id that are idle for the timeout."""
+    finished_rows, _ = split_live(session_rows(events, cfg), cfg, now)
+    return finished_rows
 
-def finalize_sessions(
-    events: DataFrame,
-    cfg: EngineConfig,
-    now: Column,
-    stored: DataFrame | None = None,
-    key: tuple[str, ...] = SESSION_VERSION_KEY,
+
+def _parts_schema(spark: SparkSession) -> T.StructType:
+    return session_parts(spark.createDataFrame([], EVENTS)).schema
+
+
+def swept_batches(spark: SparkSession, state: str) -> list[str]:
+    """Names of the batches of events that sweeps have read."""
+    runs = finished(spark, state, "swept-")
+    return [r.value for r in spark.read.text(f"{state}/swept-{max(runs)}").collect()] if runs else []
+
+
+#: States of earlier sweeps that are kept.
+KEEP = 3
+
+
+def sweep_sessions(
+    spark: SparkSession, events: str, sessions: str, state: str, cfg: EngineConfig, now: Column
 ) -> DataFrame:
-    """Sessions idle for the timeout at ``now``; with ``stored`` rows of earlier runs,
-    one row per session."""
-    finished, _ = split_live(session_rows(events, cfg), cfg, now)
-    if stored is None:
-        return finished
-    rest = [name for name in finished.columns if name not in key and name != "last_active_at"]
-    return replace_latest(finished.unionByName(stored), key, ("last_active_at", *rest))
+    """One sweep over the stored tables; returns the rows it wrote.
+
+    Stored events carry their final session id, so a session is an aggregate by id. A
+    sweep reads the batches of events that no sweep has read, adds them to the measures
+    of the open sessions, writes the sessions that are idle for the timeout, and keeps
+    the measures: those of open sessions, and those of finished ones for
+    ``session_keep_s`` more, in case late events change them. A session that changes
+    after it was written is written again; ``read_sessions`` takes the last one.
+
+    The state of run n is written last. If the job dies before, the next sweep is run n
+    again and replaces what was written.
+    """
+    runs = finished(spark, state, "swept-")
+    run = max(runs, default=-1) + 1
+    known: list[str] = []
+    parts = spark.createDataFrame([], _parts_schema(spark)).withColumn("fresh", F.lit(False))
+    if runs:
+        known = swept_batches(spark, state)
+        parts = spark.read.schema(_parts_schema(spark)).parquet(f"{state}/open-{run - 1}").withColumn("fresh", F.lit(False))
+    new = [b for b in batches_of(spark, events) if b not in set(known) and not b.startswith(COMPACTED)]
+    if new:
+        added = session_parts(read_events(spark, events, batches=new)).withColumn("fresh", F.lit(True))
+        parts = parts.unionByName(added)
+    merged = merge_parts(parts, F.max("fresh").alias("fresh"))
+    due = sweep_due(F.col("end_time"), cfg.session_timeout_s, now)
+    # finished in an earlier sweep, and nothing has come since
+    old = sweep_due(F.col("end_time"), cfg.session_timeout_s, _last_sweep(spark, state, runs))
+    merged = write_through(merged.withColumns({"_due": due, "_written": ~F.col("fresh") & old}), "sessions")
+    rows = rows_of_parts(merged.where("_due and not _written"), cfg)
+    rows = write_through(rows, "finished")
+    write_sessions(rows, sessions, numbered_batch("sweep", run))
+    kept = merged.where(~F.col("_due") | (F.col("end_time") > plus_seconds(now, -cfg.session_timeout_s - cfg.session_keep_s)))
+    kept.drop("fresh", "_due", "_written").write.mode("overwrite").parquet(f"{state}/open-{run}")
+    spark.range(1).select(now.alias("at")).write.mode("overwrite").parquet(f"{state}/time-{run}")
+    names = F.explode(F.array(*[F.lit(name) for name in [*known, *new]]).cast("array<string>"))
+    spark.range(1).select(names.alias("value")).write.mode("overwrite").text(f"{state}/swept-{run}")
+    for kind in ("open-", "time-", "swept-"):
+        for number in finished(spark, state, kind):
+            if number <= run - KEEP:
+                delete(spark, f"{state}/{kind}{number}")
+    return rows
+
+
+def _last_sweep(spark: SparkSession, state: str, runs: list[int]) -> Column:
+    """The time of the last sweep; before the first one, a time before all events."""
+    if not runs:
+        return F.timestamp_millis(F.lit(-(2**46)))
+    return F.lit(spark.read.parquet(f"{state}/time-{max(runs)}").first().at)
 
 
 def rollups(events: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,6 +122,4 @@ def refresh_daily(spark: SparkSession, sessions: str, target: str, first_day: st
     """Compute the daily rollup of sessions that began on these days anew; a session
     stored more than once counts once."""
     touched = read_sessions(spark, sessions, since=first_day, until=_next_day(last_day))
-    rest = [name for name in touched.columns if name not in SESSION_VERSION_KEY and name != "last_active_at"]
-    latest = replace_latest(touched, SESSION_VERSION_KEY, ("last_active_at", *rest))
-    _replace_days(sessions_daily(latest), target, "date")
+    _replace_days(sessions_daily(touched), target, "date")

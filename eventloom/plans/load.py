@@ -1,19 +1,24 @@
-"""The events topic into the events table, and raw envelopes into the engine."""
+"""The events topic into the events table, and raw envelopes into the engine.
+
+Both run batch by batch with the batch operators. There is no watermark: a late event is
+an event, and what earlier batches have to remember is remembered by arrival.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
-from eventloom.operators.dedup import first_seen
-from eventloom.operators.identity import live_links, upsert_links
-from eventloom.operators.validate import ACCEPTED
+from eventloom.functions.times import age_expired
+from eventloom.operators.dead_letters import dead_letters
+from eventloom.operators.dedup import accepted_ids, mark_duplicates
 from eventloom.plans.ingest import ingest
-from eventloom.schemas import IDENTITY_LINKS
+from eventloom.plans.state import IngestState
+from eventloom.schemas import SEEN_IDS
 from eventloom.sources.envelopes import explode_envelopes
-from eventloom.sources.topics import FolderTopics, KafkaTopics, read_event_stream
-from eventloom.streaming.dedup import dedup_stream
+from eventloom.sources.state import BatchState
+from eventloom.sources.topics import FolderTopics, KafkaTopics, read_records, split_unreadable
 from eventloom.streaming.settings import streaming_session
 from eventloom.streaming.sinks import (
     Sink,
@@ -21,7 +26,11 @@ from eventloom.streaming.sinks import (
     events_table_sink,
     failure_to_dead_letters,
     run_available,
+    write_entries,
 )
+from eventloom.workspace import dropping_scratch, write_through
+
+UNREADABLE = "unreadable_record"
 
 
 def load_from_stream(
@@ -30,52 +39,62 @@ def load_from_stream(
     table: str,
     checkpoint: str,
     cfg: EngineConfig,
+    dead: str | None = None,
+    now: Column | None = None,
 ):
-    """Events topic to events table; a batch that cannot be written goes to the
-    dead-letter topic."""
+    """Events topic to events table. Duplicates fall by the rule of the batch operator,
+    within a batch and across batches; events without an id are never duplicates.
+    Records that are no events go to the dead letters ``dead`` with their text, and so
+    does a batch that can't be written, by way of the dead-letter topic."""
     streaming_session(spark)
-    events = read_event_stream(spark, topics, cfg).withColumn(
-        "seq", F.xxhash64("event_id", "timestamp", "received_at")
-    )
-    fresh = dedup_stream(events, cfg).drop("seq")
-    deliver = failure_to_dead_letters(
-        events_table_sink(table), dead_letter_topic_sink(topics, "table_write_failed", cfg)
+    now = F.current_timestamp() if now is None else now
+    write = events_table_sink(table, now)
+    deliver = failure_to_dead_letters(write, dead_letter_topic_sink(topics, "table_write_failed", cfg))
+    remembered = BatchState(
+        f"{checkpoint}-seen",
+        SEEN_IDS,
+        lambda rows: rows.where(~age_expired(F.col("arrived_at"), cfg.seen_ttl_s, now)),
     )
-    return run_available(fresh, deliver, checkpoint)
+
+    def run(records: DataFrame, batch_id: int) -> None:
+        with dropping_scratch(spark):
+            events, broken = split_unreadable(write_through(records, "records"))
+            if dead is not None:
+                refused = broken.select(
+                    F.lit(None).cast("string").alias("event_id"),
+                    F.lit(None).cast("string").alias("event_type"),
+                    F.lit(None).cast("string").alias("user_id"),
+                    F.col("value"),
+                )
+                write_entries(dead_letters(refused, F.lit(UNREADABLE), now, ("value",)), dead, batch_id)
+            # a number for every record of the batch, also for equal ones
+            numbered = write_through(events.withColumn("seq", F.monotonically_increasing_id()), "events")
+            marked = mark_duplicates(numbered, cfg, seen=remembered.before(spark, batch_id))
+            fresh = write_through(marked.where(~F.col("is_duplicate")).drop("is_duplicate", "seq"), "fresh")
+            deliver(fresh, batch_id)
+            remembered.add(accepted_ids(fresh).withColumn("arrived_at", now), batch_id)
+
+    return run_available(read_records(spark, topics, cfg), run, checkpoint)
 
 
 def ingest_batches(
-    contracts: DataFrame, state: str, deliver: Sink, dead: Sink, cfg: EngineConfig
+    contracts: DataFrame, state: str, deliver: Sink, dead: Sink, cfg: EngineConfig, now: Column | None = None
 ) -> Sink:
     """Micro-batch form of the whole ingest, for ``foreachBatch`` on envelopes.
 
-    Ids accepted within the duplicate window and identity links live in two tables
-    below ``state``, one snapshot per batch; batch n reads snapshot n - 1, so a
-    repeated batch starts from the same state. The heavy-key handling of the batch
-    operators applies unchanged.
+    Accepted ids, identity links and open sessions live below ``state``; batch n reads
+    what batches before it left, so a repeated batch starts from the same state.
     """
-
-    def snapshot(spark: SparkSession, name: str, batch_id: int, schema) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{state}/{name}/batch={batch_id - 1}")
+    now = F.current_timestamp() if now is None else now
+    remembered = IngestState(state, cfg, now)
 
     def run(envelopes: DataFrame, batch_id: int) -> None:
         spark = envelopes.sparkSession
-        now = F.current_timestamp()
-        numbered = envelopes.withColumn("arrival", F.monotonically_increasing_id())
-        raw = explode_envelopes(numbered, cfg)
-        seen = snapshot(spark, "seen", batch_id, "event_id string, anchor_ts timestamp")
-        links = snapshot(spark, "links", batch_id, IDENTITY_LINKS)
-        done = ingest(raw, contracts, cfg, now, seen=seen, stored_links=live_links(links, cfg, now))
-        deliver(done.events, batch_id)
-        dead(done.dead, batch_id)
-        upsert_links(links, done.links).write.mode("overwrite").parquet(f"{state}/links/batch={batch_id}")
-        accepted = first_seen(done.classified.where(F.col("outcome") == ACCEPTED))
-        both = seen.unionByName(accepted).groupBy("event_id").agg(F.max("anchor_ts").alias("anchor_ts"))
-        newest = accepted.agg(F.max(F.unix_millis("anchor_ts"))).first()[0]
-        if newest is not None:
-            both = both.where(F.unix_millis("anchor_ts") >= newest - cfg.dedup_window_s * 2000)
-        both.write.mode("overwrite").parquet(f"{state}/seen/batch={batch_id}")
+        with dropping_scratch(spark):
+            numbered = write_through(envelopes.withColumn("arrival", F.monotonically_increasing_id()), "envelopes")
+            done = ingest(explode_envelopes(numbered, cfg), contracts, cfg, now, remembered.before(spark, batch_id))
+            deliver(done.events, batch_id)
+            dead(done.dead, batch_id)
+            remembered.add(done, batch_id)
 
     return run

@@ -51,7 +51,7 @@ RAW_EVENT = _struct(
 
 ENVELOPE = _struct(("clientId", S), ("events", T.ArrayType(RAW_EVENT)))
 
-# The events table, in its fixed column order.
+# The names and order of the columns of the events table.
 EVENTS = _struct(
     ("event_id", S),
     ("event_type", S),
@@ -145,3 +145,16 @@ DEAD_LETTERS = _struct(
 DEAD_LETTER_COLUMNS = tuple(DEAD_LETTERS.fieldNames())
 
 IDENTITY_LINKS = _struct(("anonymous_id", S), ("user_id", S), ("linked_at", TS))
+
+# What ingest remembers of sessions that may go on.
+OPEN_SESSIONS = _struct(
+    ("app_code", S),
+    ("session_key", S),
+    ("session_id", S),
+    ("start_time", TS),
+    ("last_active_at", TS),
+    ("updated_at", TS),
+)
+
+# Accepted ids and when they arrived.
+SEEN_IDS = _struct(("event_id", S), ("anchor_ts", TS), ("arrived_at", TS))

@@ -1,21 +1,31 @@
-"""The events and sessions tables: Parquet by day, sorted for pruning."""
+"""The events and sessions tables: Parquet by day, sorted for pruning.
+
+Every writer uses one layout, ``day=D/batch=B``. A batch owns its folders: written
+again, it replaces them, so a repeated job or micro-batch changes nothing. Day filters,
+expiry and compaction work on the day folders whoever wrote them.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.functions.times import age_expired, partition_day
+from eventloom.operators.collapse import replace_latest
 from eventloom.operators.enrich import default_times, sink_defaults
 from eventloom.operators.sessions import session_sink_defaults
-from eventloom.schemas import EVENT_COLUMNS, SESSION_COLUMNS
+from eventloom.schemas import EVENT_COLUMNS, EVENTS, SESSION_COLUMNS, SESSIONS
 
 EVENT_DAY = "event_date"
 SESSION_DAY = "start_date"
+BATCH = "batch"
 EVENT_ORDER = ("user_id", "timestamp", "event_type", "session_id")
 SESSION_ORDER = ("user_id", "start_time")
 # Columns that are looked up by value but are not in the sort order.
-EVENT_BLOOM = ("user_id", "session_id", "page_url", "spmb", "spmd", "app_code")
+EVENT_BLOOM = ("event_id", "user_id", "session_id", "page_url", "spmb", "spmd", "app_code")
 SESSION_BLOOM = ("app_code",)
 
 
@@ -26,11 +36,24 @@ def _with_blooms(writer: DataFrameWriter, columns: tuple[str, ...]) -> DataFrame
     return writer
 
 
-def _write(rows: DataFrame, path: str, day: str, order: tuple[str, ...], blooms: tuple[str, ...], mode: str) -> None:
+def new_batch(kind: str = "job") -> str:
+    """A name for a batch that is written once and not repeated."""
+    return f"{kind}-{uuid.uuid4().hex}"
+
+
+def numbered_batch(kind: str, number: int) -> str:
+    """The name of a numbered batch; names of one kind sort like their numbers."""
+    return f"{kind}-{number:012d}"
+
+
+def _write(rows: DataFrame, path: str, day: str, order: tuple[str, ...], blooms: tuple[str, ...], batch: str) -> None:
     # Rebalancing by day lets adaptive execution cut a heavy day into files of the
     # advisory size and join light days, so no task writes a third of the data.
-    laid_out = rows.hint("rebalance", day).sortWithinPartitions(day, *order)
-    _with_blooms(laid_out.write.mode(mode), blooms).partitionBy(day).parquet(path)
+    laid_out = rows.withColumn(BATCH, F.lit(batch)).hint("rebalance", day).sortWithinPartitions(day, *order)
+    writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # ids hardly repeat: a dictionary of them would only stand in the way of the filter
+    writer = writer.option("parquet.enable.dictionary#event_id", "false")
+    _with_blooms(writer, blooms).partitionBy(day, BATCH).parquet(path)
 
 
 def event_table_rows(events: DataFrame, now: Column) -> DataFrame:
@@ -39,13 +62,14 @@ def event_table_rows(events: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn(EVENT_DAY, partition_day(F.col("timestamp")))
 
 
-def write_events(events: DataFrame, path: str, now: Column, mode: str = "append") -> None:
-    _write(event_table_rows(events, now), path, EVENT_DAY, EVENT_ORDER, EVENT_BLOOM, mode)
+def write_events(events: DataFrame, path: str, now: Column, batch: str | None = None) -> None:
+    """Add a batch of events; without a name it is one of its own."""
+    _write(event_table_rows(events, now), path, EVENT_DAY, EVENT_ORDER, EVENT_BLOOM, batch or new_batch())
 
 
-def write_sessions(sessions: DataFrame, path: str, mode: str = "append") -> None:
+def write_sessions(sessions: DataFrame, path: str, batch: str | None = None) -> None:
     rows = session_sink_defaults(sessions).withColumn(SESSION_DAY, partition_day(F.col("start_time")))
-    _write(rows, path, SESSION_DAY, SESSION_ORDER, SESSION_BLOOM, mode)
+    _write(rows, path, SESSION_DAY, SESSION_ORDER, SESSION_BLOOM, batch or new_batch())
 
 
 def cluster_sort(rows: DataFrame, day: str, order: tuple[str, ...], files: int) -> DataFrame:
@@ -54,11 +78,90 @@ def cluster_sort(rows: DataFrame, day: str, order: tuple[str, ...], files: int)
     return rows.repartitionByRange(files, day, *order).sortWithinPartitions(day, *order)
 
 
-def compact_events(spark: SparkSession, path: str, target: str, first_day: str, last_day: str, files: int) -> None:
-    """Rewrite a range of days in table order to ``target``, a folder of its own."""
-    days = spark.read.parquet(path).where(F.col(EVENT_DAY).between(first_day, last_day))
-    writer = cluster_sort(days, EVENT_DAY, EVENT_ORDER, files).write.mode("overwrite")
-    _with_blooms(writer, EVENT_BLOOM).partitionBy(EVENT_DAY).parquet(target)
+def _folders(spark: SparkSession, path: str):
+    """The file system of a path and a maker of paths."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _children(files, folder) -> list[str]:
+    """Names of the folders in a folder, without hidden ones."""
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder) if status.isDirectory()]
+    return sorted(name for name in names if not name.startswith(("_", ".")))
+
+
+def batches_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the batches a table has, from its folders."""
+    files, make = _folders(spark, path)
+    days = _children(files, make(path))
+    found = {name for day in days for name in _children(files, make(f"{path}/{day}"))}
+    return sorted(name.removeprefix(f"{BATCH}=") for name in found if name.startswith(f"{BATCH}="))
+
+
+def skip_indexes(spark: SparkSession, path: str) -> DataFrame:
+    """(column, bloom, dictionary): what lets a lookup by value skip row groups, as the
+    footers say: every file has a Bloom filter on the column, or keeps its values in a
+    dictionary (then it writes no filter, for readers check the dictionary). A check of
+    a table's files, one by one, for small tables."""
+    footers = spark.sparkContext._jvm.org.apache.parquet.hadoop.ParquetFileReader
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    bloom: dict[str, bool] = {}
+    words: dict[str, bool] = {}
+    for file in spark.read.parquet(path).inputFiles():
+        for block in footers.readFooter(conf, make(file)).getBlocks():
+            for column in block.getColumns():
+                name = column.getPath().toDotString().split(".")[0]
+                bloom[name] = bloom.get(name, True) and column.getBloomFilterOffset() > 0
+                words[name] = words.get(name, True) and column.hasDictionaryPage()
+    rows = [(name, bloom[name], words[name]) for name in sorted(bloom)]
+    return spark.createDataFrame(rows, "column string, bloom boolean, dictionary boolean")
+
+
+COMPACTED = "compact"
+
+
+def compact_events(
+    spark: SparkSession, path: str, first_day: str, last_day: str, files: int, batches: list[str] | None = None
+) -> list[str]:
+    """Rewrite the batches of a range of days as one, in table order; returns the days.
+
+    Sweeps pass compacted batches by, so give the ``batches`` that were swept if there
+    are others. The new files are written beside the table first. Then, day by day, the folders
+    that were read move out of sight and the new one moves in. After a crash run
+    ``finish_compaction`` before anything else.
+    """
+    fs, make = _folders(spark, path)
+    rows = read_table(spark, path, EVENTS, EVENT_DAY).where(F.col(EVENT_DAY).between(first_day, last_day))
+    days = [d for d in _children(fs, make(path)) if f"{EVENT_DAY}={first_day}" <= d <= f"{EVENT_DAY}={last_day}"]
+    batch = new_batch(COMPACTED)
+    replaced = [f"{d}/{b}" for d in days for b in _children(fs, make(f"{path}/{d}"))]
+    if batches is not None:
+        rows = rows.where(F.col(BATCH).isin(batches))
+        replaced = [name for name in replaced if name.split(f"/{BATCH}=")[1] in set(batches)]
+    writer = cluster_sort(rows.withColumn(BATCH, F.lit(batch)), EVENT_DAY, EVENT_ORDER, files).write.mode("overwrite")
+    _with_blooms(writer, EVENT_BLOOM).partitionBy(EVENT_DAY, BATCH).parquet(f"{path}/_compact/rows")
+    names = spark.range(1).select(F.explode(F.array(*[F.lit(name) for name in replaced])).alias("value"))
+    names.coalesce(1).write.mode("overwrite").text(f"{path}/_compact/replaced")
+    finish_compaction(spark, path)
+    return [d.removeprefix(f"{EVENT_DAY}=") for d in days]
+
+
+def finish_compaction(spark: SparkSession, path: str) -> None:
+    """Put a written compaction in place; nothing to do without one. Can be repeated."""
+    fs, make = _folders(spark, path)
+    if not fs.exists(make(f"{path}/_compact/replaced/_SUCCESS")):
+        return
+    for row in spark.read.text(f"{path}/_compact/replaced").collect():  # one name per folder
+        fs.delete(make(f"{path}/{row.value}"), True)
+    for day in _children(fs, make(f"{path}/_compact/rows")):
+        for batch in _children(fs, make(f"{path}/_compact/rows/{day}")):
+            fs.mkdirs(make(f"{path}/{day}"))
+            fs.rename(make(f"{path}/_compact/rows/{day}/{batch}"), make(f"{path}/{day}/{batch}"))
+    fs.delete(make(f"{path}/_compact"), True)
 
 
 def evolve_schema(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -83,21 +186,36 @@ def _between_days(rows: DataFrame, day: str, ts: str, since: str | None, until:
     return rows
 
 
+def read_table(spark: SparkSession, path: str, columns: T.StructType, day: str) -> DataFrame:
+    """All batches, with the day and batch columns. The schema is given, so no file is
+    opened to find it; a column that a file lacks reads as null."""
+    fields = [*columns.fields, T.StructField(day, T.DateType()), T.StructField(BATCH, T.StringType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def read_events(
-    spark: SparkSession, path: str, since: str | None = None, until: str | None = None
+    spark: SparkSession,
+    path: str,
+    since: str | None = None,
+    until: str | None = None,
+    batches: list[str] | None = None,
 ) -> DataFrame:
-    """Events of a time range; files written before app_code existed read as ''."""
-    rows = spark.read.option("mergeSchema", True).parquet(path)
-    rows = _between_days(rows, EVENT_DAY, "timestamp", since, until)
+    """Events of a time range, or of some batches; files written before app_code existed
+    read as ''."""
+    rows = _between_days(read_table(spark, path, EVENTS, EVENT_DAY), EVENT_DAY, "timestamp", since, until)
+    if batches is not None:
+        rows = rows.where(F.col(BATCH).isin(batches))
     return evolve_schema(rows, {"app_code": ""}).select(*EVENT_COLUMNS)
 
 
 def read_sessions(
     spark: SparkSession, path: str, since: str | None = None, until: str | None = None
 ) -> DataFrame:
-    rows = spark.read.option("mergeSchema", True).parquet(path)
-    rows = _between_days(rows, SESSION_DAY, "start_time", since, until)
-    return evolve_schema(rows, {"app_code": ""}).select(*SESSION_COLUMNS)
+    """One row per session: a session that several sweeps have written counts as the
+    last one wrote it. Its start, and so its day, is the same in all of them or earlier."""
+    rows = evolve_schema(read_table(spark, path, SESSIONS, SESSION_DAY), {"app_code": ""})
+    latest = replace_latest(rows.select(*SESSION_COLUMNS, SESSION_DAY, BATCH), ("session_id",), (BATCH, "last_active_at", "start_time"))
+    return _between_days(latest, SESSION_DAY, "start_time", since, until).select(*SESSION_COLUMNS)
 
 
 def retain(rows: DataFrame, ts: str, ttl_s: int, now: Column) -> DataFrame:
@@ -107,13 +225,10 @@ def retain(rows: DataFrame, ts: str, ttl_s: int, now: Column) -> DataFrame:
 
 def expire_days(spark: SparkSession, path: str, day: str, oldest_kept: str) -> list[str]:
     """Delete day folders before ``oldest_kept`` (a date); nothing is rewritten."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, make = _folders(spark, path)
     dropped = []
-    for status in files.listStatus(root):
-        name = status.getPath().getName()
-        if status.isDirectory() and name.startswith(f"{day}=") and name[len(day) + 1 :] < oldest_kept:
-            files.delete(status.getPath(), True)
+    for name in _children(files, make(path)):
+        if name.startswith(f"{day}=") and name[len(day) + 1 :] < oldest_kept:
+            files.delete(make(f"{path}/{name}"), True)
             dropped.append(name[len(day) + 1 :])
     return sorted(dropped)

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.config import EngineConfig
 from eventloom.functions.keys import partition_key, partition_of, route_topic
-from eventloom.operators.skew import SLICE, time_slices
+from eventloom.functions.times import partition_day
 from eventloom.schemas import EVENTS
+from eventloom.sources.tables import new_batch
 
 
 @dataclass(frozen=True)
@@ -32,7 +34,8 @@ class KafkaTopics:
         )
         return records.select(F.col("value").cast("string").alias("value"), "partition", "offset")
 
-    def write(self, records: DataFrame) -> None:
+    def write(self, records: DataFrame, batch: str) -> None:
+        """Written again, a batch is sent again: consumers drop events by their id."""
         (
             records.write.format("kafka")
             .option("kafka.bootstrap.servers", self.bootstrap_servers)
@@ -56,14 +59,31 @@ class FolderTopics:
             .select("value")
         )
 
-    def write(self, records: DataFrame) -> None:
-        records.write.mode("append").partitionBy("topic").json(self.root)
+    def write(self, records: DataFrame, batch: str) -> None:
+        """Written again, a batch replaces its files."""
+        labelled = records.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+        labelled.option("partitionOverwriteMode", "dynamic").partitionBy("topic", "batch").json(self.root)
+
+
+_CORRUPT = "_corrupt_record"
+
+
+def split_unreadable(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events as flat rows, records whose ``value`` is no event)."""
+    schema = T.StructType([*EVENTS.fields, T.StructField(_CORRUPT, T.StringType())])
+    parsed = records.withColumn("_event", F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}))
+    readable = F.col("_event").isNotNull() & F.col(f"_event.{_CORRUPT}").isNull()
+    return parsed.where(readable).select("_event.*").drop(_CORRUPT), parsed.where(~readable).drop("_event")
+
+
+def read_records(spark: SparkSession, topics: KafkaTopics | FolderTopics, cfg: EngineConfig) -> DataFrame:
+    """The events topic as it is, text in ``value``."""
+    return topics.stream(spark, cfg.events_topic)
 
 
 def read_event_stream(spark: SparkSession, topics: KafkaTopics | FolderTopics, cfg: EngineConfig) -> DataFrame:
-    """Events of the events topic as flat rows."""
-    records = topics.stream(spark, cfg.events_topic)
-    return records.select(F.from_json("value", EVENTS).alias("event")).select("event.*")
+    """Events of the events topic as flat rows, without unreadable records."""
+    return split_unreadable(read_records(spark, topics, cfg))[0]
 
 
 def to_records(events: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -77,31 +97,33 @@ def to_records(events: DataFrame, cfg: EngineConfig) -> DataFrame:
     )
 
 
-def write_event_stream(events: DataFrame, topics: KafkaTopics | FolderTopics, cfg: EngineConfig) -> None:
+def write_event_stream(
+    events: DataFrame, topics: KafkaTopics | FolderTopics, cfg: EngineConfig, batch: str | None = None
+) -> None:
     """Publish a batch. The broker places rows by key."""
-    topics.write(to_records(events, cfg).select("topic", "key", "value"))
+    topics.write(to_records(events, cfg).select("topic", "key", "value"), batch or new_batch())
 
 
-def write_dead_letter_topic(annotated: DataFrame, topics: KafkaTopics | FolderTopics, cfg: EngineConfig) -> None:
+def write_dead_letter_topic(
+    annotated: DataFrame, topics: KafkaTopics | FolderTopics, cfg: EngineConfig, batch: str | None = None
+) -> None:
     records = annotated.select(
         F.lit(cfg.dead_letter_topic).alias("topic"),
         F.col("event_id").alias("key"),
         F.to_json(F.struct(*annotated.columns)).alias("value"),
     )
-    topics.write(records)
-
+    topics.write(records, batch or new_batch())
 
-def ordered_by_user(events: DataFrame, partitions: int, cfg: EngineConfig, ts: str = "timestamp") -> DataFrame:
-    """The layout of a topic for batch work: one user's events in one partition, in order.
 
-    A user with very many events is cut by time into several partitions, each in
+def ordered_by_user(events: DataFrame, partitions: int, ts: str = "timestamp") -> DataFrame:
+    """The layout of a topic for batch work: a user's events of a day in one partition, in
     order. Events without any id have no order to keep and are spread by event id.
     """
     known = F.coalesce("user_id", "anonymous_id")
     key = F.coalesce(F.concat(F.lit("k"), known), F.concat(F.lit("e"), F.col("event_id")))
-    sliced, _ = time_slices(events.withColumn("_key", key), "_key", ts, cfg.rows_per_slice)
+    keyed = events.withColumns({"_key": key, "_day": partition_day(F.col(ts))})
     return (
-        sliced.repartition(partitions, "_key", SLICE)
-        .sortWithinPartitions("_key", SLICE, ts, "event_id")
-        .drop("_key", SLICE)
+        keyed.repartition(partitions, "_key", "_day")
+        .sortWithinPartitions("_key", ts, "event_id")
+        .drop("_key", "_day")
     )

@@ -1,11 +1,7 @@
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from eventloom.config import EngineConfig
 from eventloom.functions.text import is_set
@@ -21,62 +17,7 @@ def _lane() -> F.Column:
 
 def dedup_stream(events: DataFrame, cfg: EngineConfig) -> DataFrame:
     """First event of each id while the watermark remembers it. The built-in operator:
-    the memory is the watermark delay, set it to the duplicate window or more."""
+    the memory is the watermark delay, set it to the duplicate window or more, and rows
+    behind the watermark are dropped. Where none may be lost, use ``dedup_batches``."""
     timed = event_time(events, cfg).withColumn("lane_key", _lane())
     return timed.dropDuplicatesWithinWatermark(["lane_key"]).drop("lane_key")
-
-
-class _Anchored(StatefulProcessor):
-    """Per id, the time of the accepted copy that currently blocks others."""
-
-    def __init__(self, window_ms: int, columns: list[str]) -> None:
-        self.window_ms = window_ms
-        self.columns = columns
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.anchor = handle.getValueState("anchor", "ms long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Rows of one trigger arrive in any order, and a heavy id may have very many.
-        # Chunk by chunk they are reduced to one row per millisecond.
-        pdf = None
-        for chunk in rows:
-            pdf = chunk if pdf is None else pd.concat([pdf, chunk])
-            pdf = pdf.sort_values(["event_ms", "seq"], kind="stable").drop_duplicates("event_ms")
-        before = self.anchor.get()
-        anchor = before[0] if before is not None else None
-        kept = []
-        for place, ms in enumerate(pdf["event_ms"].to_numpy()):
-            if anchor is None or ms - anchor >= self.window_ms:
-                kept.append(place)
-                anchor = int(ms)
-        if kept:
-            self.anchor.update((anchor,))
-            self.handle.registerTimer(anchor + self.window_ms)
-            yield pdf.iloc[kept][self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.anchor.get()
-        if state is not None and state[0] + self.window_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.anchor.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def dedup_stream_anchored(events: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """The exact rule of the batch operator: the window runs from the accepted copy
-    and is not renewed by blocked ones. Late rows within the watermark are compared
-    with the state as it is then."""
-    timed = event_time(events, cfg)
-    columns = timed.columns
-    keyed = timed.withColumns({"lane_key": _lane(), "event_ms": F.unix_millis("timestamp")})
-    return keyed.groupBy("lane_key").transformWithStateInPandas(
-        statefulProcessor=_Anchored(cfg.dedup_window_s * 1000, columns),
-        outputStructType=timed.schema,
-        outputMode="Append",
-        timeMode="EventTime",
-        eventTimeColumnName="timestamp",
-    )

@@ -1,7 +1,8 @@
 """Delivery of micro-batches.
 
-A batch may be delivered again after a failure. Each batch therefore owns a folder
-named by its number and overwrites it, so a repeat changes nothing.
+A batch may be delivered again after a failure. Tables, dead letters and folder topics
+keep each batch in folders of its own, named by its number, and overwrite them, so a
+repeat changes nothing. Kafka gets the records again, with the same keys and event ids.
 """
 
 from __future__ import annotations
@@ -9,13 +10,14 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.config import EngineConfig
 from eventloom.operators.dead_letters import annotate, dead_letters
-from eventloom.sources.tables import write_events
+from eventloom.sources.dead_letters import add_entries
+from eventloom.sources.tables import numbered_batch, write_events
 from eventloom.sources.topics import FolderTopics, KafkaTopics, write_dead_letter_topic, write_event_stream
 
 log = logging.getLogger(__name__)
@@ -23,31 +25,44 @@ log = logging.getLogger(__name__)
 Sink = Callable[[DataFrame, int], None]
 
 
-def events_table_sink(path: str) -> Sink:
+def events_table_sink(path: str, now: Column | None = None, kind: str = "stream") -> Sink:
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_events(batch, f"{path}/batch={batch_id}", F.current_timestamp(), mode="overwrite")
+        write_events(batch, path, F.current_timestamp() if now is None else now, numbered_batch(kind, batch_id))
 
     return write
 
 
-def topic_sink(topics: KafkaTopics | FolderTopics, cfg: EngineConfig) -> Sink:
-    def write(batch: DataFrame, _: int) -> None:
-        write_event_stream(batch, topics, cfg)
+def topic_sink(topics: KafkaTopics | FolderTopics, cfg: EngineConfig, kind: str = "stream") -> Sink:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_event_stream(batch, topics, cfg, numbered_batch(kind, batch_id))
 
     return write
 
 
-def dead_letter_sink(path: str, reason: str) -> Sink:
+def write_entries(entries: DataFrame, path: str, batch_id: int) -> None:
+    """Add dead-letter entries to the stored table that replays read."""
+    add_entries(entries, path, batch_id)
+
+
+def entries_sink(path: str) -> Sink:
+    """For batches that are dead-letter entries already."""
+    return lambda batch, batch_id: write_entries(batch, path, batch_id)
+
+
+def dead_letter_sink(path: str, reason: str, now: Column | None = None) -> Sink:
+    """For batches of events that went nowhere."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        entries = dead_letters(batch, F.lit(reason), F.current_timestamp())
-        entries.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        at = F.current_timestamp() if now is None else now
+        write_entries(dead_letters(batch, F.lit(reason), at), path, batch_id)
 
     return write
 
 
 def dead_letter_topic_sink(topics: KafkaTopics | FolderTopics, reason: str, cfg: EngineConfig) -> Sink:
-    def write(batch: DataFrame, _: int) -> None:
-        write_dead_letter_topic(annotate(batch, reason, F.current_timestamp()), topics, cfg)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        annotated = annotate(batch, reason, F.current_timestamp())
+        write_dead_letter_topic(annotated, topics, cfg, numbered_batch("dead", batch_id))
 
     return write
 
@@ -115,3 +130,8 @@ def to_parquet(rows: DataFrame, path: str, checkpoint: str) -> DataFrame:
     )
     query.awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def batches_to_parquet(path: str) -> Sink:
+    """A folder per batch; a repeat overwrites its own."""
+    return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

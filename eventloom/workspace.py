@@ -6,12 +6,16 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made = threading.local()
 
 
 def prepare_session(spark: SparkSession) -> SparkSession:
@@ -84,12 +88,32 @@ def write_through(df: DataFrame, name: str = "step") -> DataFrame:
     several later steps each read just the columns they need.
     """
     path = scratch_path(df.sparkSession, name)
+    if getattr(_made, "paths", None) is not None:
+        _made.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def dropping_scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside go when the block ends: for micro-batches, of
+    which a long-running stream has any number. Results must be written by then."""
+    outer = getattr(_made, "paths", None)
+    _made.paths = []
+    try:
+        yield
+    finally:
+        paths, _made.paths = _made.paths, outer
+        for path in paths:
+            _delete(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has put into the shared folder. Call it when the
     results have been written to their own place."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    _delete(spark, _scratch_root(spark))

@@ -238,7 +238,10 @@ def test_keys_and_topics(spark):
     assert one(spark, None, lambda c: partition_key(c, F.lit(None)) ) == "unknown"
     assert one(spark, None, lambda c: partition_key(c, F.lit("a"))) == "a"
     assert one(spark, "", lambda c: partition_of(c, 12)) == 0
-    assert 0 <= one(spark, "u1", lambda c: partition_of(c, 12)) < 12
+    # 'u' * 31 + '1'; a character beyond 16 bits counts as its two halves
+    assert one(spark, "u1", lambda c: partition_of(c, 1_000_000)) == 117 * 31 + 49
+    assert one(spark, "\U0001f600", lambda c: partition_of(c, 10_000_000)) == 0xD83D * 31 + 0xDE00
+    assert one(spark, "polygenelubricants", lambda c: partition_of(c, 12)) == 0  # hash -2^31
     topics = [one(spark, t, lambda c: route_topic(c, CFG)) for t in ("session_start", "session_end", "click")]
     assert topics == ["sessions", "sessions", "events"]
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
-from eventloom.operators.dedup import anti_processed, anti_seen, drop_duplicates, first_seen, mark_duplicates
+from eventloom.operators.dedup import accepted_ids, anti_processed, anti_seen, drop_duplicates, mark_duplicates
 
 CFG = EngineConfig()
 BASE = 1_700_000_000
@@ -59,8 +59,7 @@ def test_rows_without_a_slot_neither_block_nor_fall(spark):
 
 
 @pytest.mark.parametrize("fold_limit", [1_000, 1])
-@pytest.mark.parametrize("rows_per_slice", [5_000_000, 20])
-def test_long_lived_ids_match_the_fold(spark, fold_limit, rows_per_slice):
+def test_long_lived_ids_match_the_fold(spark, fold_limit):
     rng = random.Random(7)
     rows, seq = [], 0
     for number in range(12):
@@ -70,8 +69,7 @@ def test_long_lived_ids_match_the_fold(spark, fold_limit, rows_per_slice):
             t += rng.choice((0.0, 0.5, 17.0, 120.0, 299.999, 300.0, 300.001, 1_000.0, 9_000.0))
             rows.append((f"id{number}", round(t, 3), seq))
             seq += 1
-    cfg = CFG.with_(rows_per_slice=rows_per_slice)
-    got = kept(drop_duplicates(events(spark, rows), cfg, fold_limit=fold_limit))
+    got = kept(drop_duplicates(events(spark, rows), CFG, fold_limit=fold_limit))
     assert got == fold(rows, 300)
 
 
@@ -84,17 +82,24 @@ def test_any_history_matches_the_fold(spark, history):
 
 def test_one_id_with_a_third_of_the_rows(spark):
     rows = [("0", i * 0.25, i) for i in range(3_000)] + [(f"x{i}", float(i), 10_000 + i) for i in range(6_000)]
-    cfg = CFG.with_(rows_per_slice=500)
-    got = kept(drop_duplicates(events(spark, rows), cfg, fold_limit=100))
+    got = kept(drop_duplicates(events(spark, rows), CFG, fold_limit=100))
     assert got == fold(rows, 300)
 
 
-@pytest.mark.parametrize("rows_per_slice", [5_000_000, 1])
-def test_seen_ids_block_for_the_window(spark, rows_per_slice):
+def test_seen_ids_block_for_the_window(spark):
     seen = events(spark, [("a", 0.0, 0), ("a", 50.0, 1), ("b", 0.0, 2)])
-    later = events(spark, [("a", 300.0, 10), ("a", 350.0, 11), ("b", 299.9, 12), ("c", 0.0, 13), (None, 0.0, 14)])
-    got = anti_seen(later, first_seen(seen), CFG.with_(rows_per_slice=rows_per_slice))
-    assert kept(got) == [11, 13, 14]
+    rows = [("a", 300.0, 10), ("a", 350.0, 11), ("b", 299.9, 12), ("c", 0.0, 13), (None, 0.0, 14), ("", 0.0, 15)]
+    # late copies: blocked within the window before an accepted one, free further back
+    rows += [("b", -299.9, 16), ("b", -300.0, 17), ("b", 599.9, 18)]
+    got = anti_seen(events(spark, rows), accepted_ids(seen), CFG)
+    assert kept(got) == [11, 13, 14, 15, 17, 18]
+
+
+def test_blocked_copies_open_no_window(spark):
+    seen = accepted_ids(events(spark, [("a", 0.0, 0)]))
+    rows = [("a", 200.0, 1), ("a", 310.0, 2), ("a", 320.0, 3), ("", 0.0, 4)]
+    marked = mark_duplicates(events(spark, rows), CFG, seen=seen)
+    assert {r.seq: r.is_duplicate for r in marked.collect()} == {1: True, 2: False, 3: True, 4: False}
 
 
 def test_processed_means_present_in_the_events_table(spark):

@@ -15,8 +15,18 @@ from eventloom.operators.rollups import (
     merge_hourly,
     sessions_daily,
 )
-from eventloom.operators.sessions import attach_sessions, session_rows, session_sink_defaults, split_live
-from eventloom.plans.finalize import finalize_sessions
+from eventloom.operators.sessions import (
+    attach_sessions,
+    fold_open_sessions,
+    open_sessions,
+    session_rows,
+    session_sink_defaults,
+    split_live,
+    visits,
+)
+from eventloom.plans.finalize import sweep_sessions, swept_batches
+from eventloom.sources.tables import compact_events, read_events, read_sessions, write_events
+from eventloom.workspace import write_through
 
 CFG = EngineConfig()
 SCHEMA = (
@@ -91,8 +101,7 @@ def plain_sessions(rows, timeout):
     return sorted((key, end - start, n) for key, runs in out.items() for start, end, n in runs)
 
 
-@pytest.mark.parametrize("rows_per_slice", [5_000_000, 10])
-def test_random_histories_match_a_plain_walk(spark, rows_per_slice):
+def test_random_histories_match_a_plain_walk(spark):
     rng = random.Random(11)
     rows, seq = [], 0
     for visitor in range(15):
@@ -101,12 +110,11 @@ def test_random_histories_match_a_plain_walk(spark, rows_per_slice):
             t += rng.choice((0.0, 1.0, 600.0, 1_799.999, 1_800.0, 1_800.001, 5_000.0))
             rows.append(event(seq, round(t, 3), anon=f"v{visitor if visitor > 4 else 0}"))
             seq += 1
-    cfg = CFG.with_(rows_per_slice=rows_per_slice)
     df = events(spark, rows)
-    sessions = session_rows(df, cfg)
+    sessions = session_rows(df, CFG)
     got = sorted((r.anonymous_id, r.duration, r.page_views) for r in sessions.collect())
     assert got == plain_sessions(rows, 1_800)
-    attached = attach_sessions(df, cfg).groupBy("session_id").agg(F.count("*").alias("n"))
+    attached = attach_sessions(df, CFG).groupBy("session_id").agg(F.count("*").alias("n"))
     by_event = {r.session_id: r.n for r in attached.collect()}
     assert by_event == {r.session_id: r.page_views for r in sessions.collect()}
 
@@ -118,40 +126,59 @@ def test_live_and_due(spark):
     assert [r.anonymous_id for r in live.collect()] == ["new"]
 
 
-def test_replace_latest_and_second_sweep(spark):
-    df = events(spark, [event(0, 0), event(1, 100)])
-    now = F.timestamp_seconds(F.lit(1_700_010_000))
-    first = finalize_sessions(df.where("seq = 0"), CFG, now)
-    again = finalize_sessions(df, CFG, now, stored=first)
-    (row,) = again.collect()
-    assert (row.page_views, row.duration) == (2, 100_000)
+def test_replace_latest(spark):
     versions = spark.createDataFrame([("k", 1, "a"), ("k", 3, "c"), ("k", 2, "b"), ("l", 1, None)], "k string, v int, x string")
     assert sorted(map(tuple, replace_latest(versions, ["k"], ["v"]).collect())) == [("k", 3, "c"), ("l", 1, None)]
 
 
-def test_sink_defaults(spark):
-    (row,) = session_sink_defaults(session_rows(events(spark, [event(0, 0.75, anon=None, user="u")]), CFG)).collect()
-    assert (row.anonymous_id, row.utm_source, row.device_type) == ("", "", "")
-    assert row.start_time.microsecond == 0
-
-
-def test_rollups_merge_to_the_same_rows(spark):
-    rows = [event(i, i * 37, "page_view" if i % 2 else "click", anon=f"v{i % 4}") for i in range(200)]
-    df = events(spark, rows).withColumns(
-        {"spmb": F.lit("b"), "spmd": F.lit(None).cast("string"), "stay_duration": F.when(F.col("seq") % 3 != 0, F.col("seq"))}
-    )
-    whole = sorted(map(tuple, events_hourly(df).collect()), key=str)
-    parts = hourly_partials(df.where("seq < 77")).unionByName(hourly_partials(df.where("seq >= 77")))
-    assert sorted(map(tuple, merge_hourly(parts).collect()), key=str) == whole
-    sessions = session_rows(df, CFG)
-    whole = sorted(map(tuple, sessions_daily(sessions).collect()), key=str)
-    parts = daily_partials(sessions.where("clicks % 2 = 0")).unionByName(daily_partials(sessions.where("clicks % 2 = 1")))
-    assert sorted(map(tuple, merge_daily(parts).collect()), key=str) == whole
-
-
-def test_hourly_mean_skips_nulls(spark):
-    df = events(spark, [event(0, 0), event(1, 1), event(2, 2)]).withColumns(
-        {"spmb": F.lit(""), "spmd": F.lit(""), "stay_duration": F.when(F.col("seq") > 0, F.col("seq") * 10)}
-    )
-    (row,) = events_hourly(df.withColumn("event_id", F.lit("x"))).collect()
-    assert (row.event_count, row.page_view_count, row.avg_stay_duration) == (3, 3, 15.0)
+def test_open_sessions_go_on_in_the_next_batch(spark):
+    """However a history is cut into batches, visits get the ids of one batch."""
+    rng = random.Random(4)
+    rows = [event(seq, rng.randrange(40_000), anon=f"v{seq % 7}") for seq in range(300)]
+    df = events(spark, rows).cache()
+    want = {r.seq: r.session_id for r in attach_sessions(df, CFG).collect()}
+    now = F.timestamp_seconds(F.lit(1_700_100_000))
+    ordered = [r.seq for r in df.orderBy("timestamp", "seq").collect()]
+    stored, got = None, {}
+    for part in (ordered[:100], ordered[100:101], ordered[101:]):
+        batch = df.where(F.col("seq").isin(part))
+        spans = write_through(visits(batch, CFG, stored=stored), "visits")
+        got |= {r.seq: r.session_id for r in attach_sessions(batch, CFG, spans=spans).collect()}
+        new = open_sessions(spans, now)
+        both = new if stored is None else stored.unionByName(new)
+        stored = write_through(fold_open_sessions(both, CFG, now), "open")
+    assert got == want
+    # a late event joins the visit it lies in; nothing is remembered for ever
+    late = events(spark, [event(999, 5, anon="v0")])
+    spans = visits(late, CFG, stored=stored)
+    near = min(abs(s - 5) for s in (r[8] for r in rows if r[3] == "v0"))
+    assert near > 1_800 or attach_sessions(late, CFG, spans=spans).first().session_id in set(want.values())
+    assert fold_open_sessions(stored, CFG, F.timestamp_seconds(F.lit(1_700_200_000))).count() == 0
+
+
+def test_sweeps_read_what_is_new(spark, tmp_path):
+    path = str(tmp_path)
+    tables = f"{path}/events", f"{path}/sessions", f"{path}/state"
+
+    def later(seconds):
+        return F.timestamp_seconds(F.lit(1_700_000_000 + seconds))
+
+    def add(batch, *rows):
+        write_events(events(spark, list(rows)).withColumn("session_id", F.col("anonymous_id")), tables[0], later(0), batch)
+
+    def sessions():
+        return {r.session_id: (r.page_views, r.duration) for r in read_sessions(spark, tables[1]).collect()}
+
+    add("a", event(0, 0, anon="s1"), event(1, 100, anon="s1"), event(2, 2_000, anon="s2"))
+    assert sweep_sessions(spark, *tables, CFG, later(2_100)).count() == 1
+    assert sessions() == {"s1": (2, 100_000)}
+    assert sweep_sessions(spark, *tables, CFG, later(2_200)).count() == 0
+    # s2 goes on, and a late event changes the finished s1
+    add("b", event(3, 2_500, anon="s2"), event(4, 50, anon="s1"))
+    assert sweep_sessions(spark, *tables, CFG, later(5_000)).count() == 2
+    assert sessions() == {"s1": (3, 100_000), "s2": (2, 500_000)}
+    # a compacted table gives nothing new
+    compact_events(spark, tables[0], "2023-11-14", "2023-11-14", 2, swept_batches(spark, tables[2]))
+    assert read_events(spark, tables[0]).count() == 5
+    assert sweep_sessions(spark, *tables, CFG, later(9_000)).count() == 0
+    assert sessions() == {"s1": (3, 100_000), "s2": (2, 500_000)}

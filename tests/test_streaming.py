@@ -13,14 +13,13 @@ from eventloom.operators.dedup import drop_duplicates
 from eventloom.operators.identity import resolve_identity
 from eventloom.operators.rollups import events_hourly, merge_hourly
 from eventloom.operators.sessions import session_rows
-from eventloom.streaming.dedup import dedup_stream, dedup_stream_anchored
-from eventloom.streaming.identity import identity_stream
+from eventloom.streaming.batches import dedup_batches, identity_batches, rate_batches
+from eventloom.streaming.dedup import dedup_stream
 from eventloom.streaming.metrics import IngestCounters, observe_stream
-from eventloom.streaming.rate import rate_cap_stream
 from eventloom.streaming.rollups import hourly_stream
 from eventloom.streaming.sessions import sessionize_stream
 from eventloom.streaming.settings import streaming_session
-from eventloom.streaming.sinks import to_parquet
+from eventloom.streaming.sinks import batches_to_parquet, run_available, to_parquet
 
 CFG = EngineConfig()
 T0 = 1_700_000_000_000
@@ -76,12 +75,26 @@ def run(spark, history, tmp_path, batch):
     return over
 
 
+@pytest.fixture
+def run_batches(spark, history, tmp_path, batch):
+    def over(make):
+        stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(history)
+        run_available(stream, make(str(tmp_path / "state"), batches_to_parquet(str(tmp_path / "rows"))), str(tmp_path / "checkpoint"))
+        return spark.read.parquet(str(tmp_path / "rows"))
+
+    return over
+
+
+def now():
+    return F.timestamp_millis(F.lit(T0))
+
+
 def rows(df):
     return sorted(map(str, df.collect()))
 
 
-def test_anchored_duplicates(run, batch):
-    got = run(lambda s: dedup_stream_anchored(s, CFG))
+def test_anchored_duplicates(run_batches, batch):
+    got = run_batches(lambda state, out: dedup_batches(state, out, CFG, now()))
     assert rows(got.select("seq")) == rows(drop_duplicates(batch, CFG).select("seq"))
 
 
@@ -92,9 +105,9 @@ def test_built_in_duplicates_keep_every_id_and_all_without(run, batch):
     assert got.count() < batch.count()
 
 
-def test_identity(run, batch):
+def test_identity(run_batches, batch):
     columns = ["seq", "user_id", "identity_linked", "identity_resolved"]
-    got = run(lambda s: identity_stream(s, CFG))
+    got = run_batches(lambda state, out: identity_batches(state, out, CFG, now()))
     want = resolve_identity(batch, CFG)
     assert rows(got.select(columns)) == rows(want.select(columns))
     assert want.where("identity_resolved").count() > 20
@@ -112,11 +125,11 @@ def test_closed_hours(run, batch):
     assert rows(got) == rows(want)
 
 
-def test_token_bucket(run, batch):
+def test_token_bucket(run_batches, batch):
     cfg = CFG.with_(max_requests_per_second=1)
-    got = {r.seq: r.over_limit for r in run(lambda s: rate_cap_stream(s, cfg)).collect()}
+    got = {r.seq: r.over_limit for r in run_batches(lambda state, out: rate_batches(state, out, cfg)).collect()}
     order = batch.select("app_code", "seq", "event_id", F.unix_millis("timestamp").alias("ms")).collect()
-    # the order of the handler: trigger, time, id
+    # the order of service: trigger, time, id
     trigger = lambda seq: (seq >= 80) + (seq >= 160) + (seq >= FAR)
     buckets, want = {}, {}
     for r in sorted(order, key=lambda r: (trigger(r.seq), r.ms, r.event_id)):
@@ -133,6 +146,25 @@ def test_token_bucket(run, batch):
     assert any(got.values()) and not all(got.values())
 
 
+def test_one_client_with_a_third_of_the_requests(spark, tmp_path):
+    """Served from one count per instant, as a plain bucket would."""
+    rng = random.Random(9)
+    requests = [("bot" if i % 3 else f"c{i % 50}", rng.randrange(40_000), f"r{i:05d}") for i in range(9_000)]
+    df = spark.createDataFrame(requests, "app_code string, ms long, event_id string")
+    df = df.withColumn("timestamp", F.timestamp_millis(F.lit(T0) + F.col("ms")))
+    cfg = CFG.with_(max_requests_per_second=20)
+    run = rate_batches(str(tmp_path / "state"), batches_to_parquet(str(tmp_path / "rows")), cfg)
+    for number in range(2):
+        run(df.where(f"floor(ms / 20000) = {number}"), number)
+    got = {r.event_id: r.over_limit for r in spark.read.parquet(str(tmp_path / "rows")).collect()}
+    tokens, last, want = {}, {}, {}
+    for client, ms, rid in sorted(requests, key=lambda r: (r[1], r[2])):
+        have = min(20_000, tokens.get(client, 20_000) + (ms - last.get(client, ms)) * 20)
+        want[rid] = have < 1_000
+        tokens[client], last[client] = have - (0 if want[rid] else 1_000), ms
+    assert got == want and any(want.values())
+
+
 def test_counters_add_up_over_triggers(spark, run, batch):
     counters = IngestCounters()
     spark.streams.addListener(counters)
