@@ -127,12 +127,17 @@ def derive(source: DataFrame) -> DataFrame:
 
 
 def source_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_session(spark).read.parquet(f"{sf_dir}/events.parquet")
+    """The given events. A table that is less than one split per core is dealt out, or
+    all that is derived from it would be the work of a single task; a larger one is read
+    as it lies."""
+    events = prepare_session(spark).read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores) if events.rdd.getNumPartitions() < cores else events
 
 
 def stream_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table as a stream of files."""
-    schema = source_events(spark, sf_dir).schema
+    schema = prepare_session(spark).read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
 
 

@@ -1,40 +1,31 @@
 """Joins to tables that are usually small.
 
-Larger joins are left to adaptive execution, which splits the heavy partitions of an
-equi join by itself. That needs both sides to come straight from a shuffle, so a side
-that is an aggregate is written down before it is joined.
+Such a table is written first. Spark then knows its size from the files: within
+``spark.sql.autoBroadcastJoinThreshold`` it is broadcast, beyond that both sides are
+shuffled, and adaptive execution splits the heavy partitions of the other side, which it
+can as the written side comes straight from a shuffle too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.workspace import write_through
 
-BROADCAST_BYTES = 64 << 20
 HOUR_MS = 3_600_000
 
 
-def fits_broadcast(table: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """The table's rows take at most ``limit`` bytes as JSON text; in memory that is a
-    small multiple."""
-    size = table.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0]
-    return (size or 0) <= limit
-
-
 def lookup_join(
     left: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", written: bool = False
 ) -> DataFrame:
-    """Join to a table that is usually small and unique on ``on``: broadcast if its
-    measured size allows. Beyond that both sides are shuffled; the result is the same.
-    ``written`` says that the table is read from files already."""
-    table = table if written else write_through(table, "lookup")
-    return left.join(F.broadcast(table) if fits_broadcast(table) else table, list(on), how)
+    """Join to a table that is usually small and unique on ``on``. ``written`` says that
+    it is read from files already."""
+    return left.join(table if written else write_through(table, "lookup"), list(on), how)
 
 
-def hour_of(ms) -> F.Column:
+def hour_of(ms: Column) -> Column:
     """First millisecond of the hour."""
     return ms - F.pmod(ms, F.lit(HOUR_MS))

@@ -19,7 +19,7 @@ from eventloom.operators.sessions import (
     split_live,
 )
 from eventloom.schemas import EVENTS
-from eventloom.sources.state import delete, finished
+from eventloom.sources.state import delete, finished, read_note, write_note
 from eventloom.sources.tables import COMPACTED, batches_of, numbered_batch, read_events, read_sessions, write_sessions
 from eventloom.workspace import write_through
 
@@ -37,7 +37,7 @@ def _parts_schema(spark: SparkSession) -> T.StructType:
 def swept_batches(spark: SparkSession, state: str) -> list[str]:
     """Names of the batches of events that sweeps have read."""
     runs = finished(spark, state, "swept-")
-    return [r.value for r in spark.read.text(f"{state}/swept-{max(runs)}").collect()] if runs else []
+    return read_note(spark, f"{state}/swept-{max(runs)}")[1:] if runs else []
 
 
 #: States of earlier sweeps that are kept.
@@ -76,14 +76,12 @@ def sweep_sessions(
     old = sweep_due(F.col("end_time"), cfg.session_timeout_s, _last_sweep(spark, state, runs))
     merged = write_through(merged.withColumns({"_due": due, "_written": ~F.col("fresh") & old}), "sessions")
     rows = rows_of_parts(merged.where("_due and not _written"), cfg)
-    rows = write_through(rows, "finished")
     write_sessions(rows, sessions, numbered_batch("sweep", run))
     kept = merged.where(~F.col("_due") | (F.col("end_time") > plus_seconds(now, -cfg.session_timeout_s - cfg.session_keep_s)))
     kept.drop("fresh", "_due", "_written").write.mode("overwrite").parquet(f"{state}/open-{run}")
-    spark.range(1).select(now.alias("at")).write.mode("overwrite").parquet(f"{state}/time-{run}")
-    names = F.explode(F.array(*[F.lit(name) for name in [*known, *new]]).cast("array<string>"))
-    spark.range(1).select(names.alias("value")).write.mode("overwrite").text(f"{state}/swept-{run}")
-    for kind in ("open-", "time-", "swept-"):
+    moment = spark.range(1).select(F.unix_millis(now)).first()[0]
+    write_note(spark, f"{state}/swept-{run}", [str(moment), *known, *new])
+    for kind in ("open-", "swept-"):
         for number in finished(spark, state, kind):
             if number <= run - KEEP:
                 delete(spark, f"{state}/{kind}{number}")
@@ -92,9 +90,8 @@ def sweep_sessions(
 
 def _last_sweep(spark: SparkSession, state: str, runs: list[int]) -> Column:
     """The time of the last sweep; before the first one, a time before all events."""
-    if not runs:
-        return F.timestamp_millis(F.lit(-(2**46)))
-    return F.lit(spark.read.parquet(f"{state}/time-{max(runs)}").first().at)
+    moment = int(read_note(spark, f"{state}/swept-{max(runs)}")[0]) if runs else -(2**46)
+    return F.timestamp_millis(F.lit(moment))
 
 
 def rollups(events: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -35,6 +35,29 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def write_note(spark: SparkSession, folder: str, lines: list[str]) -> None:
+    """A few lines of text as a folder like those that jobs write; replaces an old one."""
+    jvm = spark.sparkContext._jvm
+    make = jvm.org.apache.hadoop.fs.Path
+    files = make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(make(folder), True)
+    for name, text in (("lines.txt", "\n".join(lines)), ("_SUCCESS", "")):
+        out = files.create(make(f"{folder}/{name}"))
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
+def read_note(spark: SparkSession, folder: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/lines.txt")
+    source = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    try:
+        text = bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+    return text.split("\n") if text else []
+
+
 @dataclass(frozen=True)
 class BatchState:
     root: str

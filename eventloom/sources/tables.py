@@ -18,6 +18,7 @@ from eventloom.operators.collapse import replace_latest
 from eventloom.operators.enrich import default_times, sink_defaults
 from eventloom.operators.sessions import session_sink_defaults
 from eventloom.schemas import EVENT_COLUMNS, EVENTS, SESSION_COLUMNS, SESSIONS
+from eventloom.sources.state import read_note, write_note
 
 EVENT_DAY = "event_date"
 SESSION_DAY = "start_date"
@@ -144,8 +145,7 @@ def compact_events(
         replaced = [name for name in replaced if name.split(f"/{BATCH}=")[1] in set(batches)]
     writer = cluster_sort(rows.withColumn(BATCH, F.lit(batch)), EVENT_DAY, EVENT_ORDER, files).write.mode("overwrite")
     _with_blooms(writer, EVENT_BLOOM).partitionBy(EVENT_DAY, BATCH).parquet(f"{path}/_compact/rows")
-    names = spark.range(1).select(F.explode(F.array(*[F.lit(name) for name in replaced])).alias("value"))
-    names.coalesce(1).write.mode("overwrite").text(f"{path}/_compact/replaced")
+    write_note(spark, f"{path}/_compact/replaced", replaced)
     finish_compaction(spark, path)
     return [d.removeprefix(f"{EVENT_DAY}=") for d in days]
 
@@ -155,8 +155,8 @@ def finish_compaction(spark: SparkSession, path: str) -> None:
     fs, make = _folders(spark, path)
     if not fs.exists(make(f"{path}/_compact/replaced/_SUCCESS")):
         return
-    for row in spark.read.text(f"{path}/_compact/replaced").collect():  # one name per folder
-        fs.delete(make(f"{path}/{row.value}"), True)
+    for name in read_note(spark, f"{path}/_compact/replaced"):
+        fs.delete(make(f"{path}/{name}"), True)
     for day in _children(fs, make(f"{path}/_compact/rows")):
         for batch in _children(fs, make(f"{path}/_compact/rows/{day}")):
             fs.mkdirs(make(f"{path}/{day}"))

@@ -13,7 +13,6 @@ from eventloom.operators import dead_letters as DL
 from eventloom.operators.dedup import drop_duplicates
 from eventloom.operators.identity import resolve_identity
 from eventloom.operators.quality import observe_metrics, rate_cap
-from eventloom.operators import skew
 from eventloom.operators.skew import lookup_join
 from eventloom.plans.ingest import Earlier, event_table, ingest
 from eventloom.plans.load import UNREADABLE, ingest_batches, load_from_stream
@@ -274,14 +273,18 @@ def test_annotate_for_the_dead_letter_topic(spark):
 # ------------------------------------------------------------------ heavy keys
 
 
-def test_lookups_of_any_size(spark, monkeypatch):
+def test_lookups_of_any_size(spark):
     rows = [("hot", i) for i in range(900)] + [(f"k{i % 300}", 1_000 + i) for i in range(900)] + [(None, 5_000)]
     left = spark.createDataFrame(rows, "k string, n long").repartition(7)
     right = spark.createDataFrame([("hot", "H"), ("k1", "K"), ("zz", "Z")], "k string, v string")
     plain = sorted(map(str, left.join(right, ["k"], "left").collect()))
     assert sorted(map(str, lookup_join(left, right, ["k"]).select("k", "n", "v").collect())) == plain
-    monkeypatch.setattr(skew, "fits_broadcast", lambda table: False)
-    assert sorted(map(str, lookup_join(left, right, ["k"]).select("k", "n", "v").collect())) == plain
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert sorted(map(str, lookup_join(left, right, ["k"]).select("k", "n", "v").collect())) == plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_three_thousand_heavy_keys(spark):
