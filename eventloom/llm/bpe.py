@@ -7,8 +7,8 @@ rest of a text is encoded where it is. A cut may fall inside a word, and then th
 the parts are not those of the whole: the words around each join are encoded again,
 more of them until the ids on both sides agree with the parts, and replace theirs.
 
-Equal texts are one text on the way. Texts move once, by their hash; of chunks only
-hashes and places do, and the ids of the shared ones.
+Texts move once, by a hash of id and text, so copies of one text are spread; of chunks
+only hashes and places do, and the ids of the shared ones.
 
 A null text is an empty one, with no ids. Rows with equal or null doc_id are kept apart.
 An empty table gives an empty result. Extra columns are ignored.
@@ -127,10 +127,10 @@ def shared_places(texts: DataFrame) -> DataFrame:
 
     places = stored(map_rows(texts, chunks, "key binary, start int, end int, h binary"), "chunks")
     place = F.struct("key", "start")
-    # equal texts repeat their places, so the smallest and largest tell whether there are two
+    # rows that are equal have equal places, so smallest and largest tell whether there are two
     ends = places.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
-    shared = places.join(stored(ends.select("h", "a"), "shared"), "h")
-    return stored(shared.select("key", "start", "end", "h", (place == F.col("a")).alias("first")).distinct(), "places")
+    shared = places.join(stored(ends.select("h", "a"), "shared").hint("merge"), "h")
+    return stored(shared.select("key", "start", "end", "h", (place == F.col("a")).alias("first")), "places")
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, finish=None, schema: str = "ids binary") -> DataFrame:
@@ -138,32 +138,35 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, finish=None,
     little-endian 32-bit numbers."""
     finish = finish or (lambda codec, ids: (wide(ids),))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    keyed = rows.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text")
-    places = shared_places(keyed.select("key", "text"))
-    # one row per text; copies are gone before they move. Both uses below are in one plan,
-    # so that Spark moves the texts once
-    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text")).cast("binary"))
+    # the same two columns in both uses below, which are in one plan: texts move once
+    texts = rows.select(F.unhex(digest).alias("key"), F.struct("doc_id", "text").alias("row"))
+    places = shared_places(texts.select("key", "row.text"))
 
     def firsts(batch: Iterator[tuple]) -> Iterator[tuple]:
         codec = encoder(vocabulary)
-        for text, spots in batch:
-            for start, end, h in ((s["start"], s["end"], s["h"]) for s in spots):
-                yield h, codec.encode(text[start:end])
+        for row, spots in batch:
+            for spot in spots:
+                yield spot["h"], codec.encode(row["text"][spot["start"] : spot["end"]])
 
+    # hash joins, built from the small side: texts need no sorting
     spots = places.where("first").groupBy("key").agg(F.collect_list(F.struct("start", "end", "h")).alias("spots"))
-    encoded = map_rows(texts.join(spots, "key").select("text", "spots"), firsts, "h binary, ids binary")
+    own = texts.join(spots.hint("shuffle_hash"), "key", "left")
+    # said in terms of both sides, after the join: else Spark would filter the texts before
+    # they move, which would be another move than the one below
+    own = own.where(F.coalesce(F.size("spots"), F.lit(0)) * F.coalesce(F.length("key"), F.lit(0)) > 0).select("row", "spots")
+    encoded = map_rows(own, firsts, "h binary, ids binary").dropDuplicates(["h"])
     given = places.select("key", "start", "end", "h").join(encoded, "h")
-    given = given.groupBy("key").agg(F.collect_list(F.struct("start", "end", "ids")).alias("given"))
+    given = given.groupBy("key").agg(F.collect_set(F.struct("start", "end", "ids")).alias("given"))
 
     def whole(batch: Iterator[tuple]) -> Iterator[tuple]:
         codec = encoder(vocabulary)
-        for key, text, parts in batch:
+        for row, parts in batch:
             parts = [(p["start"], p["end"], p["ids"]) for p in parts or ()]
-            yield (key, *finish(codec, assembled(codec, text, parts)))
+            yield (row["doc_id"], *finish(codec, assembled(codec, row["text"], parts)))
 
-    done = map_rows(texts.join(given, "key", "left").select("key", "text", "given"), whole, f"key binary, {schema}")
-    names = keyed.select("doc_id", "key")
-    return names.join(stored(done, "done"), "key").drop("key")
+    pieces = texts.join(given.hint("shuffle_hash"), "key", "left").select("row", "given")
+    return map_rows(pieces, whole, f"doc_id long, {schema}")
 
 
 def round_trip_report(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -15,8 +15,9 @@ import numpy as np
 
 #: Default vocabulary; a path may be given instead.
 VOCABULARY = "word_bpe_49k.json"
-#: Words that a worker remembers, about 200 bytes each; then it starts anew.
-MAX_WORDS = 1_500_000
+#: A worker remembers the last so many words that it met, and as many before these,
+#: about 200 bytes each.
+MAX_WORDS = 300_000
 
 #: Letters that NFC leaves alone and that one lower-case letter replaces; a run of them
 #: is one unit of the tokenizer.
@@ -47,6 +48,7 @@ class _Words(dict):
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -57,6 +59,13 @@ class _Words(dict):
         self.pair = [k.to_bytes(2, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MAX_WORDS:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(word)
+        if found is not None:
+            self[word] = found
+            return found
         letters = word.rstrip(MARKS)
         if len(letters) < len(word) and letters and self._simple(letters):
             found = self[letters] + self[word[len(letters) :]]
@@ -65,8 +74,6 @@ class _Words(dict):
             found = b"".join([self.pair[t.id] for t in self.model.tokenize(unit)])
         else:
             found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        if len(self) >= MAX_WORDS:
-            self.clear()
         self[word] = found
         return found
 
