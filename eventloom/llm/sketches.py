@@ -167,8 +167,6 @@ def with_next(docs: DataFrame, fn, schema: str) -> DataFrame:
             elif held:  # a range that ends before the rows without an id
                 yield fn(held[1], held[2], ends_with[held[0]])
             held = None if guest else (at, doc_id, text)
-            if guest:
-                continue
         if held:
             yield fn(held[1], held[2], ends_with[held[0]])
 
