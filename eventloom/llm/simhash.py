@@ -3,19 +3,23 @@
 Two forms share the comparison. The exact one (`near_duplicates`) has 64-bit fingerprints
 of three-word shingles and links all pairs within RADIUS bits: such a pair agrees, of
 radius + 3 blocks of bits, in three at least, so each fingerprint is dealt once for every
-three blocks, by their value. The wide one (`similar_documents`) has 256-bit fingerprints
-of five-word shingles, on which distance estimates resemblance, and deals each by its
-smallest shingle hashes under LANES orders; texts that share four fifths of their
-shingles share one of these all but surely.
+three blocks, by their value. The wide one (`similar_documents`) links texts whose sets of
+five-word shingles have a resemblance of four fifths or more. Its 256-bit fingerprints,
+dealt by the smallest shingle hashes under LANES orders and compared within WIDE_RADIUS,
+only find candidates; candidates that hang together meet once more with their texts, and
+only pairs whose sets, counted in full, resemble each other enough are links. Texts of
+few shingles, whose fingerprints are too coarse, are dealt by the smallest of their own
+hashes instead: of two alike, these have one in common.
 
 All fingerprints dealt to one cell are compared. A cell over CELL fingerprints is cut
 into blocks, and every two blocks meet in a cell of their own. A comparison stores the
 fingerprints of a tile vertically, one word of 64 fingerprints per bit, adds up the
 differing bits of 64 pairs at once with carry-save counters, and leaves the tile as soon
 as every pair in it is past the radius. A cell gives a spanning set of its links, not all
-of them; equal fingerprints are one node.
+of them; equal fingerprints are one node, in the wide form equal sets of shingles.
 
-A null or empty text has no shingle and fingerprint zero, which links like any other.
+A null or empty text has no shingle and fingerprint zero, which links like any other; in
+the wide form such texts are alike and like no other.
 Rows with a null doc_id take part; a component's id is the smallest doc_id in it, null if
 it has none. Repeated rows are kept, but for `one_of_each_group`, where rows equal in
 doc_id and text are one. An empty table gives an empty result. Extra columns are ignored
@@ -46,13 +50,20 @@ SEED = 42
 #: The wide form: 64-bit words of a fingerprint, words of a shingle, orders of shingles.
 WIDE, WIDE_WORDS, LANES = 4, 5, 12
 #: Bits that differ at a resemblance of 0.8 are 39 of 256 on average, with a standard
-#: deviation of 6 (at 0.7: 49, at 0.6: 62, at 0.5: 69, at 0: 128). So links are found for 97 in
-#: 100 pairs at 0.8, for all from 0.85 on, for half at 0.7 and for none to speak of below 0.6.
-WIDE_RADIUS = 50
+#: deviation of 6, so a pair to be linked lies past this radius about once in 10 million.
+WIDE_RADIUS = 72
+#: Resemblance of a link, as a fraction.
+ALIKE = (4, 5)
+#: Texts of up to SHORT distinct shingles are dealt by their own smallest hashes, those of
+#: LONG or more by fingerprint; so every two that can be alike are both the one or the other.
+LONG, SHORT = 56, 70
 
 #: Hashes counted at a time, rows of small cells compared together, size of a tile,
 #: fingerprints of a block of a large cell.
 SLICE, GATHER, TILE, CELL = 1 << 13, 512, 256, 1 << 14
+#: Shingles of a block of candidates, a text counting as LEAST at least; texts up to which
+#: all pairs of a cell are checked without a look at fingerprints.
+BLOCK, LEAST, FEW = 1 << 20, 256, 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -182,18 +193,20 @@ def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(k, int(r)) for k, r in enumerate(root.tolist()) if r != k]
 
 
-def cells(dealt: DataFrame, limit: int) -> DataFrame:
-    """(cell, fp): dealt (lane, part, fp) with large groups cut into pairs of blocks."""
-    sizes = dealt.groupBy("lane", "part").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+def cells(dealt: DataFrame, limit: int, weight: str = "1") -> DataFrame:
+    """(cell, fp, other columns): dealt (lane, part, fp, ...) with groups of a weight over
+    the limit cut into pairs of blocks."""
+    others = [c for c in dealt.columns if c not in ("lane", "part", "fp")]
+    sizes = dealt.groupBy("lane", "part").agg(F.sum(F.expr(weight)).alias("n")).where(F.col("n") > limit)
     large = stored(sizes.select("lane", "part", F.ceil(F.col("n") / limit).cast("int").alias("blocks")), "large")
     blocks = F.coalesce("blocks", F.lit(1))
     marked = dealt.join(large, ["lane", "part"], "left").select(
-        "lane", "part", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int").alias("own")
+        "lane", "part", "fp", *others, blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int").alias("own")
     )
-    met = marked.select("lane", "part", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = marked.select("lane", "part", "fp", *others, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # two cells of one hash would only be compared with each other as well
     cell = F.xxhash64("lane", "part", F.least("own", "other"), F.greatest("own", "other"))
-    return met.select(cell.alias("cell"), "fp")
+    return met.select(cell.alias("cell"), "fp", *others)
 
 
 def links_in_cells(dealt: DataFrame, radius: int, limit: int = CELL) -> DataFrame:
@@ -216,7 +229,12 @@ def links_in_cells(dealt: DataFrame, radius: int, limit: int = CELL) -> DataFram
 def _numbers(column: pa.Array) -> np.ndarray:
     if pa.types.is_integer(column.type):
         return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(len(column), -1)
+    return _bits(column.to_pylist())
+
+
+def _bits(fps: list[bytes]) -> np.ndarray:
+    """The fingerprints in wide nodes."""
+    return np.frombuffer(b"".join(fps), dtype="<u8").reshape(len(fps), -1)[:, :WIDE]
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
@@ -292,20 +310,129 @@ def component_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, size: int = WIDE_WORDS, radius: int = WIDE_RADIUS) -> DataFrame:
+# -- resemblance --------------------------------------------------------------------
+
+
+def distinct_shingles(text: str, size: int = WIDE_WORDS) -> np.ndarray:
+    return np.unique(wide_shingles(word_hashes(text.lower()), size))
+
+
+def node(hashes: np.ndarray) -> bytes:
+    """The fingerprint of a set of shingles, then a hash of the whole set."""
+    return wide_fingerprint(hashes) + xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
+def alike(both, a, b):
+    """Whether sets of a and b members, `both` of them shared, resemble each other enough."""
+    return ALIKE[1] * both >= ALIKE[0] * (a + b - both)
+
+
+def prefix(hashes: np.ndarray) -> np.ndarray:
+    """So many of the smallest hashes that two sets that are alike share one of them."""
+    return hashes[: len(hashes) + 1 + -ALIKE[0] * len(hashes) // ALIKE[1]]
+
+
+def alike_links(sets: list[np.ndarray], values: np.ndarray | None = None, radius: int = WIDE_RADIUS) -> list[tuple[int, int]]:
+    """Pairs of positions that are alike and connect all that are; with fingerprints, of
+    pairs within the radius."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    ids = [flat[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    member = np.zeros(len(known), dtype=bool)
+    group = np.arange(n)
+    vertical = planes(values) if values is not None else None
+    links = []
+    for i in range(n):
+        if vertical is not None and i % TILE == 0:
+            found = near_pairs(bits_of(values[i : i + TILE]), vertical, radius)
+            near = bits_of(found).astype(bool)
+        able = (ALIKE[1] * sizes[:i] >= ALIKE[0] * sizes[i]) & (ALIKE[1] * sizes[i] >= ALIKE[0] * sizes[:i])
+        rest = np.flatnonzero(able if vertical is None else able & near[i % TILE, :i])
+        if not len(rest):
+            continue
+        member[ids[i]] = True
+        take = 1
+        while len(rest := rest[group[rest] != group[i]]):
+            tried, rest, take = rest[:take], rest[take:], 8 * take
+            starts = np.concatenate(([0], np.cumsum(sizes[tried])[:-1]))
+            both = np.add.reduceat(member[np.concatenate([ids[j] for j in tried])].astype(np.int64), starts)
+            for j in tried[alike(both, sizes[i], sizes[tried])].tolist():
+                if group[j] != group[i]:
+                    links.append((i, j))
+                    group[group == group[i]] = group[j]
+        member[ids[i]] = False
+    return links
+
+
+def checked_links(met: DataFrame, size: int, radius: int) -> DataFrame:
+    """Links (u, v) that connect, within the cells of (cell, fp, content), all that are
+    alike; the content is a text or a set of shingles."""
+
+    def closed(fps: list[bytes], sets: list[np.ndarray]) -> Iterator[tuple]:
+        if len(fps) > 1:
+            values = _bits(fps) if narrowed and len(fps) > FEW else None
+            for a, b in alike_links(sets, values, radius):
+                yield fps[a], fps[b]
+
+    narrowed = met.schema["content"].dataType.simpleString() == "string"
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        key, fps, sets = None, [], []
+        for cell, fp, content in rows:
+            if cell != key:
+                yield from closed(fps, sets)
+                key, fps, sets = cell, [], []
+            fps.append(fp)
+            sets.append(distinct_shingles(content, size) if narrowed else np.frombuffer(content, dtype="<u8"))
+        yield from closed(fps, sets)
+
+    return map_rows(met.select("cell", "fp", "content").repartition("cell").sortWithinPartitions("cell"), run, "u binary, v binary")
+
+
+def short_links(own: DataFrame, size: int, radius: int, limit: int = BLOCK) -> DataFrame:
+    """Links of texts of few shingles: every two that are alike share a hash of their prefix."""
+    short = own.where(F.col("content").isNotNull())
+    keys = stored(short.select("fp", F.explode("prefix").alias("part")).distinct(), "short-keys")
+    shared = keys.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    dealt = stored(keys.join(shared, "part").select(F.lit(0).alias("lane"), "part", "fp"), "short-dealt")
+    met = cells(dealt, limit, str(LEAST))
+    return checked_links(met.join(short.select("fp", "content").distinct(), "fp"), size, radius)
+
+
+def long_links(own: DataFrame, docs: DataFrame, size: int, radius: int, limit: int = BLOCK) -> DataFrame:
+    """Links of the other texts: components of candidates, checked with one text of each node."""
+    dealt = own.select("fp", F.posexplode("keys").alias("lane", "part")).distinct()
+    near = components(links_in_cells(dealt, radius))
+    near = stored(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    first = own.where(F.size("keys") > 0).groupBy("fp").agg(F.min(F.struct("ord", "th")).alias("at"), F.max("n").alias("n"))
+    placed = near.join(first, near.node == first.fp)
+    placed = placed.select(F.lit(0).alias("lane"), F.col("root").alias("part"), "fp", "at.ord", "at.th", "n")
+    met = stored(cells(stored(placed, "placed"), limit, f"greatest(n, {LEAST})").select("cell", "fp", "ord", "th"), "met")
+    texts = docs.select(*document_key(), whole_text().alias("content"))
+    wanted = met.select("ord", "th").distinct().hint("shuffle_hash")
+    texts = texts.join(wanted, ["ord", "th"], "left_semi").dropDuplicates(["ord", "th"])
+    return checked_links(texts.join(met, ["ord", "th"]), size, radius)
+
+
+def similar_documents(docs: DataFrame, size: int = WIDE_WORDS, radius: int = WIDE_RADIUS, limit: int = BLOCK) -> DataFrame:
     """(ord, th, best) for every document by its id and the hash of its text: the first
     (ord, th) of its group of similar texts."""
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for ord_, th, text in rows:
-            hashes = wide_shingles(word_hashes(text.lower()), size)
-            keys = [int(reordered(hashes, -2 - k).min().view(np.int64)) for k in range(LANES)] if len(hashes) else []
-            yield ord_, th, wide_fingerprint(hashes), keys
+            hashes = distinct_shingles(text, size)
+            n = len(hashes)
+            keys = [int(reordered(hashes, -2 - k).min().view(np.int64)) for k in range(LANES)] if n >= LONG else []
+            short = 0 < n <= SHORT
+            content = hashes.astype("<u8").tobytes() if short else None
+            yield ord_, th, node(hashes), n, keys, prefix(hashes).view(np.int64).tolist() if short else [], content
 
     rows = docs.select(*document_key(), whole_text().alias("text"))
-    own = stored(map_rows(rows, run, "ord long, th long, fp binary, keys array<long>"), "fingerprints")
-    dealt = own.select("fp", F.posexplode("keys").alias("lane", "part")).distinct()
-    links = links_in_cells(dealt, radius)
+    schema = "ord long, th long, fp binary, n int, keys array<long>, prefix array<long>, content binary"
+    own = stored(map_rows(rows, run, schema), "fingerprints")
+    links = long_links(own, docs, size, radius, limit).unionByName(short_links(own, size, radius, limit))
     labels = labelled(own, links, F.min(F.struct("ord", "th")).alias("best"))
     return own.join(labels, "fp").select("ord", "th", "best")
 
