@@ -1,10 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A text's sketch keeps every 64-bit hash of its five-word shingles that lies below a fixed
-fraction of the hash range. So the sketch of a union is the union of the sketches, and
-shares of sketches estimate shares of texts, however unequal their lengths. A text that
-has shingles but none below the line keeps its smallest, so equal short texts still
-agree. Words are runs without ASCII white space; a text of fewer words is one shingle.
+fraction of the hash range, without exception. So the sketch of a union is the union of
+the sketches, and shares of sketches estimate shares of texts, however unequal their
+lengths. The fraction is the whole range unless a larger scale is asked for, as any
+smaller one leaves some short texts without a hash; shares are then the true ones. Words are runs without ASCII white space; a text of fewer words is one shingle.
 
 A null or empty text has an empty sketch; two of them are alike (1), one and any other
 are not (0). Rows with the same doc_id stand in the order of their texts; a null doc_id
@@ -25,7 +25,7 @@ from .common import map_rows, partitions, whole_text
 
 WORDS = 5
 #: One shingle hash in so many is kept.
-SCALE = 8
+SCALE = 1
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
@@ -78,10 +78,9 @@ def shingle_hashes(words: np.ndarray, size: int = WORDS) -> np.ndarray:
 
 
 def sketch(text: str, size: int = WORDS, scale: int = SCALE) -> np.ndarray:
-    """Sorted distinct hashes below 2**64 / scale; the smallest if there is none."""
+    """Sorted distinct hashes below 2**64 / scale."""
     hashes = shingle_hashes(word_hashes(text), size)
-    kept = np.unique(hashes[hashes < np.uint64((1 << 64) // scale)])
-    return kept if len(kept) or not len(hashes) else hashes.min(keepdims=True)
+    return np.unique(hashes[hashes <= np.uint64((1 << 64) // scale - 1)])
 
 
 def written(hashes: np.ndarray) -> str:
