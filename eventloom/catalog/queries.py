@@ -780,7 +780,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
-    return to_parquet(rows, f"{path}/rows", f"{path}/checkpoint")
+    return S.to_parquet(rows, f"{path}/rows", f"{path}/checkpoint")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
