@@ -11,8 +11,10 @@ from .common import table
 from .hosts import HOST_SQL, filter_urls
 from .language import language_report
 from .lines import LINE_SQL, line_report
+from .mixing import MIX_SQL, mix_sources
 from .packing import pack_documents
 from .quality import score_documents
+from .search import SEARCH_SQL, search_items
 from .secrets import secret_report
 from .simhash import component_report
 from .sketches import edited_report
@@ -60,9 +62,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
 def llm_oracle() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_SQL, "op6_url_filter": HOST_SQL}
+    return {
+        "op1_line_dedup": LINE_SQL,
+        "op6_url_filter": HOST_SQL,
+        "op11_mixing": MIX_SQL,
+        "op12_search": SEARCH_SQL,
+    }
