@@ -12,10 +12,10 @@ Targets: sources in code-point order, null last, weigh WEIGHTS in turn and divid
 all words; no target is over MOST times its source, what is over goes to the others by
 weight, again and again until none is over.
 
-The running sum never orders a source in one task. Keys are cut into SLICES ranges, whose
-sums are one narrow row each; only the slice in which the budget is reached is looked at
-closer, first by key, then, where copies of one row share a key, by the place of the rows.
-Each step leaves one row per source: the point at which its budget is reached. All other
+The running sum never orders a source in one task. Keys are cut into ranges, these into
+SLICES in all; sums of ranges, then of the slices of one range are one narrow row each;
+only the slice in which the budget is reached is looked at closer, first by key, then,
+where copies of one row share a key, by the place of the rows. Each step leaves one row per source: the point at which its budget is reached. All other
 documents are decided by comparing them with that point.
 
 Null texts and texts without words have size 0 and take nothing. A null source is a source
@@ -43,8 +43,8 @@ SHARE, MOST = 1.5, 2.0
 #: Quality weights: labelled good, labelled bad, not labelled.
 GOOD, BAD, UNKNOWN = 2.0, 0.5, 1.0
 SEED = 11
-#: Ranges of keys that are summed before anything is ordered.
-SLICES = 65_536
+#: Slices of keys that are summed before anything is ordered, and of each range.
+SLICES, OF_RANGE = 65_536, 256
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,7 +85,7 @@ def drawn(docs: DataFrame, labels: DataFrame | None, seed: int, keep: Sequence[s
         F.floor((1 - F.exp(-key)) * SLICES).cast("int").alias("_slice"),
         F.struct(key.alias("key"), F.col("_draw").alias("draw")).alias("_fine"),
         F.monotonically_increasing_id().alias("_place"),
-    ).withColumn("_part", F.shiftright("_place", 33))
+    ).withColumns({"_range": F.floor(F.col("_slice") / OF_RANGE).cast("int"), "_part": F.shiftright("_place", 33)})
 
 
 def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -127,7 +127,7 @@ def _reached(rows: DataFrame, left: DataFrame, step: str) -> DataFrame:
     return found.select("_of", step, (F.col("need") - F.col("_upto") + F.col("_words")).alias("need"))
 
 
-STEPS = ("_slice", "_fine", "_part", "_place")
+STEPS = ("_range", "_slice", "_fine", "_part", "_place")
 
 
 def budget_points(rows: DataFrame, left: DataFrame) -> DataFrame:
