@@ -12,6 +12,7 @@ from .hosts import HOST_SQL, filter_urls
 from .language import language_report
 from .lines import LINE_SQL, line_report
 from .mixing import MIX_SQL, mix_sources
+from .negatives import NEGATIVES_SQL, mine_negatives
 from .packing import pack_documents
 from .quality import score_documents
 from .search import SEARCH_SQL, search_items
@@ -70,6 +71,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
@@ -80,4 +85,5 @@ def llm_oracle() -> dict[str, str]:
         "op6_url_filter": HOST_SQL,
         "op11_mixing": MIX_SQL,
         "op12_search": SEARCH_SQL,
+        "op13_hard_negatives": NEGATIVES_SQL,
     }
