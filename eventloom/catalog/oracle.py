@@ -142,7 +142,15 @@ def sessions_sql(source: str, gap_s: int, prefix: str = "s", parent: str = EV) -
   SELECT *, sum(opens) OVER (PARTITION BY app_code, anonymous_id ORDER BY ts, seq
                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no
   FROM {prefix}_lag),
-{prefix}_agg AS (
+""" + session_rows_sql(
+        prefix,
+        "'sess_' || substr(sha256(app_code || ':anonymous_id=' || anonymous_id || ':' || epoch_ms(start_time)), 1, 32)",
+    )
+
+
+def session_rows_sql(prefix: str, session_id: str) -> str:
+    """Session rows of events that are numbered by session (``no``)."""
+    return f"""{prefix}_agg AS (
   SELECT app_code, anonymous_id, no, min(ts) AS start_time, max(ts) AS end_time,
     count(*) FILTER (event_type = 'page_view') AS page_views,
     count(*) FILTER (event_type = 'click') AS clicks,
@@ -155,7 +163,7 @@ def sessions_sql(source: str, gap_s: int, prefix: str = "s", parent: str = EV) -
     list(page_url ORDER BY ts DESC, seq DESC) FILTER (event_type = 'page_view')[1] AS last_viewed
   FROM {prefix}_num GROUP BY app_code, anonymous_id, no),
 {prefix}_rows AS (
-  SELECT 'sess_' || substr(sha256(app_code || ':anonymous_id=' || anonymous_id || ':' || epoch_ms(start_time)), 1, 32) AS session_id,
+  SELECT {session_id} AS session_id,
     user_id, anonymous_id, 'web' AS platform, start_time, end_time,
     epoch_ms(end_time) - epoch_ms(start_time) AS duration,
     page_views, clicks, exposures, scroll_depth_max,
@@ -179,6 +187,11 @@ STORED_SESSIONS = """SELECT session_id, coalesce(user_id, '') AS user_id, anonym
   '' AS utm_campaign, '' AS device_type, '' AS os,
   CAST(date_trunc('second', last_active_at) AS TIMESTAMP) AS last_active_at, app_code FROM s_rows"""
 
+# Sessions that clients name: a visitor and five days.
+NAMED_SESSIONS = (
+    EV + ",\ns_num AS (SELECT *, epoch_ms(ts) // 432000000 AS no FROM behaviour),\n" + session_rows_sql("s", "anonymous_id || '-' || no")
+)
+
 DAILY = """
 SELECT strftime(start_time, '%Y-%m-%d') AS date, user_id, anonymous_id, platform, utm_source, utm_medium, utm_campaign,
   count(*) AS session_count, CAST(sum(page_views) AS BIGINT) AS total_page_views,
@@ -682,4 +695,21 @@ UNION ALL SELECT '{broken ' || seq, 'unreadable_record', NULL FROM behaviour WHE
 WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'""",
         True,
     ),
+    "consume_retry": _with(
+        EV + ",\n" + dedup_walk("behaviour"),
+        """SELECT place, event_id, count(*) AS n FROM walk_kept, (VALUES ('table'), ('dead_topic')) AS p(place) GROUP BY place, event_id""",
+        True,
+    ),
+    "dlq_topic_roundtrip": _with(
+        EV,
+        """SELECT DISTINCT 'event' AS state, event_id, event_type FROM behaviour
+UNION ALL SELECT 'waiting', '', event_type FROM behaviour WHERE event_type = 'purchase'""",
+    ),
+    "sessions_day_range": _with(
+        NAMED_SESSIONS,
+        f"{STORED_SESSIONS} WHERE start_time >= TIMESTAMP '2024-01-08 01:00:00' AND start_time < TIMESTAMP '2024-01-15 00:00:00'",
+    ),
+    "sessions_daily_upkeep": _with(NAMED_SESSIONS, DAILY.replace("user_id,", "coalesce(user_id, '') AS user_id,").replace(
+        "utm_source, utm_medium, utm_campaign", "coalesce(utm_source, '') AS utm_source, coalesce(utm_medium, '') AS utm_medium, '' AS utm_campaign"
+    )),
 }

@@ -33,9 +33,9 @@ from eventloom.operators.rollups import (
 )
 from eventloom.operators.sessions import attach_sessions, open_sessions, session_rows, split_live, visits
 from eventloom.operators.validate import reject_record, split_required
-from eventloom.plans.finalize import finalize_sessions, sweep_sessions
+from eventloom.plans.finalize import finalize_sessions, read_daily, sweep_sessions, upkeep_daily
 from eventloom.plans.ingest import Ingested, classify, ingest
-from eventloom.plans.load import load_from_stream
+from eventloom.plans.load import load_dead_letters, load_from_stream
 from eventloom.plans.replay import replay_dead_letters, run_replay
 from eventloom.plans.state import LATEST, IngestState
 from eventloom.schemas import DEAD_LETTERS, EVENTS
@@ -50,6 +50,7 @@ from eventloom.sources.tables import (
     compact_events,
     event_table_rows,
     expire_days,
+    numbered_batch,
     read_events,
     read_sessions,
     retain,
@@ -476,6 +477,36 @@ def finalized_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sessions(spark, tables[1])
 
 
+SWEEPS = ("2024-03-01 00:00:00", "2024-03-02 00:00:00", "2024-03-03 00:00:00")
+
+
+def _sweeps(spark: SparkSession, sf_dir: str, path: str, after: Callable[[], object] = lambda: None) -> None:
+    """Three sweeps, each after a third of the events has come. Sessions have names, a
+    visitor and five days, so late thirds prolong finished sessions at either end."""
+    cfg = CFG.with_(session_keep_s=90 * 86_400)
+    period = F.floor(F.unix_millis("timestamp") / F.lit(432_000_000))
+    events = I.behaviour(spark, sf_dir).withColumn("session_id", F.concat_ws("-", "anonymous_id", period))
+    for number, moment in enumerate(SWEEPS):
+        write_events(events.where(F.col("src") % 3 == number), f"{path}/events", at(NOW), numbered_batch("part", number))
+        sweep_sessions(spark, f"{path}/events", f"{path}/sessions", f"{path}/state", cfg, at(moment))
+        after()
+
+
+def sessions_day_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a week after sweeps that moved sessions to earlier days; only the
+    folders of these days are opened."""
+    path = scratch_path(spark, "sweeps")
+    _sweeps(spark, sf_dir, path)
+    return read_sessions(spark, f"{path}/sessions", since="2024-01-08 01:00:00", until="2024-01-15 00:00:00")
+
+
+def sessions_daily_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily rollup kept up over three sweeps: the same as one computation."""
+    path = scratch_path(spark, "upkeep")
+    _sweeps(spark, sf_dir, path, lambda: upkeep_daily(spark, f"{path}/sessions", f"{path}/state", f"{path}/daily"))
+    return rounded(read_daily(spark, f"{path}/daily"), "avg_duration")
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -842,7 +873,7 @@ def stream_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = FolderTopics(f"{path}/topics")
     rows = event_table_rows(I.behaviour(spark, sf_dir), at(NOW)).drop(EVENT_DAY)
     write_event_stream(rows, topics, CFG)
-    load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, now=at(NOW))
+    load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, f"{path}/dlq", now=at(NOW))
     return read_events(spark, f"{path}/table").select("event_id", "event_type", F.col("timestamp").alias("ts"))
 
 
@@ -887,6 +918,51 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.unionByName(refused)
 
 
+def _published(spark: SparkSession, sf_dir: str, path: str) -> tuple[FolderTopics, DataFrame]:
+    """A topic with all events in it, and the events."""
+    topics = FolderTopics(f"{path}/topics")
+    rows = event_table_rows(I.behaviour(spark, sf_dir), at(NOW)).drop(EVENT_DAY)
+    write_event_stream(rows, topics, CFG)
+    return topics, rows
+
+
+def consume_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events sent three times: the first time the table can't be written, after part
+    of the batch is in it; the second time all is well; the third is a repetition. What is
+    in the table and in the dead-letter topic."""
+    path = scratch_path(spark, "retry")
+    topics, rows = _published(spark, sf_dir, path)
+    half = S.events_table_sink(f"{path}/table", at(NOW))
+
+    def breaks_off(batch: DataFrame, batch_id: int) -> None:
+        half(batch.where(F.col("timestamp") < at(MID_MONTH)), batch_id)
+        raise OSError("down")
+
+    for number, write in enumerate((breaks_off, None, None)):
+        if number:
+            write_event_stream(rows, topics, CFG)
+        load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, f"{path}/dlq", at(NOW), write)
+    # the events topic holds every attempt to send
+    return _delivered(spark, path).where("place <> 'topic'")
+
+
+def dlq_topic_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that could not be written go to the dead-letter topic, from there to the
+    dead letters, and are replayed into the table; events without an id as well."""
+    path = scratch_path(spark, "roundtrip")
+    topics, rows = _published(spark, sf_dir, path)
+    nameless = rows.where("event_type = 'purchase'").withColumn("event_id", F.lit(""))
+    write_event_stream(nameless, topics, CFG)
+    load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, f"{path}/dlq", at(NOW), _failing)
+    load_dead_letters(spark, topics, f"{path}/dlq", f"{path}/dead-checkpoint", CFG, at(NOW))
+    cfg = CFG.with_(contract_mode="off", dlq_batch_size=2**31 - 1)
+    run_replay(spark, f"{path}/dlq", f"{path}/dead", f"{path}/table", I.contracts(spark), cfg, at(NOW))
+    written = read_events(spark, f"{path}/table").select(F.lit("event").alias("state"), "event_id", "event_type")
+    # a replay refuses an event without an id: it waits, each for itself
+    waiting = read_entries(spark, f"{path}/dlq")[0].select(F.lit("waiting").alias("state"), "event_id", "event_type")
+    return written.unionByName(waiting)
+
+
 OLDEST_DAY = "2024-01-10"
 
 
@@ -896,7 +972,7 @@ def stream_then_replay_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = FolderTopics(f"{path}/topics")
     events = I.behaviour(spark, sf_dir)
     write_event_stream(event_table_rows(events, at(NOW)).drop(EVENT_DAY), topics, CFG)
-    load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, now=at(NOW))
+    load_from_stream(spark, topics, f"{path}/table", f"{path}/checkpoint", CFG, f"{path}/dlq", now=at(NOW))
     lost = events.where("event_type = 'purchase'").withColumn("event_id", F.concat(F.lit("lost_"), "event_id"))
     payload = ("event_id", "event_type", "user_id", "anonymous_id", "app_code", "timestamp")
     entries = DL.dead_letters(lost, F.lit("collection_failed"), F.col("timestamp"), payload)
@@ -938,6 +1014,8 @@ QUERIES: dict[str, Query] = {
     "session_events": session_events,
     "live_sessions": live_sessions,
     "finalized_sessions": finalized_sessions,
+    "sessions_day_range": sessions_day_range,
+    "sessions_daily_upkeep": sessions_daily_upkeep,
     "replace_latest": replace_latest_rows,
     "events_hourly": hourly,
     "rollup_merge": rollup_merge,
@@ -976,6 +1054,8 @@ QUERIES: dict[str, Query] = {
     "stream_load": stream_load,
     "stream_late": stream_late,
     "stream_then_replay_layout": stream_then_replay_layout,
+    "consume_retry": consume_retry,
+    "dlq_topic_roundtrip": dlq_topic_roundtrip,
 }
 
 

@@ -53,24 +53,35 @@ def store(entries: DataFrame, new: DataFrame) -> DataFrame:
     return replace_latest(keyed, ("reason", "_entry"), ("updated_at", "failed_at", "event_json")).drop("_entry")
 
 
+#: What the copy for the dead-letter topic has among its properties.
+DLQ_REASON, DLQ_RECEIVED = "_dlq_reason", "_dlq_original_timestamp"
+
+
+def _as_map(properties: Column) -> Column:
+    """The properties without the notes of ``annotate``; null if they are no object."""
+    parsed = F.try_variant_get(F.try_parse_json(properties), "$", "map<string,variant>")
+    return F.map_filter(parsed, lambda key, _: ~key.isin(DLQ_REASON, DLQ_RECEIVED))
+
+
+def without_notes(properties: Column) -> Column:
+    """The properties as they were before ``annotate``."""
+    kept = _as_map(properties)
+    return F.when(F.size(kept) > 0, F.to_json(kept))
+
+
 def annotate(events: DataFrame, reason: str, now: Column) -> DataFrame:
     """Copy of the events for the dead-letter topic: reason and first receipt go into
     the properties, received_at starts anew, the event id is the key."""
     extra = F.to_json(
         F.struct(
-            F.lit(reason).alias("_dlq_reason"),
-            F.date_format(F.coalesce("received_at", now), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(
-                "_dlq_original_timestamp"
-            ),
+            F.lit(reason).alias(DLQ_REASON),
+            F.date_format(F.coalesce("received_at", now), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias(DLQ_RECEIVED),
         )
     )
     as_map = "map<string,variant>"
     merged = F.map_concat(
         F.coalesce(
-            F.map_filter(
-                F.try_variant_get(F.try_parse_json("properties"), "$", as_map),
-                lambda key, _: ~key.isin("_dlq_reason", "_dlq_original_timestamp"),
-            ),
+            _as_map(F.col("properties")),
             F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")),
         ),
         F.variant_get(F.parse_json(extra), "$", as_map),

@@ -112,6 +112,46 @@ def _finish_daily(partial: DataFrame) -> DataFrame:
     )
 
 
+def daily_changes(changes: DataFrame) -> DataFrame:
+    """What session rows that came (``sign`` 1) or went (-1) add to the sums of each key,
+    the largest scroll depth that came (``_came``), and that went (``_went``)."""
+    sign = F.col("sign")
+    return (
+        changes.withColumn("date", partition_day(F.col("start_time")))
+        .groupBy(*DAILY_KEYS)
+        .agg(
+            F.sum(sign).alias("session_count"),
+            F.sum(sign * F.col("page_views")).alias("total_page_views"),
+            F.sum(sign * F.col("clicks")).alias("total_clicks"),
+            F.sum(sign * F.col("exposures")).alias("total_exposures"),
+            F.sum(sign * F.col("duration")).alias("total_duration"),
+            F.sum(F.when(F.col("duration").isNotNull(), sign)).alias("duration_count"),
+            F.sum(sign * F.col("is_bounce")).alias("bounce_count"),
+            F.max(F.when(sign > 0, F.col("scroll_depth_max"))).alias("_came"),
+            F.max(F.when(sign < 0, F.col("scroll_depth_max"))).alias("_went"),
+        )
+    )
+
+
+def apply_daily_changes(partials: DataFrame, changes: DataFrame) -> DataFrame:
+    """Partial daily rows after ``daily_changes``; keys without sessions go. ``_stale``
+    says that the largest scroll depth went and has to be found again."""
+    was = partials.select(*DAILY_KEYS, *_DAILY_SUMS, F.col("max_scroll_depth").alias("_was"))
+    both = was.unionByName(changes, allowMissingColumns=True).groupBy(*DAILY_KEYS).agg(
+        *[F.sum(name).alias(name) for name in _DAILY_SUMS],
+        *[F.max(name).alias(name) for name in ("_was", "_came", "_went")],
+    )
+    left = F.greatest("_was", "_came")
+    stale = F.col("_went").isNotNull() & (F.col("_went") >= left)
+    kept = both.where("session_count > 0").withColumns({"max_scroll_depth": left, "_stale": F.coalesce(stale, F.lit(False))})
+    return kept.drop("_was", "_came", "_went")
+
+
+def finish_daily(partials: DataFrame) -> DataFrame:
+    """The rollup of partial rows that are one per key already."""
+    return _finish_daily(partials)
+
+
 def sessions_daily(sessions: DataFrame) -> DataFrame:
     """Run it over collapsed sessions (``replace_latest``): a repeated row counts twice."""
     return _finish_daily(daily_partials(sessions))

@@ -63,8 +63,9 @@ class IngestState:
             ),
         )
 
-    def add(self, done: Ingested, batch: int) -> None:
-        self._seen().add(done.seen, batch)
+    def add(self, done: Ingested, batch: int, written: bool = True) -> None:
+        """Ids count as seen only if the events were ``written``."""
+        self._seen().add(done.seen if written else done.seen.limit(0), batch)
         self._links().add(done.links, batch)
         self._sessions().add(done.sessions, batch)
 

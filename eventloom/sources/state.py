@@ -4,6 +4,10 @@ A state has folders ``add-N`` (the rows batch N added) and ``base-N`` (everythin
 batch N, folded). Batch n reads what was added before n, so a repeated batch starts from
 the same state and replaces what it wrote. Adding costs as much as the batch is large,
 not as the state is.
+
+Where a row may only count once something else has been written, a batch is added in two
+steps: its rows wait in ``pending-N``, which nobody reads, and become ``add-N`` when the
+write is known to have succeeded, or go when it has failed.
 """
 
 from __future__ import annotations
@@ -30,11 +34,25 @@ def finished(spark: SparkSession, root: str, prefix: str) -> list[int]:
     return sorted(int(n) for n in numbers if n.isdigit() and files.exists(make(f"{root}/{prefix}{n}/_SUCCESS")))
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def replace_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Put a written folder in the place of another."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = make(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(make(target), True)
+    if not files.rename(make(source), make(target)):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def write_note(spark: SparkSession, folder: str, lines: list[str]) -> None:
     """A few lines of text as a folder like those that jobs write; replaces an old one."""
     jvm = spark.sparkContext._jvm
@@ -79,10 +97,24 @@ class BatchState:
         return spark.read.schema(self.schema).parquet(*folders)
 
     def add(self, rows: DataFrame, batch: int) -> None:
-        """Keep the rows of a batch; every so often fold, and remove what a fold replaced."""
-        spark = rows.sparkSession
+        """Keep the rows of a batch."""
+        self.propose(rows, batch)
+        self.confirm(rows.sparkSession, batch)
+
+    def propose(self, rows: DataFrame, batch: int) -> None:
+        """First step: the rows are written, but do not count."""
+        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.root}/pending-{batch}")
+
+    def discard(self, spark: SparkSession, batch: int) -> None:
+        """The rows of this batch do not count, nor do those of an earlier attempt at it."""
+        for kind in ("pending", "add", "base"):
+            delete(spark, f"{self.root}/{kind}-{batch}")
+
+    def confirm(self, spark: SparkSession, batch: int) -> None:
+        """Second step: they count from now on. Every so often fold, and remove what a
+        fold replaced."""
         columns = self.schema.fieldNames()
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/add-{batch}")
+        replace_folder(spark, f"{self.root}/pending-{batch}", f"{self.root}/add-{batch}")
         bases = finished(spark, self.root, "base-")
         oldest = min(finished(spark, self.root, "add-"), default=batch)
         if batch - max(bases, default=oldest - 1) < FOLD_EVERY:

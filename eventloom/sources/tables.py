@@ -68,8 +68,18 @@ def write_events(events: DataFrame, path: str, now: Column, batch: str | None =
     _write(event_table_rows(events, now), path, EVENT_DAY, EVENT_ORDER, EVENT_BLOOM, batch or new_batch())
 
 
-def write_sessions(sessions: DataFrame, path: str, batch: str | None = None) -> None:
-    rows = session_sink_defaults(sessions).withColumn(SESSION_DAY, partition_day(F.col("start_time")))
+#: Marks a row that only says that a session is no longer stored under this day.
+MOVED = "moved"
+
+
+def write_sessions(sessions: DataFrame, path: str, batch: str | None = None, moved: DataFrame | None = None) -> None:
+    """``moved``: (session_id, start_time) of older versions of these sessions that lie
+    under another day. Each leaves a mark there, so that every day can be read by itself."""
+    rows = session_sink_defaults(sessions).withColumn(MOVED, F.lit(False))
+    if moved is not None:
+        marks = moved.select("session_id", "start_time", F.lit(True).alias(MOVED))
+        rows = rows.unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumn(SESSION_DAY, partition_day(F.col("start_time")))
     _write(rows, path, SESSION_DAY, SESSION_ORDER, SESSION_BLOOM, batch or new_batch())
 
 
@@ -102,6 +112,13 @@ def batches_of(spark: SparkSession, path: str) -> list[str]:
     return sorted(name.removeprefix(f"{BATCH}=") for name in found if name.startswith(f"{BATCH}="))
 
 
+def drop_batch(spark: SparkSession, path: str, batch: str) -> None:
+    """Take back what was written of a batch."""
+    files, make = _folders(spark, path)
+    for day in _children(files, make(path)):
+        files.delete(make(f"{path}/{day}/{BATCH}={batch}"), True)
+
+
 def skip_indexes(spark: SparkSession, path: str) -> DataFrame:
     """(column, bloom, dictionary): what lets a lookup by value skip row groups, as the
     footers say: every file has a Bloom filter on the column, or keeps its values in a
@@ -175,21 +192,31 @@ def evolve_schema(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
     )
 
 
-def _between_days(rows: DataFrame, day: str, ts: str, since: str | None, until: str | None) -> DataFrame:
-    # The day condition is stated as well, because it is what prunes the folders.
+def _days_between(rows: DataFrame, day: str, since: str | None, until: str | None) -> DataFrame:
+    """By the day folders."""
+    if since is not None:
+        rows = rows.where(F.col(day) >= F.to_date(F.lit(since).cast("timestamp")))
+    if until is not None:
+        rows = rows.where(F.col(day) <= F.to_date(F.lit(until).cast("timestamp")))
+    return rows
+
+
+def _between(rows: DataFrame, ts: str, since: str | None, until: str | None) -> DataFrame:
     if since is not None:
-        at = F.lit(since).cast("timestamp")
-        rows = rows.where((F.col(ts) >= at) & (F.col(day) >= F.to_date(at)))
+        rows = rows.where(F.col(ts) >= F.lit(since).cast("timestamp"))
     if until is not None:
-        at = F.lit(until).cast("timestamp")
-        rows = rows.where((F.col(ts) < at) & (F.col(day) <= F.to_date(at)))
+        rows = rows.where(F.col(ts) < F.lit(until).cast("timestamp"))
     return rows
 
 
 def read_table(spark: SparkSession, path: str, columns: T.StructType, day: str) -> DataFrame:
     """All batches, with the day and batch columns. The schema is given, so no file is
-    opened to find it; a column that a file lacks reads as null."""
+    opened to find it; a column that a file lacks reads as null. A table that nobody has
+    written yet is empty."""
     fields = [*columns.fields, T.StructField(day, T.DateType()), T.StructField(BATCH, T.StringType())]
+    files, make = _folders(spark, path)
+    if not files.exists(make(path)):
+        return spark.createDataFrame([], T.StructType(fields))
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
@@ -202,7 +229,8 @@ def read_events(
 ) -> DataFrame:
     """Events of a time range, or of some batches; files written before app_code existed
     read as ''."""
-    rows = _between_days(read_table(spark, path, EVENTS, EVENT_DAY), EVENT_DAY, "timestamp", since, until)
+    rows = _days_between(read_table(spark, path, EVENTS, EVENT_DAY), EVENT_DAY, since, until)
+    rows = _between(rows, "timestamp", since, until)
     if batches is not None:
         rows = rows.where(F.col(BATCH).isin(batches))
     return evolve_schema(rows, {"app_code": ""}).select(*EVENT_COLUMNS)
@@ -212,10 +240,15 @@ def read_sessions(
     spark: SparkSession, path: str, since: str | None = None, until: str | None = None
 ) -> DataFrame:
     """One row per session: a session that several sweeps have written counts as the
-    last one wrote it. Its start, and so its day, is the same in all of them or earlier."""
-    rows = evolve_schema(read_table(spark, path, SESSIONS, SESSION_DAY), {"app_code": ""})
-    latest = replace_latest(rows.select(*SESSION_COLUMNS, SESSION_DAY, BATCH), ("session_id",), (BATCH, "last_active_at", "start_time"))
-    return _between_days(latest, SESSION_DAY, "start_time", since, until).select(*SESSION_COLUMNS)
+    last one wrote it. Only the days of the range are opened: a version that lies under
+    another day than the last one is followed there by a mark that it has moved."""
+    stored = T.StructType([*SESSIONS.fields, T.StructField(MOVED, T.BooleanType())])
+    rows = _days_between(read_table(spark, path, stored, SESSION_DAY), SESSION_DAY, since, until)
+    rows = evolve_schema(rows, {"app_code": ""}).withColumn("_here", ~F.coalesce(F.col(MOVED), F.lit(False)))
+    latest = replace_latest(
+        rows.select(*SESSION_COLUMNS, BATCH, "_here"), ("session_id",), (BATCH, "_here", "last_active_at", "start_time")
+    )
+    return _between(latest.where("_here"), "start_time", since, until).select(*SESSION_COLUMNS)
 
 
 def retain(rows: DataFrame, ts: str, ttl_s: int, now: Column) -> DataFrame:

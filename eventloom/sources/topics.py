@@ -69,11 +69,12 @@ _CORRUPT = "_corrupt_record"
 
 
 def split_unreadable(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events as flat rows, records whose ``value`` is no event)."""
+    """(events as flat rows, records whose ``value`` is no event); a column ``_place`` stays."""
     schema = T.StructType([*EVENTS.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = records.withColumn("_event", F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}))
     readable = F.col("_event").isNotNull() & F.col(f"_event.{_CORRUPT}").isNull()
-    return parsed.where(readable).select("_event.*").drop(_CORRUPT), parsed.where(~readable).drop("_event")
+    place = [name for name in records.columns if name == "_place"]
+    return parsed.where(readable).select("_event.*", *place).drop(_CORRUPT), parsed.where(~readable).drop("_event")
 
 
 def read_records(spark: SparkSession, topics: KafkaTopics | FolderTopics, cfg: EngineConfig) -> DataFrame:
@@ -82,8 +83,14 @@ def read_records(spark: SparkSession, topics: KafkaTopics | FolderTopics, cfg: E
 
 
 def read_event_stream(spark: SparkSession, topics: KafkaTopics | FolderTopics, cfg: EngineConfig) -> DataFrame:
-    """Events of the events topic as flat rows, without unreadable records."""
-    return split_unreadable(read_records(spark, topics, cfg))[0]
+    """Events of the events topic as flat rows. A record that is no event is a row too,
+    with its text in ``unreadable`` and nothing else; in events that column is null."""
+    schema = T.StructType([*EVENTS.fields, T.StructField(_CORRUPT, T.StringType())])
+    event = F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT})
+    rows = read_records(spark, topics, cfg).select("value", event.alias("_event"))
+    broken = F.col("_event").isNull() | F.col(f"_event.{_CORRUPT}").isNotNull()
+    fields = [F.when(~broken, F.col(f"_event.{name}")).alias(name) for name in EVENTS.fieldNames()]
+    return rows.select(*fields, F.when(broken, F.coalesce("value", F.lit(""))).alias("unreadable"))
 
 
 def to_records(events: DataFrame, cfg: EngineConfig) -> DataFrame:

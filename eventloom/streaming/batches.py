@@ -45,8 +45,11 @@ def dedup_batches(state: str, deliver: Sink, cfg: EngineConfig, now: Column | No
         with dropping_scratch(batch.sparkSession):
             marked = mark_duplicates(numbered(batch), cfg, seen=remembered.before(batch.sparkSession, batch_id))
             kept = write_through(marked.where(~F.col("is_duplicate")).drop("is_duplicate"), "kept")
-            deliver(kept, batch_id)
-            remembered.add(accepted_ids(kept).withColumn("arrived_at", now), batch_id)
+            remembered.propose(accepted_ids(kept).withColumn("arrived_at", now), batch_id)
+            if deliver(kept, batch_id) is False:
+                remembered.discard(batch.sparkSession, batch_id)
+            else:
+                remembered.confirm(batch.sparkSession, batch_id)
 
     return run
 

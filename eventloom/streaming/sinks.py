@@ -10,19 +10,21 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.config import EngineConfig
 from eventloom.operators.dead_letters import annotate, dead_letters
-from eventloom.sources.dead_letters import add_entries
+from eventloom.sources.dead_letters import BATCHES, add_entries
 from eventloom.sources.tables import numbered_batch, write_events
 from eventloom.sources.topics import FolderTopics, KafkaTopics, write_dead_letter_topic, write_event_stream
 
 log = logging.getLogger(__name__)
 
-Sink = Callable[[DataFrame, int], None]
+#: Takes a batch and its number. False says that the batch was not delivered but put aside
+#: (as dead letters); nothing may then be remembered of it as if it had been.
+Sink = Callable[[DataFrame, int], bool | None]
 
 
 def events_table_sink(path: str, now: Column | None = None, kind: str = "stream") -> Sink:
@@ -39,9 +41,9 @@ def topic_sink(topics: KafkaTopics | FolderTopics, cfg: EngineConfig, kind: str
     return write
 
 
-def write_entries(entries: DataFrame, path: str, batch_id: int) -> None:
+def write_entries(entries: DataFrame, path: str, batch_id: int, kind: str = BATCHES) -> None:
     """Add dead-letter entries to the stored table that replays read."""
-    add_entries(entries, path, batch_id)
+    add_entries(entries, path, batch_id, kind)
 
 
 def entries_sink(path: str) -> Sink:
@@ -74,36 +76,38 @@ def collect_with_fallback(cfg: EngineConfig, topic: Sink, table: Sink, dead: Sin
     to the caller. Only this function writes dead letters for a batch.
     """
 
-    def deliver(batch: DataFrame, batch_id: int) -> None:
+    def deliver(batch: DataFrame, batch_id: int) -> bool:
         if not cfg.async_topic:
-            table(batch, batch_id)
-            return
+            return table(batch, batch_id) is not False
         try:
-            topic(batch, batch_id)
-            return
+            return topic(batch, batch_id) is not False
         except Exception:
             log.warning("topic write of batch %s failed, writing to the table", batch_id, exc_info=True)
         try:
-            table(batch, batch_id)
+            return table(batch, batch_id) is not False
         except Exception:
             log.error("table write of batch %s failed, storing dead letters", batch_id, exc_info=True)
             dead(batch, batch_id)
+            return False
 
     return deliver
 
 
-def failure_to_dead_letters(write: Sink, dead: Sink) -> Sink:
-    """If the write of a batch fails, all of its events go to the dead letters. An
-    empty batch does nothing."""
+def failure_to_dead_letters(write: Sink, dead: Sink, undo: Callable[[SparkSession, int], None] | None = None) -> Sink:
+    """If the write of a batch fails, all of its events go to the dead letters; before,
+    ``undo`` takes back what was written of it. An empty batch does nothing."""
 
-    def deliver(batch: DataFrame, batch_id: int) -> None:
+    def deliver(batch: DataFrame, batch_id: int) -> bool:
         if batch.isEmpty():
-            return
+            return True
         try:
-            write(batch, batch_id)
+            return write(batch, batch_id) is not False
         except Exception:
             log.error("write of batch %s failed", batch_id, exc_info=True)
-            dead(batch, batch_id)
+        if undo is not None:
+            undo(batch.sparkSession, batch_id)
+        dead(batch, batch_id)
+        return False
 
     return deliver
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.config import EngineConfig
-from eventloom.operators.identity import latest_link, link_rows, live_links, resolve_identity, upsert_links
+from eventloom.operators.identity import latest_link, link_rows, live_links, resolve_identity, slice_hours, upsert_links
 
 CFG = EngineConfig()
 DAY = 86_400
@@ -54,6 +54,27 @@ def test_links_expire_and_are_renewed(spark):
     assert (got[1], got[2], got[5]) == ("u", None, "u")
 
 
+def test_heavy_hour_is_cut(spark):
+    """300 000 rows of one visitor and hour, half of them of one instant: no task orders
+    more than a tenth, and what a slice inherits is right."""
+    rows = spark.range(300_000).select(
+        F.lit("a").alias("anonymous_id"),
+        F.when(F.col("id") % 1_000 == 7, F.concat(F.lit("u"), F.col("id"))).alias("user_id"),
+        F.timestamp_millis(F.lit(1_700_000_000_000) + F.least(F.col("id"), F.lit(150_000)) * 4).alias("timestamp"),
+        F.col("id").alias("seq"),
+    )
+    light = events(spark, [("b", "v", 0, 400_000), ("b", None, 1, 400_001), ("a", None, 4_000, 400_002)])
+    both = rows.unionByName(light.select(rows.columns)).repartition(8)
+    lanes = both.withColumns({"_lane": F.concat(F.lit("v"), "anonymous_id"), "_hour": F.date_trunc("hour", "timestamp")})
+    sizes = slice_hours(lanes, "timestamp").groupBy("_lane", "_hour", "_slice").count().collect()
+    assert sum(r["count"] for r in sizes) == 300_003 and max(r["count"] for r in sizes) <= 30_000
+    got = resolve_identity(both, CFG)
+    link = F.when(F.col("seq") >= 7, F.concat(F.lit("u"), F.floor((F.col("seq") - 7) / 1_000) * 1_000 + 7))
+    wrong = got.where("anonymous_id = 'a' and seq < 300000").where(~F.col("user_id").eqNullSafe(link))
+    assert got.count() == 300_003 and wrong.count() == 0
+    assert users(got.where("seq >= 400000")) == {400_000: "v", 400_001: "v", 400_002: "u299007"}
+
+
 def test_disabled_and_not_allowed(spark):
     rows = [("a", "u", 0, 0), ("a", None, 1, 1)]
     assert users(resolve_identity(events(spark, rows), CFG.with_(identity_enabled=False)))[1] is None

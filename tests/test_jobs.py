@@ -7,6 +7,7 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.config import EngineConfig
 from eventloom.operators import dead_letters as DL
@@ -15,7 +16,7 @@ from eventloom.operators.identity import resolve_identity
 from eventloom.operators.quality import observe_metrics, rate_cap
 from eventloom.operators.skew import lookup_join
 from eventloom.plans.ingest import Earlier, event_table, ingest
-from eventloom.plans.load import UNREADABLE, ingest_batches, load_from_stream
+from eventloom.plans.load import UNREADABLE, ingest_batches, load_dead_letters, load_from_stream
 from eventloom.plans.finalize import finalize_sessions, refresh_daily, refresh_hourly
 from eventloom.plans.replay import replay_dead_letters, run_replay
 from eventloom.schemas import DEAD_LETTERS, EVENTS, RAW_EVENT
@@ -467,7 +468,7 @@ def test_dead_letter_sinks_and_repeated_batches(spark, tmp_path):
     sink(flat(spark, 3), 0)
     sink(flat(spark, 4), 1)
     stored, added = read_entries(spark, str(tmp_path / "dlq"))
-    assert stored.count() == 4 and added == [0, 1]
+    assert stored.count() == 4 and added == ["batch-0", "batch-1"]
     topics = FolderTopics(str(tmp_path / "topics"))
     for _ in range(2):
         S.dead_letter_topic_sink(topics, "why", CFG)(flat(spark, 2).withColumn("received_at", now()), 0)
@@ -525,6 +526,59 @@ def sent(spark, *rows):
     )
 
 
+def test_failed_batch_is_not_seen(spark, tmp_path):
+    """A batch that breaks off leaves no rows and no ids; sent again it is written once."""
+    prepare_session(spark)
+    topics, at = FolderTopics(str(tmp_path / "topics")), now()
+    table, cp, dlq = (str(tmp_path / name) for name in ("table", "cp", "dlq"))
+    batch = sent(spark, ("a", 0), ("b", 90_000), ("", 5))
+
+    def breaks_off(rows, batch_id):
+        S.events_table_sink(table, at)(rows.where("event_id = 'a'"), batch_id)
+        raise OSError("down")
+
+    counts = []
+    for write in (breaks_off, None, None):
+        write_event_stream(batch, topics, CFG)
+        load_from_stream(spark, topics, table, cp, CFG, dlq, at, write)
+        counts.append(sorted(r.event_id for r in read_events(spark, table).collect()))
+    assert counts == [[], ["", "a", "b"], ["", "", "a", "b"]]
+    dead = spark.read.json(str(tmp_path / "topics" / "topic=events-dlq"))
+    assert dead.count() == 3
+    # back from the topic: entries without an id stay apart, and reading twice adds nothing
+    for number in range(2):
+        load_dead_letters(spark, topics, dlq, str(tmp_path / f"dead{number}"), CFG, at)
+    entries = read_entries(spark, dlq)[0].collect()
+    assert sorted(e.event_id for e in entries) == ["", "a", "b"]
+    assert {e.reason for e in entries} == {"table_write_failed"}
+    assert all("_dlq" not in e.event_json for e in entries)
+    topics.write(spark.createDataFrame([("events-dlq", "k", "{broken")], "topic string, key string, value string"), "raw")
+    load_dead_letters(spark, topics, dlq, str(tmp_path / "dead0"), CFG, at)
+    assert sorted(e.reason for e in read_entries(spark, dlq)[0].collect()) == ["table_write_failed"] * 3 + ["unreadable_record"]
+
+
+def test_state_in_two_steps(spark, tmp_path):
+    prepare_session(spark)
+    state = BatchState(str(tmp_path / "s"), T.StructType([T.StructField("n", T.IntegerType())]), lambda rows: rows)
+    rows = [spark.createDataFrame([(n,)], "n int") for n in range(20)]
+
+    def known(batch):
+        return sorted(r.n for r in state.before(spark, batch).collect())
+
+    state.propose(rows[0], 0)
+    assert known(1) == []
+    state.confirm(spark, 0)
+    state.propose(rows[1], 1)
+    state.discard(spark, 1)
+    assert known(2) == [0]
+    for n in range(2, 17):
+        state.add(rows[n], n)
+    assert known(17) == [0, *range(2, 17)]
+    # an earlier attempt at a batch had succeeded and was folded
+    state.discard(spark, 16)
+    assert known(17) == [0, *range(2, 16)]
+
+
 def test_late_events_are_loaded(spark, loaded):
     rows, _ = loaded(sent(spark, ("a", 0), ("b", 90_000)), sent(spark, ("c", 200_000)), sent(spark, ("late", -7_200)))
     assert sorted(r.event_id for r in rows) == ["a", "b", "c", "late"]

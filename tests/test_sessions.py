@@ -23,7 +23,7 @@ from eventloom.operators.sessions import (
     split_live,
     visits,
 )
-from eventloom.plans.finalize import sweep_sessions, swept_batches
+from eventloom.plans.finalize import read_daily, sweep_sessions, swept_batches, upkeep_daily
 from eventloom.sources.tables import compact_events, read_events, read_sessions, write_events
 from eventloom.workspace import write_through
 
@@ -183,6 +183,53 @@ def test_sweeps_read_what_is_new(spark, tmp_path):
     assert sessions() == {"s1": (3, 100_000), "s2": (2, 500_000)}
 
 
+def test_moved_sessions_and_their_rollup(spark, tmp_path):
+    """A late event moves a session to the day before: each day can be read by itself, and
+    the rollup takes the old row back, the largest scroll depth included."""
+    path = str(tmp_path)
+    tables = f"{path}/events", f"{path}/sessions", f"{path}/state"
+    daily = f"{path}/daily"
+
+    def later(seconds):
+        return F.timestamp_seconds(F.lit(1_700_000_000 + seconds))
+
+    def add(batch, *rows):
+        write_events(events(spark, list(rows)), tables[0], later(0), batch)
+
+    def ids(since, until):
+        return sorted(r.session_id for r in read_sessions(spark, tables[1], since, until).collect())
+
+    def rollup(first="", last="9999-12-31"):
+        rows = read_daily(spark, daily, first, last).collect()
+        return sorted((str(r.date)[8:], r.anonymous_id, r.session_count, r.total_page_views, r.max_scroll_depth) for r in rows)
+
+    add(
+        "a", event(0, 0, anon="v", session="s1"), event(1, 10, "scroll", anon="v", session="s1", depth=90),
+        event(2, 20, "scroll", anon="v", session="s2", depth=30), event(3, -200_000, anon="v", session="s0"),
+    )
+    sweep_sessions(spark, *tables, CFG, later(5_000))
+    assert upkeep_daily(spark, tables[1], tables[2], daily) == ["2023-11-12", "2023-11-14"]
+    assert upkeep_daily(spark, tables[1], tables[2], daily) == []
+    assert rollup() == [("12", "v", 1, 1, 0), ("14", "v", 2, 1, 90)]
+    add("b", event(4, -90_000, anon="v", session="s1"))
+    sweep_sessions(spark, *tables, CFG, later(6_000))
+    assert ids("2023-11-14", "2023-11-15") == ["s2"] and ids("2023-11-13", "2023-11-14") == ["s1"]
+    assert ids(None, None) == ["s0", "s1", "s2"]
+    plan = read_sessions(spark, tables[1], "2023-11-13", "2023-11-14")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(start_date" in plan
+    assert upkeep_daily(spark, tables[1], tables[2], daily) == ["2023-11-13", "2023-11-14"]
+    assert rollup() == [("12", "v", 1, 1, 0), ("13", "v", 1, 2, 90), ("14", "v", 1, 0, 30)]
+    assert rollup("2023-11-13", "2023-11-13") == [("13", "v", 1, 2, 90)]
+    # the other session leaves the day too; two sweeps are taken up at once
+    add("c", event(5, -90_000, anon="v", session="s2"))
+    sweep_sessions(spark, *tables, CFG, later(7_000))
+    sweep_sessions(spark, *tables, CFG, later(8_000))
+    assert upkeep_daily(spark, tables[1], tables[2], daily) == ["2023-11-13", "2023-11-14"]
+    assert rollup() == [("12", "v", 1, 1, 0), ("13", "v", 2, 3, 90)]
+    whole = sessions_daily(read_sessions(spark, tables[1])).select(read_daily(spark, daily).columns)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, read_daily(spark, daily).collect()))
+
+
 def test_sink_defaults(spark):
     (row,) = session_sink_defaults(session_rows(events(spark, [event(0, 0.75, anon=None, user="u")]), CFG)).collect()
     assert (row.anonymous_id, row.utm_source, row.device_type) == ("", "", "")
