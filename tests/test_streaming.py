@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 
@@ -13,7 +14,7 @@ from eventloom.operators.dedup import drop_duplicates
 from eventloom.operators.identity import resolve_identity
 from eventloom.operators.rollups import events_hourly, merge_hourly
 from eventloom.operators.sessions import session_rows
-from eventloom.streaming.batches import dedup_batches, identity_batches, rate_batches
+from eventloom.streaming.batches import SLICE_MS, SliceSteps, dedup_batches, identity_batches, rate_batches, serve_instants, thread_slices
 from eventloom.streaming.dedup import dedup_stream
 from eventloom.streaming.metrics import IngestCounters, observe_stream
 from eventloom.streaming.rollups import hourly_stream
@@ -184,3 +185,72 @@ def test_counters_add_up_over_triggers(spark, run, batch):
         time.sleep(0.2)
     spark.streams.removeListener(counters)
     assert (counters.totals["duplicate"], counters.totals["accepted"]) == (clicks, 241 - clicks)
+
+
+def through_bucket(instants, per_second, tokens, at):
+    """[(ms, n)] one by one: (granted, tokens left)."""
+    granted = []
+    for ms, n in instants:
+        tokens = min(per_second * 1000, tokens + max(0, ms - at) * per_second)
+        at = max(at, ms)
+        granted.append(min(n, tokens // 1000))
+        tokens -= 1000 * granted[-1]
+    return granted, tokens
+
+
+@pytest.mark.parametrize("per_second", [1, 3, 7, 125, 700, 1000, 10_000])
+def test_steps_of_a_slice(per_second):
+    """What a slice does to a bucket, for any bucket."""
+    rng = random.Random(per_second)
+    for _ in range(30):
+        ms, instants = 0, []
+        for _ in range(rng.randrange(1, 40)):
+            ms += rng.choice([1, 2, 5, 30, 333, 900])
+            instants.append((ms, rng.choice([1, 1, 2, per_second // 2 + 1, 3 * per_second])))
+        steps, before = SliceSteps(per_second), instants[0][0]
+        for ms, n in instants:
+            steps.add(ms - before, n)
+            before = ms
+        unit = math.gcd(per_second, 1000)
+        for tokens in {0, per_second * 1000, *(rng.randrange(per_second * 1000 // unit + 1) * unit for _ in range(50))}:
+            want = through_bucket(instants, per_second, tokens, instants[0][0])[1]
+            assert SliceSteps.left(steps.pack(), per_second, tokens) == want
+
+
+def test_one_busy_client(spark, tmp_path):
+    """A million instants of one client in two batches, the second partly late: the same
+    as one by one, and no task goes through more than a slice of it at a time."""
+    streaming_session(spark)
+    cfg, n = CFG.with_(max_requests_per_second=700), 1_000_000
+    base = 1_700_000_000_000
+
+    def batch(since, until, shift):
+        ms = F.lit(base) + F.col("id") + F.floor(F.col("id") / 50_000) * 700 - shift
+        return spark.range(since, until, numPartitions=8).select(
+            F.lit("busy").alias("app_code"), F.timestamp_millis(ms).alias("timestamp"), F.lpad(F.col("id").cast("string"), 9, "0").alias("event_id"), F.col("id").alias("seq")
+        )
+
+    out = str(tmp_path / "rows")
+    run = rate_batches(str(tmp_path / "state"), batches_to_parquet(out), cfg)
+    parts = [(0, 600_000, 0), (600_000, n, 20_000)]
+    for number, part in enumerate(parts):
+        run(batch(*part), number)
+    instants = [(base + k + k // 50_000 * 700 - shift, 1) for since, until, shift in parts for k in range(since, until)]
+    granted, _ = through_bucket(instants, 700, 700_000, instants[0][0])
+    got = spark.read.schema("seq long, over_limit boolean, batch int").parquet(out)
+    assert got.count() == n
+    assert got.where("not over_limit").count() == sum(granted)
+    over = {r.seq for r in got.where("over_limit and seq % 97 = 0").collect()}
+    assert over == {k for k in range(0, n, 97) if not granted[k]}
+    assert SLICE_MS < 20_000
+
+
+def test_buckets_of_slices():
+    """A bucket passes from slice to slice, full after a second without requests."""
+    steps = SliceSteps(2)
+    for _ in range(3):
+        steps.add(100, 1)
+    rows = [("a", -1, 0, 0, 300, None), ("a", 0, 400, 500, -1, steps.pack()), ("a", 1, 900, 950, -1, None), ("a", 5, 9_000, 9_000, -1, None), ("b", 0, 5, 5, -1, None)]
+    assert list(thread_slices(iter(rows), 2)) == [("a", 0, 0, 300), ("a", 1, 500, 700), ("a", 5, 950, 2_000), ("b", 0, 5, 2_000)]
+    served = [("a", 0, 0, -1, 300), ("a", 0, 400, 1, -1), ("a", 0, 500, 1, -1)]
+    assert list(serve_instants(iter(served), 2)) == [("a", 0, 400, 1, -1), ("a", 0, 500, 0, -1), ("a", 0, 500, -1, 300)]
