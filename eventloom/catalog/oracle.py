@@ -712,4 +712,10 @@ UNION ALL SELECT 'waiting', '', event_type FROM behaviour WHERE event_type = 'pu
     "sessions_daily_upkeep": _with(NAMED_SESSIONS, DAILY.replace("user_id,", "coalesce(user_id, '') AS user_id,").replace(
         "utm_source, utm_medium, utm_campaign", "coalesce(utm_source, '') AS utm_source, coalesce(utm_medium, '') AS utm_medium, '' AS utm_campaign"
     )),
+    "stream_hourly_late": _with(
+        EV,
+        HOURLY.format(
+            where="\nWHERE date_trunc('hour', ts) + to_hours(1) <= (SELECT max(ts) - to_minutes(10) FROM behaviour)"
+        ).replace("user_id,", "coalesce(user_id, '') AS user_id,", 1),
+    ),
 }

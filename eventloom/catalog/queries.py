@@ -34,6 +34,7 @@ from eventloom.operators.rollups import (
 from eventloom.operators.sessions import attach_sessions, open_sessions, session_rows, split_live, visits
 from eventloom.operators.validate import reject_record, split_required
 from eventloom.plans.finalize import finalize_sessions, read_daily, sweep_sessions, upkeep_daily
+from eventloom.plans.hourly import correct_hours, read_hourly, send_hours
 from eventloom.plans.ingest import Ingested, classify, ingest
 from eventloom.plans.load import load_dead_letters, load_from_stream
 from eventloom.plans.replay import replay_dead_letters, run_replay
@@ -57,7 +58,7 @@ from eventloom.sources.tables import (
     write_events,
     write_sessions,
 )
-from eventloom.sources.topics import FolderTopics, ordered_by_user, write_event_stream
+from eventloom.sources.topics import FolderTopics, ordered_by_user, read_event_stream, write_event_stream
 from eventloom.streaming import sinks as S
 from eventloom.streaming.batches import dedup_batches, identity_batches, rate_batches
 from eventloom.streaming.dedup import dedup_stream
@@ -847,6 +848,23 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(merge_hourly(_run(spark, hourly_stream(events, CFG), "hourly")), "avg_stay_duration")
 
 
+def stream_hourly_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three triggers over a topic: first events of the second half of the month, then all
+    others of it, then the first half, which the stream is past. Late hours are corrected
+    from the events table. The same as the batch rollup of the hours that have ended."""
+    streaming_session(spark)
+    path = scratch_path(spark, "late-hours")
+    topics = FolderTopics(f"{path}/topics")
+    rows = event_table_rows(_rollup_input(spark, sf_dir), at(NOW)).drop(EVENT_DAY)
+    late, odd = F.col("timestamp") < at(MID_MONTH), F.crc32("event_id") % 2 == 1
+    for number, part in enumerate((~late & odd, ~late & ~odd, late)):
+        write_event_stream(rows.where(part), topics, CFG)
+        write_events(rows.where(part), f"{path}/table", at(NOW), numbered_batch("part", number))
+        send_hours(read_event_stream(spark, topics, CFG).where("unreadable is null"), f"{path}/hourly", f"{path}/checkpoint", CFG)
+        correct_hours(spark, f"{path}/table", f"{path}/hourly")
+    return rounded(read_hourly(spark, f"{path}/hourly"), "avg_stay_duration")
+
+
 def stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     streaming_session(spark)
     events = I.shared_device(I.derive(I.stream_source(spark, sf_dir))).select(
@@ -1049,6 +1067,7 @@ QUERIES: dict[str, Query] = {
     "stream_dedup_anchored": stream_dedup_anchored,
     "stream_sessions": stream_sessions,
     "stream_hourly": stream_hourly,
+    "stream_hourly_late": stream_hourly_late,
     "stream_identity": stream_identity,
     "stream_rate_cap": stream_rate_cap,
     "stream_load": stream_load,

@@ -29,7 +29,7 @@ from eventloom.operators.sessions import (
 )
 from eventloom.schemas import EVENTS, SESSION_COLUMNS, SESSIONS
 from eventloom.sources.state import delete, exists, finished, read_note, write_note
-from eventloom.sources.tables import COMPACTED, batches_of, numbered_batch, read_events, read_sessions, write_sessions
+from eventloom.sources.tables import COMPACTED, BatchNames, batches_of, numbered_batch, read_events, read_sessions, write_sessions
 from eventloom.workspace import write_through
 
 
@@ -44,10 +44,10 @@ def _open_schema(spark: SparkSession) -> T.StructType:
     return T.StructType([*parts.fields, T.StructField("_stored", SESSIONS)])
 
 
-def swept_batches(spark: SparkSession, state: str) -> list[str]:
+def swept_batches(spark: SparkSession, state: str) -> BatchNames:
     """Names of the batches of events that sweeps have read."""
     runs = finished(spark, state, "swept-")
-    return read_note(spark, f"{state}/swept-{max(runs)}")[1:] if runs else []
+    return BatchNames(read_note(spark, f"{state}/swept-{max(runs)}")[1:] if runs else [])
 
 
 #: States of earlier sweeps that are kept.
@@ -75,13 +75,14 @@ def sweep_sessions(
     """
     runs = finished(spark, state, "swept-")
     run = max(runs, default=-1) + 1
-    known: list[str] = []
+    known = BatchNames()
     open_schema = _open_schema(spark)
     parts = spark.createDataFrame([], open_schema).withColumn("fresh", F.lit(False))
     if runs:
         known = swept_batches(spark, state)
         parts = spark.read.schema(open_schema).parquet(f"{state}/open-{run - 1}").withColumn("fresh", F.lit(False))
-    new = [b for b in batches_of(spark, events) if b not in set(known) and not b.startswith(COMPACTED)]
+    there = batches_of(spark, events)
+    new = [b for b in there if b not in known and not b.startswith(COMPACTED)]
     if new:
         added = session_parts(read_events(spark, events, batches=new)).withColumn("fresh", F.lit(True))
         parts = parts.unionByName(added, allowMissingColumns=True)
@@ -103,7 +104,9 @@ def sweep_sessions(
     kept = kept.join(latest, "session_id", "left").withColumn("_stored", F.coalesce("_now", "_stored"))
     kept.drop("fresh", "_due", "_written", "_now").write.mode("overwrite").parquet(f"{state}/open-{run}")
     moment = spark.range(1).select(F.unix_millis(now)).first()[0]
-    write_note(spark, f"{state}/swept-{run}", [str(moment), *known, *new])
+    known.add(new)
+    known.keep(there)
+    write_note(spark, f"{state}/swept-{run}", [str(moment), *known.lines()])
     for kind in ("open-", "swept-"):
         for number in finished(spark, state, kind):
             if number <= run - KEEP:

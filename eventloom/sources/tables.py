@@ -7,7 +7,12 @@ expiry and compaction work on the day folders whoever wrote them.
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
+from collections import defaultdict
+from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +52,48 @@ def numbered_batch(kind: str, number: int) -> str:
     return f"{kind}-{number:012d}"
 
 
+class BatchNames:
+    """A set of batch names that stays small: of numbered batches of a kind it keeps ranges
+    of numbers, so a stream without gaps is one line however long it runs."""
+
+    def __init__(self, lines: Iterable[str] = ()):
+        self._ranges: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self._others: set[str] = set()
+        for line in lines:
+            if found := re.fullmatch(r"(.*)-(\d{12})\.\.(\d{12})", line):
+                self._ranges[found[1]].append((int(found[2]), int(found[3])))
+            elif line:
+                self.add([line])
+
+    def __contains__(self, name: str) -> bool:
+        if found := re.fullmatch(r"(.*)-(\d{12})", name):
+            return any(first <= int(found[2]) <= last for first, last in self._ranges.get(found[1], ()))
+        return name in self._others
+
+    def add(self, names: Iterable[str]) -> None:
+        for name in names:
+            if found := re.fullmatch(r"(.*)-(\d{12})", name):
+                self._ranges[found[1]].append((int(found[2]), int(found[2])))
+            else:
+                self._others.add(name)
+        for kind, ranges in self._ranges.items():
+            merged: list[tuple[int, int]] = []
+            for first, last in sorted(ranges):
+                if merged and first <= merged[-1][1] + 1:
+                    merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
+                else:
+                    merged.append((first, last))
+            self._ranges[kind] = merged
+
+    def keep(self, names: Iterable[str]) -> None:
+        """Forget other names without a number: their batches are gone."""
+        self._others &= set(names)
+
+    def lines(self) -> list[str]:
+        ranges = [f"{kind}-{first:012d}..{last:012d}" for kind, of in sorted(self._ranges.items()) for first, last in of]
+        return ranges + sorted(self._others)
+
+
 def _write(rows: DataFrame, path: str, day: str, order: tuple[str, ...], blooms: tuple[str, ...], batch: str) -> None:
     # Rebalancing by day lets adaptive execution cut a heavy day into files of the
     # advisory size and join light days, so no task writes a third of the data.
@@ -143,28 +190,71 @@ COMPACTED = "compact"
 
 
 def compact_events(
-    spark: SparkSession, path: str, first_day: str, last_day: str, files: int, batches: list[str] | None = None
+    spark: SparkSession, path: str, first_day: str, last_day: str, files: int, batches: BatchNames | list[str] | None = None
 ) -> list[str]:
     """Rewrite the batches of a range of days as one, in table order; returns the days.
 
     Sweeps pass compacted batches by, so give the ``batches`` that were swept if there
-    are others. The new files are written beside the table first. Then, day by day, the folders
-    that were read move out of sight and the new one moves in. After a crash run
-    ``finish_compaction`` before anything else.
+    are others. Reads of these days have to wait until it is done.
     """
     fs, make = _folders(spark, path)
-    rows = read_table(spark, path, EVENTS, EVENT_DAY).where(F.col(EVENT_DAY).between(first_day, last_day))
     days = [d for d in _children(fs, make(path)) if f"{EVENT_DAY}={first_day}" <= d <= f"{EVENT_DAY}={last_day}"]
-    batch = new_batch(COMPACTED)
     replaced = [f"{d}/{b}" for d in days for b in _children(fs, make(f"{path}/{d}"))]
     if batches is not None:
-        rows = rows.where(F.col(BATCH).isin(batches))
-        replaced = [name for name in replaced if name.split(f"/{BATCH}=")[1] in set(batches)]
+        replaced = [name for name in replaced if name.split(f"/{BATCH}=")[1] in batches]
+    _fold(spark, path, replaced, files)
+    return [d.removeprefix(f"{EVENT_DAY}=") for d in days]
+
+
+#: Batches of a day that are of one size, each size being so many times the one below,
+#: are folded when there are so many of them.
+TIER = 8
+#: Bytes; smaller batches are of one size. Bytes that a file of a folded batch has.
+SMALL, FILE = 2**20, 2**28
+
+
+def fold_small_batches(
+    spark: SparkSession, path: str, swept: BatchNames | None = None, tier: int = TIER, small: int = SMALL
+) -> list[str]:
+    """Fold the batches of a day that are of about one size, once there are ``tier`` of
+    them, into one; returns the folders that went. A day then has a few folders of each
+    size, and a row is rewritten once per size, however many batches come.
+
+    Only batches in ``swept`` are folded (all, without it), and batches folded before, as
+    sweeps pass folded ones by. Sizes are those of the folders; no file is opened. Reads of
+    days that are folded have to wait until it is done.
+    """
+    fs, make = _folders(spark, path)
+    chosen, size = [], 0
+    for day in _children(fs, make(path)):
+        tiers: dict[int, list[tuple[str, int]]] = defaultdict(list)
+        for batch in _children(fs, make(f"{path}/{day}")):
+            name = batch.removeprefix(f"{BATCH}=")
+            if swept is None or name in swept or name.startswith(COMPACTED):
+                bytes_ = fs.getContentSummary(make(f"{path}/{day}/{batch}")).getLength()
+                tiers[max(0, math.ceil(math.log(max(1, bytes_ / small), tier)))].append((f"{day}/{batch}", bytes_))
+        for held in tiers.values():
+            if len(held) >= tier:
+                chosen += [name for name, _ in held]
+                size += sum(bytes_ for _, bytes_ in held)
+    if chosen:
+        _fold(spark, path, chosen, len({name.split("/")[0] for name in chosen}) + size // FILE)
+    return chosen
+
+
+def _fold(spark: SparkSession, path: str, replaced: list[str], files: int) -> None:
+    """Rewrite these folders as one batch per day. The new files are written beside the
+    table first. Then the folders that were read go and the new ones move in. After a crash
+    run ``finish_compaction`` before anything else."""
+    if not replaced:
+        return
+    batch = new_batch(COMPACTED)
+    fields = [*EVENTS.fields, T.StructField(EVENT_DAY, T.DateType()), T.StructField(BATCH, T.StringType())]
+    rows = spark.read.schema(T.StructType(fields)).option("basePath", path).parquet(*[f"{path}/{name}" for name in replaced])
     writer = cluster_sort(rows.withColumn(BATCH, F.lit(batch)), EVENT_DAY, EVENT_ORDER, files).write.mode("overwrite")
     _with_blooms(writer, EVENT_BLOOM).partitionBy(EVENT_DAY, BATCH).parquet(f"{path}/_compact/rows")
     write_note(spark, f"{path}/_compact/replaced", replaced)
     finish_compaction(spark, path)
-    return [d.removeprefix(f"{EVENT_DAY}=") for d in days]
 
 
 def finish_compaction(spark: SparkSession, path: str) -> None:
@@ -226,13 +316,16 @@ def read_events(
     since: str | None = None,
     until: str | None = None,
     batches: list[str] | None = None,
+    days: list[date] | None = None,
 ) -> DataFrame:
-    """Events of a time range, or of some batches; files written before app_code existed
+    """Events of a time range, or of some batches or days; files written before app_code existed
     read as ''."""
     rows = _days_between(read_table(spark, path, EVENTS, EVENT_DAY), EVENT_DAY, since, until)
     rows = _between(rows, "timestamp", since, until)
     if batches is not None:
         rows = rows.where(F.col(BATCH).isin(batches))
+    if days is not None:
+        rows = rows.where(F.col(EVENT_DAY).isin(days))
     return evolve_schema(rows, {"app_code": ""}).select(*EVENT_COLUMNS)
 
 

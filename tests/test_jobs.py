@@ -17,7 +17,8 @@ from eventloom.operators.quality import observe_metrics, rate_cap
 from eventloom.operators.skew import lookup_join
 from eventloom.plans.ingest import Earlier, event_table, ingest
 from eventloom.plans.load import UNREADABLE, ingest_batches, load_dead_letters, load_from_stream
-from eventloom.plans.finalize import finalize_sessions, refresh_daily, refresh_hourly
+from eventloom.plans.finalize import finalize_sessions, refresh_daily, refresh_hourly, sweep_sessions, swept_batches
+from eventloom.plans.hourly import correct_hours, read_hourly, send_hours
 from eventloom.plans.replay import replay_dead_letters, run_replay
 from eventloom.schemas import DEAD_LETTERS, EVENTS, RAW_EVENT
 from eventloom.sources.contracts import parse_contracts
@@ -26,16 +27,22 @@ from eventloom.sources.dead_letters import add_entries, read_entries
 from eventloom.sources.snapshots import newest_version, read_snapshot, write_snapshot
 from eventloom.sources.state import FOLD_EVERY, BatchState, finished
 from eventloom.sources.tables import (
+    BatchNames,
     batches_of,
     compact_events,
     expire_days,
+    event_table_rows,
     finish_compaction,
+    fold_small_batches,
+    numbered_batch,
     read_events,
+    read_sessions,
     write_events,
     write_sessions,
 )
 from eventloom.sources.topics import FolderTopics, ordered_by_user, read_event_stream, to_records, write_event_stream
 from eventloom.streaming import sinks as S
+from eventloom.streaming.settings import streaming_session
 from eventloom.workspace import clear_scratch, dropping_scratch, prepare_session, write_through
 
 CFG = EngineConfig()
@@ -670,3 +677,66 @@ def test_scratch_is_removed(spark):
     assert os.path.exists(path) or os.path.exists(path.removeprefix("//"))
     clear_scratch(spark)
     assert not os.path.exists(path) and not os.path.exists(path.removeprefix("//"))
+
+
+# ------------------------------------------------------------------ many small batches
+
+
+def test_batch_names_stay_small():
+    names = BatchNames([numbered_batch("stream", n) for n in range(5_000)] + ["job-x", numbered_batch("replay", 3)])
+    assert names.lines() == ["replay-000000000003..000000000003", "stream-000000000000..000000004999", "job-x"]
+    names.add([numbered_batch("stream", n) for n in (5_002, 5_001, 9_000, 5_000)])
+    again = BatchNames(names.lines())
+    assert numbered_batch("stream", 5_002) in again and numbered_batch("stream", 5_003) not in again
+    assert "job-x" in again and numbered_batch("other", 3) not in again
+    assert BatchNames([numbered_batch("a", 1), "job-y", ""]).lines() == ["a-000000000001..000000000001", "job-y"]
+    again.keep([])
+    assert "job-x" not in again and len(again.lines()) == 3
+
+
+def test_small_batches_are_folded(spark, tmp_path):
+    """Sweeps in between read every event once; a day keeps a handful of folders."""
+    prepare_session(spark)
+    table, sessions, state = (str(tmp_path / name) for name in ("table", "sessions", "state"))
+    for number in range(26):
+        rows = sent(spark, (f"e{number}", number * 10), (f"f{number}", 90_000)).withColumn("session_id", F.col("event_id"))
+        write_events(rows, table, now(), numbered_batch("stream", number))
+        if number % 5 == 4:
+            sweep_sessions(spark, table, sessions, state, CFG, F.timestamp_seconds(F.lit(1_800_000_000)))
+            fold_small_batches(spark, table, swept_batches(spark, state), tier=5, small=2**20)
+    folders = [len(os.listdir(tmp_path / "table" / d)) for d in os.listdir(tmp_path / "table") if d.startswith("event_date")]
+    assert len(folders) == 2 and max(folders) <= 6
+    # the last batch has not been swept
+    assert fold_small_batches(spark, table, swept_batches(spark, state), tier=2, small=2**20)
+    assert {name.split("-")[0] for name in batches_of(spark, table)} == {"compact", "stream"}
+    sweep_sessions(spark, table, sessions, state, CFG, F.timestamp_seconds(F.lit(1_800_000_100)))
+    assert read_events(spark, table).count() == 52
+    assert read_sessions(spark, sessions).count() == 52
+    assert sum(r.page_views + r.clicks for r in read_sessions(spark, sessions).collect()) == 52
+
+
+def test_late_hours_are_corrected(spark, tmp_path):
+    streaming_session(spark)
+    topics, table, target = FolderTopics(str(tmp_path / "topics")), str(tmp_path / "table"), str(tmp_path / "hourly")
+    columns = {"session_id": F.lit("s"), "spmb": F.lit("b"), "spmd": F.lit("d"), "stay_duration": F.lit(5)}
+
+    def trigger(number, *rows):
+        batch = event_table_rows(sent(spark, *rows).withColumns(columns), now()).drop("event_date")
+        write_event_stream(batch, topics, CFG)
+        write_events(batch, table, now(), numbered_batch("part", number))
+        send_hours(read_event_stream(spark, topics, CFG).where("unreadable is null"), target, str(tmp_path / "cp"), CFG)
+        return len(correct_hours(spark, table, target))
+
+    def counts():
+        return sorted(r.event_count for r in read_hourly(spark, target).collect())
+
+    # hours 0 and 2 are over when the last event comes
+    assert trigger(0, ("a", 0), ("b", 1), ("c", 7_200), ("d", 20_000)) == 0
+    assert counts() == [1, 2]
+    # late for hour 0 and for an hour that had none; on time for the open hour
+    assert trigger(1, ("e", 2), ("f", 3_700), ("g", 20_001)) == 2
+    assert counts() == [1, 1, 3]
+    assert correct_hours(spark, table, target) == []
+    # later again for a corrected hour; the open hour ends
+    assert trigger(2, ("h", 3), ("i", 40_000)) == 1
+    assert counts() == [1, 1, 2, 4]
