@@ -33,9 +33,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-#: Candidates: runs of the credential alphabet with both a letter and a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Candidates: runs of the alphabet that labelled values have, as long as the shortest may be.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 
 #: At most so many distinct labelled values train the automaton, those of smallest hash.
 MAX_EXAMPLES = 1_500
@@ -54,8 +53,7 @@ def base_spans(text: str) -> list[Span]:
             found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
-    if DIGIT.search(text) or "a" in text:
-        found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
+    found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     return sorted(found)
 
 
@@ -64,6 +62,8 @@ def base_spans(text: str) -> list[Span]:
 #: A symbol is a class of characters; inside a class all characters are alike.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-.")
 SYMBOL = {c: k for k, chars in enumerate(CLASSES) for c in chars}
+#: Not a class: the end of a value.
+END = len(CLASSES)
 #: Probability of one character of a class, given the class.
 WITHIN = [1 / len(chars) for chars in CLASSES]
 
@@ -156,7 +156,8 @@ class Automaton:
                     position = red.index(open_states[0])
 
     def frozen(self) -> list[dict[int, tuple[float, int]]]:
-        """For each reachable state: symbol -> (log probability of one character, state)."""
+        """For each reachable state: symbol -> (log probability of one character, state),
+        and under END the log probability that a value ends there."""
         number, order = {0: 0}, [0]
         for state in order:
             for _, target in self.next[state].values():
@@ -165,9 +166,10 @@ class Automaton:
                     order.append(target)
         table = []
         for state in order:
-            total = self.seen[state] + len(CLASSES)
+            total = self.seen[state] + len(CLASSES) + 1
             table.append(
-                {
+                {END: (math.log((self.ends[state] + 1) / total), 0)}
+                | {
                     symbol: (
                         math.log((self.next[state].get(symbol, (0, 0))[0] + 1) / total * WITHIN[symbol]),
                         number[self.next[state][symbol][1]] if symbol in self.next[state] else 0,
@@ -178,19 +180,17 @@ class Automaton:
         return table
 
 
-#: What a character costs that is drawn evenly from the whole alphabet.
-EVEN = math.log(len(SYMBOL))
+#: What a character, or the end, costs that is drawn evenly from the whole alphabet.
+EVEN = math.log(len(SYMBOL) + 1)
 
 
 def likelihood(table: list[dict[int, tuple[float, int]]], value: str) -> float:
-    """Mean log likelihood of a character, against one drawn evenly from the alphabet."""
-    if not value:
-        return -EVEN
+    """Mean log likelihood of the characters and the end, against even draws."""
     state, total = 0, 0.0
     for c in value:
         log_p, state = table[state][SYMBOL[c]]
         total += log_p
-    return total / len(value) + EVEN
+    return (total + table[state][END][0]) / (len(value) + 1) + EVEN
 
 
 class Scorer:
@@ -209,13 +209,9 @@ class Scorer:
 
     def added_spans(self, text: str, taken: list[Span]) -> list[Span]:
         """Candidates that the automaton finds likely and that no base span touches."""
-        if not DIGIT.search(text):
-            return []
         out: list[Span] = []
         for m in CANDIDATE.finditer(text):
             value = m[0]
-            if not DIGIT.search(value) or not LETTER.search(value):
-                continue
             if any(start < m.end() and m.start() < end for start, _, end, _ in taken):
                 continue
             if likelihood(self.table, value) >= self.threshold:

@@ -34,6 +34,28 @@ def test_base():
         assert written(base_spans(text)) == brute_force(text)
 
 
+def test_hex_of_one_letter():
+    for text in ("f" * 24, "x" + "bcdef" * 5 + "x", "f" * 23):
+        assert written(base_spans(text)) == brute_force(text)
+    assert written(base_spans("f" * 24)) == "hex:0:24"
+
+
+def test_short_and_dotted_formats():
+    """All tokens are candidates; the format decides, its length included."""
+    draw = random.Random(4)
+
+    def some(alphabet, k):
+        return "".join(draw.choices(alphabet, k=k))
+
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    examples = [f"{some(letters, 2)}{some(digits, 5)}.{some(digits, 4)}" for _ in range(300)]
+    scorer = Scorer(examples)
+    new = f"{some(letters, 2)}{some(digits, 5)}.{some(digits, 4)}"
+    text = f"the code {new} of an ordinary sentence, number 17.4711, is not.in/words"
+    assert [text[s:e] for s, _, e, _ in scorer.added_spans(text, [])] == [new]
+    assert likelihood(scorer.table, new) > likelihood(scorer.table, new[:7]) and likelihood(scorer.table, new) > likelihood(scorer.table, new * 3)
+
+
 def test_automaton_learns_a_format():
     draw = random.Random(2)
     examples = ["".join(draw.choices("0123456789abcdef", k=32)) for _ in range(300)]
