@@ -4,8 +4,8 @@ A document of n tokens in a sequence costs n + n * n / length: a linear part and
 attention over itself. Documents are taken in descending order; each goes to the
 sequence of the lowest cost that still has room for it, and is cut where none has.
 
-Documents are dealt to groups by a hash of id and content, a group being as many
-sequences as about GROUP_CHARS characters fill, and each group is packed by itself, so
+Documents are dealt to groups by a hash of id, content and number of the row, so repeated
+rows spread like others, a group being as many sequences as about GROUP_CHARS characters fill, and each group is packed by itself, so
 no task sees more than a group. Very long documents are dealt in segments. The room in a
 group equals its tokens: whole sequences, and for the rest sequences whose lengths are
 the powers of two that add up to it, which need no padding.
@@ -76,19 +76,20 @@ def pack_documents(
     32-bit numbers."""
     if length & (length - 1):
         raise ValueError("the sequence length has to be a power of two")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    # the number of the row tells repeated rows apart
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.monotonically_increasing_id().alias("row"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = chars // GROUP_CHARS + 1
 
     def encoded(rows: Iterator[tuple]) -> Iterator[tuple]:
         words = encoder(vocabulary)
         close = END_ID.to_bytes(2, "little")
-        for doc_id, text in rows:
+        for doc_id, text, number in rows:
             ids = words.encode(text) + close
             total = len(ids) // 2
             mark = zlib.crc32(ids, 0 if doc_id is None else doc_id & 0xFFFFFFFF)
             for k, start in enumerate(range(0, total, SEGMENT)):
-                group = zlib.crc32(b"%d %d" % (mark, k)) % groups
+                group = zlib.crc32(b"%d %d %d" % (mark, number, k)) % groups
                 yield group, doc_id, start, total, ids[2 * start : 2 * (start + SEGMENT)]
 
     def packed(rows: Iterator[tuple]) -> Iterator[tuple]:

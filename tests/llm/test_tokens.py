@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+from pyspark.sql import functions as F
 from texts import given, no_docs, odd_docs, odd_texts
 from tokenizers import Tokenizer
 
@@ -115,3 +116,11 @@ def test_packing_odd(spark):
     assert "ids" not in out.columns
     assert out.where("start = 0").count() == len(odd_texts())
     assert pack_documents(no_docs(spark)).count() == 0
+
+
+def test_equal_rows_spread(spark):
+    """Rows without an id and with one text don't meet in one group."""
+    rows = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same forty characters in all rows ...").alias("text"))
+    out = pack_documents(rows, with_ids=False).groupBy(F.shiftright("sequence_id", 24).alias("g")).agg(F.sum("length").alias("n")).collect()
+    sizes = [r.n for r in out]
+    assert len(sizes) == 2 and max(sizes) < 1.1 * min(sizes)
