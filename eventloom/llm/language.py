@@ -4,11 +4,15 @@ Features are hashed counts of two and three bytes of the lower-cased letters, sq
 roots, scaled to length one. Families are told apart by linear support vector machines,
 one against the rest; within a family every two languages have a machine of their own,
 and the language with most votes wins, ties by margin. Machines are fitted on the driver
-to a bounded sample: PER_LANGUAGE documents of every language, those of smallest id hash.
-Whole texts are read, for fitting and for prediction.
+to a sample of bounded size: about PER_LANGUAGE documents of every language, those of
+smallest id hash, fewer where EXAMPLES in all would be passed. Every language that occurs
+is learned. Whole texts are read, for fitting and for prediction; the driver gets counts of
+features only.
 
 A null text, or one without a letter, is `und` with score 0. Rows whose lang is null teach
-nothing. Without any labelled row all texts are `und`. Repeated rows get equal results.
+nothing. Without any labelled row all texts are `und`. Repeated rows get equal results; of
+rows with one id and language the text of smallest hash teaches. Ties go to the first
+language, by name.
 Extra columns are ignored.
 """
 
@@ -19,14 +23,14 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows, whole_text
+from .common import crc_mod, map_rows, stored, whole_text
 
 BUCKETS = 4096
-#: Bound of the sample: documents per language, and languages.
-PER_LANGUAGE, MAX_LANGUAGES = 500, 64
+#: Bounds of the sample: documents per language, and in all.
+PER_LANGUAGE, EXAMPLES = 500, 8_192
 UNKNOWN = "und"
 
 #: Families by ISO 639-1 code; a language of none of these is a family of its own.
@@ -43,7 +47,13 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
-HAS_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Superscripts and fractions are word characters, but no letters."""
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
+
 
 #: Bytes that are no letters count as a space: ASCII but a to z.
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -51,13 +61,33 @@ _FOLD[:128] = 0
 _FOLD[97:123] = np.arange(97, 123)
 
 
-def features(text: str) -> np.ndarray:
+def counts_of(text: str) -> np.ndarray:
     codes = _FOLD[np.frombuffer(f" {text.lower()} ".encode(), dtype=np.uint8)]
     pairs = codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(2246822519)
     triples = pairs[:-1] * np.uint32(3266489917) + codes[2:] * np.uint32(668265263)
-    counts = np.bincount(pairs >> np.uint32(20), minlength=BUCKETS) + np.bincount(triples >> np.uint32(20), minlength=BUCKETS)
-    counts = np.sqrt(counts.astype(np.float32))
-    return counts / np.sqrt((counts * counts).sum())
+    return np.bincount(pairs >> np.uint32(20), minlength=BUCKETS) + np.bincount(triples >> np.uint32(20), minlength=BUCKETS)
+
+
+def features(text: str) -> np.ndarray:
+    return scaled(counts_of(text))
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    roots = np.sqrt(counts.astype(np.float32))
+    return roots / np.sqrt((roots * roots).sum())
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Buckets that occur and their counts."""
+    at = np.flatnonzero(counts)
+    return np.concatenate([at, counts[at]]).astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    at, n = np.frombuffer(data, "<u4").reshape(2, -1)
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[at] = n
+    return counts
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> np.ndarray:
@@ -77,10 +107,10 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float =
 
 
 class Languages:
-    """Machines fitted to texts and their languages."""
+    """Machines fitted to texts, or rows of their features, and their languages."""
 
-    def __init__(self, texts: list[str], langs: list[str]) -> None:
-        x = np.stack([features(t) for t in texts]) if texts else np.zeros((0, BUCKETS), np.float32)
+    def __init__(self, texts: list[str] | np.ndarray, langs: list[str]) -> None:
+        x = texts if isinstance(texts, np.ndarray) else np.array([features(t) for t in texts], np.float32).reshape(-1, BUCKETS)
         lang = np.array(langs, dtype=object)
         family = np.array([FAMILY_OF.get(v, v) for v in langs], dtype=object)
         self.families = sorted(set(family))
@@ -98,7 +128,7 @@ class Languages:
             self.pair_machines[f] = np.array(found, dtype=np.float32).reshape(len(found), BUCKETS + 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.families or not text or not HAS_LETTER.search(text):
+        if not self.families or not text or not has_letter(text):
             return UNKNOWN, 0.0
         x = features(text)
         family, score = self.families[0], 1.0
@@ -124,23 +154,32 @@ def _sure(margin: float) -> float:
     return float(1 / (1 + np.exp(-4 * margin)))
 
 
-def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages:
+def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, examples: int = EXAMPLES) -> Languages:
     """Fit to the bounded sample of documents (doc_id, text, lang)."""
     known = docs.where("lang is not null and text is not null")
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    langs = [r.lang for r in common.collect()]
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = known.where(F.col("lang").isin(langs)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).drop("k", "h")
-    # at most per_language rows of each language
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = sample.dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id").select("text", "lang").toLocalIterator()
-    texts, names = [], []
-    for r in rows:
-        if HAS_LETTER.search(r.text):
-            texts.append(r.text)
-            names.append(r.lang)
-    return Languages(texts, names)
+    ids = stored(known.select("lang", "doc_id").distinct(), "labelled")
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sizes.count()
+    if not langs:
+        return Languages([], [])
+    each = min(per_language, max(1, examples // langs))
+    # the place of an id's hash among all hashes says whether it is among the smallest
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(2**53))
+    chosen = ids.join(sizes, "lang").where(place < F.lit(float(each)) / F.col("n")).select("lang", "doc_id")
+    # about `each` rows of each language, `examples` in all
+    chosen = F.broadcast(stored(chosen, "chosen"))
+    texts = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
+    sample = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+    def described(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for lang, doc_id, text in rows:
+            if has_letter(text):
+                yield lang, doc_id, packed(counts_of(text))
+
+    rows = map_rows(sample.select("lang", "doc_id", "text"), described, "lang string, doc_id long, x binary").collect()
+    rows.sort(key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0))
+    x = np.array([scaled(unpacked(r.x)) for r in rows], np.float32).reshape(-1, BUCKETS)
+    return Languages(x, [r.lang for r in rows])
 
 
 def identify(docs: DataFrame, model: Languages) -> DataFrame:

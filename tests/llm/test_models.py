@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from texts import no_docs, odd_docs, odd_texts
 
 from eventloom.llm.language import UNKNOWN, Languages, identify, language_report, learn
@@ -84,3 +85,22 @@ def test_language_odd(spark, tables):
     assert language_report(no_docs(spark)).count() == 0
     assert Languages([], []).predict("words") == (UNKNOWN, 0.0)
     assert Languages(["some words"], ["xx"]).predict("words") == ("xx", 1.0)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than one sample's worth, and letters that are none."""
+    rows = []
+    for k in range(70):
+        word = "".join(chr(97 + (k * 7 + i * (k % 5 + 1)) % 26) for i in range(6)) + chr(97 + k % 26) * 2
+        rows += [(100 * k + i, f"{word} {word[::-1]} {word[2:]} {i}", f"l{k:02d}") for i in range(6)]
+    rows += [(None, "null id", "l00"), (None, "other text", "l00"), (7_001, "² ½ 3", "l01"), (7_002, None, "l02"), (7_003, "", "l03")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = learn(docs, per_language=5)
+    assert len(model.families) == 70
+    got = {r.doc_id: (r.lang, r.lang_pred) for r in identify(docs, model).collect()}
+    named = [pair for doc_id, pair in got.items() if doc_id is not None and doc_id < 7_000]
+    assert sum(a == b for a, b in named) > 0.95 * len(named)
+    assert {got[k][1] for k in (7_001, 7_002, 7_003)} == {UNKNOWN}
+    # clashing names, and a sample of one row per language
+    clash = docs.withColumns({"lang_pred": F.lit("x"), "score": F.lit("y")})
+    assert identify(clash, learn(docs, examples=70)).select("score").schema[0].dataType.typeName() == "double"
