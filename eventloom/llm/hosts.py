@@ -38,8 +38,11 @@ MAX_BAD = 0.25
 SURE = 1.645
 #: Limits of the estimated correlation of two pages of one group.
 LEAST_RHO, MOST_RHO = 0.001, 0.5
-#: Suffixes of two labels; all others are the last label.
-TWO_LABELS = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+#: A suffix has two labels where one of these stands before a country code of two letters
+#: (co.uk, com.cn, gov.in); all others are the last label. The labels that
+#: countries set aside for kinds of registrants.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
+TWO_LABELS = f"^({'|'.join(SECOND_LEVEL)})[.][a-z][a-z]$"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,12 +56,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def suffix_of(host: Column) -> Column:
     last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*TWO_LABELS), last_two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(last_two.rlike(TWO_LABELS), last_two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
     last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(last_two)
+    return F.when(last_two.rlike(TWO_LABELS), F.substring_index(host, ".", -3)).otherwise(last_two)
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -162,6 +165,18 @@ def _pull_sql(children: str, parents: str, key: str) -> str:
       FROM {children} c JOIN {parents} p ON c.{key} = p.{key})"""
 
 
+def _labels_sql(host: str, n: int) -> str:
+    return f"array_to_string(string_split({host}, '.')[-{n}:], '.')"
+
+
+def _suffix_sql(host: str) -> str:
+    return f"CASE WHEN regexp_matches({_labels_sql(host, 2)}, '{TWO_LABELS}') THEN {_labels_sql(host, 2)} ELSE {_labels_sql(host, 1)} END"
+
+
+def _domain_sql(host: str) -> str:
+    return f"CASE WHEN regexp_matches({_labels_sql(host, 2)}, '{TWO_LABELS}') THEN {_labels_sql(host, 3)} ELSE {_labels_sql(host, 2)} END"
+
+
 #: The same in SQL.
 HOST_SQL = f"""
 WITH rest AS (
@@ -174,8 +189,7 @@ WITH rest AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS is_bad
   FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
 ), hosts AS (
-  SELECT host, string_split(host, '.')[-1] AS suffix,
-    array_to_string(string_split(host, '.')[-2:], '.') AS domain, 1 AS every,
+  SELECT host, {_suffix_sql("host")} AS suffix, {_domain_sql("host")} AS domain, 1 AS every,
     count(*)::DOUBLE AS n, sum(is_bad)::DOUBLE AS bad
   FROM urls JOIN known ON known.doc_id = try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) AS BIGINT)
   GROUP BY ALL
@@ -197,8 +211,8 @@ WITH rest AS (
     (coalesce(bad, 0) + h * coalesce(dm.m, sm.m, share)) / (coalesce(n, 0) + h) AS p
   FROM (SELECT DISTINCT host FROM urls) u CROSS JOIN pulls
   LEFT JOIN hosts ON hosts.host = u.host
-  LEFT JOIN domain_means dm ON dm.domain = array_to_string(string_split(u.host, '.')[-2:], '.')
-  LEFT JOIN suffix_means sm ON sm.suffix = string_split(u.host, '.')[-1]
+  LEFT JOIN domain_means dm ON dm.domain = {_domain_sql("u.host")}
+  LEFT JOIN suffix_means sm ON sm.suffix = {_suffix_sql("u.host")}
 ), reputed AS (
   SELECT host, CASE WHEN p - {SURE} * sqrt(p * (1 - p) / (weight + 1)) > {MAX_BAD} THEN 'block' ELSE 'allow' END AS reputed
   FROM judged

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
-from eventloom.llm.hosts import filter_urls, parsed, reputation
+import duckdb
+from compare import difference
+from pyspark.sql import functions as F
+
+from eventloom.llm.hosts import HOST_SQL, domain_of, filter_urls, parsed, reputation, suffix_of
 
 
 def pages(spark, urls):
@@ -60,3 +64,22 @@ def test_shrinkage(spark):
     share = {r.host: r.bad_share for r in reputation(counts, hosts).collect()}
     assert share["a.x.net"] > share["d.x.net"] > share["b.x.net"] > share["c.y.net"]
     assert share["d.x.net"] > share["q"] > share["d.y.net"]
+
+
+def test_suffixes(spark):
+    """Sites under a country's second level don't share a registered domain; SQL agrees."""
+    hosts = {
+        "a.b.gov.uk": ("b.gov.uk", "gov.uk"), "co.nz": ("co.nz", "co.nz"), "x.com.cn": ("x.com.cn", "com.cn"),
+        "x.co.com": ("co.com", "com"), "a.b.de": ("b.de", "de"), "www.co": ("www.co", "co"), "": ("", ""), "q": ("q", "q"),
+    }
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.d, r.s) for r in df.select("host", domain_of(F.col("host")).alias("d"), suffix_of(F.col("host")).alias("s")).collect()}
+    assert got == hosts
+    urls = [f"http://h{k % 9}.site{k % 4}.{s}/en/{n}" for n, (k, s) in enumerate((k, s) for k in range(40) for s in ("gov.uk", "co.in", "com", "org.uk"))]
+    known = [(n, int(n % 4 != 1 or n % 3 == 0), int(n % 11 == 0)) for n in range(0, 160, 1) if n % 5]
+    con = duckdb.connect()
+    con.register("pages", pages(spark, urls).select("page_id", "url").toPandas())
+    con.register("labels", labels(spark, known).toPandas())
+    out = filter_urls(pages(spark, urls), labels(spark, known)).toPandas()
+    assert difference(out, con.execute(HOST_SQL).df()) is None
+    assert set(out.verdict) == {"allow", "block"}
