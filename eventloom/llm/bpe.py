@@ -113,9 +113,12 @@ def assembled(codec: Encoder, text: str, given: list[tuple[int, int, bytes]]) ->
 
 # -- on Spark -----------------------------------------------------------------------
 
+#: Places of a chunk that get its ids in one group.
+BLOCK = 512
+
 
 def shared_places(texts: DataFrame) -> DataFrame:
-    """(key, start, end, h, first) for every place of a chunk that occurs at two places
+    """(key, start, end, h, blocks, block, first) for every place of a chunk that occurs at two places
     or more; first marks one place of each chunk. texts: key, text."""
 
     def chunks(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -128,9 +131,12 @@ def shared_places(texts: DataFrame) -> DataFrame:
     places = stored(map_rows(texts, chunks, "key binary, start int, end int, h binary"), "chunks")
     place = F.struct("key", "start")
     # rows that are equal have equal places, so smallest and largest tell whether there are two
-    ends = places.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
-    shared = places.join(stored(ends.select("h", "a"), "shared").hint("merge"), "h")
-    return stored(shared.select("key", "start", "end", "h", (place == F.col("a")).alias("first")), "places")
+    ends = places.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b")
+    ends = ends.select("h", "a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    shared = places.join(stored(ends, "shared").hint("merge"), "h")
+    block = F.pmod(F.xxhash64("key", "start"), F.col("blocks")).cast("int")
+    columns = ("key", "start", "end", "h", "blocks", block.alias("block"), (place == F.col("a")).alias("first"))
+    return stored(shared.select(*columns), "places")
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, finish=None, schema: str = "ids binary") -> DataFrame:
@@ -147,16 +153,18 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, finish=None,
         codec = encoder(vocabulary)
         for row, spots in batch:
             for spot in spots:
-                yield spot["h"], codec.encode(row["text"][spot["start"] : spot["end"]])
+                yield spot["h"], spot["blocks"], codec.encode(row["text"][spot["start"] : spot["end"]])
 
     # hash joins, built from the small side: texts need no sorting
-    spots = places.where("first").groupBy("key").agg(F.collect_list(F.struct("start", "end", "h")).alias("spots"))
+    spots = places.where("first").groupBy("key").agg(F.collect_list(F.struct("start", "end", "h", "blocks")).alias("spots"))
     own = texts.join(spots.hint("shuffle_hash"), "key", "left")
     # said in terms of both sides, after the join: else Spark would filter the texts before
     # they move, which would be another move than the one below
     own = own.where(F.coalesce(F.size("spots"), F.lit(0)) * F.coalesce(F.length("key"), F.lit(0)) > 0).select("row", "spots")
-    encoded = map_rows(own, firsts, "h binary, ids binary").dropDuplicates(["h"])
-    given = places.select("key", "start", "end", "h").join(encoded, "h")
+    encoded = map_rows(own, firsts, "h binary, blocks int, ids binary").dropDuplicates(["h"])
+    # one row per block, so the places of a very common chunk don't meet in one task
+    encoded = encoded.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "ids")
+    given = places.select("key", "start", "end", "h", "block").join(encoded, ["h", "block"])
     given = given.groupBy("key").agg(F.collect_set(F.struct("start", "end", "ids")).alias("given"))
 
     def whole(batch: Iterator[tuple]) -> Iterator[tuple]:
