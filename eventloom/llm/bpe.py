@@ -129,12 +129,12 @@ def shared_places(texts: DataFrame) -> DataFrame:
                 start = end
 
     places = stored(map_rows(texts, chunks, "key binary, start int, end int, h binary"), "chunks")
-    place = F.struct("key", "start")
+    place = F.xxhash64("key", "start")
     # rows that are equal have equal places, so smallest and largest tell whether there are two
     ends = places.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b")
     ends = ends.select("h", "a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     shared = places.join(stored(ends, "shared").hint("merge"), "h")
-    block = F.pmod(F.xxhash64("key", "start"), F.col("blocks")).cast("int")
+    block = F.pmod(place, F.col("blocks")).cast("int")
     columns = ("key", "start", "end", "h", "blocks", block.alias("block"), (place == F.col("a")).alias("first"))
     return stored(shared.select(*columns), "places")
 
