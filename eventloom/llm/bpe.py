@@ -24,6 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.sources.state import delete
+from eventloom.workspace import scratch_path
+
 from .common import map_rows, stored, whole_text
 from .tokens import VOCABULARY, Encoder, encoder, wide
 
@@ -128,7 +131,10 @@ def shared_places(texts: DataFrame) -> DataFrame:
                 yield key, start, end, chunk_hash(text[start:end])
                 start = end
 
-    places = stored(map_rows(texts, chunks, "key binary, start int, end int, h binary"), "chunks")
+    spark, path = texts.sparkSession, scratch_path(texts.sparkSession, "chunks")
+    found = map_rows(texts, chunks, "key binary, start int, end int, h binary")
+    found.write.parquet(path)
+    places = spark.read.schema(found.schema).parquet(path)
     place = F.xxhash64("key", "start")
     # rows that are equal have equal places, so smallest and largest tell whether there are two
     ends = places.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b")
@@ -136,7 +142,10 @@ def shared_places(texts: DataFrame) -> DataFrame:
     shared = places.join(stored(ends, "shared").hint("merge"), "h")
     block = F.pmod(place, F.col("blocks")).cast("int")
     columns = ("key", "start", "end", "h", "blocks", block.alias("block"), (place == F.col("a")).alias("first"))
-    return stored(shared.select(*columns), "places")
+    out = stored(shared.select(*columns), "places")
+    # written again with what matters of it, so nothing reads all chunks any more
+    delete(spark, path)
+    return out
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, finish=None, schema: str = "ids binary") -> DataFrame:
