@@ -11,7 +11,7 @@ from eventloom.llm.catalog import llm_oracle, llm_queries
 
 def test_queries():
     names = sorted(int(n[2:].split("_")[0]) for n in llm_queries())
-    assert names == list(range(1, 11))
+    assert names == list(range(1, 14))
     assert set(llm_oracle()) <= set(llm_queries())
     assert [len(inspect.signature(f).parameters) for _, f in corpus_pipeline.STAGES] == [3] * 5
 
