@@ -117,8 +117,17 @@ def test_similar(spark):
     clean = [i for i in shingled if all(len(shingled[i] & s) < 0.3 * len(s) for j, s in shingled.items() if j != i)]
     docs = [(i, t) for i, t in own if i in set(clean)]
     copies = [(10_000 + i, edited(t, 120)) for i, t in docs[:40]] + [(20_000 + i, t) for i, t in docs[:10]]
+
+    def resemblance(a, b):
+        sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b)]
+        return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+    # a text of few distinct shingles may lose more than a fifth of them by an edit
+    texts = dict(docs)
+    own_again = [i for i, t in copies if resemblance(texts[i % 10_000], t) < 0.8]
+    assert len(own_again) < 5
     kept = one_of_each_group(spark.createDataFrame(docs + copies, "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(clean)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(clean + own_again)
     assert len(clean) > 50
 
 
