@@ -660,6 +660,11 @@ WHERE end_time + to_seconds(1800) <= (SELECT max(ts) - to_minutes(10) FROM behav
         ),
     ),
     "stream_identity": "WITH " + EV + IDENTITY.format(days=90),
+    "stream_identity_state": "WITH " + EV + IDENTITY.format(days=90),
+    "stream_session_sweep": _with(
+        sessions_sql("behaviour", 21600),
+        f"{STORED_SESSIONS} WHERE last_active_at + to_seconds(21600) <= {NOW}",
+    ),
     "stream_rate_cap": _with(
         EV,
         """SELECT seq, row_number() OVER (PARTITION BY app_code, date_trunc('hour', ts) ORDER BY seq) > 3 AS over_limit

@@ -31,7 +31,7 @@ from eventloom.operators.rollups import (
     merge_hourly,
     sessions_daily,
 )
-from eventloom.operators.sessions import attach_sessions, open_sessions, session_rows, split_live, visits
+from eventloom.operators.sessions import attach_sessions, open_sessions, session_rows, session_sink_defaults, split_live, visits
 from eventloom.operators.validate import reject_record, split_required
 from eventloom.plans.finalize import finalize_sessions, read_daily, sweep_sessions, upkeep_daily
 from eventloom.plans.hourly import correct_hours, read_hourly, send_hours
@@ -62,9 +62,10 @@ from eventloom.sources.topics import FolderTopics, ordered_by_user, read_event_s
 from eventloom.streaming import sinks as S
 from eventloom.streaming.batches import dedup_batches, identity_batches, rate_batches
 from eventloom.streaming.dedup import dedup_stream
+from eventloom.streaming.keyed import identity_keyed, last_versions, sweep_stream
 from eventloom.streaming.rollups import hourly_stream
 from eventloom.streaming.sessions import sessionize_stream
-from eventloom.streaming.settings import streaming_session
+from eventloom.streaming.settings import streaming_session, timers_by_clock
 from eventloom.workspace import scratch_path, write_through
 
 CFG = EngineConfig()
@@ -874,6 +875,39 @@ def stream_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_batches(spark, events, lambda state, out: identity_batches(state, out, CFG, at(NOW)), "identity", schema)
 
 
+def _topic_in_parts(spark: SparkSession, rows: DataFrame, path: str, parts: int) -> DataFrame:
+    """The rows in so many files, dealt by event id, as a stream of one file per trigger."""
+    dealt = rows.repartitionByRange(parts, F.pmod(F.crc32("event_id"), F.lit(parts)))
+    dealt.write.mode("overwrite").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_identity_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two triggers: all events with both ids, then all others, each of which is late for
+    most of its visitor's links."""
+    streaming_session(spark)
+    path = scratch_path(spark, "identity-state")
+    events = I.shared_device(I.all_events(spark, sf_dir)).select("seq", "event_id", "user_id", "anonymous_id", "timestamp")
+    both = F.col("user_id").isNotNull()
+    for part in (both, ~both):
+        events.where(part).write.mode("append").parquet(f"{path}/topic")
+        rows = spark.readStream.schema(events.schema).parquet(f"{path}/topic")
+        with timers_by_clock(spark):
+            resolved = S.to_parquet(identity_keyed(rows, CFG), f"{path}/rows", f"{path}/checkpoint")
+    return resolved.select("seq", "event_id", "user_id", "identity_linked", "identity_resolved")
+
+
+def stream_session_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four triggers with events of the whole month each, so sessions that were sent grow
+    at both ends and join. What stands in the end is what a sweep at NOW finds."""
+    streaming_session(spark)
+    path = scratch_path(spark, "session-state")
+    rows = _topic_in_parts(spark, I.behaviour(spark, sf_dir), f"{path}/topic", 4)
+    with timers_by_clock(spark):
+        sent = S.to_parquet(sweep_stream(rows, LONG_GAP), f"{path}/rows", f"{path}/checkpoint")
+    return session_sink_defaults(split_live(last_versions(sent), LONG_GAP, at(NOW))[0])
+
+
 def stream_rate_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir).select(
         "app_code",
@@ -1069,6 +1103,8 @@ QUERIES: dict[str, Query] = {
     "stream_hourly": stream_hourly,
     "stream_hourly_late": stream_hourly_late,
     "stream_identity": stream_identity,
+    "stream_identity_state": stream_identity_state,
+    "stream_session_sweep": stream_session_sweep,
     "stream_rate_cap": stream_rate_cap,
     "stream_load": stream_load,
     "stream_late": stream_late,

@@ -131,8 +131,8 @@ def session_rows(events: DataFrame, cfg: EngineConfig, ts: str = "timestamp") ->
     return finalize(merged.withColumnRenamed("_session_start", "start_time"), cfg)
 
 
-def finalize(merged: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Duration, bounce, first and last page of aggregated sessions."""
+def finalize(merged: DataFrame, cfg: EngineConfig, *more: str) -> DataFrame:
+    """Duration, bounce, first and last page of aggregated sessions; ``more`` columns stay."""
     duration = F.unix_millis("end_time") - F.unix_millis("start_time")
     bounce = (F.col("page_views") <= cfg.bounce_max_page_views) & (duration < cfg.bounce_below_ms)
     first_page = F.col("_opening.page_url")
@@ -149,7 +149,7 @@ def finalize(merged: DataFrame, cfg: EngineConfig) -> DataFrame:
             **{name: F.col(f"_opening.{name}") for name in OPENING if name != "page_url"},
         }
     )
-    return final.select(*[F.col(name).cast(SESSIONS[name].dataType).alias(name) for name in SESSION_COLUMNS])
+    return final.select(*[F.col(name).cast(SESSIONS[name].dataType).alias(name) for name in SESSION_COLUMNS], *more)
 
 
 def visits(events: DataFrame, cfg: EngineConfig, ts: str = "timestamp", stored: DataFrame | None = None) -> DataFrame:

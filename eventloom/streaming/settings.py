@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +25,17 @@ def streaming_session(spark: SparkSession) -> SparkSession:
 def event_time(events: DataFrame, cfg: EngineConfig, ts: str = "timestamp") -> DataFrame:
     """Events with the watermark; zone-less times are taken as UTC."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, cfg.watermark)
+
+
+@contextmanager
+def timers_by_clock(spark: SparkSession) -> Iterator[None]:
+    """For starting a keyed stream (``identity_keyed``, ``sweep_stream``) over what is there
+    now: timers run with the batches that have rows. Without this such a stream has always
+    one more empty batch to run and never ends."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

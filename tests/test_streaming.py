@@ -16,10 +16,11 @@ from eventloom.operators.rollups import events_hourly, merge_hourly
 from eventloom.operators.sessions import session_rows
 from eventloom.streaming.batches import SLICE_MS, SliceSteps, dedup_batches, identity_batches, rate_batches, serve_instants, thread_slices
 from eventloom.streaming.dedup import dedup_stream
+from eventloom.streaming.keyed import identity_keyed, last_versions, sweep_stream
 from eventloom.streaming.metrics import IngestCounters, observe_stream
 from eventloom.streaming.rollups import hourly_stream
 from eventloom.streaming.sessions import sessionize_stream
-from eventloom.streaming.settings import streaming_session
+from eventloom.streaming.settings import streaming_session, timers_by_clock
 from eventloom.streaming.sinks import batches_to_parquet, run_available, to_parquet
 
 CFG = EngineConfig()
@@ -254,3 +255,58 @@ def test_buckets_of_slices():
     assert list(thread_slices(iter(rows), 2)) == [("a", 0, 0, 300), ("a", 1, 500, 700), ("a", 5, 950, 2_000), ("b", 0, 5, 2_000)]
     served = [("a", 0, 0, -1, 300), ("a", 0, 400, 1, -1), ("a", 0, 500, 1, -1)]
     assert list(serve_instants(iter(served), 2)) == [("a", 0, 400, 1, -1), ("a", 0, 500, 0, -1), ("a", 0, 500, -1, 300)]
+
+
+def in_triggers(spark, df, path, parts, operator, cfg):
+    """The operator over a stream that gets the parts one trigger after the other."""
+    for part in parts:
+        df.where(part).coalesce(1).write.mode("append").parquet(f"{path}/topic")
+        stream = spark.readStream.schema(df.schema).parquet(f"{path}/topic")
+        with timers_by_clock(spark):
+            out = to_parquet(operator(stream, cfg), f"{path}/rows", f"{path}/checkpoint")
+    return out
+
+
+def test_keyed_identity_knows_the_link_of_a_late_event(spark, tmp_path, batch):
+    """First all links, then events that are late for most of them; rows without a visitor
+    or a time, and a link that ran out."""
+    odd = [
+        ("x1", "click", None, None, 900, T0), ("x2", "click", None, "a1", 901, None), ("x3", "click", "u9", "b", 902, T0),
+        ("x4", "click", None, "b", 903, T0 + 90 * 86_400_000 - 1), ("x5", "click", None, "b", 904, T0 + 90 * 86_400_000),
+        ("x6", "click", "u8", "b", 899, T0), ("x7", "click", None, "b", 901, T0),
+    ]
+    more = spark.createDataFrame(odd, "event_id string, event_type string, user_id string, anonymous_id string, seq long, ms long")
+    more = more.withColumn("timestamp", F.timestamp_millis("ms")).drop("ms")
+    df = batch.select(*more.columns).unionByName(more)
+    linked = F.col("user_id").isNotNull()
+    got = in_triggers(spark, df, str(tmp_path), (linked, ~linked), identity_keyed, CFG)
+    want = resolve_identity(df.where("timestamp is not null"), CFG)
+    columns = ["seq", "event_id", "user_id", "identity_linked", "identity_resolved"]
+    assert rows(got.where("timestamp is not null").select(columns)) == rows(want.select(columns))
+    assert got.where("timestamp is null").select("user_id", "identity_resolved").collect() == [(None, False)]
+    users = {r.event_id: r.user_id for r in got.where("seq > 898").collect()}
+    assert (users["x4"], users["x5"], users["x7"]) == ("u9", None, "u8")
+
+
+def test_keyed_sweep_withdraws_what_late_events_join(spark, tmp_path, batch):
+    thirds = [F.col("seq") % 3 == k for k in (1, 2, 0)]
+    sent = in_triggers(spark, batch, str(tmp_path), thirds, sweep_stream, CFG)
+    assert rows(last_versions(sent)) == rows(session_rows(batch, CFG))
+    assert sent.where("withdrawn").count() > 0 and sent.where("version > 1 and not withdrawn").count() > 0
+
+
+def test_keyed_sweep_keeps_open_sessions_and_forgets(spark, tmp_path):
+    """A session that may go on is not sent; one that was forgotten is a new one."""
+    at = F.current_timestamp() - F.expr("interval 40 minutes")
+    df = spark.range(4).select(
+        F.concat(F.lit("e"), "id").alias("event_id"), F.lit("click").alias("event_type"), F.lit("app").alias("app_code"),
+        F.when(F.col("id") < 2, F.lit("old")).otherwise(F.lit("new")).alias("anonymous_id"), F.lit(0).alias("scroll_depth"),
+        F.when(F.col("id") < 2, at).otherwise(F.current_timestamp()).alias("timestamp"), F.col("id").alias("seq"),
+    )
+    df.write.parquet(str(tmp_path / "all"))
+    df = spark.read.parquet(str(tmp_path / "all"))
+    parts = (F.col("seq").isin(0, 2), F.col("seq").isin(1, 3))
+    sent = in_triggers(spark, df, str(tmp_path / "kept"), parts, sweep_stream, CFG)
+    assert [(r.anonymous_id, r.clicks) for r in last_versions(sent).collect()] == [("old", 2)]
+    sent = in_triggers(spark, df, str(tmp_path / "gone"), parts, sweep_stream, CFG.with_(session_keep_s=-3600))
+    assert [(r.anonymous_id, r.clicks) for r in sent.orderBy("version").collect()] == [("old", 1), ("old", 1)]
