@@ -6,8 +6,8 @@ radius + 3 blocks of bits, in three at least, so each fingerprint is dealt once
 three blocks, by their value. The wide one (`similar_documents`) links texts whose sets of
 five-word shingles have a resemblance of four fifths or more. Its 256-bit fingerprints,
 dealt by the smallest shingle hashes under LANES orders and compared within WIDE_RADIUS,
-only find candidates; candidates that hang together meet once more with their texts, and
-only pairs whose sets, counted in full, resemble each other enough are links. Texts of
+only find candidates; candidates of a cell meet once more with their texts, and only
+pairs whose sets, counted in full, resemble each other enough are links. Texts of
 few shingles, whose fingerprints are too coarse, are dealt by the smallest of their own
 hashes instead: of two alike, these have one in common.
 
@@ -401,14 +401,28 @@ def short_links(own: DataFrame, size: int, radius: int, limit: int = BLOCK) -> D
     return checked_links(met.join(short.select("fp", "content").distinct(), "fp"), size, radius)
 
 
+def candidate_cells(own: DataFrame, radius: int) -> DataFrame:
+    """(lane, part, fp): the cells of the fingerprints that have another within the radius,
+    without those that hold the same fingerprints as a cell of another lane."""
+    dealt = stored(own.select("fp", F.posexplode("keys").alias("lane", "part")).distinct(), "dealt")
+    near = links_in_cells(dealt, radius).select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    dealt = stored(dealt.join(stored(near, "candidates"), "fp"), "near-dealt")
+    content = {
+        "n": F.count("*"),
+        "a": F.sum(F.xxhash64("fp").cast("decimal(20,0)")),
+        "b": F.bit_xor(F.xxhash64(F.lit(SEED), "fp")),
+    }
+    held = dealt.groupBy("lane", "part").agg(*[column.alias(name) for name, column in content.items()]).where("n > 1")
+    one = held.groupBy(*content).agg(F.min(F.struct("lane", "part")).alias("at")).select("at.lane", "at.part")
+    return dealt.join(stored(one, "candidate-cells"), ["lane", "part"])
+
+
 def long_links(own: DataFrame, docs: DataFrame, size: int, radius: int, limit: int = BLOCK) -> DataFrame:
-    """Links of the other texts: components of candidates, checked with one text of each node."""
-    dealt = own.select("fp", F.posexplode("keys").alias("lane", "part")).distinct()
-    near = components(links_in_cells(dealt, radius))
-    near = stored(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    """Links of the other texts: candidates meet in their cells, with one text of each
+    node. Nothing is closed to components before, so a long chain of copies is compared
+    only along its cells."""
     first = own.where(F.size("keys") > 0).groupBy("fp").agg(F.min(F.struct("ord", "th")).alias("at"), F.max("n").alias("n"))
-    placed = near.join(first, near.node == first.fp)
-    placed = placed.select(F.lit(0).alias("lane"), F.col("root").alias("part"), "fp", "at.ord", "at.th", "n")
+    placed = candidate_cells(own, radius).join(first, "fp").select("lane", "part", "fp", "at.ord", "at.th", "n")
     met = stored(cells(stored(placed, "placed"), limit, f"greatest(n, {LEAST})").select("cell", "fp", "ord", "th"), "met")
     texts = docs.select(*document_key(), whole_text().alias("content"))
     wanted = met.select("ord", "th").distinct().hint("shuffle_hash")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from texts import SF
 
-from eventloom.llm import common
+from eventloom.llm import common, simhash
 from eventloom.llm.simhash import alike_links, distinct_shingles, one_of_each_group, prefix, similar_documents
 
 
@@ -85,3 +85,22 @@ def test_links_connect_all_that_are_alike():
         for b in range(a):
             if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])):
                 assert label[a] == label[b] and np.intersect1d(prefix(sets[a]), prefix(sets[b])).size
+
+
+def test_chain(spark, monkeypatch):
+    """Each text is like the next few only: one group, and no cell holds much of it."""
+    chain, step = words(3, 5 * 3_000 + 150), 5
+    rows = [(k, " ".join(chain[step * k : step * k + 150])) for k in range(3_000)]
+    seen = []
+    real = simhash.candidate_cells
+
+    def counted(own, radius):
+        found = real(own, radius)
+        seen.append(found.groupBy("lane", "part").count().agg({"count": "sum", "*": "count"}).first())
+        seen.append(found.groupBy("lane", "part").count().agg({"count": "max"}).first()[0])
+        return found
+
+    monkeypatch.setattr(simhash, "candidate_cells", counted)
+    got = best(spark, rows)
+    assert set(got.values()) == {0} and len(got) == 3_000
+    assert max(seen[0]) <= simhash.LANES * 3_000 and seen[1] <= 40
