@@ -1,13 +1,15 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A text's sketch keeps every 64-bit hash of its five-word shingles that lies below a fixed
-fraction of the hash range, without exception. So the sketch of a union is the union of
-the sketches, and shares of sketches estimate shares of texts, however unequal their
-lengths. The fraction is the whole range unless a larger scale is asked for, as any
-smaller one leaves some short texts without a hash; shares are then the true ones. Words are runs without ASCII white space; a text of fewer words is one shingle.
-
-A null or empty text has an empty sketch; two of them are alike (1), one and any other
-are not (0). Rows with the same doc_id stand in the order of their texts; a null doc_id
+fraction of the hash range, by default the half of it, without exception or fallback. So
+the sketch of a union is the union of the sketches, and shares of sketches estimate shares
+of texts, however unequal their lengths. A text of few words may have no hash in its
+sketch, and its estimates are coarse; `edited_report` gives the shares of the full sets
+besides. With `scale=1` sketches are the full sets. Words are runs without ASCII white
+space; a text of fewer words is one shingle.
+
+A null or empty text has an empty sketch; two empty sketches are alike (1), as equal
+fingerprints are, one and any other are not (0). Rows with the same doc_id stand in the order of their texts; a null doc_id
 comes last. A table of one row is its own next document. Extra columns are ignored.
 """
 
@@ -25,7 +27,7 @@ from .common import map_rows, partitions, whole_text
 
 WORDS = 5
 #: One shingle hash in so many is kept.
-SCALE = 1
+SCALE = 2
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
@@ -79,8 +81,11 @@ def shingle_hashes(words: np.ndarray, size: int = WORDS) -> np.ndarray:
 
 def sketch(text: str, size: int = WORDS, scale: int = SCALE) -> np.ndarray:
     """Sorted distinct hashes below 2**64 / scale."""
-    hashes = shingle_hashes(word_hashes(text), size)
-    return np.unique(hashes[hashes <= np.uint64((1 << 64) // scale - 1)])
+    return below(np.unique(shingle_hashes(word_hashes(text), size)), scale)
+
+
+def below(hashes: np.ndarray, scale: int) -> np.ndarray:
+    return hashes[hashes <= np.uint64((1 << 64) // scale - 1)]
 
 
 def written(hashes: np.ndarray) -> str:
@@ -176,12 +181,14 @@ def with_next(docs: DataFrame, fn, schema: str) -> DataFrame:
 
 def edited_report(docs: DataFrame, size: int = WORDS, scale: int = SCALE) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half comes from the
-    next document, and how alike the fingerprints are."""
+    next document, and how alike the fingerprints are; `full_` are the shares of the
+    full sets of shingles."""
 
     def report(doc_id: int | None, text: str, following: str) -> tuple:
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        own, changed, other = (sketch(t, size, scale) for t in (text, edited, following))
+        full = [sketch(t, size, 1) for t in (text, edited, following)]
+        own, changed, other = (below(hashes, scale) for hashes in full)
         return (
             doc_id,
             len(text),
@@ -192,11 +199,14 @@ def edited_report(docs: DataFrame, size: int = WORDS, scale: int = SCALE) -> Dat
             likeness(own, other),
             containment(own, changed),
             containment(own, other),
+            likeness(full[0], full[1]),
+            likeness(full[0], full[2]),
         )
 
     return with_next(
         docs,
         report,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double, contained_edited double, contained_next double",
+        "near_edited double, near_next double, contained_edited double, contained_next double, "
+        "full_edited double, full_next double",
     )

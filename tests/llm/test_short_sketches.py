@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import numpy as np
 from texts import given
 
-from eventloom.llm.sketches import containment, likeness, sketch
+from eventloom.llm import sketches
+from eventloom.llm.sketches import containment, likeness
+
+
+def sketch(text, scale=1):
+    return sketches.sketch(text, scale=scale)
 
 
 def shingles(text):
@@ -33,3 +39,18 @@ def test_sketches_merge():
     a, b = "one two three four five six", "six seven eight nine ten"
     for scale in (1, 4):
         assert set(sketch(a, scale=scale).tolist()) <= set(sketch(a + " " + b, scale=scale).tolist())
+
+
+def test_half_of_the_hashes():
+    """The default keeps what lies below half of the range: nothing else, and all of it.
+    Estimates scatter by the number of hashes, and short texts stay contained in long ones."""
+    errors = []
+    for _, text, _ in given():
+        half = text[: len(text) // 2]
+        kept, full = sketches.sketch(text), sketch(text)
+        assert kept.tolist() == [h for h in full.tolist() if h < 2**63]
+        if len(sketches.sketch(half)):
+            assert set(sketches.sketch(half)[:-1].tolist()) - set(kept.tolist()) <= set(sketch(half).tolist()) - set(full.tolist())
+            error = likeness(sketches.sketch(half), kept) - likeness(sketch(half), full)
+            errors.append(error * np.sqrt(len(full)))
+    assert abs(np.mean(errors)) < 0.2 and np.std(errors) < 1
