@@ -4,10 +4,11 @@ A window is the shortest run of lines, forward from a line or back from it, that
 MIN_CHARS characters, or MAX_LINES lines if these are shorter. The smallest line hash of
 a window is its fingerprint, so two equal windows have the same one: a run that repeats
 and holds a window can't be missed. Positions of a fingerprint that occurs once are left
-out. Where it occurs more than once, the windows around each position extend the match
-line by line both ways, and every window met at an earlier position marks its lines.
-Forward and backward windows together cover exactly the repeated runs, to their first
-and last lines. Marked lines are deleted; the first occurrence of a run stays.
+out. Where it occurs more than once, windows are compared by a hash of all their lines, and
+every window met at an earlier position marks its lines. Forward and backward windows
+together cover exactly the repeated runs, to their first and last lines, so nothing is
+extended from pairs of positions: a common line would have to be paired with all its
+places for that. Marked lines are deleted; the first occurrence of a run stays.
 
 "Earlier" is by doc_id (null last), then by text hash, then by line. Rows that agree in
 doc_id and text are one document and get the same result. Lines are compared without
