@@ -12,6 +12,7 @@ from texts import no_docs, odd_docs, odd_texts
 
 from eventloom.llm.language import UNKNOWN, Languages, identify, language_report, learn
 from eventloom.llm.quality import THRESHOLD, Ranking, bradley_terry, keep_good, score_documents
+from eventloom.llm.quality import learn as learn_quality
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -63,6 +64,21 @@ def test_quality_odd(spark, tables):
     assert {r.score for r in score_documents(odd_docs(spark), labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_of_texts_under_one_id(spark, tables):
+    """Whatever the order of the rows, the same text teaches; clashing names are ignored."""
+    docs, labels = tables
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1))
+    clash = twice.withColumns({c: F.lit("own") for c in ("score", "predicted", "held_out", "good", "x", "first")})
+    other = clash.repartition(5, "text").sortWithinPartitions(F.col("text").desc())
+    a, b = learn_quality(twice, labels), learn_quality(other, labels)
+    texts = [r.text for r in docs.limit(50).collect()]
+    assert [a.score_text(t) for t in texts] == [b.score_text(t) for t in texts]
+    got = score_documents(clash, labels)
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+    assert got.count() == twice.count()
+    assert keep_good(docs.limit(0), labels).count() == 0
+
+
 def test_language(tables):
     docs, _ = tables
     got = language_report(docs).toPandas()
