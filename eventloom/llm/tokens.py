@@ -8,6 +8,7 @@ before needs no second encoding.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -25,6 +26,14 @@ LETTERS = re.compile("[a-zà-öø-ÿ]+")
 #: A run of these marks is a unit as well.
 MARKS = b".,;:!?|()%#&*$"
 
+#: The settings of a file under which the above holds.
+NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+UNITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
 
 def vocabulary_path(vocabulary: str = VOCABULARY) -> str:
     if "/" in vocabulary:
@@ -34,6 +43,23 @@ def vocabulary_path(vocabulary: str = VOCABULARY) -> str:
     return public_tokenizers.path(vocabulary)
 
 
+def refuse_others(settings: dict) -> None:
+    """Raises ValueError for a tokenizer whose ids are not those of its words in turn."""
+    cuts = (settings["pre_tokenizer"] or {}).get("pretokenizers", [])
+    wanted = {
+        "normalizer": (settings["normalizer"] or {}).get("normalizers") == NORMALIZERS,
+        "units": [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": UNITS}, "Removed", True)
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]),
+        "model": settings["model"]["type"] == "BPE" and not settings["model"].get("dropout"),
+        "special tokens": all("<|" in t["content"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in settings["added_tokens"]),
+        "decoder": settings["decoder"] is None,
+    }
+    other = [name for name, right in wanted.items() if not right]
+    if other:
+        raise ValueError(f"not a word-level tokenizer of the known kind: {', '.join(other)}")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: printable bytes stand for themselves, the
     others follow from 256 on."""
@@ -50,6 +76,8 @@ class _Words(dict):
 
         self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            refuse_others(json.load(file))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 1 << 16:

@@ -1,16 +1,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 from texts import given, no_docs, odd_docs, odd_texts
 from tokenizers import Tokenizer
 
 from eventloom.llm.bpe import assembled, cuts, encode_documents, round_trip_report
 from eventloom.llm.packing import END_ID, LENGTH, cost, pack, pack_documents, rooms
-from eventloom.llm.tokens import encoder, vocabulary_path, wide
+from eventloom.llm.tokens import encoder, refuse_others, vocabulary_path, wide
 
 HARD = ["I'll don't 'S", "a\x1cb \x85 z", "ÀÉ ß ÿ Œuvre", "ΑΣ ΣΑΣ. Ǆ ͅ ẛ̣", "x<|endoftext|>y <|ENDOFTEXT|>", "é." * 50, "漢字 12.5"]
 
@@ -124,3 +126,27 @@ def test_equal_rows_spread(spark):
     out = pack_documents(rows, with_ids=False).groupBy(F.shiftright("sequence_id", 24).alias("g")).agg(F.sum("length").alias("n")).collect()
     sizes = [r.n for r in out]
     assert len(sizes) == 2 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_other_tokenizers_are_refused():
+    settings = json.loads(plain().to_str())
+    refuse_others(settings)
+    other = [
+        settings | {"normalizer": None},
+        settings | {"pre_tokenizer": None},
+        settings | {"decoder": {"type": "ByteLevel"}},
+        settings | {"model": settings["model"] | {"type": "WordPiece"}},
+        settings | {"added_tokens": [settings["added_tokens"][0] | {"content": "[end]"}]},
+    ]
+    for changed in other:
+        with pytest.raises(ValueError, match="word-level"):
+            refuse_others(changed)
+    with pytest.raises(ValueError, match="word-level"):
+        encoder("byte_bpe_50k.json")
+
+
+def test_packing_with_clashing_names(spark):
+    """Columns of the input named like those of the result are ignored."""
+    docs = spark.createDataFrame([(k, f"words of text {k}") for k in range(9)], "doc_id long, text string")
+    clash = docs.withColumns({c: F.lit("own") for c in ("start", "length", "offset", "row", "pack_group", "ids", "sequence_id")})
+    assert sorted(map(tuple, pack_documents(clash).collect())) == sorted(map(tuple, pack_documents(docs).collect()))
