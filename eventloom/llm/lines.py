@@ -7,8 +7,10 @@ and holds a window can't be missed. Positions of a fingerprint that occurs once
 out. Where it occurs more than once, windows are compared by a hash of all their lines, and
 every window met at an earlier position marks its lines. Forward and backward windows
 together cover exactly the repeated runs, to their first and last lines, so nothing is
-extended from pairs of positions: a common line would have to be paired with all its
-places for that. Marked lines are deleted; the first occurrence of a run stays.
+extended from pairs of positions. Doing that from the first position of a fingerprint
+would lose runs (the fingerprint of a run `A g B` may be a line `g` that occurs first in
+`X g Y`), and doing it from all of them would pair a common line with all its places.
+Marked lines are deleted; the first occurrence of a run stays.
 
 "Earlier" is by doc_id (null last), then by text hash, then by line. Rows that agree in
 doc_id and text are one document and get the same result. Lines are compared without

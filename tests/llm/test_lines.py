@@ -63,3 +63,14 @@ def test_odd(spark):
     assert sorted((r.text is None, r.text or "") for r in rows if r.doc_id is None) == [(False, ""), (True, "")]
     assert next(r.text for r in rows if r.doc_id == 1) is None
     assert dedup_lines(no_docs(spark)).count() == 0
+
+
+def test_common_line_inside_a_run(spark):
+    """A line that is common elsewhere first does not hide the run around it, nor go itself."""
+    before, common, after = "a run of words before " * 4, "common", "a run of words after it " * 5
+    docs = [(k, f"other words {k} {'x' * 90}\n{common}\nyet others {k} {'y' * 90}") for k in range(20)]
+    docs += [(30 + k, f"own {k}\n{before}\n{common}\n{after}\nend {k}") for k in range(3)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(zip([i for i, _ in docs], brute_force([t for _, t in docs]), strict=True))
+    assert [n for i, (_, n) in sorted(got.items()) if i > 30] == [3, 3] and got[31][0] == "own 1\nend 1"
+    assert not any(n for i, (_, n) in got.items() if i <= 30)
