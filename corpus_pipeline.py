@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed training sequences, in stages."""
+"""A corpus from raw documents to packed training sequences, in stages.
+
+Every stage takes an empty table and returns one. Null texts count as empty, null ids and
+sources stay; repeated rows stay until the near-dedup, which makes rows equal in doc_id and
+text one. Extra columns are dropped, whatever their names. Texts are used whole.
+"""
 
 from __future__ import annotations
 
@@ -25,27 +30,32 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality ranking rejects."""
+    """Without the documents that the quality ranking rejects. Null and empty texts are
+    scored like others; equal texts get equal scores."""
     return keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines of runs that an earlier document has; a document may become empty."""
+    """Without lines of runs that an earlier document has; a document may become empty.
+    Null texts stay null. Rows equal in doc_id and text lose the same lines."""
     return _documents(dedup_lines(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest doc_id (null last), of
+    equal ids the smallest text hash. All null and empty texts are one group."""
     return one_of_each_group(docs.select(*COLUMNS))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay; every secret found in them is blanked out."""
+    """Documents stay, null texts too; every secret found in them is blanked out, spans
+    that overlap as one."""
     return _documents(scan_secrets(docs, replacement="[secret]"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of all documents, packed: one row per piece, with its ids."""
+    """The tokens of all documents, packed: one row per piece, with its ids. A null or
+    empty text has its closing token only."""
     return pack_documents(docs)
 
 
