@@ -12,6 +12,7 @@ bound a trigger with ``maxOffsetsPerTrigger``. Where single keys are heavier tha
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -144,21 +145,22 @@ def joined(a: Part, b: Part) -> Part:
     )
 
 
-_TEXTS = [f"{name} string" for name in OPENING]
-_PART = ", ".join(
-    ["last long, page_views long, clicks long, exposures long, scroll int, opened_seq long", *_TEXTS]
-    + ["viewed_at long, viewed_seq long, viewed_url string, version long, stale boolean, heard long"]
-)
+#: Sessions of a key are one JSON text: Spark hands a struct of a list to Python with its
+#: whole schema each, which takes longer than all else.
+_VISITS = "sent long, timer long, parts string"
 _SENT = ", ".join(
     ["app_code string, _key string, _start long, _end long, page_views long, clicks long, exposures long, scroll_depth_max int"]
-    + [*_TEXTS, "_viewed_url string, version long, withdrawn boolean"]
+    + [*(f"{name} string" for name in OPENING), "_viewed_url string, version long, withdrawn boolean"]
 )
 
 
 class SessionTimers(StatefulProcessor):
-    """Sessions of a key by their start. A session is sent by a timer when it is idle for
-    the timeout, sent again when events came after that, and forgotten when none has come
-    for so long."""
+    """Sessions of a key in order of their start. A session is sent by a timer when it is
+    idle for the timeout, sent again when events came after that, and forgotten when none
+    has come for so long.
+
+    A key has one value and one timer, that of the session due first, so a trigger reads
+    and writes a key once for its events and once for all its sessions that are due."""
 
     def __init__(self, timeout_s: int, keep_s: int):
         self.timeout_ms, self.keep_ms = timeout_s * 1000, keep_s * 1000
@@ -166,41 +168,36 @@ class SessionTimers(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "start long", _PART)
-        self.count = handle.getValueState("count", "n long")
+        self.visits = handle.getValueState("visits", _VISITS)
 
     def _read(self) -> list[Part]:
-        found, n = [], len(OPENING)
-        for (start,), v in self.parts.iterator():
-            v = tuple(v)
-            opened, viewed, rest = (start, *v[5 : 6 + n]), v[6 + n : 9 + n], v[9 + n :]
-            found.append(Part(start, *v[:5], opened, viewed if viewed[0] is not None else None, *rest))
-        return sorted(found, key=lambda p: p.start)
-
-    def _write(self, p: Part) -> None:
-        value = (*p[1:6], *p.opened[1:], *(p.viewed or (None, None, None)), p.version, p.stale, p.heard)
-        self.parts.updateValue((p.start,), value)
+        self.sent, self.timer, parts = self.visits.get() if self.visits.exists() else (0, None, "[]")
+        return [Part(*p[:6], tuple(p[6]), p[7] and tuple(p[7]), *p[8:]) for p in json.loads(parts)]
+
+    def _write(self, parts: list[Part]) -> None:
+        """Also sets the timer anew, if another session is due first."""
+        due = min(map(self._due, parts), default=None)
+        if due != self.timer:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.visits.update((self.sent, due, json.dumps(parts)))
 
     def _due(self, p: Part) -> int:
         """When to look at it again."""
         return -(-p.end // 1000) + self.timeout_ms if p.stale else max(p.heard, p.end // 1000 + self.timeout_ms) + self.keep_ms
 
     def _next(self) -> int:
-        n = (self.count.get()[0] if self.count.exists() else 0) + 1
-        self.count.update((n,))
-        return n
+        self.sent += 1
+        return self.sent
 
     def _row(self, key: tuple, p: Part, version: int, withdrawn: bool) -> Row:
         return self.out(*key, *p[:6], *p.opened[2:], p.viewed and p.viewed[2], version, withdrawn)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
-        before = []
-        for p in self._read():
-            if p.stale or self._due(p) > now:
-                before.append(p)
-            else:
-                self.parts.removeKey((p.start,))
+        before = [p for p in self._read() if p.stale or self._due(p) > now]
         events = [
             Part(r["_at"], r["_at"], int(r["_kind"] == "page_view"), int(r["_kind"] == "click"), int(r["_kind"] == "exposure"),
                  max(0, r["_scroll"] or 0), (r["_at"], r["seq"], *(r[name] for name in OPENING)),
@@ -214,29 +211,25 @@ class SessionTimers(StatefulProcessor):
             else:
                 after.append(p)
         starts = {p.start for p in after}
-        for p in before:
-            if p.start not in starts:
-                self.parts.removeKey((p.start,))
-                if p.version:
-                    yield self._row(key, p, self._next(), True)
-        known = set(before)
-        for p in after:
-            if p not in known:
-                self._write(p)
-                self.handle.registerTimer(self._due(p))
+        gone = [self._row(key, p, self._next(), True) for p in before if p.start not in starts and p.version]
+        self._write(after)
+        yield from gone
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentProcessingTimeInMs()
+        kept, sent = [], []
         for p in self._read():
-            if self._due(p) > now:
-                continue
-            if not p.stale:
-                self.parts.removeKey((p.start,))
-                continue
-            sent = p._replace(version=self._next(), stale=False)
-            yield self._row(key, sent, sent.version, False)
-            self._write(sent)
-            self.handle.registerTimer(self._due(sent))
+            if self._due(p) <= now:
+                if not p.stale:
+                    continue
+                p = p._replace(version=self._next(), stale=False)
+                sent.append(self._row(key, p, p.version, False))
+            kept.append(p)
+        # the timer that has come goes by itself
+        if self.timer == expiredTimerInfo.getExpiryTimeInMs():
+            self.timer = None
+        self._write(kept)
+        yield from sent
 
     def close(self) -> None:
         pass

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from eventloom.config import EngineConfig
 from eventloom.operators.dedup import drop_duplicates
 from eventloom.operators.identity import resolve_identity
 from eventloom.operators.rollups import events_hourly, merge_hourly
-from eventloom.operators.sessions import session_rows
+from eventloom.operators.sessions import OPENING, session_rows
 from eventloom.streaming.batches import SLICE_MS, SliceSteps, dedup_batches, identity_batches, rate_batches, serve_instants, thread_slices
 from eventloom.streaming.dedup import dedup_stream
-from eventloom.streaming.keyed import identity_keyed, last_versions, sweep_stream
+from eventloom.streaming.keyed import SessionTimers, identity_keyed, last_versions, sweep_stream
 from eventloom.streaming.metrics import IngestCounters, observe_stream
 from eventloom.streaming.rollups import hourly_stream
 from eventloom.streaming.sessions import sessionize_stream
@@ -310,3 +311,65 @@ def test_keyed_sweep_keeps_open_sessions_and_forgets(spark, tmp_path):
     assert [(r.anonymous_id, r.clicks) for r in last_versions(sent).collect()] == [("old", 2)]
     sent = in_triggers(spark, df, str(tmp_path / "gone"), parts, sweep_stream, CFG.with_(session_keep_s=-3600))
     assert [(r.anonymous_id, r.clicks) for r in sent.orderBy("version").collect()] == [("old", 1), ("old", 1)]
+
+
+class _Value:
+    """A value of the state store that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+class _Handle:
+    """What one key sees of the state store."""
+
+    def __init__(self):
+        self.state, self.timers = _Value(), set()
+
+    def getValueState(self, *_):
+        return self.state
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class _Clock(SimpleNamespace):
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def test_keyed_sweep_reads_a_key_once_for_all_its_sessions():
+    """However many sessions a key has, one timer sends all that are due."""
+    hour, n = 3_600_000, 300
+    sweep, handle = SessionTimers(1_800, 86_400), _Handle()
+    sweep.init(handle)
+    named = {name: None for name in OPENING} | {"seq": 0, "_kind": "click", "_scroll": None, "_seen": False}
+    events = [named | {"_at": k * hour * 1000} for k in range(n)]
+    now = _Clock(ms=(n + 1) * hour)
+    assert list(sweep.handleInputRows(("app", "a"), iter(events), now)) == []
+    (timer,) = handle.timers
+    assert timer == hour // 2
+    sent = list(sweep.handleExpiredTimer(("app", "a"), now, _Clock(ms=timer)))
+    handle.timers.remove(timer)  # as Spark does with a timer that has come
+    assert [(r._start, r.clicks, r.version) for r in sent] == [(k * hour * 1000, 1, k + 1) for k in range(n)]
+    assert handle.state.calls == 3 and len(handle.timers) == 1
+    joining = [named | {"_at": hour * 500}]
+    gone = list(sweep.handleInputRows(("app", "a"), iter(joining), now))
+    assert [(r._start, r.version, r.withdrawn) for r in gone] == [(hour * 1000, n + 1, True)]
