@@ -14,6 +14,13 @@ from eventloom.functions.keys import partition_key, partition_of, route_topic
 from eventloom.functions.times import partition_day
 from eventloom.schemas import EVENTS
 from eventloom.sources.tables import new_batch
+from eventloom.workspace import setting
+
+
+#: Topics that a task writes at once without sorting; with more it sorts the rest.
+OPEN_TOPICS = 16
+#: A compressed file is read by one task.
+FILE_RECORDS = 250_000
 
 
 @dataclass(frozen=True)
@@ -60,9 +67,12 @@ class FolderTopics:
         )
 
     def write(self, records: DataFrame, batch: str) -> None:
-        """Written again, a batch replaces its files."""
-        labelled = records.withColumn("batch", F.lit(batch)).write.mode("overwrite")
-        labelled.option("partitionOverwriteMode", "dynamic").partitionBy("topic", "batch").json(self.root)
+        """Written again, a batch replaces its files. Topics are few: a task keeps a file of
+        each open, for sorting its records by topic would hold or spill all of them."""
+        labelled = records.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("compression", "gzip")
+        labelled = labelled.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_RECORDS)
+        with setting(records.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_TOPICS)):
+            labelled.partitionBy("topic", "batch").json(self.root)
 
 
 _CORRUPT = "_corrupt_record"

@@ -740,3 +740,20 @@ def test_late_hours_are_corrected(spark, tmp_path):
     # later again for a corrected hour; the open hour ends
     assert trigger(2, ("h", 3), ("i", 40_000)) == 1
     assert counts() == [1, 1, 2, 4]
+
+
+def test_topics_are_written_without_sorting(spark, tmp_path):
+    """No task holds its records to sort them by topic; files are compressed, and the
+    session's setting is as before."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, topics = spark.conf.get(name), FolderTopics(str(tmp_path))
+    rows = spark.range(40).select(
+        F.concat(F.lit("t"), F.col("id") % 3).alias("topic"), F.col("id").cast("string").alias("key"), F.lit("{}").alias("value")
+    )
+    for _ in range(2):
+        topics.write(rows.coalesce(1), "b")
+    assert spark.conf.get(name) == before
+    found = spark.read.json(str(tmp_path))
+    assert found.count() == 40 and found.where("topic = 't1'").count() == 13
+    files = found.inputFiles()
+    assert len(files) == 3 and all(f.endswith(".json.gz") for f in files)
