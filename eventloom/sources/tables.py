@@ -193,6 +193,7 @@ def compact_events(
     spark: SparkSession, path: str, first_day: str, last_day: str, files: int, batches: BatchNames | list[str] | None = None
 ) -> list[str]:
     """Rewrite the batches of a range of days as one, in table order; returns the days.
+    ``files`` are written at least, more where one would be larger than FILE.
 
     Sweeps pass compacted batches by, so give the ``batches`` that were swept if there
     are others. Reads of these days have to wait until it is done.
@@ -202,15 +203,17 @@ def compact_events(
     replaced = [f"{d}/{b}" for d in days for b in _children(fs, make(f"{path}/{d}"))]
     if batches is not None:
         replaced = [name for name in replaced if name.split(f"/{BATCH}=")[1] in batches]
-    _fold(spark, path, replaced, files)
+    size = sum(fs.getContentSummary(make(f"{path}/{name}")).getLength() for name in replaced)
+    _fold(spark, path, replaced, max(files, -(-size // FILE)))
     return [d.removeprefix(f"{EVENT_DAY}=") for d in days]
 
 
 #: Batches of a day that are of one size, each size being so many times the one below,
 #: are folded when there are so many of them.
 TIER = 8
-#: Bytes; smaller batches are of one size. Bytes that a file of a folded batch has.
-SMALL, FILE = 2**20, 2**28
+#: Bytes; smaller batches are of one size. Bytes that a file of a folded batch has: a task
+#: sorts one, which takes about ten times as much memory.
+SMALL, FILE = 2**20, 2**26
 
 
 def fold_small_batches(

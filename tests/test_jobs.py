@@ -757,3 +757,18 @@ def test_topics_are_written_without_sorting(spark, tmp_path):
     assert found.count() == 40 and found.where("topic = 't1'").count() == 13
     files = found.inputFiles()
     assert len(files) == 3 and all(f.endswith(".json.gz") for f in files)
+
+
+def test_compaction_writes_more_files_of_a_large_table(spark, tmp_path, monkeypatch):
+    from eventloom.sources import tables
+
+    path = str(tmp_path)
+    rows = spark.range(2_000).select(
+        F.col("id").cast("string").alias("event_id"), F.lit("click").alias("event_type"), F.lit("a").alias("app_code"),
+        F.concat(F.lit("u"), F.col("id") % 50).alias("user_id"), F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id")).alias("timestamp"),
+    )
+    write_events(rows, path, now())
+    monkeypatch.setattr(tables, "FILE", 20_000)
+    compact_events(spark, path, "2023-11-14", "2023-11-14", 1)
+    assert read_events(spark, path).count() == 2_000
+    assert len(spark.read.parquet(path).inputFiles()) > 2
