@@ -690,7 +690,7 @@ def evolve_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "evolving")
     early = F.col("timestamp") < at(MID_MONTH)
     old = rows.where(early).drop("app_code").withColumn("batch", F.lit("old"))
-    old.write.partitionBy(EVENT_DAY, "batch").parquet(path)
+    old.hint("rebalance", EVENT_DAY).write.partitionBy(EVENT_DAY, "batch").parquet(path)
     write_events(rows.where(~early), path, at(NOW))
     return read_events(spark, path).select("event_id", F.col("timestamp").alias("ts"), "app_code")
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventloom.catalog.queries import catalog
 from eventloom.config import EngineConfig
 from eventloom.operators import dead_letters as DL
 from eventloom.operators.dedup import drop_duplicates
@@ -772,3 +773,10 @@ def test_compaction_writes_more_files_of_a_large_table(spark, tmp_path, monkeypa
     compact_events(spark, path, "2023-11-14", "2023-11-14", 1)
     assert read_events(spark, path).count() == 2_000
     assert len(spark.read.parquet(path).inputFiles()) > 2
+
+
+def test_days_of_the_evolving_table_are_not_spread(spark):
+    """Its first half is laid out by day like the rest: no task has to sort all days."""
+    files = catalog()["evolve_schema"](spark, "/root/testdata/sf0.001").inputFiles()
+    old = [f.rsplit("/", 2)[0] for f in files if "batch=old" in f]
+    assert len(old) == len(set(old)) > 10
