@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from texts import no_docs, odd_docs, odd_texts
 
 from eventloom.llm.language import UNKNOWN, Languages, identify, language_report, learn
-from eventloom.llm.quality import THRESHOLD, Ranking, bradley_terry, keep_good, score_documents
+from eventloom.llm.quality import THRESHOLD, Ranking, bradley_terry, keep_good, packed, score_documents, unpacked
 from eventloom.llm.quality import learn as learn_quality
 
 LARGER = "/root/testdata/sf0.01"
@@ -79,6 +79,24 @@ def test_quality_of_texts_under_one_id(spark, tables):
     assert keep_good(docs.limit(0), labels).count() == 0
 
 
+def test_every_labelled_document_teaches(spark):
+    """More labelled documents than any cell holds, few of them bad: the weights and the
+    threshold are those of all documents, and one document more changes them."""
+    texts = [(i, "A fine line of text. " * (1 + i % 7) if i % 40 else "junk !!! $$$ " * (1 + i % 11)) for i in range(1, 12_001)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 40 != 0).cast("int").alias("quality"))
+    model = learn_quality(docs, labels, rare=10_000, common=10_000)
+    teaching = [(i, t) for i, t in texts if zlib.crc32(str(i).encode()) % 5]
+    x = {flag: unpacked([packed(t) for i, t in teaching if (i % 40 != 0) == flag]) for flag in (True, False)}
+    want = Ranking(x[True], x[False], len(x[False]) / len(teaching))
+    assert np.allclose(model.weights, want.weights, atol=1e-3) and np.allclose(model.mean, want.mean, atol=1e-6)
+    assert abs(model.cut - want.cut) < 1e-3 and abs(model.slope - want.slope) < 1e-3
+    small = learn_quality(docs, labels, rare=50, common=300)
+    assert [small.score_text(t) >= THRESHOLD for _, t in texts[:200]] == [want.score_text(t) >= THRESHOLD for _, t in texts[:200]]
+    more = labels.where("doc_id <> 11999")
+    assert not np.array_equal(learn_quality(docs, more).mean, learn_quality(docs, labels).mean)
+
+
 def test_language(tables):
     docs, _ = tables
     got = language_report(docs).toPandas()
