@@ -37,12 +37,13 @@ def json_members(text: Column) -> Column:
     2.0), null as null.
     """
     sent = F.map_entries(F.from_json(text, "map<string,string>"))
-    strings = F.transform(F.map_values(custom_map(text)), lambda v: F.schema_of_variant(v) == "STRING")
     return F.zip_with(
         sent,
-        strings,
-        lambda m, s: F.struct(
-            m["key"].alias("key"), m["value"].alias("value"), F.coalesce(s, F.lit(False)).alias("is_string")
+        F.map_values(custom_map(text)),
+        lambda m, v: F.struct(
+            m["key"].alias("key"),
+            m["value"].alias("value"),
+            F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)).alias("is_string"),
         ),
     )
 

@@ -156,6 +156,30 @@ def test_heuristic_masking(spark):
     assert (same.custom, same.pii_masked) == ('{"note": "hello"}', False)
 
 
+def test_rules_rewrite_the_text_in_one_pass(spark):
+    """Values of every kind; no structure of new values is built between the text and the text."""
+    cfg = CFG.with_(hash_user_id=True, pii_fields=("email",), mask_heuristics=True)
+    sent = r'{"email":"a@b.com","to":"x\"y@c.org","tel":"+86 138-0000-1234","n":2.0,"z":null,"o":{"tel":"13800001234"},"t":"q\"","w":13800001234}'
+    row = protect(spark, sent, cfg)
+    hashed = one(spark, "a@b.com", pii_hash)
+    assert row.custom == (
+        r'{"email":"%s","to":"x***@c.org","tel":"***1234","n":2.0,"z":null,"o":{"tel":"13800001234"},"t":"q\"","w":13800001234}' % hashed
+    )
+    assert row.pii_masked
+    # a value that is masked already counts as masked, a listed one that is null does not
+    assert protect(spark, '{"to":"x***@c.org"}', cfg, user=None).pii_masked
+    assert not protect(spark, '{"email":null}', cfg, user=None).pii_masked
+    rows = spark.createDataFrame([("u", True, sent)], "user_id string, consent boolean, custom string")
+    plan = apply_privacy(rows, cfg)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 1
+
+
+def test_long_stages_are_generated_as_methods_the_jvm_compiles(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    prepare_session(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8_000
+
+
 def test_repeated_keys_do_not_escape_masking(spark):
     row = protect(spark, '{"a":"bob@x.io","a":"eve@x.io"}', CFG.with_(mask_heuristics=True))
     assert "bob@" not in row.custom and "eve@" not in row.custom
