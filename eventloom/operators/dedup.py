@@ -229,6 +229,9 @@ def _blocked(copies: DataFrame, seen: DataFrame, cfg: EngineConfig) -> DataFrame
     copy accepted earlier, before or after it. Late copies count like others."""
     window_ms = cfg.dedup_window_s * 1000
     anchors = seen.where(is_set("event_id")).select("event_id", F.unix_millis("anchor_ts").alias("_anchor"))
+    # only of the ids that are to be checked: most ids of a state do not come again
+    ids = write_through(copies.select("event_id").distinct(), "ids")
+    anchors = anchors.join(ids, "event_id", "left_semi")
     span = F.floor(F.col("_anchor") / F.lit(window_ms))
     # an anchor blocks in its own span of a window's length and in the two beside it;
     # of a span's anchors the first and last are enough for the neighbours

@@ -95,6 +95,20 @@ def test_seen_ids_block_for_the_window(spark):
     assert kept(got) == [11, 13, 14, 15, 17, 18]
 
 
+def test_only_seen_ids_that_come_again_are_spread(spark, monkeypatch):
+    written = {}
+
+    def counted(df, name="step"):
+        written[name] = df.count()
+        return df
+
+    monkeypatch.setattr("eventloom.operators.dedup.write_through", counted)
+    seen = accepted_ids(events(spark, [(f"s{i}", 0.0, i) for i in range(200)] + [("a", 0.0, 300)]))
+    rows = [("a", 10.0, 0), ("a", 400.0, 1), ("b", 0.0, 2), (None, 0.0, 3)]
+    assert kept(drop_duplicates(events(spark, rows), CFG, seen=seen)) == [1, 2, 3]
+    assert written["anchors"] == 3
+
+
 def test_blocked_copies_open_no_window(spark):
     seen = accepted_ids(events(spark, [("a", 0.0, 0)]))
     rows = [("a", 200.0, 1), ("a", 310.0, 2), ("a", 320.0, 3), ("", 0.0, 4)]
