@@ -21,7 +21,7 @@ from eventloom.sources.dead_letters import TOPIC
 from eventloom.sources.envelopes import explode_envelopes
 from eventloom.sources.state import BatchState
 from eventloom.sources.tables import drop_batch, numbered_batch
-from eventloom.sources.topics import FolderTopics, KafkaTopics, read_records, split_unreadable
+from eventloom.sources.topics import FolderTopics, KafkaTopics, parse_records, read_records, split_unreadable
 from eventloom.streaming.settings import streaming_session
 from eventloom.streaming.sinks import (
     Sink,
@@ -74,10 +74,10 @@ def load_from_stream(
 
     def run(records: DataFrame, batch_id: int) -> None:
         with dropping_scratch(spark):
-            events, broken = split_unreadable(write_through(records, "records"))
-            write_entries(unreadable_entries(broken, now), dead, batch_id)
             # a number for every record of the batch, also for equal ones
-            numbered = write_through(events.withColumn("seq", F.monotonically_increasing_id()), "events")
+            parsed = parse_records(records.select("value")).withColumn("seq", F.monotonically_increasing_id())
+            numbered, broken = split_unreadable(write_through(parsed, "records"))
+            write_entries(unreadable_entries(broken, now), dead, batch_id)
             marked = mark_duplicates(numbered, cfg, seen=remembered.before(spark, batch_id))
             fresh = write_through(marked.where(~F.col("is_duplicate")).drop("is_duplicate", "seq"), "fresh")
             remembered.propose(accepted_ids(fresh).withColumn("arrived_at", now), batch_id)
@@ -117,10 +117,10 @@ def load_dead_letters(
 
     def run(records: DataFrame, batch_id: int) -> None:
         with dropping_scratch(spark):
-            numbered = write_through(records.withColumn("seq", F.monotonically_increasing_id()), "records")
+            numbered = records.withColumn("seq", F.monotonically_increasing_id())
             places = ("partition", "offset") if "offset" in numbered.columns else (F.lit(batch_id), "seq")
-            placed = numbered.withColumn("_place", F.concat_ws(":", *places))
-            events, broken = split_unreadable(placed)
+            placed = numbered.select("value", F.concat_ws(":", *places).alias("_place"))
+            events, broken = split_unreadable(write_through(parse_records(placed), "records"))
             entries = topic_entries(events, now).unionByName(unreadable_entries(broken, now, ("value", "_place")))
             write_entries(entries, dead, batch_id, TOPIC)
 

@@ -78,13 +78,28 @@ class FolderTopics:
 _CORRUPT = "_corrupt_record"
 
 
-def split_unreadable(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events as flat rows, records whose ``value`` is no event); a column ``_place`` stays."""
+def parse_records(records: DataFrame) -> DataFrame:
+    """The columns of the event in ``value``, the other columns, and ``_readable``; ``value``
+    stays where it is no event. Write the rows before they are split: a filter on what
+    comes out of the text would parse it again."""
     schema = T.StructType([*EVENTS.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = records.withColumn("_event", F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}))
     readable = F.col("_event").isNotNull() & F.col(f"_event.{_CORRUPT}").isNull()
-    place = [name for name in records.columns if name == "_place"]
-    return parsed.where(readable).select("_event.*", *place).drop(_CORRUPT), parsed.where(~readable).drop("_event")
+    others = [name for name in records.columns if name != "value"]
+    return parsed.select(
+        *[F.col(f"_event.{name}").alias(name) for name in EVENTS.fieldNames()],
+        F.when(~readable, F.col("value")).alias("value"),
+        readable.alias("_readable"),
+        *others,
+    )
+
+
+def split_unreadable(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events as flat rows, records whose ``value`` is no event) of parsed records; other
+    columns stay."""
+    others = [name for name in parsed.columns if name not in (*EVENTS.fieldNames(), "value", "_readable")]
+    events = parsed.where("_readable").select(*EVENTS.fieldNames(), *others)
+    return events, parsed.where("not _readable").select("value", *others)
 
 
 def read_records(spark: SparkSession, topics: KafkaTopics | FolderTopics, cfg: EngineConfig) -> DataFrame:

@@ -41,7 +41,15 @@ from eventloom.sources.tables import (
     write_events,
     write_sessions,
 )
-from eventloom.sources.topics import FolderTopics, ordered_by_user, read_event_stream, to_records, write_event_stream
+from eventloom.sources.topics import (
+    FolderTopics,
+    ordered_by_user,
+    parse_records,
+    read_event_stream,
+    split_unreadable,
+    to_records,
+    write_event_stream,
+)
 from eventloom.streaming import sinks as S
 from eventloom.streaming.settings import streaming_session
 from eventloom.workspace import clear_scratch, dropping_scratch, prepare_session, write_through
@@ -604,6 +612,18 @@ def test_unreadable_records_are_dead_letters(spark, loaded):
     assert {r.reason for r in dead} == {UNREADABLE}
 
 
+def test_records_are_parsed_once(spark, tmp_path):
+    """The parsed rows are written; neither events nor broken records go back to the text."""
+    texts = ['{"event_id":"a","event_type":"click"}', "{broken", None, "[1]", '{"event_id":"b"}']
+    rows = spark.createDataFrame([(text, n) for n, text in enumerate(texts)], "value string, seq long")
+    events, broken = split_unreadable(write_through(parse_records(rows)))
+    assert sorted((r.event_id, r.seq) for r in events.collect()) == [("a", 0), ("b", 4)]
+    assert sorted((r.value or "", r.seq) for r in broken.collect()) == [("", 2), ("[1]", 3), ("{broken", 1)]
+    for part in (events, broken):
+        assert "from_json" not in part._jdf.queryExecution().optimizedPlan().toString()
+    assert parse_records(rows)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_one_event_far_ahead_changes_nothing(spark, loaded):
     rows, _ = loaded(sent(spark, ("a", 0)), sent(spark, ("far", 10 * 365 * 86_400)), sent(spark, ("a", 1), ("a", 301)))
     assert sorted(r.event_id for r in rows) == ["a", "a", "far"]
