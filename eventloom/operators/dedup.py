@@ -53,7 +53,8 @@ def mark_duplicates(
     marked = events.withColumns({"_ms": F.unix_millis(F.col(ts)), "_seq": F.col(seq).cast("long")})
     copies = marked.where(takes).select("event_id", "_ms", "_seq")
     fallen = []
-    if seen is not None:
+    # a first batch has nothing to be checked against
+    if seen is not None and not seen.isEmpty():
         copies = write_through(_blocked(copies, seen, cfg), "copies")
         fallen.append(copies.where("_blocked").drop("_blocked"))
         copies = copies.where("not _blocked").drop("_blocked")

@@ -109,6 +109,15 @@ def test_only_seen_ids_that_come_again_are_spread(spark, monkeypatch):
     assert written["anchors"] == 3
 
 
+def test_a_first_batch_is_not_checked_against_nothing(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr("eventloom.operators.dedup.write_through", lambda df, name="step": written.append(name) or df)
+    seen = accepted_ids(events(spark, [("a", 0.0, 0)])).limit(0)
+    rows = [("a", 10.0, 0), ("a", 11.0, 1), ("b", 0.0, 2)]
+    assert kept(drop_duplicates(events(spark, rows), CFG, seen=seen)) == [0, 2]
+    assert "anchors" not in written
+
+
 def test_blocked_copies_open_no_window(spark):
     seen = accepted_ids(events(spark, [("a", 0.0, 0)]))
     rows = [("a", 200.0, 1), ("a", 310.0, 2), ("a", 320.0, 3), ("", 0.0, 4)]
